@@ -46,6 +46,7 @@ def nearest_rank(col: str, p: float) -> str:
 
 # Import the modules that fill the catalog.
 from docweave.plans import (  # noqa: E402,F401
+    q_chat,
     q_ingest,
     q_retrieve,
     q_telemetry,
