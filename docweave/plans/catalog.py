@@ -48,6 +48,7 @@ def nearest_rank(col: str, p: float) -> str:
 from docweave.plans import (  # noqa: E402,F401
     q_chat,
     q_ingest,
+    q_redact,
     q_retrieve,
     q_telemetry,
 )
