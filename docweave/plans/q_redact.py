@@ -75,9 +75,10 @@ def scrub_events(td):
 
 @register("erase_subjects", W("messages") + """
 select id, session_id, role from messages
-where session_id not in (select distinct cast(user_id as varchar) from events where event_type = 'signup')""")
+where session_id not in (select distinct cast(user_id as varchar) from events
+                         where event_type = 'signup' and value > 300)""")
 def erase_subjects(td):
-    """Erasure requests (signup events name a user) delete every stored message of that subject."""
-    who = td["events"].filter(F.col("event_type") == "signup") \
+    """Erasure requests (derived: signup events with value > 300 name a subject) delete every stored message of that subject."""
+    who = td["events"].filter((F.col("event_type") == "signup") & (F.col("value") > 300)) \
         .select(F.col("user_id").cast("string").alias("session_id"))
     return X.erase_subjects(td["messages"], who).select("id", "session_id", "role")
