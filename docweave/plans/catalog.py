@@ -50,5 +50,6 @@ from docweave.plans import (  # noqa: E402,F401
     q_ingest,
     q_redact,
     q_retrieve,
+    q_stream,
     q_telemetry,
 )

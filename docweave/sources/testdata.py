@@ -203,15 +203,24 @@ class TestData:
     def spans(self) -> DataFrame:
         """The spans view plus the ``Properties`` bag the telemetry operators read."""
         if "_spans_props" not in self._cache:
-            base = self.table("spans")
-            bag = F.map_filter(
-                F.create_map(
-                    F.lit("gen_ai.request.model"), F.col("model"),
-                    F.lit("gen_ai.usage.input_tokens"), F.col("in_tok").cast("string"),
-                    F.lit("gen_ai.usage.output_tokens"), F.col("out_tok").cast("string"),
-                    F.lit("doc.id"), F.col("prop_doc_id"),
-                ),
-                lambda k, v: v.isNotNull(),
-            )
-            self._cache["_spans_props"] = base.withColumn("Properties", bag)
+            self._cache["_spans_props"] = with_properties(self.table("spans"))
         return self._cache["_spans_props"]
+
+
+def with_properties(spans: DataFrame) -> DataFrame:
+    """Add the ``Properties`` bag (absent keys left out) from the fixture's typed columns."""
+    bag = F.map_filter(
+        F.create_map(
+            F.lit("gen_ai.request.model"), F.col("model"),
+            F.lit("gen_ai.usage.input_tokens"), F.col("in_tok").cast("string"),
+            F.lit("gen_ai.usage.output_tokens"), F.col("out_tok").cast("string"),
+            F.lit("doc.id"), F.col("prop_doc_id"),
+        ),
+        lambda k, v: v.isNotNull(),
+    )
+    return spans.withColumn("Properties", bag)
+
+
+def spans_from(events: DataFrame) -> DataFrame:
+    """The spans view (with Properties) over any events frame, batch or streaming."""
+    return with_properties(events.sparkSession.sql(spans_sql("spark"), events=events))
