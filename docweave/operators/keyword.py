@@ -7,7 +7,9 @@ semi join with the query vocabulary, partial-aggregated ``count`` by term).
 Scoring never joins postings with queries (a common term would pair every
 document with every query). Instead the query-term weights, whose size is
 checked, are broadcast and each task scores its own documents against all
-queries with vectorised numpy, keeping a local top-k per query; a final
+queries with vectorised Arrow/numpy (``mapInArrow``: words are looked up in the
+broadcast vocabulary with ``index_in``, term counts by ``unique``), keeping a local
+top-k per query; a final
 ``row_number() <= k`` merges the task results.
 """
 
@@ -60,7 +62,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
     pw = pw.assign(t=pw["term"].map(tpos), q=pw[qid].map(qpos)).sort_values(["t", "q"]) if len(pw) else pw
     indptr = np.searchsorted(pw["t"].to_numpy(), np.arange(len(terms) + 1)) if len(pw) else np.zeros(1, int)
     bc = docs.sparkSession.sparkContext.broadcast({
-        "tpos": tpos, "indptr": indptr,
+        "terms": terms, "indptr": indptr,
         "q": pw["q"].to_numpy() if len(pw) else np.zeros(0, int),
         "idf": pw["idf"].to_numpy() if len(pw) else np.zeros(0),
         "qids": qids, "avgdl": avgdl if avgdl > 0 else 1.0,
@@ -70,34 +72,36 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
                            T.StructField("score", T.DoubleType())])
 
     def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         v = bc.value
-        nq = len(v["qids"])
+        nq, nt = len(v["qids"]), len(v["terms"])
+        vocab = pa.array(v["terms"], pa.string())
         best_s = [np.empty(0) for _ in range(nq)]
         best_d = [np.empty(0, dtype=object) for _ in range(nq)]
-        for pdf in batches:
-            if not len(pdf) or not nq:
+        for batch in batches:
+            if not batch.num_rows or not nq:
                 continue
-            lens = pdf["_w"].map(len).to_numpy()
-            flat = pd.Series(np.concatenate([np.asarray(w, dtype=object) for w in pdf["_w"]])
-                             if lens.sum() else np.zeros(0, dtype=object))
-            rows = np.repeat(np.arange(len(pdf)), lens)
-            code = flat.map(v["tpos"]).to_numpy()
-            keep = ~pd.isna(code)
-            rows, code = rows[keep], code[keep].astype(np.int64)
+            w = batch.column(batch.schema.get_field_index("_w"))
+            lens = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = pc.index_in(pc.list_flatten(w), value_set=vocab)
+            rows = np.repeat(np.arange(batch.num_rows), lens)
+            keep = code.is_valid().to_numpy(zero_copy_only=False)
+            code = pc.fill_null(code, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows, code = rows[keep], code[keep]
             if not len(rows):
                 continue
-            key, tf = np.unique(rows * len(v["tpos"]) + code, return_counts=True)
-            r, t = key // len(v["tpos"]), key % len(v["tpos"])
-            norm = tf + k1 * (1 - b + b * lens[r] / v["avgdl"])
-            part = tf * (k1 + 1) / norm
+            key, tf = np.unique(rows * nt + code, return_counts=True)
+            r, t = key // nt, key % nt
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[r] / v["avgdl"]))
             start, stop = v["indptr"][t], v["indptr"][t + 1]
             reps = stop - start
             pr = np.repeat(r, reps)
-            idx = np.concatenate([np.arange(s, e) for s, e in zip(start, stop)]) if reps.sum() else np.zeros(0, int)
-            contrib = np.repeat(part, reps) * v["idf"][idx]
-            scores = np.zeros((len(pdf), nq))
-            np.add.at(scores, (pr, v["q"][idx]), contrib)
-            ids = pdf[doc_id].to_numpy(dtype=object)
+            idx = np.concatenate([np.arange(s0, e0) for s0, e0 in zip(start, stop)]) if reps.sum() else np.zeros(0, int)
+            scores = np.zeros((batch.num_rows, nq))
+            np.add.at(scores, (pr, v["q"][idx]), np.repeat(part, reps) * v["idf"][idx])
+            ids = np.asarray(batch.column(batch.schema.get_field_index(doc_id)).to_pylist(), dtype=object)
             hit = scores > 0
             for j in np.nonzero(hit.any(axis=0))[0]:
                 m = np.nonzero(hit[:, j])[0]
@@ -105,10 +109,20 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
                 di = np.concatenate([best_d[j], ids[m]])
                 order = np.lexsort((di, -sc))[:k]
                 best_s[j], best_d[j] = sc[order], di[order]
-        out = [(v["qids"][j], dd, float(ss)) for j in range(nq) for ss, dd in zip(best_s[j], best_d[j])]
-        yield pd.DataFrame(out, columns=[qid, doc_id, "score"]) if out else \
-            pd.DataFrame({qid: [], doc_id: [], "score": []})
+        q_out, d_out, s_out = [], [], []
+        for j in range(nq):
+            for ss, dd in zip(best_s[j], best_d[j]):
+                q_out.append(v["qids"][j])
+                d_out.append(dd)
+                s_out.append(float(ss))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(q_out, type=arrow_q), pa.array(d_out, type=arrow_d), pa.array(s_out, type=pa.float64())],
+            names=[qid, doc_id, "score"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    local = d.mapInPandas(run, schema)
+    arrow_q = to_arrow_type(queries.schema[qid].dataType)
+    arrow_d = to_arrow_type(docs.schema[doc_id].dataType)
+    local = d.mapInArrow(run, schema)
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(doc_id))
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -142,25 +142,22 @@ def marked_events(events: DataFrame) -> Column:
             & parsed.isNotNull() & F.map_contains_key(attrs, F.lit("content")))
 
 
-@F.pandas_udf(T.StructType([T.StructField("json", T.StringType()), T.StructField("targets", T.ArrayType(T.StringType()))]))
-def _split_targets(content: pd.Series, keys: pd.Series) -> pd.DataFrame:
-    """Top-level string values named by the marker, and the payload they sit in."""
-    js, tg = [], []
-    for c, k in zip(content, keys):
-        try:
-            data = json.loads(c)
-            names = json.loads(k)
-        except (TypeError, ValueError):
-            js.append(None)
-            tg.append([])
-            continue
-        if not isinstance(data, dict) or not isinstance(names, list):
-            js.append(None)
-            tg.append([])
-            continue
-        js.append(c)
-        tg.append([n for n in names if isinstance(n, str) and isinstance(data.get(n), str)])
-    return pd.DataFrame({"json": js, "targets": tg})
+def _targets_of(content, keys) -> list[str] | None:
+    """Marked top-level keys holding strings; ``None`` when payload or marker is not usable."""
+    try:
+        data = json.loads(content)
+        names = json.loads(keys)
+    except (TypeError, ValueError):
+        return None
+    if not isinstance(data, dict) or not isinstance(names, list):
+        return None
+    return [n for n in names if isinstance(n, str) and isinstance(data.get(n), str)]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_targets(content: pd.Series, keys: pd.Series) -> pd.Series:
+    """Names of the values to redact; null for a payload that is not a JSON object."""
+    return pd.Series([_targets_of(c, k) for c, k in zip(content, keys)])
 
 
 @F.pandas_udf(T.StringType())
@@ -185,8 +182,10 @@ def scrub_events(events: DataFrame, scrubber: Scrubber = regex_scrubber, strict:
     attrs = F.col("attributes")
     marked = events.filter(marked_events(events))
     other = events.filter(~marked_events(events))
-    sp = marked.withColumn("_s", _split_targets(F.element_at(attrs, F.lit("content")),
-                                                F.element_at(attrs, F.lit(SCRUB_KEYS_ATTR))))
+    content = F.element_at(attrs, F.lit("content"))
+    tg = _split_targets(content, F.element_at(attrs, F.lit(SCRUB_KEYS_ATTR)))
+    sp = marked.withColumn("_s", F.struct(F.when(tg.isNotNull(), content).alias("json"),
+                                          F.coalesce(tg, F.array().cast("array<string>")).alias("targets")))
     values = sp.select(key, F.posexplode("_s.targets").alias("_i", "_name"), F.col("_s.json").alias("json")) \
         .select(key, "_i", "_name",
                 F.element_at(F.from_json("json", "map<string,string>"), F.col("_name")).alias("_v"))
