@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.session import spread
+
 DEFAULT_DIM = 256
 EMBED_BATCH = 64  # fixed value: texts per embedding call
 WORD_PATTERN = r"[\p{L}\p{N}]+"
@@ -44,6 +46,7 @@ def embed_chunks(df: DataFrame, text_col: str = "text", out_col: str = "vector",
                  embed_fn: EmbedFn | None = None, batch_size: int = EMBED_BATCH,
                  dim: int = DEFAULT_DIM) -> DataFrame:
     """Vectors for a text column."""
+    df = spread(df)
     if embed_fn is None:
         return hashing_embed(df, text_col, out_col, dim)
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(T.FloatType(), False), True)])

@@ -22,11 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.operators.retrieve import MAX_BROADCAST_BYTES
+from docweave.session import spread
 
 # BM25 parameters and the word pattern.
 K1 = 1.2
 B = 0.75
 WORD_PATTERN = r"[\p{L}\p{N}]+"
+DENSE_BUDGET = 4_000_000  # cells of one dense document x term block inside a task
+
+
+def _keep_topk(q: np.ndarray, s: np.ndarray, d: np.ndarray, k: int):
+    """Rows of the ``k`` best (score desc, id asc) candidates of every query."""
+    if not len(q):
+        return q, s, d
+    order = np.lexsort((d, -s, q))
+    q, s, d = q[order], s[order], d[order]
+    first = np.r_[True, q[1:] != q[:-1]]
+    group_start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    keep = (np.arange(len(q)) - group_start) < k
+    return q[keep], s[keep], d[keep]
 
 
 def words(text: Column | str) -> Column:
@@ -39,7 +53,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
               qid: str = "qid", qtext: str = "qtext", k1: float = K1, b: float = B,
               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``qid, doc_id, score, rank`` for the ``k`` best documents of each query."""
-    d = docs.select(doc_id, words(text).alias("_w"))
+    d = spread(docs.select(doc_id, text)).select(doc_id, words(text).alias("_w"))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("avgdl")).collect()[0]
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
 
@@ -78,8 +92,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
         v = bc.value
         nq, nt = len(v["qids"]), len(v["terms"])
         vocab = pa.array(v["terms"], pa.string())
-        best_s = [np.empty(0) for _ in range(nq)]
-        best_d = [np.empty(0, dtype=object) for _ in range(nq)]
+        top_q, top_s, top_d = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)
         for batch in batches:
             if not batch.num_rows or not nq:
                 continue
@@ -92,31 +105,39 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
             rows, code = rows[keep], code[keep]
             if not len(rows):
                 continue
+            # term frequency per (document, term), then BM25 weight of that pair
             key, tf = np.unique(rows * nt + code, return_counts=True)
             r, t = key // nt, key % nt
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[r] / v["avgdl"]))
-            start, stop = v["indptr"][t], v["indptr"][t + 1]
+            # scores = (document x term weights) @ (term x query idf), over the terms present
+            ut, tl = np.unique(t, return_inverse=True)
+            start, stop = v["indptr"][ut], v["indptr"][ut + 1]
             reps = stop - start
-            pr = np.repeat(r, reps)
-            idx = np.concatenate([np.arange(s0, e0) for s0, e0 in zip(start, stop)]) if reps.sum() else np.zeros(0, int)
-            scores = np.zeros((batch.num_rows, nq))
-            np.add.at(scores, (pr, v["q"][idx]), np.repeat(part, reps) * v["idf"][idx])
+            if not reps.sum():
+                continue
+            offs = np.repeat(start - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
+            qmat = np.zeros((len(ut), nq))
+            qmat[np.repeat(np.arange(len(ut)), reps), v["q"][offs]] = v["idf"][offs]
             ids = np.asarray(batch.column(batch.schema.get_field_index(doc_id)).to_pylist(), dtype=object)
-            hit = scores > 0
-            for j in np.nonzero(hit.any(axis=0))[0]:
-                m = np.nonzero(hit[:, j])[0]
-                sc = np.concatenate([best_s[j], scores[m, j]])
-                di = np.concatenate([best_d[j], ids[m]])
-                order = np.lexsort((di, -sc))[:k]
-                best_s[j], best_d[j] = sc[order], di[order]
-        q_out, d_out, s_out = [], [], []
-        for j in range(nq):
-            for ss, dd in zip(best_s[j], best_d[j]):
-                q_out.append(v["qids"][j])
-                d_out.append(dd)
-                s_out.append(float(ss))
+            step = max(1, DENSE_BUDGET // max(1, len(ut)))
+            for lo in range(0, batch.num_rows, step):
+                sel = (r >= lo) & (r < lo + step)
+                n = min(step, batch.num_rows - lo)
+                dmat = np.zeros((n, len(ut)))
+                dmat[r[sel] - lo, tl[sel]] = part[sel]
+                # rounding makes equal documents tie exactly, whatever the summation order
+                sc = np.round(dmat @ qmat, 9)
+                kk = min(k, n)
+                kth = np.partition(sc, n - kk, axis=0)[n - kk]
+                cand_r, cand_q = np.nonzero((sc >= kth) & (sc > 0))
+                top_q = np.concatenate([top_q, cand_q])
+                top_s = np.concatenate([top_s, sc[cand_r, cand_q]])
+                top_d = np.concatenate([top_d, ids[lo + cand_r]])
+                top_q, top_s, top_d = _keep_topk(top_q, top_s, top_d, k)
+        qids = v["qids"]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(q_out, type=arrow_q), pa.array(d_out, type=arrow_d), pa.array(s_out, type=pa.float64())],
+            [pa.array([qids[j] for j in top_q], type=arrow_q), pa.array(list(top_d), type=arrow_d),
+             pa.array(top_s, type=pa.float64())],
             names=[qid, doc_id, "score"])
 
     from pyspark.sql.pandas.types import to_arrow_type

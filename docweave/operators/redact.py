@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.session import spread
+
 # Fixed values of the redaction contract.
 CONTENT_EVENT_PREFIX = "gen_ai.content"
 SCRUB_KEYS_ATTR = "scrub_keys"
@@ -56,7 +58,7 @@ def deidentify_corpus(corpus: DataFrame, text_col: str = "text", out_col: str =
     """De-identified text plus ``n_<kind>`` replacement counts per document."""
     red, counts = deidentify(text_col)
     cols = {f"n_{k}": v.cast("int") for k, v in counts.items()}
-    return corpus.withColumns(cols).withColumn(out_col, red)
+    return spread(corpus).withColumns(cols).withColumn(out_col, red)
 
 
 def regex_scrubber(texts: list[str]) -> list[str]:
@@ -80,7 +82,7 @@ Scrubber = Callable[[list[str]], list[str | None] | None]
 def text_pieces(df: DataFrame, key: str, text_col: str, size: int = PIECE_CHARS) -> DataFrame:
     """``key, piece_no, piece``: the text cut every ``size`` characters (at least one, possibly empty)."""
     n = F.greatest(F.lit(1), F.ceil(F.length(text_col) / F.lit(size)).cast("int"))
-    return df.select(key, F.posexplode(F.transform(
+    return spread(df).select(key, F.posexplode(F.transform(
         F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.coalesce(F.col(text_col), F.lit("")),
                                                            i * size + 1, size))).alias("piece_no", "piece"))
 

@@ -26,7 +26,7 @@ from docweave.operators.diff import (CHANGED, GONE, NEW, gone_chunks, ingest_dif
 from docweave.operators.embed import EmbedFn, embed_chunks
 from docweave.operators.parse import parse_documents
 from docweave.operators.records import build_records
-from docweave.session import scratch_path
+from docweave.session import scratch_path, spread
 from docweave.sources import index_store, state as state_store, versioned
 from docweave.sources.corpus import with_fingerprint
 
@@ -41,7 +41,7 @@ class IngestResult:
 def plan_chunks(docs: DataFrame, text_col: str = "text", fmt: str | None = None,
                 limit: int = DEFAULT_LIMIT) -> DataFrame:
     """Parse and chunk documents (``id, uri, source`` plus text) into chunk rows."""
-    parsed = parse_documents(docs, text_col, fmt)
+    parsed = parse_documents(spread(docs), text_col, fmt)
     keep = [c for c in ("id", "uri", "source", "content_hash") if c in parsed.columns]
     return drop_blank_chunks(chunk_blocks(parsed.select(*keep, "blocks"), limit=limit))
 

@@ -60,3 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder for intermediate tables, under the shared checkpoint dir."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy row-local work enough tasks.
+
+    Large inputs already arrive in many file splits and are returned unchanged (no
+    extra shuffle). An input with fewer splits than the cluster's parallelism (one
+    big row group, a small table feeding heavy per-row work) is spread round-robin.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
