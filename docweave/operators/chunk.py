@@ -58,6 +58,9 @@ def _fold_starts(tokens: pd.Series, new_section: pd.Series, head_tokens: pd.Seri
     return pd.Series(out)
 
 
+_FOLD = _fold_starts.asNondeterministic()
+
+
 def _pieces(blocks: Column, limit: int, tokens_fn) -> Column:
     """``array<struct<text, headings, tokens>>`` with long blocks cut into windows."""
     def cut(b):
@@ -90,8 +93,10 @@ def chunk_blocks(docs: DataFrame, blocks_col: str = "blocks", limit: int = DEFAU
     p = p.withColumn("_brk", F.transform("_hd", lambda h, i: (i > 0) & (h != F.col("_hd")[i - 1])))
     p = p.withColumn("_htok", F.transform("_hd", lambda h: F.aggregate(
         h, F.lit(0), lambda acc, x: acc + tokens_fn(x))))
-    p = p.withColumn("_starts", F.when(F.size("_p") > 0, _fold_starts("_tok", "_brk", "_htok", F.lit(limit)))
-                     .otherwise(F.array().cast("array<int>")))
+    # The fold result is read inside array lambdas below. Marked non-deterministic so the
+    # optimizer keeps it in its own projection (an Arrow-evaluated node) instead of inlining
+    # the Python call into those lambdas, where it could not be evaluated.
+    p = p.withColumn("_starts", _FOLD("_tok", "_brk", "_htok", F.lit(limit)))
     ends = F.concat(F.slice("_starts", 2, F.greatest(F.size("_starts") - 1, F.lit(0))), F.array(F.size("_p")))
     p = p.withColumn("_ends", ends)
     chunks = F.transform("_starts", lambda s, i: F.struct(

@@ -153,12 +153,29 @@ def format_of(uri: Column | str) -> Column:
 
 
 def parse_documents(corpus: DataFrame, text_col: str = "text", fmt: Column | str | None = None) -> DataFrame:
-    """Add ``blocks`` to each document (E1). ``fmt`` defaults to the uri extension."""
-    f = format_of("uri") if fmt is None else (F.lit(fmt) if isinstance(fmt, str) else fmt)
+    """Add ``blocks`` to each document (E1). ``fmt`` defaults to the uri extension.
+
+    Plain text keeps its text column; other formats replace it by the blocks.
+    """
     txt = F.col(text_col)
     if isinstance(fmt, str) and fmt == "text":
-        return corpus.withColumn("blocks", text_blocks(txt))
-    return corpus.withColumn("blocks", F.when(f == "text", text_blocks(txt)).otherwise(parse_blocks(txt, f)))
+        return corpus.withColumn("blocks", text_blocks(txt))  # JVM only
+    f = format_of("uri") if fmt is None else (F.lit(fmt) if isinstance(fmt, str) else fmt)
+    # An explicit mapInPandas stage (not a scalar UDF) so later Python UDFs over the
+    # blocks are planned as their own Arrow stage; the text itself is not sent back.
+    src = corpus.withColumn("_fmt", f)
+    keep = [c for c in corpus.columns if c != text_col]
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("blocks", BLOCKS_TYPE)])
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keep].copy()
+            out["blocks"] = [
+                [] if t is None else _PARSERS.get((fm or "text").lower(), _PARSERS["text"])(t)
+                for t, fm in zip(pdf[text_col], pdf["_fmt"])]
+            yield out
+
+    return src.mapInPandas(run, schema)
 
 
 def doc_title(uri: Column | str, first_chunk_headings: Column | str | None) -> Column:

@@ -94,7 +94,7 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     index_version = index_store.write_index(new_index, index_root)
 
     # state: record re-ingested docs, forget gone ones
-    fresh = reingested.join(changed_ids, "doc_id").select(
+    fresh = reingested.drop("chunk_ids").join(changed_ids, "doc_id").select(
         "doc_id", "source", F.col("hash").alias("content_hash"), "chunk_ids")
     new_state = state_store.state_upsert(
         state_store.state_forget(state, diff.filter(F.col("status") == GONE).select("doc_id")),
