@@ -167,6 +167,9 @@ def _merge_values(content: pd.Series, names: pd.Series, values: pd.Series) -> pd
     """Payload with the redacted values put back; Python ``json.dumps`` formatting."""
     out = []
     for c, ns, vs in zip(content, names, values):
+        if c is None:  # rows the caller withholds or passes through (UDFs see every row)
+            out.append(None)
+            continue
         data = json.loads(c)
         for n, v in zip(ns if ns is not None else [], vs if vs is not None else []):
             data[n] = v

@@ -112,8 +112,9 @@ def vector_topk(index: DataFrame, questions: DataFrame, k: int = DEFAULT_K, *, i
     if n_q * max(dim, 1) * 8 <= max_broadcast_bytes and blocks is None:
         local = _broadcast_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric)
     else:
-        local = _blocked_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric,
-                                blocks or max(2, math.ceil(n_q * max(dim, 1) * 8 / max_broadcast_bytes)))
+        # each block is at most the broadcast bound (and holds at least one question)
+        n_blocks = blocks or min(max(n_q, 1), max(2, math.ceil(n_q * max(dim, 1) * 8 / max_broadcast_bytes)))
+        local = _blocked_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric, n_blocks)
     return _final_topk(local, qid, id_col, k)
 
 

@@ -282,6 +282,7 @@ def trace_to_history(td):
 
 
 def _health_report(td):
+    """The whole stats result as one JSON document (checked by tests)."""
     return T.health_report(td["app_requests"], td["app_dependencies"], td["app_exceptions"], AS_OF, SINCE)
 
 

@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docweave.operators.telemetry import _as_datetime, _ts_literal
 
+BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 # The subscription filter and the delivery lifetime.
 CREATED_EVENT = "Microsoft.Storage.BlobCreated"
 DOCUMENTS_CONTAINER = "documents"
@@ -27,7 +29,7 @@ POLL_INTERVAL = "30 seconds"
 
 def arrival_stream(spark: SparkSession, root: str, source: str = "blob", glob: str | None = None) -> DataFrame:
     """New files under ``root`` as a stream of corpus rows (``id, uri, source, content``)."""
-    r = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    r = spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA).option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
