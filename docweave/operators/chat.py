@@ -36,15 +36,40 @@ def history_last_n(messages: DataFrame, n: int = HISTORY_DEPTH, order_col: str =
 
 
 def history_window(messages: DataFrame, n: int = HISTORY_DEPTH, order_col: str = "seq",
-                   id_col: str = "id", session_col: str = "session_id") -> DataFrame:
+                   id_col: str = "id", session_col: str = "session_id", bucket_size: int = 100_000) -> DataFrame:
     """Each stored message with the ``n`` stored messages before it: ``history`` oldest first.
 
-    A bounded ROWS frame, so every list holds at most ``n`` entries; evaluated on a
-    user row it is the history the reference reads before saving that turn.
+    Evaluated on a user row, this is the history the reference reads before saving that
+    turn. A session is not processed as one group: messages are cut into buckets of
+    ``bucket_size`` order values, each bucket receives the last ``n`` stored rows that
+    precede it (from at most ``n`` earlier non-empty buckets), and the bounded ROWS frame
+    runs per ``(session, bucket)``. So even a session holding a third of all rows is
+    spread over many tasks, and every list holds at most ``n`` entries.
     """
     stored = messages.filter(F.col("role").isin(*STORED_ROLES))
-    w = Window.partitionBy(session_col).orderBy(order_col, id_col).rowsBetween(-n, -1)
-    return stored.withColumn("history", F.collect_list(F.struct("role", "content")).over(w))
+    order = F.col(order_col)
+    if isinstance(stored.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType)):
+        order = F.unix_micros(order.cast("timestamp"))
+    rows = stored.withColumn("_b", F.floor(order / F.lit(bucket_size))).withColumn("_carry", F.lit(False))
+    item = F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i"), "role", "content")
+
+    # last n rows of every (session, bucket): a row_number limit, planned with a partial limit
+    w_last = Window.partitionBy(session_col, "_b").orderBy(F.desc(order_col), F.desc(id_col))
+    last = rows.withColumn("_r", F.row_number().over(w_last)).filter(F.col("_r") <= n)
+    summ = last.groupBy(session_col, "_b").agg(F.collect_list(item).alias("_items"))
+    # the rows that precede bucket b: the newest n among the n previous non-empty buckets
+    w_prev = Window.partitionBy(session_col).orderBy("_b").rowsBetween(-n, -1)
+    summ = summ.withColumn("_prev", F.flatten(F.collect_list("_items").over(w_prev)))
+    newest = F.slice(F.reverse(F.array_sort("_prev")), 1, n)
+    carry = summ.select(session_col, "_b", F.explode(newest).alias("_c")).select(
+        session_col, "_b", F.col("_c.o").alias(order_col), F.col("_c.i").alias(id_col),
+        F.col("_c.role").alias("role"), F.col("_c.content").alias("content"), F.lit(True).alias("_carry"))
+
+    both = rows.select(session_col, "_b", order_col, id_col, "role", "content", "_carry").unionByName(carry)
+    w = Window.partitionBy(session_col, "_b").orderBy(order_col, id_col).rowsBetween(-n, -1)
+    hist = both.withColumn("history", F.collect_list(F.struct("role", "content")).over(w)) \
+        .filter(~F.col("_carry")).select(session_col, order_col, id_col, "history")
+    return stored.join(hist, [session_col, order_col, id_col])
 
 
 # --- prompt pieces (F7, F8, A16) ---------------------------------------------------------------

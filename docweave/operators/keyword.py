@@ -66,7 +66,16 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
 
     n_rows = weights.count()
     if n_rows * 64 > max_broadcast_bytes:
-        raise ValueError(f"{n_rows} query terms exceed the broadcast bound; split the query table")
+        # past the broadcast bound: score the queries in hash blocks, each block's
+        # weights within the bound; the blocks' top-k rows are disjoint, so union them
+        n_blocks = -(-n_rows * 64 // max_broadcast_bytes) + 1
+        parts = None
+        for blk in range(n_blocks):
+            qb = queries.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == blk)
+            top = bm25_topk(docs, qb, k, doc_id=doc_id, text=text, qid=qid, qtext=qtext, k1=k1, b=b,
+                            max_broadcast_bytes=max_broadcast_bytes * 2)
+            parts = top if parts is None else parts.unionByName(top)
+        return parts
     pw = weights.select(qid, "term", "idf").toPandas()  # bounded by the check above
     qids = sorted(queries.select(qid).distinct().toPandas()[qid].tolist()) if len(pw) else []
     qpos = {q: i for i, q in enumerate(qids)}

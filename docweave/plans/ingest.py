@@ -48,15 +48,22 @@ def plan_chunks(docs: DataFrame, text_col: str = "text", fmt: str | None = None,
 
 def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: EmbedFn | None = None,
                fmt: str | None = None, limit: int = DEFAULT_LIMIT, as_of=None,
-               empty_policy: str = "clear", scope_by_source: bool = True) -> IngestResult:
-    """One incremental pass over ``corpus`` (``id, uri, source, content``)."""
+               empty_policy: str = "clear", scope_by_source: bool = True,
+               config_fingerprint: str | None = None) -> IngestResult:
+    """One incremental pass over ``corpus`` (``id, uri, source, content``).
+
+    ``empty_policy``: ``"keep"`` leaves a known document that now parses to nothing as it
+    was (the reference), ``"clear"`` removes its chunks and records the new hash (T1).
+    ``scope_by_source`` prunes only documents of the scanned sources (T3).
+    ``config_fingerprint`` folds processing settings into the hash (T2).
+    """
     if empty_policy not in ("clear", "keep"):
         raise ValueError("empty_policy must be 'clear' or 'keep'")
     spark = corpus.sparkSession
     run_dir = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
     stamp = as_of if as_of is not None else None
 
-    fp = with_fingerprint(corpus)
+    fp = with_fingerprint(corpus, config_fingerprint)
     state = state_store.load_state(spark, state_root)
     diff = ingest_diff(fp.select("id", "source", "content_hash"), state_store.state_scan(state), scope_by_source)
     diff.write.parquet(f"{run_dir}/diff")

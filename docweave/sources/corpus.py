@@ -69,10 +69,17 @@ def corpus_union(*corpora: DataFrame) -> DataFrame:
     return out
 
 
-def with_fingerprint(corpus: DataFrame) -> DataFrame:
-    """Add ``content_hash`` (F1), ``source`` from the id (F4) and ``content_type``."""
+def with_fingerprint(corpus: DataFrame, config_fingerprint: str | None = None) -> DataFrame:
+    """Add ``content_hash`` (F1), ``source`` from the id (F4) and ``content_type``.
+
+    With ``config_fingerprint`` (e.g. chunk limit + embedding model) the hash also covers
+    the processing settings, so changing them re-ingests (trap T2; off by default).
+    """
+    h = content_hash("content")
+    if config_fingerprint:
+        h = F.sha2(F.concat(h, F.lit(":" + config_fingerprint)), 256)
     return corpus.withColumns({
-        "content_hash": content_hash("content"),
+        "content_hash": h,
         "source": F.coalesce(F.col("source"), source_of("id")) if "source" in corpus.columns else source_of("id"),
         "content_type": content_type("uri"),
     })

@@ -66,3 +66,18 @@ def test_html_blocks(spark):
 def test_token_count_expression(spark):
     df = spark.createDataFrame([("a  b\tc\nd",), ("",), (None,)], "t string")
     assert [r.n for r in df.select(token_count(F.col("t")).alias("n")).collect()] == [4, 0, 0]
+
+
+def test_history_window_buckets_are_exact(spark):
+    from docweave.operators.chat import history_window
+
+    rows = [("s", i, f"s-{i}", "user" if i % 2 == 0 else ("assistant" if i % 7 else "system"), f"c{i}")
+            for i in range(60)] + [("t", 0, "t-0", "user", "only")]
+    m = spark.createDataFrame(rows, "session_id string, seq long, id string, role string, content string")
+
+    def hist(bs):
+        return {r.id: [h.content for h in r.history] for r in history_window(m, 4, bucket_size=bs).collect()}
+
+    ref = hist(10_000)
+    assert ref == hist(5) == hist(1)
+    assert ref["s-40"] == ["c36", "c37", "c38", "c39"] and ref["t-0"] == [] and "s-7" not in ref

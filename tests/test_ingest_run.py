@@ -114,3 +114,13 @@ def test_empty_document_policies(spark, scratch):
     res = ingest_run(corpus_from_files(spark, src), idx, st, empty_policy="clear")
     assert len(_index_ids(spark, idx)) == 2
     assert _index_ids(spark, idx) == _state_ids(spark, st)
+
+
+def test_config_fingerprint_reingests(spark, scratch):
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    ingest_run(corpus_from_files(spark, src), idx, st)
+    same = _stats(ingest_run(corpus_from_files(spark, src), idx, st))
+    assert same["ingested"] == 0
+    changed = _stats(ingest_run(corpus_from_files(spark, src), idx, st, config_fingerprint="limit=512"))
+    assert changed["ingested"] == 3 and _index_ids(spark, idx) == _state_ids(spark, st)

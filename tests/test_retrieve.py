@@ -79,3 +79,11 @@ def test_facets_and_sort(spark):
         .withColumn("updated_at", F.col("updated_at").cast("timestamp"))
     assert {r.source: r["count"] for r in R.facet_counts(idx).collect()} == {"s1": 2, "s2": 1}
     assert [r.id for r in R.sort_by_updated(idx).collect()] == ["b", "a", "c"]
+
+
+def test_bm25_blocks_past_broadcast_bound(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    q = spark.read.parquet(f"{SF}/benchmark.parquet").select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
+    one = {(r.qid, r.rank, r.doc_id) for r in bm25_topk(docs, q, 3).collect()}
+    split = {(r.qid, r.rank, r.doc_id) for r in bm25_topk(docs, q, 3, max_broadcast_bytes=20_000).collect()}
+    assert one == split and len(one) == 3 * q.count()
