@@ -42,18 +42,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local runs and tests) is a fresh scratch folder created and set.
+    (local runs and tests) is a fresh scratch folder created and set, once.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    target = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not target:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="docweave-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+        target = tempfile.mkdtemp(prefix="docweave-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(target)
+    return sc.getCheckpointDir() or target
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
