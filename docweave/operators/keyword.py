@@ -77,7 +77,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
             parts = top if parts is None else parts.unionByName(top)
         return parts
     pw = weights.select(qid, "term", "idf").toPandas()  # bounded by the check above
-    qids = sorted(queries.select(qid).distinct().toPandas()[qid].tolist()) if len(pw) else []
+    # queries without any known term score nothing, so only queries present in the weights matter
+    qids = sorted(set(pw[qid].tolist())) if len(pw) else []
     qpos = {q: i for i, q in enumerate(qids)}
     terms = sorted(set(pw["term"])) if len(pw) else []
     tpos = {t: i for i, t in enumerate(terms)}

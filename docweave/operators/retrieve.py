@@ -107,8 +107,9 @@ def vector_topk(index: DataFrame, questions: DataFrame, k: int = DEFAULT_K, *, i
     idx = index if where is None else index.filter(where)
     idx = idx.select(id_col, vec_col)
     qs = questions.select(qid, qvec)
-    n_q = qs.count()
-    dim = _width(qs, qvec)
+    # one small job proves the size of the question side before anything is broadcast
+    st = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("w")).first()
+    n_q, dim = int(st["n"]), int(st["w"] or 0)
     if n_q * max(dim, 1) * 8 <= max_broadcast_bytes and blocks is None:
         local = _broadcast_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric)
     else:
@@ -118,11 +119,6 @@ def vector_topk(index: DataFrame, questions: DataFrame, k: int = DEFAULT_K, *, i
     return _final_topk(local, qid, id_col, k)
 
 
-def _width(df: DataFrame, col: str) -> int:
-    row = df.select(F.size(col).alias("w")).filter(F.col("w") > 0).limit(1).collect()
-    return int(row[0]["w"]) if row else 0
-
-
 def _broadcast_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric) -> DataFrame:
     spark = idx.sparkSession
     pq = qs.toPandas()  # bounded by the size check of the caller
@@ -249,6 +245,24 @@ def hit_projection(topk: DataFrame, index: DataFrame, qid: str = "question_id",
                       for f in HIT_FIELDS])
 
 
+def answer_fields(questions: DataFrame, hits: DataFrame, qid: str = "question_id") -> DataFrame:
+    """Per question, in one aggregation over the hits: hit count (A13), the sources line
+    (A16, ``none`` when empty) and the context block (F7); questions without hits keep 0.
+
+    One pass keeps the (expensive) top-k plan from being evaluated once per output.
+    """
+    item = F.struct("rank", "title", "content")
+    g = hits.groupBy(qid).agg(F.count(F.lit(1)).alias("n_hits"), F.array_sort(F.collect_list(item)).alias("_h"))
+    g = g.select(qid, "n_hits",
+                 F.array_join(F.transform("_h", lambda x: x["title"]), ", ").alias("sources_text"),
+                 F.array_join(F.transform("_h", lambda x: F.concat(F.lit("["), x["title"], F.lit("]\n"), x["content"])),
+                              "\n\n").alias("context"))
+    out = questions.select(qid).join(g, qid, "left")
+    return out.select(qid, F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"),
+                      F.coalesce(F.nullif("sources_text", F.lit("")), F.lit("none")).alias("sources_text"),
+                      F.coalesce("context", F.lit("")).alias("context"))
+
+
 def empty_hits(spark, qid_type: T.DataType = T.StringType(), id_type: T.DataType = T.StringType()) -> DataFrame:
     """Hits of a missing index: no rows, the hits schema (P5)."""
     schema = T.StructType([

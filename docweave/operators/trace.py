@@ -39,20 +39,23 @@ def span_tree(spans: DataFrame, max_depth: int = 100) -> DataFrame:
         "OperationId", "Id", "parent_key", "TimeGenerated", "AppRoleName", "Name", "Success",
         "DurationMs", "ResultCode")
     _raise_recursion_limit(spark, max_depth)
+    cols = "TimeGenerated, AppRoleName, Name, Success, DurationMs, ResultCode"
+    ecols = ", ".join(f"e.{c.strip()}" for c in cols.split(","))
+    # span fields ride along in the recursion, so no join back to all spans is needed
     tree = spark.sql(
-        """
-        with recursive walk (OperationId, Id, parent_key, depth, path) as (
-          select OperationId, Id, parent_key, 0, Id from {edges} where parent_key is null
+        f"""
+        with recursive walk as (
+          select OperationId, Id, parent_key, 0 as depth, Id as path, {cols}
+          from {{edges}} where parent_key is null
           union all
-          select e.OperationId, e.Id, e.parent_key, w.depth + 1, w.path || '/' || e.Id
-          from {edges} e join walk w on e.OperationId = w.OperationId and e.parent_key = w.Id
+          select e.OperationId, e.Id, e.parent_key, w.depth + 1, w.path || '/' || e.Id, {ecols}
+          from {{edges}} e join walk w on e.OperationId = w.OperationId and e.parent_key = w.Id
         )
         select * from walk
         """,
         edges=edges,
     )
-    out = tree.join(edges.drop("parent_key"), ["OperationId", "Id"])
-    return out.select(
+    return tree.select(
         "OperationId", "Id", "parent_key", F.col("depth").cast("int").alias("depth"), "path",
         "TimeGenerated", F.col("Name").alias("Op"), "AppRoleName", "DurationMs",
         status_label("Success", "ResultCode").alias("status"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions.text import file_title
-from docweave.operators import chat as C
 from docweave.operators import retrieve as R
 from docweave.operators.embed import embed_chunks
 from docweave.operators.keyword import bm25_topk
@@ -20,12 +19,15 @@ TITLE_SQL = ("coalesce(nullif(trim(translate(regexp_replace(regexp_extract({u},
              "'\\.[^.]+$', ''), '_-', '  ')), ''), {u})")
 
 
-def vector_index(td):
-    """Index rows: every embedding with the fields of its corpus document ('' when absent)."""
-    corpus = td["corpus"].select(F.col("doc_id").alias("id"), file_title("uri").alias("title"),
-                                 F.col("text").alias("content"), F.col("uri").alias("url"), "source")
-    e = td["embeddings"].select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return e.join(corpus, "id", "left")
+def vectors(td):
+    """Index vectors for scoring: only id, vector and the filterable label are read."""
+    return td["embeddings"].select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def index_fields(td):
+    """Fields of the hit rows, joined after ranking (missing documents become '')."""
+    return td["corpus"].select(F.col("doc_id").alias("id"), file_title("uri").alias("title"),
+                               F.col("text").alias("content"), F.col("uri").alias("url"))
 
 
 def questions(td):
@@ -52,7 +54,7 @@ select question_id, vec_id, cast(rank as integer) as rank, round(score, 4) as sc
 from ranked where rank <= {K}""")
 def vector_topk(td):
     """Exact cosine top-3 of every embedding against all of them."""
-    top = R.vector_topk(vector_index(td), questions(td), K)
+    top = R.vector_topk(vectors(td), questions(td), K)
     return top.select("question_id", F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
@@ -61,7 +63,7 @@ select question_id, vec_id, cast(rank as integer) as rank, round(score, 4) as sc
 from ranked where rank <= {K}""")
 def vector_topk_blocked(td):
     """V1 through the blocked path (question blocks x index groups), as used past the broadcast bound."""
-    top = R.vector_topk(vector_index(td), questions(td), K, blocks=4)
+    top = R.vector_topk(vectors(td), questions(td), K, blocks=4)
     return top.select("question_id", F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
@@ -71,7 +73,7 @@ select question_id, vec_id, cast(rank as integer) as rank, round(score, 4) as sc
 from ranked where rank <= {K}""")
 def vector_topk_filtered(td):
     """Index filter applied before ranking (label >= 5)."""
-    top = R.vector_topk(vector_index(td), questions(td), K, where=F.col("label") >= 5)
+    top = R.vector_topk(vectors(td), questions(td), K, where=F.col("label") >= 5)
     return top.select("question_id", F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
@@ -80,9 +82,8 @@ select question_id, cast(rank as integer) as rank, vec_id, title, content, url
 from ranked where rank <= {K}""")
 def retrieve_hits(td):
     """Hits with title, content and url; missing fields are ''."""
-    idx = vector_index(td)
-    top = R.vector_topk(idx, questions(td), K)
-    hits = R.hit_projection(top, idx)
+    top = R.vector_topk(vectors(td), questions(td), K)
+    hits = R.hit_projection(top, index_fields(td))
     return hits.select("question_id", "rank", F.col("id").alias("vec_id"), "title", "content", "url")
 
 
@@ -94,13 +95,9 @@ select question_id, cast(count(*) as bigint) as n_hits,
 from hits group by question_id""")
 def retrieve_answers(td):
     """Flagship: questions -> top-3 hits -> hit count (A13), sources line (A16), context block."""
-    idx = vector_index(td)
     qs = questions(td)
-    hits = R.hit_projection(R.vector_topk(idx, qs, K), idx)
-    out = R.hit_counts(qs, hits).join(C.sources_line(hits), "question_id", "left") \
-        .join(C.context_block(hits), "question_id", "left")
-    return out.select("question_id", F.col("n_hits").cast("bigint").alias("n_hits"),
-                      F.coalesce("sources_text", F.lit("none")).alias("sources_text"), "context")
+    hits = R.hit_projection(R.vector_topk(vectors(td), qs, K), index_fields(td))
+    return R.answer_fields(qs, hits)
 
 
 @register("vector_topk_ann_full_probe", W("corpus") + INDEX_SQL + f"""
@@ -108,7 +105,7 @@ select question_id, vec_id, cast(rank as integer) as rank, round(score, 4) as sc
 from ranked where rank <= {K}""")
 def vector_topk_ann_full_probe(td):
     """V2 at nprobe = n_lists: the IVF path must equal the exact answer."""
-    idx = vector_index(td)
+    idx = vectors(td)
     cents = R.ivf_train(idx, n_lists=8)
     top = R.vector_topk_ann(idx, questions(td), cents, K, nprobe=8)
     return top.select("question_id", F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
@@ -116,7 +113,7 @@ def vector_topk_ann_full_probe(td):
 
 def _ann(td):
     """V2: IVF top-3 with 16 lists, 4 probed (checked for recall by tests)."""
-    idx = vector_index(td)
+    idx = vectors(td)
     cents = R.ivf_train(idx, n_lists=16)
     top = R.vector_topk_ann(idx, questions(td), cents, K, nprobe=4)
     return top.select("question_id", F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
