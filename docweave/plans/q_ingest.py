@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from docweave.functions.hashing import chunk_id_range
 from docweave.functions.text import content_type
 from docweave.operators import diff as D
-from docweave.operators.chunk import DEFAULT_LIMIT
+from docweave.operators.chunk import DEFAULT_LIMIT, chunk_blocks
+from docweave.operators.parse import parse_documents
 from docweave.operators.records import build_records
 from docweave.plans.catalog import register
 from docweave.plans.ingest import plan_chunks
@@ -199,3 +200,32 @@ def state_after_run(td):
         F.coalesce("chunk_ids", F.array().cast("array<string>")).alias("chunk_ids"))
     st = S.state_upsert(S.state_forget(state(td), D.gone_docs(d)), fresh)
     return st.select("doc_id", "source", "content_hash", F.size("chunk_ids").alias("n_chunks"))
+
+
+def pages_corpus(td):
+    """The web-page fixture as a corpus: ``id = 'web:' || page_id``, ``uri = url``, text = raw HTML."""
+    p = td["pages"]
+    return p.select(F.col("page_id"), F.concat(F.lit("web:"), F.col("page_id").cast("string")).alias("id"),
+                    F.col("url").alias("uri"), F.lit("web").alias("source"), F.col("html").alias("text"))
+
+
+@register("page_headings", """
+select page_id,
+       trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) as heading
+from pages""")
+def page_headings(td):
+    """E1 (HTML): the first heading found while parsing every page into blocks."""
+    parsed = parse_documents(pages_corpus(td), "text", "html")
+    first = F.filter("blocks", lambda b: F.size(b["headings"]) > 0)
+    return parsed.select("page_id", F.element_at(F.element_at(first, 1)["headings"], 1).alias("heading"))
+
+
+def _page_chunks(td):
+    """E1 + E3 (HTML): every page parsed (scripts, styles, navigation dropped) and chunked."""
+    parsed = parse_documents(pages_corpus(td), "text", "html")
+    c = chunk_blocks(parsed.select("id", "uri", "blocks"), limit=LIMIT)
+    return c.select(F.col("id").alias("doc_id"), "chunk_index", "n_tokens",
+                    F.array_join("headings", " > ").alias("section"))
+
+
+register("page_chunks")(_page_chunks)
