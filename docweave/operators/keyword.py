@@ -1,8 +1,9 @@
 """Keyword search: BM25 top-k over the searchable text fields (V3).
 
-Statistics are Spark aggregates: document count and mean length (one global
-row), document frequency of the query vocabulary only (explode distinct words,
-semi join with the query vocabulary, partial-aggregated ``count`` by term).
+Statistics come from one pass over the documents: document frequency of the
+query vocabulary only (explode distinct words, broadcast semi join with the
+size-checked vocabulary, partial-aggregated ``count`` by term), plus document
+count and total length through a sentinel term every document carries.
 
 Scoring never joins postings with queries (a common term would pair every
 document with every query). Instead the query-term weights, whose size is
@@ -28,7 +29,9 @@ from docweave.session import spread
 K1 = 1.2
 B = 0.75
 WORD_PATTERN = r"[\p{L}\p{N}]+"
-DENSE_BUDGET = 4_000_000  # cells of one dense document x term block inside a task
+DENSE_BUDGET = 4_000_000  # cells of one (document x query) score block inside a task
+SUB_BATCH_DOCS = 256
+SENTINEL = "\u0000docs"  # never produced by WORD_PATTERN
 
 
 def _keep_topk(q: np.ndarray, s: np.ndarray, d: np.ndarray, k: int):
@@ -53,22 +56,15 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
               qid: str = "qid", qtext: str = "qtext", k1: float = K1, b: float = B,
               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``qid, doc_id, score, rank`` for the ``k`` best documents of each query."""
+    spark = docs.sparkSession
     d = spread(docs.select(doc_id, text)).select(doc_id, words(text).alias("_w"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("_w")).alias("avgdl")).collect()[0]
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-
     qt = queries.select(qid, F.explode(F.array_distinct(words(qtext))).alias("term"))
-    vocab = qt.select("term").distinct()
-    df = d.select(F.explode(F.array_distinct("_w")).alias("term")).join(vocab, "term", "left_semi") \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = qt.join(df, "term").withColumn(
-        "idf", F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-
-    n_rows = weights.count()
-    if n_rows * 64 > max_broadcast_bytes:
+    bound_rows = max(1, max_broadcast_bytes // 64)
+    pq = qt.limit(bound_rows + 1).toPandas()  # query terms only, never more than the bound
+    if len(pq) > bound_rows:
         # past the broadcast bound: score the queries in hash blocks, each block's
         # weights within the bound; the blocks' top-k rows are disjoint, so union them
-        n_blocks = -(-n_rows * 64 // max_broadcast_bytes) + 1
+        n_blocks = -(-qt.count() // bound_rows) + 1
         parts = None
         for blk in range(n_blocks):
             qb = queries.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == blk)
@@ -76,7 +72,23 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
                             max_broadcast_bytes=max_broadcast_bytes * 2)
             parts = top if parts is None else parts.unionByName(top)
         return parts
-    pw = weights.select(qid, "term", "idf").toPandas()  # bounded by the check above
+
+    # One pass over the documents gives the document frequency of every query term and,
+    # through a sentinel term that every document carries, the document count and the
+    # total length. The vocabulary side is broadcast: its size is bounded by the check above.
+    vocab = sorted(set(pq["term"])) if len(pq) else []
+    vdf = spark.createDataFrame([(t,) for t in vocab] + [(SENTINEL,)], "term string")
+    per_doc = d.select(F.size("_w").alias("_len"),
+                       F.explode(F.array_union(F.array_distinct("_w"), F.array(F.lit(SENTINEL)))).alias("term"))
+    st = per_doc.join(F.broadcast(vdf), "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == SENTINEL, F.col("_len"))).alias("len")) \
+        .toPandas()
+    sent = st[st["term"] == SENTINEL]
+    n_docs = int(sent["df"].iloc[0]) if len(sent) else 0
+    avgdl = float(sent["len"].iloc[0]) / n_docs if n_docs else 0.0
+    dfs = st[st["term"] != SENTINEL][["term", "df"]]
+    pw = pq.merge(dfs, on="term")
+    pw["idf"] = np.log(1.0 + (n_docs - pw["df"] + 0.5) / (pw["df"] + 0.5))
     # queries without any known term score nothing, so only queries present in the weights matter
     qids = sorted(set(pw[qid].tolist())) if len(pw) else []
     qpos = {q: i for i, q in enumerate(qids)}
@@ -119,24 +131,29 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
             key, tf = np.unique(rows * nt + code, return_counts=True)
             r, t = key // nt, key % nt
             part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens[r] / v["avgdl"]))
-            # scores = (document x term weights) @ (term x query idf), over the terms present
-            ut, tl = np.unique(t, return_inverse=True)
-            start, stop = v["indptr"][ut], v["indptr"][ut + 1]
-            reps = stop - start
-            if not reps.sum():
-                continue
-            offs = np.repeat(start - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
-            qmat = np.zeros((len(ut), nq))
-            qmat[np.repeat(np.arange(len(ut)), reps), v["q"][offs]] = v["idf"][offs]
+            # (document, term) pairs fan out to the queries holding the term (CSR rows of the
+            # broadcast incidence); contributions are summed per (document, query) with one
+            # bincount over a bounded sub-batch of documents, so memory stays small
             ids = np.asarray(batch.column(batch.schema.get_field_index(doc_id)).to_pylist(), dtype=object)
-            step = max(1, DENSE_BUDGET // max(1, len(ut)))
-            for lo in range(0, batch.num_rows, step):
-                sel = (r >= lo) & (r < lo + step)
+            step = max(1, min(SUB_BATCH_DOCS, DENSE_BUDGET // nq))
+            bounds = np.searchsorted(r, np.arange(0, batch.num_rows + step, step))
+            for j in range(len(bounds) - 1):
+                a, z = bounds[j], bounds[j + 1]
+                if a == z:
+                    continue
+                lo = j * step
                 n = min(step, batch.num_rows - lo)
-                dmat = np.zeros((n, len(ut)))
-                dmat[r[sel] - lo, tl[sel]] = part[sel]
+                rr, tt, pp = r[a:z] - lo, t[a:z], part[a:z]
+                start, stop = v["indptr"][tt], v["indptr"][tt + 1]
+                reps = stop - start
+                total = int(reps.sum())
+                if not total:
+                    continue
+                offs = np.repeat(start - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(total)
+                key = np.repeat(rr, reps) * nq + v["q"][offs]
+                acc = np.bincount(key, weights=np.repeat(pp, reps) * v["idf"][offs], minlength=n * nq)
                 # rounding makes equal documents tie exactly, whatever the summation order
-                sc = np.round(dmat @ qmat, 9)
+                sc = np.round(acc[: n * nq].reshape(n, nq), 9)
                 kk = min(k, n)
                 kth = np.partition(sc, n - kk, axis=0)[n - kk]
                 cand_r, cand_q = np.nonzero((sc >= kth) & (sc > 0))
