@@ -49,14 +49,18 @@ def plan_chunks(docs: DataFrame, text_col: str = "text", fmt: str | None = None,
 def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: EmbedFn | None = None,
                fmt: str | None = None, limit: int = DEFAULT_LIMIT, as_of=None,
                empty_policy: str = "clear", scope_by_source: bool = True,
-               config_fingerprint: str | None = None) -> IngestResult:
+               config_fingerprint: str | None = None, index_layout: str = "versioned",
+               n_buckets: int = 1024) -> IngestResult:
     """One incremental pass over ``corpus`` (``id, uri, source, content``).
 
     ``empty_policy``: ``"keep"`` leaves a known document that now parses to nothing as it
     was (the reference), ``"clear"`` removes its chunks and records the new hash (T1).
     ``scope_by_source`` prunes only documents of the scanned sources (T3).
     ``config_fingerprint`` folds processing settings into the hash (T2).
+    ``index_layout="buckets"`` rewrites only the index buckets this run touches.
     """
+    if index_layout not in ("versioned", "buckets"):
+        raise ValueError("index_layout must be 'versioned' or 'buckets'")
     if empty_policy not in ("clear", "keep"):
         raise ValueError("empty_policy must be 'clear' or 'keep'")
     spark = corpus.sparkSession
@@ -92,13 +96,20 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
         reingested = diff.join(counts.select("doc_id"), "doc_id", "left_semi")
 
     # index: upsert records, delete stale and gone chunk ids
-    old_index = index_store.load_index(spark, index_root)
-    if old_index is None:
-        old_index = spark.createDataFrame([], index_store.INDEX_SCHEMA)
     doomed = stale_chunks(diff, changed_ids).select("chunk_id").unionByName(gone_chunks(diff).select("chunk_id"))
     rec = records.drop("chunk_index")
-    new_index = index_store.index_upsert(index_store.index_delete(old_index, doomed), rec)
-    index_version = index_store.write_index(new_index, index_root)
+    if index_layout == "buckets":
+        touched = rec.select("parent_id").unionByName(
+            stale_chunks(diff, changed_ids).select(F.col("doc_id").alias("parent_id"))).unionByName(
+            gone_chunks(diff).select(F.col("doc_id").alias("parent_id")))
+        index_store.bucket_merge(spark, index_root, rec, doomed, touched, n_buckets, f"{run_dir}/index_stage")
+        index_version = None
+    else:
+        old_index = index_store.load_index(spark, index_root)
+        if old_index is None:
+            old_index = spark.createDataFrame([], index_store.INDEX_SCHEMA)
+        new_index = index_store.index_upsert(index_store.index_delete(old_index, doomed), rec)
+        index_version = index_store.write_index(new_index, index_root)
 
     # state: record re-ingested docs, forget gone ones
     fresh = reingested.drop("chunk_ids").join(changed_ids, "doc_id").select(

@@ -61,21 +61,26 @@ def test_first_run_then_idempotent(spark, scratch):
     assert {r.url for r in rows} == {f"documents/{n}" for n in DOCS}
 
 
-def test_edit_delete_and_stale(spark, scratch):
+import pytest
+
+
+@pytest.mark.parametrize("layout", ["versioned", "buckets"])
+def test_edit_delete_and_stale(spark, scratch, layout):
     src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
     _write(src, DOCS)
-    ingest_run(corpus_from_files(spark, src), idx, st)
+    kw = {"index_layout": layout, "n_buckets": 4}
+    ingest_run(corpus_from_files(spark, src), idx, st, **kw)
     # change one doc into two chunks' worth of text at a tiny limit, delete another
     long_text = "# P7 Infusion Pump: Filter care\n\n" + "\n".join(f"line {i} of the filter guide" for i in range(40))
     _write(src, {"pump-p7-filter.md": long_text})
     os.remove(os.path.join(src, "scale-s3-battery.md"))
-    res = ingest_run(corpus_from_files(spark, src), idx, st, limit=64)
+    res = ingest_run(corpus_from_files(spark, src), idx, st, limit=64, **kw)
     s = _stats(res)
     assert s["scanned"] == 2 and s["ingested"] == 1 and s["pruned_docs"] == 1 and s["chunks"] > 1
     assert _index_ids(spark, idx) == _state_ids(spark, st)
     # shrink it again: stale chunk ids must disappear from the index
     _write(src, {"pump-p7-filter.md": "# P7 Infusion Pump: Filter care\n\nshort now\n"})
-    ingest_run(corpus_from_files(spark, src), idx, st, limit=64)
+    ingest_run(corpus_from_files(spark, src), idx, st, limit=64, **kw)
     ids = _index_ids(spark, idx)
     assert ids == _state_ids(spark, st)
     assert len(ids) == 2
@@ -124,3 +129,23 @@ def test_config_fingerprint_reingests(spark, scratch):
     assert same["ingested"] == 0
     changed = _stats(ingest_run(corpus_from_files(spark, src), idx, st, config_fingerprint="limit=512"))
     assert changed["ingested"] == 3 and _index_ids(spark, idx) == _state_ids(spark, st)
+
+
+def test_bucket_layout_touches_only_changed_buckets(spark, scratch):
+    import glob
+
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
+    before = {d: os.path.getmtime(d) for d in glob.glob(f"{idx}/bucket=*")}
+    assert len(before) == 3
+    _write(src, {"scale-s3-battery.md": "# S3 Scale: Battery\n\nNow 300 hours.\n"})
+    res = ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
+    assert _stats(res)["ingested"] == 1
+    after = {d: os.path.getmtime(d) for d in glob.glob(f"{idx}/bucket=*")}
+    assert sum(1 for d in before if after.get(d) != before[d]) == 1
+    assert _index_ids(spark, idx) == _state_ids(spark, st)
+    os.remove(os.path.join(src, "scale-s3-battery.md"))
+    ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
+    assert len(glob.glob(f"{idx}/bucket=*")) == 2  # the emptied bucket is removed
+    assert _index_ids(spark, idx) == _state_ids(spark, st)
