@@ -160,7 +160,7 @@ def _blocked_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric, n_blocks: in
 # --- approximate top-k: IVF on Spark (V2) --------------------------------------------------
 
 def ivf_train(index: DataFrame, n_lists: int = 16, vec_col: str = "vector", seed: int = 7,
-              max_iter: int = 20, metric: str = "cosine"):
+              max_iter: int = 10, metric: str = "cosine"):
     """k-means centroids of the (normalised) index vectors: ``list_id, centroid``."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from docweave.operators.chunk import DEFAULT_LIMIT, chunk_blocks, drop_blank_chunks
 from docweave.operators.diff import (CHANGED, GONE, NEW, gone_chunks, ingest_diff, ingest_stats,
                                      stale_chunks)
-from docweave.operators.embed import EmbedFn, embed_chunks
+from docweave.operators.embed import EmbedFn, dimension_probe, embed_chunks
 from docweave.operators.parse import parse_documents
 from docweave.operators.records import build_records
 from docweave.session import scratch_path, spread
@@ -79,6 +79,11 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     records = embed_chunks(build_records(chunks, stamp), "content", "vector", embed_fn)
     records.write.parquet(f"{run_dir}/records")
     records = spark.read.parquet(f"{run_dir}/records")
+    # Every vector must have the width the index is sized to (the probe's width)
+    dims = dimension_probe(embed_fn)
+    bad = index_store.index_ensure(records, dims).limit(1).collect()
+    if bad:
+        raise ValueError(f"embedder returned width {bad[0]['width']} for chunk {bad[0]['id']}, index width is {dims}")
 
     # per-document lists are bounded by the document's own size
     counts = records.groupBy(F.col("parent_id").alias("doc_id")).agg(

@@ -72,3 +72,25 @@ def test_stream_equals_batch_on_closed_windows(spark, scratch):
     last = td["app_dependencies"].filter("Name = 'ingest-doc'").agg(F.max("TimeGenerated")).first()[0]
     wm = last - dt.timedelta(minutes=10)
     assert all(k + dt.timedelta(hours=1) > wm for k in set(batch) - set(streamed))
+
+
+def test_deltas_over_many_micro_batches_equal_batch(spark, scratch):
+    """Events split into time-ordered files, one file per micro-batch."""
+    from docweave.operators.chat import assemble_deltas
+    from docweave.sources.testdata import token_deltas_sql
+    from docweave.streaming.deltas import stream_deltas
+
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    for i in range(4):
+        ev.filter((F.col("event_id") % 10000 >= i * 2500) & (F.col("event_id") % 10000 < (i + 1) * 2500)) \
+            .coalesce(1).write.parquet(f"{scratch}/events/part{i}")
+    src = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1) \
+        .option("recursiveFileLookup", "true").parquet(f"{scratch}/events")
+    sql = token_deltas_sql("spark").replace("as completion_tokens\nfrom", "as completion_tokens, ts\nfrom")
+    q = run_available_now(stream_deltas(spark.sql(sql, events=src)), f"{scratch}/out", f"{scratch}/ck")
+    assert len(q.recentProgress) >= 4
+    streamed = {r.turn_id: (r.answer, r.input_tokens, r.output_tokens) for r in spark.read.parquet(f"{scratch}/out").collect()}
+    batch = {r.turn_id: (r.answer, r.input_tokens, r.output_tokens)
+             for r in assemble_deltas(spark.sql(token_deltas_sql("spark"), events=ev)).collect()}
+    assert streamed and all(batch[t] == v for t, v in streamed.items())
+    assert len(batch) - len(streamed) <= 2

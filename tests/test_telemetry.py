@@ -50,3 +50,15 @@ def test_filters_push_down(spark):
     plan = T.time_range(spark.read.parquet(f"{SF}/events.parquet").withColumnRenamed("ts", "TimeGenerated"),
                         AS_OF, "1d")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts," in plan
+
+
+def test_day_partitions_prune(spark, scratch):
+    from docweave.sources import telemetry_store as TS
+
+    td = TestData(spark, SF)
+    TS.write_by_day(td["app_requests"].drop("Properties"), f"{scratch}/req")
+    w = TS.read_window(spark, f"{scratch}/req", AS_OF, "2d")
+    plan = w._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
+    assert w.count() == T.time_range(td["app_requests"], AS_OF, "2d").count()
+    assert TS.retention_days(spark, f"{scratch}/req", AS_OF, 28)[:1] == ["day=2024-01-01"]
