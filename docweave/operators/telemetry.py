@@ -20,6 +20,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions.text import has_any, has_term, prop_int, prop_string, starts_with_ci
 
@@ -304,14 +305,25 @@ def trace_content(traces: DataFrame, trace_ids: str | DataFrame | None = None) -
 
 # --- whole stats result as one JSON document (S14) ---------------------------------------
 
-def _json_array(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """One row ``(part, json)``: the rows of a small, already aggregated frame as a JSON array text."""
-    from pyspark.sql import Window
+def _json_array(df: DataFrame, order: list[tuple[str, bool]], name: str) -> DataFrame:
+    """One row ``(part, json)``: a small, already aggregated frame as a JSON array text.
 
-    ranked = df.withColumn("_o", F.row_number().over(Window.orderBy(*order)))
-    item = F.struct(F.col("_o"), F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
+    Rows are ordered by sorting the collected list on ``order`` keys (``(column, desc)``;
+    numeric and timestamp keys are negated for descending), so no single-partition window
+    is needed.
+    """
+    def key(c: str, desc: bool) -> Column:
+        col = F.col(c)
+        if not desc:
+            return col
+        if isinstance(df.schema[c].dataType, (T.TimestampType, T.TimestampNTZType)):
+            return -F.unix_micros(col.cast("timestamp"))
+        return -col
+
+    item = F.struct(*[key(c, d).alias(f"_k{i}") for i, (c, d) in enumerate(order)],
+                    F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("j"))
     arr = F.transform(F.array_sort(F.collect_list(item)), lambda x: x["j"])
-    return ranked.agg(F.concat(F.lit("["), F.array_join(arr, ","), F.lit("]")).alias("json")) \
+    return df.agg(F.concat(F.lit("["), F.array_join(arr, ","), F.lit("]")).alias("json")) \
         .select(F.lit(name).alias("part"), "json")
 
 
@@ -324,14 +336,14 @@ def health_report(requests: DataFrame, deps: DataFrame, exceptions: DataFrame, a
     """
     parts = [
         ("requests", health_requests(requests, as_of, since),
-         [F.desc("Requests"), F.col("AppRoleName"), F.col("Name")]),
+         [("Requests", True), ("AppRoleName", False), ("Name", False)]),
         ("dependencies", health_dependencies(deps, as_of, since),
-         [F.desc("Calls"), F.col("AppRoleName"), F.col("Name")]),
-        ("tokens", token_usage(deps, as_of, since), [F.desc("Calls"), F.col("Model")]),
+         [("Calls", True), ("AppRoleName", False), ("Name", False)]),
+        ("tokens", token_usage(deps, as_of, since), [("Calls", True), ("Model", False)]),
         ("exceptions", exceptions_top(exceptions, as_of, since),
-         [F.desc("Count"), F.col("ProblemId"), F.col("AppRoleName")]),
+         [("Count", True), ("ProblemId", False), ("AppRoleName", False)]),
         ("recent_failures", recent_failures(requests, deps, as_of, since, limit),
-         [F.desc("TimeGenerated"), F.col("TraceId"), F.col("Op")]),
+         [("TimeGenerated", True), ("TraceId", False), ("Op", False)]),
     ]
     stacked = None
     for name, df, order in parts:
