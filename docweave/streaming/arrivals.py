@@ -71,11 +71,13 @@ def coalesce_events(events: DataFrame, run: Callable[[DataFrame, int], None], ch
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        subjects = batch.select("subject").dropDuplicates(["subject"])
+        drained = batch.count()
+        if not drained:  # e.g. the no-data batch that only advances the watermark
+            return
         if counts_path:
-            batch.agg(F.count(F.lit(1)).alias("drained")).withColumn("batch_id", F.lit(batch_id)) \
+            batch.sparkSession.createDataFrame([(drained, batch_id)], "drained long, batch_id long") \
                 .write.mode("append").parquet(counts_path)
-        run(subjects, batch_id)
+        run(batch.select("subject").dropDuplicates(["subject"]), batch_id)
 
     w = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)

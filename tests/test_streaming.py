@@ -94,3 +94,26 @@ def test_deltas_over_many_micro_batches_equal_batch(spark, scratch):
              for r in assemble_deltas(spark.sql(token_deltas_sql("spark"), events=ev)).collect()}
     assert streamed and all(batch[t] == v for t, v in streamed.items())
     assert len(batch) - len(streamed) <= 2
+
+
+def test_events_trigger_one_ingest_pass(spark, scratch):
+    from docweave.plans.ingest import ingest_on_events
+    from docweave.sources import index_store
+    from docweave.sources.corpus import corpus_from_files
+
+    src = f"{scratch}/docs"
+    os.makedirs(src)
+    for i in range(3):
+        with open(f"{src}/m{i}.md", "w") as fh:
+            fh.write(f"# Manual {i}\n\nstep {i}\n")
+    rows = [(i, "Microsoft.Storage.BlobCreated", f"/blobServices/default/containers/documents/blobs/m{i % 3}.md")
+            for i in range(9)]
+    ev = spark.createDataFrame(rows, "event_id long, event_type string, subject string") \
+        .withColumn("event_time", F.current_timestamp())
+    ev.write.parquet(f"{scratch}/ev")
+    stream = spark.readStream.schema(ev.schema).parquet(f"{scratch}/ev")
+    q, results = ingest_on_events(stream, lambda: corpus_from_files(spark, src), f"{scratch}/index",
+                                  f"{scratch}/state", f"{scratch}/ck", counts_path=f"{scratch}/counts")
+    assert len(results) == 1 and results[0][1].ingested == 3  # nine events, one pass
+    assert index_store.load_index(spark, f"{scratch}/index").count() == 3
+    assert spark.read.parquet(f"{scratch}/counts").first().drained == 9
