@@ -26,7 +26,7 @@ from docweave.functions.text import has_any, has_term, prop_int, prop_string, st
 
 SINCE_RE = re.compile(r"^(\d+)([mhd])$")
 TRACE_RE = re.compile(r"^[0-9a-f]{32}$")
-DEFAULT_ACCURACY = 10000
+DEFAULT_ACCURACY = 100_000  # rank error 1e-5; exact for groups under 100,000 values
 
 # Workbook panel choices and defaults.
 PANEL_RANGES = ("1h", "4h", "24h", "7d")

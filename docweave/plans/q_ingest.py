@@ -211,7 +211,12 @@ def pages_corpus(td):
 
 @register("page_headings", """
 select page_id,
-       trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')) as heading
+       trim(regexp_replace(
+         replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
+           regexp_extract(html, '<h1>(.*?)</h1>', 1),
+           '&quot;', '"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+           '&quot', '"'), '&lt', '<'), '&gt', '>'), '&amp', '&'), '&nbsp;', ' '),
+         '\\s+', ' ', 'g')) as heading
 from pages""")
 def page_headings(td):
     """E1 (HTML): the first heading found while parsing every page into blocks."""
