@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docweave.operators.chunk import DEFAULT_LIMIT, chunk_blocks, drop_blank_chunks
-from docweave.operators.diff import (CHANGED, GONE, NEW, gone_chunks, ingest_diff, ingest_stats,
-                                     stale_chunks)
+from docweave.operators.diff import (CHANGED, GONE, NEW, UNCHANGED, gone_chunks, ingest_diff,
+                                     ingest_stats, stale_chunks)
 from docweave.operators.embed import EmbedFn, dimension_probe, embed_chunks
 from docweave.operators.parse import parse_documents
 from docweave.operators.records import build_records
@@ -50,7 +50,7 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
                fmt: str | None = None, limit: int = DEFAULT_LIMIT, as_of=None,
                empty_policy: str = "clear", scope_by_source: bool = True,
                config_fingerprint: str | None = None, index_layout: str = "versioned",
-               n_buckets: int = 1024) -> IngestResult:
+               n_buckets: int = 1024, reread=None, max_reread_paths: int = 200_000) -> IngestResult:
     """One incremental pass over ``corpus`` (``id, uri, source, content``).
 
     ``empty_policy``: ``"keep"`` leaves a known document that now parses to nothing as it
@@ -58,6 +58,10 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     ``scope_by_source`` prunes only documents of the scanned sources (T3).
     ``config_fingerprint`` folds processing settings into the hash (T2).
     ``index_layout="buckets"`` rewrites only the index buckets this run touches.
+    ``reread(paths) -> corpus`` enables the listing pre-filter: a file whose length and
+    modification time equal those recorded in state is trusted to be unchanged and its
+    bytes are not read; only the other files (at most ``max_reread_paths``, else a full
+    read) are read and hashed. The hash stays the rule for every file that is read.
     """
     if index_layout not in ("versioned", "buckets"):
         raise ValueError("index_layout must be 'versioned' or 'buckets'")
@@ -67,9 +71,21 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     run_dir = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
     stamp = as_of if as_of is not None else None
 
-    fp = with_fingerprint(corpus, config_fingerprint)
     state = state_store.load_state(spark, state_root)
-    diff = ingest_diff(fp.select("id", "source", "content_hash"), state_store.state_scan(state), scope_by_source)
+    listing_cols = {"length", "modificationTime"}
+    if reread is not None and listing_cols <= set(corpus.columns) and not config_fingerprint:
+        fp, scanned = _prefiltered_scan(corpus, state, reread, max_reread_paths)
+    else:
+        fp = with_fingerprint(corpus, config_fingerprint)
+        scanned = fp
+    facts = listing_cols <= set(scanned.columns)
+    keep = ["id", "source", "content_hash"] + (["length", "modificationTime"] if facts else [])
+    scanned.select(*keep).write.parquet(f"{run_dir}/scanned")
+    scanned = spark.read.parquet(f"{run_dir}/scanned")
+    diff = ingest_diff(scanned, state_store.state_scan(state), scope_by_source)
+    if facts:  # listing facts ride along so state can record them
+        diff = diff.join(scanned.select(F.col("id").alias("doc_id"), "length",
+                                        F.col("modificationTime").alias("modified")), "doc_id", "left")
     diff.write.parquet(f"{run_dir}/diff")
     diff = spark.read.parquet(f"{run_dir}/diff")
 
@@ -117,8 +133,17 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
         index_version = index_store.write_index(new_index, index_root)
 
     # state: record re-ingested docs, forget gone ones
+    fact_cols = ["length", "modified"] if "length" in diff.columns else []
     fresh = reingested.drop("chunk_ids").join(changed_ids, "doc_id").select(
-        "doc_id", "source", F.col("hash").alias("content_hash"), "chunk_ids")
+        "doc_id", "source", F.col("hash").alias("content_hash"), "chunk_ids", *fact_cols)
+    if fact_cols:
+        # unchanged bytes under new listing facts: keep chunks, refresh the facts so the
+        # next run trusts the listing again instead of re-reading the file
+        touched = diff.filter((F.col("status") == UNCHANGED) & F.col("length").isNotNull()).join(
+            state.select("doc_id", F.col("length").alias("_l"), F.col("modified").alias("_m")), "doc_id") \
+            .filter(~(F.col("_l").eqNullSafe(F.col("length")) & F.col("_m").eqNullSafe(F.col("modified"))))
+        fresh = fresh.unionByName(touched.select(
+            "doc_id", "source", F.col("hash").alias("content_hash"), "chunk_ids", *fact_cols))
     new_state = state_store.state_upsert(
         state_store.state_forget(state, diff.filter(F.col("status") == GONE).select("doc_id")),
         state_store.state_rows(fresh, stamp))
@@ -128,6 +153,36 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     return IngestResult(ingest_stats(diff, stats_counts), index_version, state_version)
 
 
+def _prefiltered_scan(corpus: DataFrame, state: DataFrame, reread, max_paths: int):
+    """``(fp, scanned)``: bytes and hashes of the files the listing cannot vouch for, plus
+    the trusted files with the hash recorded in state (their bytes are never read)."""
+    listing = corpus.select("id", "source", "length", "modificationTime", "path")  # content pruned
+    known = state.select(F.col("doc_id").alias("id"), F.col("content_hash").alias("_h"),
+                         F.col("length").alias("_l"), F.col("modified").alias("_m"))
+    j = listing.join(known, "id", "left")
+    same = F.coalesce((F.col("_l") == F.col("length")) & (F.col("_m") == F.col("modificationTime")), F.lit(False))
+    trusted = j.filter(same).select("id", "source", F.col("_h").alias("content_hash"), "length", "modificationTime")
+    cand = j.filter(~same).select("id", "path")
+    n = cand.count()
+    if n <= max_paths:  # a bounded list of paths goes to the reader
+        fresh = reread([r["path"] for r in cand.select("path").collect()])
+    else:  # too many changes: read everything once
+        fresh = corpus.join(cand.select("id"), "id", "left_semi")
+    fp = with_fingerprint(fresh)
+    scanned = trusted.unionByName(fp.select("id", "source", "content_hash", "length", "modificationTime"))
+    return fp, scanned
+
+
+def ingest_files(spark, root: str, index_root: str, state_root: str, source: str = "blob",
+                 container: str | None = None, trust_listing: bool = True, **kw) -> IngestResult:
+    """``ingest_run`` over a folder of files, with the listing pre-filter on by default."""
+    from docweave.sources.corpus import corpus_from_files, reread_files
+
+    corpus = corpus_from_files(spark, root, source, container)
+    rr = (lambda paths: reread_files(spark, root, paths, source, container)) if trust_listing else None
+    return ingest_run(corpus, index_root, state_root, reread=rr, **kw)
+
+
 def ingest_on_events(events: DataFrame, corpus_fn, index_root: str, state_root: str, checkpoint: str,
                      counts_path: str | None = None, available_now: bool = True, **run_kw):
     """Trigger events drive incremental passes.

@@ -48,9 +48,26 @@ def corpus_from_files(spark: SparkSession, root: str, source: str = "blob", cont
         F.col("content"),
         F.col("length"),
         F.col("modificationTime"),
+        F.col("path"),
     )
 
 
+def reread_files(spark: SparkSession, corpus_root: str, paths: list[str], source: str = "blob",
+                 container: str | None = None) -> DataFrame:
+    """The same corpus frame, reading only the given files (a bounded list of paths)."""
+    df = corpus_from_files(spark, corpus_root, source, container)
+    if not paths:
+        return df.limit(0)
+    reader = spark.read.format("binaryFile")
+    raw = reader.load(paths)
+    base = corpus_root.rstrip("/")
+    base = base if "://" in base else "file:" + base
+    name = F.regexp_replace(F.col("path"), "^" + _regex_quote(base) + "/?", "")
+    cont = container or base.rsplit("/", 1)[-1]
+    return raw.select(F.concat(F.lit(source + ":"), name).alias("id"), F.concat(F.lit(cont + "/"), name).alias("uri"),
+                      F.lit(source).alias("source"), "content", "length", "modificationTime", "path")
+
+
 def corpus_from_table(df: DataFrame, id_col: str, text_col: str, source: str | None = None,
                       source_col: str | None = None, uri_col: str | None = None) -> DataFrame:
     """A table of texts as a corpus: content is the UTF-8 of the text."""

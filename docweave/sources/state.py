@@ -21,6 +21,9 @@ STATE_SCHEMA = T.StructType([
     T.StructField("content_hash", T.StringType(), True),
     T.StructField("chunk_ids", T.ArrayType(T.StringType()), True),
     T.StructField("updated_at", T.TimestampType(), True),
+    # listing facts of the file the hash was taken from (optional pre-filter)
+    T.StructField("length", T.LongType(), True),
+    T.StructField("modified", T.TimestampType(), True),
 ])
 
 
@@ -34,10 +37,12 @@ def load_state(spark: SparkSession, root: str) -> DataFrame:
 
 
 def state_rows(records: DataFrame, as_of=None) -> DataFrame:
-    """State rows from ``(doc_id, source, content_hash, chunk_ids)`` records."""
+    """State rows from ``(doc_id, source, content_hash, chunk_ids[, length, modified])`` records."""
     ts = F.lit(as_of).cast("timestamp") if as_of is not None else F.current_timestamp()
+    length = F.col("length").cast("long") if "length" in records.columns else F.lit(None).cast("long")
+    modified = F.col("modified").cast("timestamp") if "modified" in records.columns else F.lit(None).cast("timestamp")
     return records.select(state_id("doc_id").alias("id"), "doc_id", "source", "content_hash", "chunk_ids",
-                          ts.alias("updated_at"))
+                          ts.alias("updated_at"), length.alias("length"), modified.alias("modified"))
 
 
 def state_upsert(old: DataFrame, new: DataFrame) -> DataFrame:

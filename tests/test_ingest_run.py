@@ -149,3 +149,28 @@ def test_bucket_layout_touches_only_changed_buckets(spark, scratch):
     ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
     assert len(glob.glob(f"{idx}/bucket=*")) == 2  # the emptied bucket is removed
     assert _index_ids(spark, idx) == _state_ids(spark, st)
+
+
+def test_listing_prefilter_reads_only_changed_files(spark, scratch):
+    from docweave.plans.ingest import ingest_files
+
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    s1 = _stats(ingest_files(spark, src, idx, st))
+    assert s1["ingested"] == 3
+    # nothing changed: every file is trusted from the listing, nothing re-ingested
+    assert _stats(ingest_files(spark, src, idx, st))["ingested"] == 0
+    # touch one file without changing bytes, edit another
+    p = os.path.join(src, "pump-p7-filter.md")
+    os.utime(p, (os.path.getatime(p) + 100, os.path.getmtime(p) + 100))
+    _write(src, {"scale-s3-battery.md": "# S3 Scale: Battery\n\nNow 300 hours.\n"})
+    s3 = _stats(ingest_files(spark, src, idx, st))
+    assert s3["ingested"] == 1 and s3["skipped"] == 2
+    assert _index_ids(spark, idx) == _state_ids(spark, st)
+    st_rows = {r.doc_id: r for r in state_store.load_state(spark, st).collect()}
+    assert st_rows["blob:pump-p7-filter.md"].modified is not None
+    # the touched file is trusted again on the next run
+    assert _stats(ingest_files(spark, src, idx, st))["ingested"] == 0
+    os.remove(os.path.join(src, "pump-p7-e42.md"))
+    assert _stats(ingest_files(spark, src, idx, st))["pruned_docs"] == 1
+    assert _index_ids(spark, idx) == _state_ids(spark, st)
