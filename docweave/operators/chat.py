@@ -89,6 +89,18 @@ def sources_line(hits: DataFrame, qid: str = "question_id") -> DataFrame:
                         .otherwise(F.lit("none")))
 
 
+def hit_summary(hits: DataFrame, qid: str = "question_id") -> DataFrame:
+    """Context block (F7) and sources line (A16) of every question in one aggregation."""
+    item = F.struct("rank", "title", "content")
+    g = hits.groupBy(qid).agg(F.array_sort(F.collect_list(item)).alias("_h"))
+    return g.select(
+        qid,
+        F.array_join(F.transform("_h", lambda x: F.concat(F.lit("["), x["title"], F.lit("]\n"), x["content"])),
+                     "\n\n").alias("context"),
+        F.when(F.size("_h") > 0, F.array_join(F.transform("_h", lambda x: x["title"]), ", "))
+        .otherwise(F.lit("none")).alias("sources_text"))
+
+
 def user_turn_text(context: Column, message: Column) -> Column:
     return F.concat(F.lit("Context:\n"), F.coalesce(context, F.lit("")), F.lit("\n\nQuestion: "), message)
 

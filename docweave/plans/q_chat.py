@@ -47,13 +47,17 @@ def _question_hits(td):
     return top.join(docs, "doc_id").select(F.col("qid").alias("question_id"), "rank", "title", "content")
 
 
-def prompts(td, hits=None):
-    """One message list per user turn (system, last 10 stored messages, user turn with context)."""
+def prompts(td):
+    """One message list per user turn (system, last 10 stored messages, user turn with context).
+
+    Context block (F7) and sources line (A16) come from one aggregation over the hits, so
+    the retrieval plan runs once even though both are used downstream.
+    """
     h = C.history_window(td["messages"], 10, order_col="seq").filter(F.col("role") == "user")
-    hits = _question_hits(td) if hits is None else hits
-    ctx = C.context_block(hits)
+    ctx = C.hit_summary(_question_hits(td))
     p = h.join(ctx, h["id"] == ctx["question_id"], "left")
     return p.select("id", "session_id", "seq", "trace_id", F.col("content").alias("message"),
+                    F.coalesce("sources_text", F.lit("none")).alias("sources_text"),
                     C.build_messages(SYSTEM_PROMPT, F.col("history"), F.col("context"), F.col("content"))
                     .alias("messages"))
 
@@ -121,16 +125,11 @@ select t.id as turn_id, t.session_id, t.trace_id,
 from turns t left join first_hit f on f.qid = t.id left join src s on s.qid = t.id join ntok n on n.id = t.id""")
 def answer_table(td):
     """R6 (offline model) / R7 / A16 / J7: answer, sources and tokens per turn."""
-    hits = _question_hits(td)
-    p = prompts(td, hits).withColumn("model", F.lit(None).cast("string"))
+    p = prompts(td).withColumn("model", F.lit(None).cast("string"))
     p = C.model_allowlist(p, MODEL_OPTIONS, "model")
     done = C.complete_batch(p, token_stub_chat, "messages", "resolved_model")
-    src = C.sources_line(hits)
-    out = done.join(src, done["id"] == src["question_id"], "left")
-    return out.select(F.col("id").alias("turn_id"), "session_id", "trace_id", "answer",
-                      F.col("resolved_model").alias("model"),
-                      F.coalesce("sources_text", F.lit("none")).alias("sources_text"),
-                      "input_tokens", "output_tokens")
+    return done.select(F.col("id").alias("turn_id"), "session_id", "trace_id", "answer",
+                       F.col("resolved_model").alias("model"), "sources_text", "input_tokens", "output_tokens")
 
 
 @register("assemble_deltas", W("token_deltas") + """
