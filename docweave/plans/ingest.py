@@ -57,7 +57,7 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     was (the reference), ``"clear"`` removes its chunks and records the new hash (T1).
     ``scope_by_source`` prunes only documents of the scanned sources (T3).
     ``config_fingerprint`` folds processing settings into the hash (T2).
-    ``index_layout="buckets"`` rewrites only the index buckets this run touches.
+    ``index_layout="buckets"`` rewrites only the index and state buckets this run touches.
     ``reread(paths) -> corpus`` enables the listing pre-filter: a file whose length and
     modification time equal those recorded in state is trusted to be unchanged and its
     bytes are not read; only the other files (at most ``max_reread_paths``, else a full
@@ -144,10 +144,17 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
             .filter(~(F.col("_l").eqNullSafe(F.col("length")) & F.col("_m").eqNullSafe(F.col("modified"))))
         fresh = fresh.unionByName(touched.select(
             "doc_id", "source", F.col("hash").alias("content_hash"), "chunk_ids", *fact_cols))
-    new_state = state_store.state_upsert(
-        state_store.state_forget(state, diff.filter(F.col("status") == GONE).select("doc_id")),
-        state_store.state_rows(fresh, stamp))
-    state_version = versioned.write_next(new_state.repartition("doc_id"), state_root)
+    gone = diff.filter(F.col("status") == GONE).select("doc_id")
+    rows = state_store.state_rows(fresh, stamp)
+    if index_layout == "buckets":  # state follows the same layout: touched buckets only
+        versioned.bucket_replace(
+            spark, state_root, state_store.STATE_SCHEMA, "doc_id",
+            lambda old: state_store.state_upsert(state_store.state_forget(old, gone), rows),
+            gone.unionByName(rows.select("doc_id")), n_buckets, f"{run_dir}/state_stage")
+        state_version = None
+    else:
+        new_state = state_store.state_upsert(state_store.state_forget(state, gone), rows)
+        state_version = versioned.write_next(new_state.repartition("doc_id"), state_root)
 
     stats_counts = counts.select("doc_id", "n_chunks")
     return IngestResult(ingest_stats(diff, stats_counts), index_version, state_version)

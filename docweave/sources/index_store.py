@@ -52,56 +52,19 @@ def index_ensure(records: DataFrame, dimensions: int) -> DataFrame:
 
 def load_index(spark: SparkSession, root: str) -> DataFrame | None:
     """The current index, or ``None`` when no index exists (P5 handles that)."""
-    if is_bucketed(spark, root):
-        return spark.read.schema(BUCKETED_SCHEMA).parquet(root).drop("bucket")
+    if versioned.is_bucketed(spark, root):
+        return versioned.read_bucketed(spark, root, INDEX_SCHEMA)
     return versioned.read_latest(spark, root, INDEX_SCHEMA)
 
 
-BUCKETED_SCHEMA = T.StructType(INDEX_SCHEMA.fields + [T.StructField("bucket", T.IntegerType(), True)])
-
-
-def bucket_of(parent_id, n_buckets: int):
-    """Bucket of a document's chunks: stable for a given ``n_buckets``."""
-    col = F.col(parent_id) if isinstance(parent_id, str) else parent_id
-    return F.pmod(F.xxhash64(col), F.lit(n_buckets)).cast("int")
-
-
-def is_bucketed(spark: SparkSession, root: str) -> bool:
-    fs, path, jvm = versioned._fs(spark, root)
-    if not fs.exists(path):
-        return False
-    return any(st.getPath().getName().startswith("bucket=") for st in fs.listStatus(path))
-
-
 def bucket_merge(spark: SparkSession, root: str, records: DataFrame, doomed_ids: DataFrame,
                  touched_parents: DataFrame, n_buckets: int, stage: str) -> list[int]:
-    """Merge ``records`` and delete ``doomed_ids`` touching only the affected buckets.
+    """Merge ``records`` and delete ``doomed_ids`` rewriting only the buckets of
+    ``touched_parents`` (``parent_id`` of every document with new, stale or gone chunks)."""
+    def merge(old: DataFrame) -> DataFrame:
+        return index_upsert(index_delete(old, doomed_ids), records)
 
-    ``touched_parents``: ``parent_id`` of every document with new records, stale or gone
-    chunks. The touched bucket numbers (at most ``n_buckets`` integers) are collected to
-    prune the read statically; the merged buckets are staged under ``stage`` (a written
-    table cuts the lineage to the files about to be replaced) and then written with a
-    dynamic partition overwrite. Returns the touched bucket numbers.
-    """
-    touched = sorted({r[0] for r in touched_parents.select(bucket_of("parent_id", n_buckets)).distinct().collect()})
-    if not touched:
-        return []
-    old = spark.createDataFrame([], BUCKETED_SCHEMA)
-    if is_bucketed(spark, root):
-        old = spark.read.schema(BUCKETED_SCHEMA).parquet(root).filter(F.col("bucket").isin(touched))
-    cols = [f.name for f in INDEX_SCHEMA.fields]
-    kept = index_delete(old.select(cols), doomed_ids)
-    merged = index_upsert(kept, records).withColumn("bucket", bucket_of("parent_id", n_buckets))
-    merged.repartition("bucket").sortWithinPartitions("parent_id", "id").write.partitionBy("bucket").parquet(stage)
-    staged = spark.read.schema(BUCKETED_SCHEMA).parquet(stage)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
-    # buckets left without rows are not rewritten by a dynamic overwrite: remove them
-    written = {r[0] for r in staged.select("bucket").distinct().collect()}
-    fs, path, jvm = versioned._fs(spark, root)
-    for b in touched:
-        if b not in written:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"bucket={b}"), True)
-    return touched
+    return versioned.bucket_replace(spark, root, INDEX_SCHEMA, "parent_id", merge, touched_parents, n_buckets, stage)
 
 
 def index_upsert(old: DataFrame, records: DataFrame) -> DataFrame:

@@ -33,6 +33,8 @@ def state_scan(state: DataFrame) -> DataFrame:
 
 
 def load_state(spark: SparkSession, root: str) -> DataFrame:
+    if versioned.is_bucketed(spark, root):
+        return versioned.read_bucketed(spark, root, STATE_SCHEMA)
     return versioned.read_or_empty(spark, root, STATE_SCHEMA)
 
 

@@ -138,7 +138,7 @@ def test_bucket_layout_touches_only_changed_buckets(spark, scratch):
     _write(src, DOCS)
     ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
     before = {d: os.path.getmtime(d) for d in glob.glob(f"{idx}/bucket=*")}
-    assert len(before) == 3
+    assert len(before) == 3 and len(glob.glob(f"{st}/bucket=*")) == 3
     _write(src, {"scale-s3-battery.md": "# S3 Scale: Battery\n\nNow 300 hours.\n"})
     res = ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
     assert _stats(res)["ingested"] == 1
