@@ -49,7 +49,7 @@ def plan_chunks(docs: DataFrame, text_col: str = "text", fmt: str | None = None,
 def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: EmbedFn | None = None,
                fmt: str | None = None, limit: int = DEFAULT_LIMIT, as_of=None,
                empty_policy: str = "clear", scope_by_source: bool = True,
-               config_fingerprint: str | None = None, index_layout: str = "versioned",
+               config_fingerprint: str | None = None, index_layout: str = "buckets",
                n_buckets: int = 1024, reread=None, max_reread_paths: int = 200_000) -> IngestResult:
     """One incremental pass over ``corpus`` (``id, uri, source, content``).
 
