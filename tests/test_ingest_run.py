@@ -174,3 +174,30 @@ def test_listing_prefilter_reads_only_changed_files(spark, scratch):
     os.remove(os.path.join(src, "pump-p7-e42.md"))
     assert _stats(ingest_files(spark, src, idx, st))["pruned_docs"] == 1
     assert _index_ids(spark, idx) == _state_ids(spark, st)
+
+
+def test_chat_turns_end_to_end(spark, scratch):
+    from docweave.plans.chat_turn import answer_questions
+
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    ingest_run(corpus_from_files(spark, src), idx, st)
+    msgs = spark.createDataFrame(
+        [("m1", "s1", "user", "hello", "t0", "2024-01-01 00:00:00"),
+         ("m2", "s1", "assistant", "hi", "t0", "2024-01-01 00:00:01")],
+        "id string, session_id string, role string, content string, trace_id string, created_at string") \
+        .withColumn("created_at", F.col("created_at").cast("timestamp"))
+    qs = spark.createDataFrame([("q1", "s1", "How do I fix error E42?", "model-x"),
+                                ("q2", "", "battery life of the scale", None)],
+                               "question_id string, session_id string, message string, model string")
+    res = answer_questions(spark, qs, idx, msgs, "model-a, model-b")
+    a = {r.question_id: r for r in res.answers.collect()}
+    assert a["q1"].answer == "See P7 Infusion Pump: Error E42." and a["q1"].model == "model-a"
+    assert a["q1"].sources[0] == "P7 Infusion Pump: Error E42" and len(a["q1"].sources) == 3
+    assert a["q2"].session_id and a["q2"].session_id != ""
+    rows = res.history_rows.orderBy("session_id", "order_in_turn").collect()
+    assert [r.role for r in rows if r.session_id == "s1"] == ["user", "assistant"]
+    assert len(rows) == 4
+    # no index yet: every question is still answered, without sources
+    none = answer_questions(spark, qs, f"{scratch}/no-index", msgs, "model-a").answers.collect()
+    assert {r.sources_text for r in none} == {"none"} and len(none) == 2
