@@ -201,3 +201,33 @@ def test_chat_turns_end_to_end(spark, scratch):
     # no index yet: every question is still answered, without sources
     none = answer_questions(spark, qs, f"{scratch}/no-index", msgs, "model-a").answers.collect()
     assert {r.sources_text for r in none} == {"none"} and len(none) == 2
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st_  # noqa: E402
+
+EDIT = st_.lists(st_.tuples(st_.sampled_from(["add", "edit", "delete"]), st_.integers(0, 5),
+                            st_.integers(1, 60)), min_size=1, max_size=3)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(script=EDIT)
+def test_random_edit_scripts_keep_index_and_state_in_step(spark, script):
+    import tempfile
+
+    base = tempfile.mkdtemp(prefix="docweave-edit-", dir="/tmp")
+    src, idx, st = f"{base}/docs", f"{base}/index", f"{base}/state"
+    _write(src, DOCS)
+    ingest_run(corpus_from_files(spark, src), idx, st, limit=32)
+    for op, n, lines in script:
+        name = f"doc{n}.md"
+        if op == "delete":
+            if os.path.exists(os.path.join(src, name)):
+                os.remove(os.path.join(src, name))
+        else:
+            _write(src, {name: f"# Doc {n}\n\n" + "\n".join(f"{op} line {i} of doc {n}" for i in range(lines))})
+        res = ingest_run(corpus_from_files(spark, src), idx, st, limit=32)
+        assert _index_ids(spark, idx) == _state_ids(spark, st)
+        assert _stats(res)["scanned"] == len(os.listdir(src))
+    again = _stats(ingest_run(corpus_from_files(spark, src), idx, st, limit=32))
+    assert again["ingested"] == 0
