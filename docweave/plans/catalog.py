@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.sources.testdata import AS_OF, TestData, duckdb_with
+from docweave.sources.testdata import TestData
 
 # The fixture month is 2024-01-01 .. 2024-01-30 and as_of is 2024-01-31, so a
 # 30-day window reads every telemetry row.

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docweave.functions.hashing import chunk_id_range
-from docweave.functions.text import content_type
 from docweave.operators import diff as D
 from docweave.operators.chunk import DEFAULT_LIMIT, chunk_blocks
 from docweave.operators.parse import parse_documents

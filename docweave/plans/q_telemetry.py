@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from docweave.operators import telemetry as T
 from docweave.operators import trace as TR
