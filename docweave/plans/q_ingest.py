@@ -233,3 +233,29 @@ def _page_chunks(td):
 
 
 register("page_chunks")(_page_chunks)
+
+
+@register("ingest_run_stats", _with_recursive("corpus", "ingest_state") + chunks_cte() + DIFF_SQL + """
+, counts as (select id, count(*) as m from chunks group by id)
+select count(*) filter (where d.status <> 'gone') as scanned,
+       count(*) filter (where d.status in ('new', 'changed') and coalesce(c.m, 0) > 0) as ingested,
+       count(*) filter (where d.status = 'unchanged' or (d.status in ('new', 'changed') and coalesce(c.m, 0) = 0)) as skipped,
+       cast(coalesce(sum(case when d.status in ('new', 'changed') then c.m end), 0) as bigint) as chunks,
+       count(*) filter (where d.status = 'gone') as pruned_docs
+from diff d left join counts c on d.doc_id = c.id""")
+def ingest_run_stats(td):
+    """The real incremental run (diff, parse, chunk, embed, index and state merge) over the
+    whole corpus, starting from the fixture state; returns the run's counters."""
+    import uuid
+
+    from docweave.plans.ingest import ingest_run
+    from docweave.session import scratch_path
+    from docweave.sources import versioned
+
+    base = scratch_path(td.spark, f"ingest-q-{uuid.uuid4().hex}")
+    rows = S.state_rows(state(td), "2024-01-31 00:00:00")
+    versioned.bucket_replace(td.spark, f"{base}/state", S.STATE_SCHEMA, "doc_id", lambda old: rows,
+                             rows.select("doc_id"), 64, f"{base}/state_stage")
+    res = ingest_run(corpus(td), f"{base}/index", f"{base}/state", fmt="text", as_of="2024-01-31 00:00:00",
+                     n_buckets=64)
+    return res.stats

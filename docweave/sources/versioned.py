@@ -115,13 +115,21 @@ def bucket_replace(spark: SparkSession, root: str, schema: T.StructType, key: st
     """
     from pyspark.sql import functions as F
 
-    touched = sorted({r[0] for r in touched_keys.select(bucket_expr(key, n_buckets)).distinct().collect()})
-    if not touched:
-        return []
     full = T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType(), True)])
     old = spark.createDataFrame([], schema)
     if is_bucketed(spark, root):
+        touched = sorted({r[0] for r in touched_keys.select(bucket_expr(key, n_buckets)).distinct().collect()})
+        if not touched:
+            return []
         old = spark.read.schema(full).parquet(root).filter(F.col("bucket").isin(touched)).drop("bucket")
+    elif latest_version(spark, root) is not None:
+        # first bucketed write over a versioned table: every bucket is written once
+        old = read_latest(spark, root, schema)
+        touched = list(range(n_buckets))
+    else:
+        touched = sorted({r[0] for r in touched_keys.select(bucket_expr(key, n_buckets)).distinct().collect()})
+        if not touched:
+            return []
     new = merge(old).select(*[f.name for f in schema.fields]).withColumn("bucket", bucket_expr(key, n_buckets))
     new.repartition("bucket").sortWithinPartitions(key).write.partitionBy("bucket").parquet(stage)
     staged = spark.read.schema(full).parquet(stage)

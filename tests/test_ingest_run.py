@@ -231,3 +231,13 @@ def test_random_edit_scripts_keep_index_and_state_in_step(spark, script):
         assert _stats(res)["scanned"] == len(os.listdir(src))
     again = _stats(ingest_run(corpus_from_files(spark, src), idx, st, limit=32))
     assert again["ingested"] == 0
+
+
+def test_versioned_to_bucketed_migration(spark, scratch):
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    ingest_run(corpus_from_files(spark, src), idx, st, index_layout="versioned")
+    before = _index_ids(spark, idx)
+    res = ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=8)
+    assert _stats(res)["ingested"] == 0
+    assert _index_ids(spark, idx) == before == _state_ids(spark, st)
