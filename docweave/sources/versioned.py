@@ -121,7 +121,7 @@ def bucket_replace(spark: SparkSession, root: str, schema: T.StructType, key: st
         touched = sorted({r[0] for r in touched_keys.select(bucket_expr(key, n_buckets)).distinct().collect()})
         if not touched:
             return []
-        old = spark.read.schema(full).parquet(root).filter(F.col("bucket").isin(touched)).drop("bucket")
+        old = _bucket_dirs(spark, root, full).filter(F.col("bucket").isin(touched)).drop("bucket")
     elif latest_version(spark, root) is not None:
         # first bucketed write over a versioned table: every bucket is written once
         old = read_latest(spark, root, schema)
@@ -139,9 +139,16 @@ def bucket_replace(spark: SparkSession, root: str, schema: T.StructType, key: st
     for b in touched:
         if b not in written:
             fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"bucket={b}"), True)
+    for v in _all_version_dirs(spark, root):  # superseded snapshots of a migrated table
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"v={v}"), True)
     return touched
 
 
+def _bucket_dirs(spark: SparkSession, root: str, full: T.StructType) -> DataFrame:
+    """Only the ``bucket=`` folders (partition discovery never sees other folders)."""
+    return spark.read.schema(full).option("basePath", root).parquet(f"{root.rstrip('/')}/bucket=*")
+
+
 def read_bucketed(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
     full = T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType(), True)])
-    return spark.read.schema(full).parquet(root).drop("bucket")
+    return _bucket_dirs(spark, root, full).drop("bucket")
