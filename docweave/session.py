@@ -70,6 +70,8 @@ def spread(df, min_partitions: int | None = None):
     extra shuffle). An input with fewer splits than the cluster's parallelism (one
     big row group, a small table feeding heavy per-row work) is spread round-robin.
     """
+    if df.isStreaming:  # a stream's partitioning is the source's; leave it
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 

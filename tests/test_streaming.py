@@ -117,3 +117,17 @@ def test_events_trigger_one_ingest_pass(spark, scratch):
     assert len(results) == 1 and results[0][1].ingested == 3  # nine events, one pass
     assert index_store.load_index(spark, f"{scratch}/index").count() == 3
     assert spark.read.parquet(f"{scratch}/counts").first().drained == 9
+
+
+def test_row_operators_on_streams(spark, scratch):
+    """Row-local operators (de-identification, embedding) apply to streaming frames unchanged."""
+    from docweave.operators.embed import embed_chunks
+    from docweave.operators.redact import deidentify_corpus
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(50)
+    docs.write.parquet(f"{scratch}/d")
+    s = spark.readStream.schema(docs.schema).parquet(f"{scratch}/d")
+    out = embed_chunks(deidentify_corpus(s), "text", "vector").select("doc_id", "n_email", F.size("vector").alias("w"))
+    run_available_now(out, f"{scratch}/out", f"{scratch}/ck")
+    got = spark.read.parquet(f"{scratch}/out")
+    assert got.count() == 50 and {r.w for r in got.collect()} == {256}
