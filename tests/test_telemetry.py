@@ -62,3 +62,14 @@ def test_day_partitions_prune(spark, scratch):
     assert "PartitionFilters: [isnotnull(day" in plan
     assert w.count() == T.time_range(td["app_requests"], AS_OF, "2d").count()
     assert TS.retention_days(spark, f"{scratch}/req", AS_OF, 28)[:1] == ["day=2024-01-01"]
+
+
+def test_trace_to_history_join(spark):
+    msgs = spark.createDataFrame([("m1", "s1", "user", "q", "t1"), ("m2", "s1", "assistant", "a", "t1"),
+                                  ("m3", "s2", "user", "x", "t9")],
+                                 "id string, session_id string, role string, content string, trace_id string")
+    spans = spark.createDataFrame([("t1", None, "POST /chat"), ("t1", "s-root", "retrieve")],
+                                  "OperationId string, ParentId string, Name string") \
+        .withColumn("TimeGenerated", F.current_timestamp())
+    got = TR.trace_to_history(msgs, spans).orderBy("id").collect()
+    assert [(r.id, r.root_op) for r in got] == [("m1", "POST /chat"), ("m2", "POST /chat")]
