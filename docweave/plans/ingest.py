@@ -88,6 +88,10 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
                                         F.col("modificationTime").alias("modified")), "doc_id", "left")
     diff.write.parquet(f"{run_dir}/diff")
     diff = spark.read.parquet(f"{run_dir}/diff")
+    # Two documents with one id would overwrite each other's chunks; refuse the run
+    dups = diff.groupBy("doc_id").count().filter(F.col("count") > 1).limit(5).collect()
+    if dups:
+        raise ValueError(f"document ids are not unique in the corpus: {[r['doc_id'] for r in dups]}")
 
     todo = diff.filter(F.col("status").isin(NEW, CHANGED)).select(F.col("doc_id").alias("id"))
     docs = fp.join(todo, "id", "left_semi").withColumn("text", F.decode("content", "UTF-8")).drop("content")

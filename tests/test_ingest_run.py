@@ -241,3 +241,13 @@ def test_versioned_to_bucketed_migration(spark, scratch):
     res = ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=8)
     assert _stats(res)["ingested"] == 0
     assert _index_ids(spark, idx) == before == _state_ids(spark, st)
+
+
+def test_duplicate_ids_are_refused(spark, scratch):
+    import pytest as _pt
+
+    from docweave.sources.corpus import corpus_from_table
+
+    t = spark.createDataFrame([(1, "a"), (1, "b")], "k long, text string")
+    with _pt.raises(ValueError, match="not unique"):
+        ingest_run(corpus_from_table(t, "k", "text", source="tbl"), f"{scratch}/i", f"{scratch}/s", fmt="text")
