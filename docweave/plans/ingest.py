@@ -1,8 +1,9 @@
 """The incremental ingest run (E9) as one Spark job graph.
 
-scan -> fingerprint -> diff against state (narrow shuffle on doc id) -> bytes of
-new/changed docs only -> parse -> chunk -> records -> embed -> staged once ->
-index snapshot (upsert, delete stale and gone) -> state snapshot -> stats.
+listing (optionally trusted by length/mtime) -> fingerprint -> diff against state
+(narrow shuffle on doc id) -> bytes of new/changed docs only -> parse -> chunk ->
+records -> embed -> staged once -> index merge (upsert, delete stale and gone; only
+touched buckets by default) -> state merge -> stats.
 
 Order of effects follows the reference: index first, then state, pruning last.
 A crash between the index and state writes leaves state behind the index, so the
