@@ -210,14 +210,15 @@ def vector_topk_ann(index: DataFrame, questions: DataFrame, centroids: list[np.n
     At ``nprobe = n_lists`` the result equals the exact top-k.
     """
     idx = ivf_assign(index.select(id_col, vec_col), centroids, vec_col, 1, "list_id", metric)
-    sizes = idx.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("n_sub", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(rows_per_task))).cast("int"))
-    # sizes: one row per list (n_lists rows), joined to both sides under fresh names
-    idx = idx.join(sizes.select("list_id", F.col("n_sub").alias("_ni")), "list_id") \
-        .withColumn("_sub", F.pmod(F.xxhash64(id_col), F.col("_ni")).cast("int")).drop("_ni")
+    # list sizes: one small row per list (n_lists rows, bounded by the parameter)
+    sizes = {r["list_id"]: int(r["n"]) for r in idx.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_sub = {k: max(1, -(-n // rows_per_task)) for k, n in sizes.items()}
+    subs = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in n_sub.items() for x in kv]) if n_sub
+                                   else F.create_map().cast("map<int,int>"), F.col("list_id")), F.lit(1))
+    idx = idx.withColumn("_sub", F.pmod(F.xxhash64(id_col), subs).cast("int"))
     qs = ivf_assign(questions.select(qid, qvec), centroids, qvec, nprobe, "list_id", metric)
-    qs = qs.join(sizes.select("list_id", F.col("n_sub").alias("_nq")), "list_id") \
-        .withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_nq") - 1))).drop("_nq")
+    qs = qs.filter(F.col("list_id").isin(list(n_sub)) if n_sub else F.lit(False)) \
+        .withColumn("_sub", F.explode(F.sequence(F.lit(0), subs - 1)))
     schema = _out_schema(questions, qid, index, id_col)
 
     def run(_key, qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
