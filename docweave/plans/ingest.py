@@ -69,6 +69,7 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     if empty_policy not in ("clear", "keep"):
         raise ValueError("empty_policy must be 'clear' or 'keep'")
     spark = corpus.sparkSession
+    corpus = spread(corpus)  # few large splits: spread before the heavy row-local steps
     run_dir = scratch_path(spark, f"ingest-{uuid.uuid4().hex}")
     stamp = as_of if as_of is not None else None
 

@@ -69,11 +69,36 @@ def spread(df, min_partitions: int | None = None):
     Large inputs already arrive in many file splits and are returned unchanged (no
     extra shuffle). An input with fewer splits than the cluster's parallelism (one
     big row group, a small table feeding heavy per-row work) is spread round-robin.
+    Inputs that already contain a shuffle, or whose split count is unknown, are left as
+    they are. The split count is read from the plan, never by running it.
     """
     if df.isStreaming:  # a stream's partitioning is the source's; leave it
         return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    n = planned_partitions(df)
+    return df.repartition(target) if n is not None and n < target else df
+
+
+def planned_partitions(df) -> int | None:
+    """Partition count of the planned output, from the physical plan (file splits for a scan).
+
+    Read from the plan without running it: ``df.rdd`` would execute every adaptive
+    query stage below (shuffles included) just to count partitions.
+    """
+    try:
+        qe = df._jdf.queryExecution()
+        if "Exchange" in qe.executedPlan().toString():
+            return None  # already shuffled: its partition count is the shuffle's, not the scan's
+        it = qe.sparkPlan().collectLeaves().iterator()
+        total = 0
+        while it.hasNext():
+            leaf = it.next()
+            if leaf.getClass().getSimpleName() != "FileSourceScanExec":
+                return None
+            total += int(leaf.inputRDD().getNumPartitions())  # file splits; nothing is read
+        return total
+    except Exception:  # noqa: BLE001 - unknown: do not add a shuffle
+        return None
 
 
 _SHIPPED: set[int] = set()
