@@ -110,7 +110,6 @@ def ship_package(spark: SparkSession) -> None:
     The package is zipped once per driver and added with ``addPyFile``, which Spark
     distributes to every executor.
     """
-    import os
     import zipfile
 
     sc = spark.sparkContext

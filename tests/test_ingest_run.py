@@ -2,6 +2,9 @@
 
 import os
 
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st_
 from pyspark.sql import functions as F
 
 from docweave.operators.embed import embed_questions
@@ -61,9 +64,6 @@ def test_first_run_then_idempotent(spark, scratch):
     assert {r.url for r in rows} == {f"documents/{n}" for n in DOCS}
 
 
-import pytest
-
-
 @pytest.mark.parametrize("layout", ["versioned", "buckets"])
 def test_edit_delete_and_stale(spark, scratch, layout):
     src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
@@ -203,9 +203,6 @@ def test_chat_turns_end_to_end(spark, scratch):
     assert {r.sources_text for r in none} == {"none"} and len(none) == 2
 
 
-from hypothesis import HealthCheck, given, settings  # noqa: E402
-from hypothesis import strategies as st_  # noqa: E402
-
 EDIT = st_.lists(st_.tuples(st_.sampled_from(["add", "edit", "delete"]), st_.integers(0, 5),
                             st_.integers(1, 60)), min_size=1, max_size=3)
 
@@ -244,10 +241,8 @@ def test_versioned_to_bucketed_migration(spark, scratch):
 
 
 def test_duplicate_ids_are_refused(spark, scratch):
-    import pytest as _pt
-
     from docweave.sources.corpus import corpus_from_table
 
     t = spark.createDataFrame([(1, "a"), (1, "b")], "k long, text string")
-    with _pt.raises(ValueError, match="not unique"):
+    with pytest.raises(ValueError, match="not unique"):
         ingest_run(corpus_from_table(t, "k", "text", source="tbl"), f"{scratch}/i", f"{scratch}/s", fmt="text")
