@@ -286,3 +286,20 @@ def _health_report(td):
 
 
 register("health_report")(_health_report)
+
+
+@register("health_report_requests", W("app_requests") + f"""
+select '{SINCE}' as window, AppRoleName, Name, count(*) as Requests,
+       count(*) filter (where Success = false) as Failures
+from app_requests where TimeGenerated > {WINDOW_START}
+group by AppRoleName, Name""")
+def health_report_requests(td):
+    """S14 checked by value: the requests section read back from the one-document JSON report."""
+    from pyspark.sql import functions as F
+
+    rep = _health_report(td)
+    schema = ("struct<window:string, requests:array<struct<AppRoleName:string, Name:string, "
+              "Requests:bigint, Failures:bigint>>>")
+    doc = rep.select(F.from_json("report", schema).alias("d"))
+    return doc.select(F.col("d.window").alias("window"), F.explode("d.requests").alias("r")).select(
+        "window", "r.AppRoleName", "r.Name", "r.Requests", "r.Failures")
