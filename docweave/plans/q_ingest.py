@@ -259,3 +259,17 @@ def ingest_run_stats(td):
     res = ingest_run(corpus(td), f"{base}/index", f"{base}/state", fmt="text", as_of="2024-01-31 00:00:00",
                      n_buckets=64)
     return res.stats
+
+
+@register("index_batches", _with_recursive("corpus") + chunks_cte() + """
+, acts as (select sha1(id) || '-' || cast(chunk_index as varchar) as id from chunks)
+select substr(sha1(id), 1, 1) || '-' || cast(cast(floor((rn - 1) / 500) as bigint) as varchar) as batch,
+       count(*) as actions
+from (select id, row_number() over (partition by substr(sha1(id), 1, 1) order by id) as rn from acts)
+group by 1""")
+def index_batches(td):
+    """Index actions of every chunk cut into deterministic request batches of at most 500."""
+    from docweave.sources.index_store import batch_plan_keyed
+
+    acts = build_records(chunks(td)).select("id")
+    return batch_plan_keyed(acts, "id", 500).groupBy("batch").agg(F.count(F.lit(1)).alias("actions"))

@@ -97,6 +97,28 @@ def batch_plan(actions: DataFrame, batch_size: int = 500) -> DataFrame:
         "-", F.spark_partition_id().cast("string"), F.floor(pos / F.lit(batch_size)).cast("string")))
 
 
+def batch_plan_keyed(actions: DataFrame, key: str = "id", batch_size: int = 500,
+                     max_group_rows: int = 1_000_000) -> DataFrame:
+    """Deterministic request batches (S11): the same actions always get the same batches.
+
+    Actions are grouped by the first ``g`` hex digits of ``sha1(key)``, with ``g`` chosen from
+    the action count so a group holds about ``max_group_rows`` rows at most; inside a group,
+    rows are numbered by key and cut every ``batch_size``. Each window runs over one bounded
+    group, so there is no global sort and no single-task window.
+    """
+    import math
+
+    n = actions.count()
+    g = max(1, math.ceil(math.log(max(n / max_group_rows, 1.0), 16))) if n > max_group_rows else 1
+    grp = F.substring(F.sha1(F.col(key).cast("string")), 1, g)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("_g").orderBy(key)
+    return actions.withColumn("_g", grp).withColumn("_rn", F.row_number().over(w)).withColumn(
+        "batch", F.concat_ws("-", F.col("_g"), F.floor((F.col("_rn") - 1) / F.lit(batch_size)).cast("string"))
+    ).drop("_g", "_rn")
+
+
 def batched_sink(actions: DataFrame, send, batch_size: int = 500) -> None:
     """Post actions with ``send(list_of_dicts)`` in groups of at most ``batch_size`` per task."""
     def per_partition(rows):

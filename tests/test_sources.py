@@ -67,3 +67,17 @@ def test_batch_plan_bounded(spark):
     actions = spark.range(2345).repartition(3)
     sizes = [r["count"] for r in batch_plan(actions, 500).groupBy("batch").count().collect()]
     assert sum(sizes) == 2345 and max(sizes) <= 500
+
+
+def test_keyed_batch_plan_is_deterministic_and_bounded(spark):
+    from docweave.sources.index_store import batch_plan_keyed
+
+    a = spark.range(5000).select(F.col("id").cast("string").alias("id"))
+    one = {r.id: r.batch for r in batch_plan_keyed(a, "id", 300, max_group_rows=1000).collect()}
+    two = {r.id: r.batch for r in batch_plan_keyed(a.repartition(7), "id", 300, max_group_rows=1000).collect()}
+    assert one == two
+    sizes = {}
+    for b in one.values():
+        sizes[b] = sizes.get(b, 0) + 1
+    assert max(sizes.values()) <= 300 and sum(sizes.values()) == 5000
+    assert all(len(b.split("-")[0]) == 1 for b in one)  # 5,000 rows / 1,000 per group: one hex digit
