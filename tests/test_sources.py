@@ -80,4 +80,4 @@ def test_keyed_batch_plan_is_deterministic_and_bounded(spark):
     for b in one.values():
         sizes[b] = sizes.get(b, 0) + 1
     assert max(sizes.values()) <= 300 and sum(sizes.values()) == 5000
-    assert all(len(b.split("-")[0]) == 1 for b in one)  # 5,000 rows / 1,000 per group: one hex digit
+    assert all(len(b.split("-")[0]) == 1 for b in one.values())  # 5,000 rows / 1,000 per group: one hex digit
