@@ -176,9 +176,9 @@ def ingest_failures(td):
     return T.ingest_failures(td["app_dependencies"])
 
 
-@register("change_feed", W("azure_activity") + """
+@register("change_feed", W("activity_log") + """
 select TimeGenerated, OperationNameValue, ActivityStatusValue, Caller
-from azure_activity
+from activity_log
 where CategoryValue = 'Administrative'
   and (regexp_matches(OperationNameValue, '(?i)(^|[^a-z0-9])deployments/write([^a-z0-9]|$)')
     or regexp_matches(OperationNameValue, '(?i)(^|[^a-z0-9])containerapps/write([^a-z0-9]|$)')
@@ -188,7 +188,7 @@ where CategoryValue = 'Administrative'
 order by TimeGenerated desc, event_id limit 100""")
 def change_feed(td):
     """K4: has_any over operation names."""
-    return T.change_feed(td["azure_activity"])
+    return T.change_feed(td["activity_log"])
 
 
 @register("trace_timeline", W("app_requests", "app_dependencies") + """

@@ -100,7 +100,7 @@ select ts as TimeGenerated, 'rag-app' as AppRoleName,
 from {_ref(d, 'events')} where event_type = 'error'"""
 
 
-def azure_activity_sql(d: str) -> str:
+def activity_log_sql(d: str) -> str:
     return f"""
 select ts as TimeGenerated, event_id,
        case when event_id % 4 = 0 then 'Policy' else 'Administrative' end as CategoryValue,
@@ -140,7 +140,7 @@ VIEWS = {
     "messages": (messages_sql, ("conversations",)),
     "spans": (spans_sql, ("events",)),
     "app_exceptions": (app_exceptions_sql, ("events",)),
-    "azure_activity": (azure_activity_sql, ("events",)),
+    "activity_log": (activity_log_sql, ("events",)),
     "blob_events": (blob_events_sql, ("events",)),
     "token_deltas": (token_deltas_sql, ("events",)),
 }
