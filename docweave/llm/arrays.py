@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
 
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -53,7 +53,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offsets), np.int64)
-    inside = ~_SEPARATOR[data]
+    inside = ~SEPARATOR[data]
     edge = np.zeros(len(data) + 1, bool)  # a row starts here
     edge[offsets] = True
     before = np.empty(len(data), bool)
@@ -96,26 +96,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return z ^ (z >> np.uint64(31))
-
-
-def rolling(values: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C55) -> np.ndarray:
-    """Polynomial hash (mod 2^64) of every window of n values; windows may cross rows."""
-    m = len(values) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    h = np.zeros(m, np.uint64)
-    b = np.uint64(base)
-    for k in range(n):
-        h = h * b + values[k:k + m]
-    return h
-
-
-def replace_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    """The batch with one column replaced or appended."""
-    arrays, names = list(batch.columns), list(batch.schema.names)
-    if name in names:
-        arrays[names.index(name)] = values
-    else:
-        arrays.append(values)
-        names.append(name)
-    return pa.RecordBatch.from_arrays(arrays, names)

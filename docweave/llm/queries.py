@@ -30,3 +30,49 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweave.llm.simhash import simhash_components
 
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
+
+
+@register("op5_mix_pareto")
+def op5_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to source weights 1, 2, 3 repeating, at most 3 times a source's size."""
+    from docweave.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@register("op7_repetition")
+def op7_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base quality measures and repetition coverage of all documents."""
+    from docweave.llm.repetition import repetition_rules
+
+    return repetition_rules(table(spark, sf_dir, "documents"))
+
+
+@register("op1_chat_format")
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back from the written output."""
+    from docweave.llm.chat_format import format_conversations, read_back
+    from docweave.llm.storage import staged
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return read_back(staged(format_conversations(turns.unionByName(probe)), "chat"))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from docweave.session import scratch_path
+
+    return scratch_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
+
+
+@register("op2_token_store")
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents in Re-Pair shards, read back from the files."""
+    import public_tokenizers
+
+    from docweave.llm.token_store import token_output
+
+    return token_output(table(spark, sf_dir, "documents"), new_folder(spark, "shards"), public_tokenizers.path("word_bpe_49k.json"))
