@@ -76,3 +76,29 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweave.llm.token_store import token_output
 
     return token_output(table(spark, sf_dir, "documents"), new_folder(spark, "shards"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register("op3_html_density")
+def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by composite text density."""
+    from docweave.llm.html_density import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@register("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; learned from the labels of documents that are not held out."""
+    from docweave.llm.toxicity import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@register("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, whole or edited, with the aligned words."""
+    from docweave.llm.decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
