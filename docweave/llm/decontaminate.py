@@ -207,28 +207,45 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     that reach the score. Null texts count as empty and match nothing, nor do items without
     words; null ids are carried; equal rows match alike; empty tables give no rows.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    bench = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-    kind, item_kind = slim.schema["id"].dataType.simpleString(), bench.schema["item"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id {item_kind}, score double, start_word long, end_word long, n_windows long"
-    size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    slim = spread(slim)
+    slim = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    schema = (f"doc_id {slim.schema['id'].dataType.simpleString()}, item_id {bench.schema['item'].dataType.simpleString()}, "
+              "score double, start_word long, end_word long, n_windows long")
     out = None
-    for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).orderBy("item", "text").toArrow()
-        found = _scan(slim, part.column("item").combine_chunks(), part.column("text").to_pylist(), n, seed_share, min_score, schema)
+    for part in _blocks(bench, block_bytes):
+        found = slim.mapInArrow(_report(_seeds(slim, part, n, seed_share), min_score), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
 
 
-def _scan(slim: DataFrame, names: pa.Array, texts: list[str], n: int, seed_share: float, min_score: float, schema: str) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+                      n: int = 3, seed_share: float = 0.75, min_score: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with all its columns, without the rows that hold a benchmark item as ``find_contamination`` finds it."""
+    docs = spread(docs)
+    slim = docs.select(F.col(text_col).alias("text"))
+    bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    for part in _blocks(bench, block_bytes):
+        docs = docs.mapInArrow(_clean(_seeds(slim, part, n, seed_share), min_score, text_col), docs.schema)
+    return docs
+
+
+def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
+    """The benchmark (item, text) in blocks of about ``block_bytes`` of text; their number grows with the benchmark alone."""
+    bench = bench.withColumn("text", F.coalesce("text", F.lit("")))
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    for b in range(blocks):
+        yield bench.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).orderBy("item", "text").toArrow()
+
+
+def _seeds(slim: DataFrame, part: pa.Table, n: int, seed_share: float):
+    """Broadcast (items, lookup of their rare grams, item ids) of one block, after counting document frequencies in ``slim``."""
     spark = slim.sparkSession
-    items = Items(texts, n)
-    if not len(items.hash):
-        return spark.createDataFrame([], schema)
+    items = Items(part.column("text").to_pylist(), n)
+    names = part.column("item").combine_chunks()
     everything = items.lookup(np.ones(len(items.hash), bool))
+    if not everything:
+        return spark.sparkContext.broadcast((items, everything, names))
     held = spark.sparkContext.broadcast(everything)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,29 +275,45 @@ def _scan(slim: DataFrame, names: pa.Array, texts: list[str], n: int, seed_share
         mine = np.flatnonzero(items.item == i)
         border = np.sort(df[mine])[max(0, int(np.ceil(seed_share * len(mine))) - 1)]
         keep[mine] = df[mine] <= border
-    seeds = spark.sparkContext.broadcast((items, items.lookup(keep), names))
+    return spark.sparkContext.broadcast((items, items.lookup(keep), names))
 
-    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scored(col: pa.Array, items: Items, tables, min_score: float) -> Iterator[tuple]:
+    """Per slice: (first row, last row, row, item, score, start word, end word) of the windows at ``min_score`` or more."""
+    for lo, hi in slices(col):
+        codes, number, bounds = word_codes(col.slice(lo, hi - lo))
+        row, item, a, b = _windows(items, tables, codes, bounds)
+        if len(row):
+            score, start, end = _align_windows(items, codes, item, a, b, min_score)
+            good = np.flatnonzero(score >= min_score)
+            yield lo, hi, row[good], item[good], score[good], number[start[good]], number[end[good] - 1] + 1
+
+
+def _report(seeds, min_score: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, tables, names = seeds.value
         for batch in batches:
-            col, ids = text_column(batch, "text"), batch.column(0)
-            for lo, hi in slices(col):
-                codes, number, bounds = word_codes(col.slice(lo, hi - lo))
-                row, item, a, b = _windows(items, tables, codes, bounds)
-                if not len(row):
-                    continue
-                score, start, end = _align_windows(items, codes, item, a, b, min_score)
-                good = np.flatnonzero(score >= min_score)
-                order = good[np.lexsort((start[good], -score[good], item[good], row[good]))]
-                if not len(order):
-                    continue
+            ids = batch.column(0)
+            for lo, hi, row, item, score, start, end in _scored(text_column(batch, "text"), items, tables, min_score):
+                order = np.lexsort((start, -score, item, row))
                 key = row[order] * len(items.codes) + item[order]
-                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                n_windows = np.diff(np.append(first, len(order)))
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
                 top = order[first]
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(lo, hi - lo).take(pa.array(row[top])), names.take(pa.array(item[top])), pa.array(score[top]),
-                    pa.array(number[start[top]]), pa.array(number[end[top] - 1] + 1), pa.array(n_windows)],
+                    pa.array(start[top]), pa.array(end[top]), pa.array(np.diff(np.append(first, len(order))))],
                     ["doc_id", "item_id", "score", "start_word", "end_word", "n_windows"])
 
-    return slim.mapInArrow(matches, schema)
+    return run
+
+
+def _clean(seeds, min_score: float, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, tables, _ = seeds.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, row, *_ in _scored(text_column(batch, text_col), items, tables, min_score):
+                keep[lo + row] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

@@ -102,3 +102,33 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweave.llm.decontaminate import find_contamination
 
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op4_edit_token_counts")
+def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after a clean-up, by re-encoding only what its edits touch."""
+    import public_tokenizers
+
+    from docweave.llm.token_counts import edited_token_counts
+
+    return edited_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@register("op8_line_spread", oracle="""
+with d as (select row_number() over () as rid, doc_id, source, coalesce(text, '') as text from documents),
+l as (select rid, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d),
+k as (select *, trim(line, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) as key from l),
+b as (select key from k where key <> '' group by key having count(distinct source) >= 10),
+r as (select k.rid, count(*) as n_lines, count(b.key) as n_removed,
+             coalesce(string_agg(case when b.key is null then line end, chr(10) order by pos) filter (where b.key is null), '') as text
+      from k left join b on k.key = b.key group by k.rid)
+select d.doc_id, r.n_lines, r.n_removed, length(r.text) as n_chars, md5(r.text) as text_md5 from d join r on d.rid = r.rid
+""")
+def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that occur on ten or more sources."""
+    from pyspark.sql import functions as F
+
+    from docweave.llm.line_spread import remove_boilerplate
+
+    out = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), min_sites=10)
+    return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))

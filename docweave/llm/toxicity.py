@@ -190,26 +190,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(feature, w * r, b, per_words)
 
 
+def _scores(texts: pa.Array, shared) -> np.ndarray:
+    slots, coefficient, intercept, per_words = shared
+    out = [np.zeros(0)]
+    for lo, hi in slices(texts):
+        row, slot, value = _values(texts.slice(lo, hi - lo), slots, per_words)
+        s = np.bincount(row, value * coefficient[slot], minlength=hi - lo) + intercept
+        out.append(1 / (1 + np.exp(-np.clip(s, -500, 500))))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) per row; a null text counts as empty and gets the intercept's score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.slots(), model.coefficient, model.intercept, model.per_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, coefficient, intercept, per_words = shared.value
         for batch in batches:
-            texts = text_column(batch, "text")
-            for lo, hi in slices(texts):
-                row, slot, value = _values(texts.slice(lo, hi - lo), slots, per_words)
-                s = np.bincount(row, value * coefficient[slot], minlength=hi - lo) + intercept
-                p = 1 / (1 + np.exp(-np.clip(s, -500, 500)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["id", "score", "predicted"])
+            p = _scores(text_column(batch, "text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     slim = spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     kind = slim.schema["id"].dataType.simpleString()
     return slim.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
+def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with all its columns, without the rows that score ``threshold`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.slots(), model.coefficient, model.intercept, model.per_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(text_column(batch, text_col), shared.value) < threshold))
+
+    return spread(docs).mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that training never reads: crc32 of the id as text leaves 2 when divided by 4 (a null id: as empty text)."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
