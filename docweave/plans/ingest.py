@@ -5,9 +5,10 @@ listing (optionally trusted by length/mtime) -> fingerprint -> diff against stat
 records -> embed -> staged once -> index merge (upsert, delete stale and gone; only
 touched buckets by default) -> state merge -> stats.
 
-Order of effects follows the reference: index first, then state, pruning last.
-A crash between the index and state writes leaves state behind the index, so the
-next run repeats those documents with the same deterministic chunk ids: safe.
+Order of effects: index first, then state; each table switches by one manifest.
+A run stopped before the index switch changes nothing; one stopped between the
+two switches leaves state behind the index, so the next run repeats those
+documents with the same deterministic chunk ids.
 Intermediate tables go under the shared checkpoint folder (never a local temp dir),
 so a lost executor only re-runs its own tasks and paid embedding calls are not
 repeated by downstream stages.
@@ -28,7 +29,7 @@ from docweave.operators.embed import EmbedFn, dimension_probe, embed_chunks
 from docweave.operators.parse import parse_documents
 from docweave.operators.records import build_records
 from docweave.session import scratch_path, spread
-from docweave.sources import index_store, state as state_store, versioned
+from docweave.sources import bucketed, index_store, state as state_store, versioned
 from docweave.sources.corpus import with_fingerprint
 
 
@@ -51,18 +52,20 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
                fmt: str | None = None, limit: int = DEFAULT_LIMIT, as_of=None,
                empty_policy: str = "clear", scope_by_source: bool = True,
                config_fingerprint: str | None = None, index_layout: str = "buckets",
-               n_buckets: int = 1024, reread=None, max_reread_paths: int = 200_000) -> IngestResult:
+               n_buckets: int | None = None, reread=None, before_commit=None) -> IngestResult:
     """One incremental pass over ``corpus`` (``id, uri, source, content``).
 
     ``empty_policy``: ``"keep"`` leaves a known document that now parses to nothing as it
     was (the reference), ``"clear"`` removes its chunks and records the new hash (T1).
     ``scope_by_source`` prunes only documents of the scanned sources (T3).
     ``config_fingerprint`` folds processing settings into the hash (T2).
-    ``index_layout="buckets"`` rewrites only the index and state buckets this run touches.
+    ``index_layout="buckets"`` rewrites only the index and state buckets this run touches,
+    each table switched by one manifest (``before_commit(table)`` runs just before);
+    ``n_buckets`` counts when a table is created.
     ``reread(paths) -> corpus`` enables the listing pre-filter: a file whose length and
     modification time equal those recorded in state is trusted to be unchanged and its
-    bytes are not read; only the other files (at most ``max_reread_paths``, else a full
-    read) are read and hashed. The hash stays the rule for every file that is read.
+    bytes are not read; only the other files are read and hashed. The hash stays the rule
+    for every file that is read.
     """
     if index_layout not in ("versioned", "buckets"):
         raise ValueError("index_layout must be 'versioned' or 'buckets'")
@@ -76,7 +79,7 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     state = state_store.load_state(spark, state_root)
     listing_cols = {"length", "modificationTime"}
     if reread is not None and listing_cols <= set(corpus.columns) and not config_fingerprint:
-        fp, scanned = _prefiltered_scan(corpus, state, reread, max_reread_paths)
+        fp, scanned = _prefiltered_scan(corpus, state, reread)
     else:
         fp = with_fingerprint(corpus, config_fingerprint)
         scanned = fp
@@ -95,8 +98,12 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     if dups:
         raise ValueError(f"document ids are not unique in the corpus: {[r['doc_id'] for r in dups]}")
 
-    todo = diff.filter(F.col("status").isin(NEW, CHANGED)).select(F.col("doc_id").alias("id"))
-    docs = fp.join(todo, "id", "left_semi").withColumn("text", F.decode("content", "UTF-8")).drop("content")
+    # Only keys meet the bytes, and of the two ways to say which documents to read the one with fewer keys: on a first
+    # load nothing is unchanged and no join is left, on a usual run the few changed ids are broadcast by measured size.
+    per_status = {r["status"]: r["count"] for r in diff.groupBy("status").count().collect()}
+    few_known = per_status.get(UNCHANGED, 0) <= per_status.get(NEW, 0) + per_status.get(CHANGED, 0)
+    named = diff.filter(F.col("status") == UNCHANGED if few_known else F.col("status").isin(NEW, CHANGED))
+    docs = fp.join(named.select(F.col("doc_id").alias("id")), "id", "left_anti" if few_known else "left_semi").withColumn("text", F.decode("content", "UTF-8")).drop("content")
     chunks = plan_chunks(docs, "text", fmt, limit)
     records = embed_chunks(build_records(chunks, stamp), "content", "vector", embed_fn)
     records.write.parquet(f"{run_dir}/records")
@@ -129,7 +136,8 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
         touched = rec.select("parent_id").unionByName(
             stale_chunks(diff, changed_ids).select(F.col("doc_id").alias("parent_id"))).unionByName(
             gone_chunks(diff).select(F.col("doc_id").alias("parent_id")))
-        index_store.bucket_merge(spark, index_root, rec, doomed, touched, n_buckets, f"{run_dir}/index_stage")
+        index_store.bucket_merge(spark, index_root, rec, doomed, touched, n_buckets,
+                                 before_commit and (lambda: before_commit("index")))
         index_version = None
     else:
         old_index = index_store.load_index(spark, index_root)
@@ -153,20 +161,23 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     gone = diff.filter(F.col("status") == GONE).select("doc_id")
     rows = state_store.state_rows(fresh, stamp)
     if index_layout == "buckets":  # state follows the same layout: touched buckets only
-        versioned.bucket_replace(
+        bucketed.replace(
             spark, state_root, state_store.STATE_SCHEMA, "doc_id",
             lambda old: state_store.state_upsert(state_store.state_forget(old, gone), rows),
-            gone.unionByName(rows.select("doc_id")), n_buckets, f"{run_dir}/state_stage")
+            gone.unionByName(rows.select("doc_id")), n_buckets, before_commit and (lambda: before_commit("state")))
         state_version = None
     else:
         new_state = state_store.state_upsert(state_store.state_forget(state, gone), rows)
         state_version = versioned.write_next(new_state.repartition("doc_id"), state_root)
 
     stats_counts = counts.select("doc_id", "n_chunks")
-    return IngestResult(ingest_stats(diff, stats_counts), index_version, state_version)
+    stats = ingest_stats(diff, stats_counts)
+    stats = spark.createDataFrame(stats.collect(), stats.schema)  # one row; the run's folder is not needed any more
+    versioned.delete_folder(spark, run_dir)
+    return IngestResult(stats, index_version, state_version)
 
 
-def _prefiltered_scan(corpus: DataFrame, state: DataFrame, reread, max_paths: int):
+def _prefiltered_scan(corpus: DataFrame, state: DataFrame, reread):
     """``(fp, scanned)``: bytes and hashes of the files the listing cannot vouch for, plus
     the trusted files with the hash recorded in state (their bytes are never read)."""
     listing = corpus.select("id", "source", "length", "modificationTime", "path")  # content pruned
@@ -176,11 +187,8 @@ def _prefiltered_scan(corpus: DataFrame, state: DataFrame, reread, max_paths: in
     same = F.coalesce((F.col("_l") == F.col("length")) & (F.col("_m") == F.col("modificationTime")), F.lit(False))
     trusted = j.filter(same).select("id", "source", F.col("_h").alias("content_hash"), "length", "modificationTime")
     cand = j.filter(~same).select("id", "path")
-    n = cand.count()
-    if n <= max_paths:  # a bounded list of paths goes to the reader
-        fresh = reread([r["path"] for r in cand.select("path").collect()])
-    else:  # too many changes: read everything once
-        fresh = corpus.join(cand.select("id"), "id", "left_semi")
+    # a part of the listing, all of which Spark's file index already holds on the driver
+    fresh = reread([r["path"] for r in cand.select("path").toLocalIterator()])
     fp = with_fingerprint(fresh)
     scanned = trusted.unionByName(fp.select("id", "source", "content_hash", "length", "modificationTime"))
     return fp, scanned

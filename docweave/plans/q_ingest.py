@@ -235,6 +235,33 @@ def _page_chunks(td):
 register("page_chunks")(_page_chunks)
 
 
+OLD_VECTOR = F.array_repeat(F.lit(0.0).cast("float"), 4)
+
+
+def old_index(td):
+    """The index as the fixture state describes it: placeholder chunks of every document known before the run."""
+    known = S.state_rows(state(td), "2024-01-30 00:00:00").select("doc_id", "source", F.explode("chunk_ids").alias("id"))
+    return known.select(
+        "id", F.col("doc_id").alias("parent_id"), F.lit("old").alias("title"), F.lit("old").alias("section"),
+        F.concat(F.lit("old "), "id").alias("content"), F.col("doc_id").alias("url"), "source",
+        F.lit("2024-01-30 00:00:00").cast("timestamp").alias("updated_at"), OLD_VECTOR.alias("vector"))
+
+
+def run_from_fixture(td):
+    """The real incremental run over the whole corpus, from the fixture's index and state; returns (base folder, result)."""
+    import uuid
+
+    from docweave.plans.ingest import ingest_run
+    from docweave.session import scratch_path
+    from docweave.sources import bucketed, index_store
+
+    base = scratch_path(td.spark, f"ingest-q-{uuid.uuid4().hex}")
+    known, rows = old_index(td), S.state_rows(state(td), "2024-01-30 00:00:00")
+    bucketed.replace(td.spark, f"{base}/index", index_store.INDEX_SCHEMA, "parent_id", lambda _: known, known.select("parent_id"), 64)
+    bucketed.replace(td.spark, f"{base}/state", S.STATE_SCHEMA, "doc_id", lambda _: rows, rows.select("doc_id"), 64)
+    return base, ingest_run(corpus(td), f"{base}/index", f"{base}/state", fmt="text", as_of="2024-01-31 00:00:00")
+
+
 @register("ingest_run_stats", _with_recursive("corpus", "ingest_state") + chunks_cte() + DIFF_SQL + """
 , counts as (select id, count(*) as m from chunks group by id)
 select count(*) filter (where d.status <> 'gone') as scanned,
@@ -245,27 +272,53 @@ select count(*) filter (where d.status <> 'gone') as scanned,
 from diff d left join counts c on d.doc_id = c.id""")
 def ingest_run_stats(td):
     """The real incremental run (diff, parse, chunk, embed, index and state merge) over the
-    whole corpus, starting from the fixture state; returns the run's counters."""
-    import uuid
-
-    from docweave.plans.ingest import ingest_run
-    from docweave.session import scratch_path
-    from docweave.sources import versioned
-
-    base = scratch_path(td.spark, f"ingest-q-{uuid.uuid4().hex}")
-    rows = S.state_rows(state(td), "2024-01-31 00:00:00")
-    versioned.bucket_replace(td.spark, f"{base}/state", S.STATE_SCHEMA, "doc_id", lambda old: rows,
-                             rows.select("doc_id"), 64, f"{base}/state_stage")
-    res = ingest_run(corpus(td), f"{base}/index", f"{base}/state", fmt="text", as_of="2024-01-31 00:00:00",
-                     n_buckets=64)
-    return res.stats
+    whole corpus, starting from the fixture's index and state; returns the run's counters."""
+    return run_from_fixture(td)[1].stats
+
+
+@register("index_after_run", _with_recursive("corpus", "ingest_state") + chunks_cte() + DIFF_SQL + """
+select sha1(c.id) || '-' || cast(c.chunk_index as varchar) as id, c.id as parent_id, c.text as content, k.uri as url,
+       'chunk ' || cast(c.chunk_index as varchar) as section, split_part(c.id, ':', 1) as source, '2024-01-31' as updated,
+       1 as unit_vector
+from chunks c join corpus k on c.id = k.id join diff d on d.doc_id = c.id where d.status in ('new', 'changed')
+union all
+select sha1(s.doc_id) || '-' || cast(i as varchar) as id, s.doc_id as parent_id,
+       'old ' || sha1(s.doc_id) || '-' || cast(i as varchar) as content, s.doc_id as url, 'old' as section, s.source, '2024-01-30' as updated,
+       0 as unit_vector
+from ingest_state s, unnest(range(cast(s.n_chunks as bigint))) as r(i)
+where s.doc_id not in (select doc_id from diff where status in ('new', 'changed', 'gone'))""")
+def index_after_run(td):
+    """The index that the run wrote, read back: new chunks of new and changed documents, old ones of the rest."""
+    from docweave.sources import index_store
+
+    base, _ = run_from_fixture(td)
+    norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return index_store.load_index(td.spark, f"{base}/index").select(
+        "id", "parent_id", "content", "url", "section", "source", F.date_format("updated_at", "yyyy-MM-dd").alias("updated"),
+        F.round(norm).cast("int").alias("unit_vector"))
+
+
+@register("state_written", _with_recursive("corpus", "ingest_state") + chunks_cte() + DIFF_SQL + """
+, counts as (select id, count(*) as m from chunks group by id)
+select sha1(doc_id) as id, doc_id, source, content_hash, n_chunks, updated from (
+  select s.doc_id, s.source, s.content_hash, s.n_chunks, '2024-01-30' as updated from ingest_state s
+  where s.doc_id not in (select doc_id from diff where status in ('new', 'changed', 'gone'))
+  union all
+  select d.doc_id, d.source, d.hash as content_hash, coalesce(c.m, 0) as n_chunks, '2024-01-31' as updated
+  from diff d left join counts c on d.doc_id = c.id where d.status in ('new', 'changed'))""")
+def state_written(td):
+    """The state table that the run wrote, read back."""
+    base, _ = run_from_fixture(td)
+    return S.load_state(td.spark, f"{base}/state").select(
+        "id", "doc_id", "source", "content_hash", F.size("chunk_ids").alias("n_chunks"),
+        F.date_format("updated_at", "yyyy-MM-dd").alias("updated"))
 
 
 @register("index_batches", _with_recursive("corpus") + chunks_cte() + """
 , acts as (select sha1(id) || '-' || cast(chunk_index as varchar) as id from chunks)
-select substr(sha1(id), 1, 1) || '-' || cast(cast(floor((rn - 1) / 500) as bigint) as varchar) as batch,
+select substr(sha1(id), 1, 3) || '-' || cast(cast(floor((rn - 1) / 500) as bigint) as varchar) as batch,
        count(*) as actions
-from (select id, row_number() over (partition by substr(sha1(id), 1, 1) order by id) as rn from acts)
+from (select id, row_number() over (partition by substr(sha1(id), 1, 3) order by id) as rn from acts)
 group by 1""")
 def index_batches(td):
     """Index actions of every chunk cut into deterministic request batches of at most 500."""

@@ -4,11 +4,10 @@ Rows: ``id, parent_id, title, section, content, url, source, updated_at, vector`
 
 * ``versioned``: every run writes a full new snapshot ``v=<n>`` (atomic switch by
   ``_SUCCESS``); simple, but a run costs a rewrite of the whole index.
-* ``buckets``: the table is partitioned by ``bucket = pmod(xxhash64(parent_id), n)``;
-  a run reads only the buckets its documents touch (partition pruning), merges
-  them, and replaces just those partitions with a dynamic partition overwrite.
-  Buckets a run empties are removed. Work per run grows with the change, not with
-  the index, which is what a very large index needs.
+* ``buckets``: the table is cut by ``pmod(xxhash64(parent_id), n)`` (``bucketed``); a run
+  reads only the buckets its documents touch, writes them anew beside the old ones and
+  switches to them with one manifest. Work per run grows with the change, not with the
+  index, and a run that stops half-way changes nothing.
 
 Either way merges are keyed anti joins plus a union (mergeOrUpload by id).
 """
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.sources import versioned
+from docweave.sources import bucketed, versioned
 
 
 def index_schema(vector_type: T.DataType = T.ArrayType(T.FloatType(), False)) -> T.StructType:
@@ -46,25 +45,26 @@ SORTABLE = ("updated_at",)
 
 
 def index_ensure(records: DataFrame, dimensions: int) -> DataFrame:
-    """Records whose vector width differs from the index width (S8); empty when valid."""
-    return records.filter(F.size("vector") != F.lit(dimensions)).select("id", F.size("vector").alias("width"))
+    """Records without a vector or whose vector's width differs from the index width (S8); empty when valid."""
+    width = F.when(F.col("vector").isNotNull(), F.size("vector"))
+    return records.filter(~width.eqNullSafe(F.lit(dimensions))).select("id", width.alias("width"))
 
 
 def load_index(spark: SparkSession, root: str) -> DataFrame | None:
     """The current index, or ``None`` when no index exists (P5 handles that)."""
-    if versioned.is_bucketed(spark, root):
-        return versioned.read_bucketed(spark, root, INDEX_SCHEMA)
+    if bucketed.exists(spark, root):
+        return bucketed.read(spark, root, INDEX_SCHEMA)
     return versioned.read_latest(spark, root, INDEX_SCHEMA)
 
 
 def bucket_merge(spark: SparkSession, root: str, records: DataFrame, doomed_ids: DataFrame,
-                 touched_parents: DataFrame, n_buckets: int, stage: str) -> list[int]:
-    """Merge ``records`` and delete ``doomed_ids`` rewriting only the buckets of
+                 touched_parents: DataFrame, n_buckets: int | None = None, before_commit=None) -> list[int]:
+    """Merge ``records`` and delete ``doomed_ids``, rewriting only the buckets of
     ``touched_parents`` (``parent_id`` of every document with new, stale or gone chunks)."""
     def merge(old: DataFrame) -> DataFrame:
         return index_upsert(index_delete(old, doomed_ids), records)
 
-    return versioned.bucket_replace(spark, root, INDEX_SCHEMA, "parent_id", merge, touched_parents, n_buckets, stage)
+    return bucketed.replace(spark, root, INDEX_SCHEMA, "parent_id", merge, touched_parents, n_buckets, before_commit)
 
 
 def index_upsert(old: DataFrame, records: DataFrame) -> DataFrame:
@@ -97,22 +97,19 @@ def batch_plan(actions: DataFrame, batch_size: int = 500) -> DataFrame:
         "-", F.spark_partition_id().cast("string"), F.floor(pos / F.lit(batch_size)).cast("string")))
 
 
-def batch_plan_keyed(actions: DataFrame, key: str = "id", batch_size: int = 500,
-                     max_group_rows: int = 1_000_000) -> DataFrame:
+BATCH_GROUP_DIGITS = 3  # 4,096 groups of keys: fixed, so that a row's batch never depends on how many rows there are
+
+
+def batch_plan_keyed(actions: DataFrame, key: str = "id", batch_size: int = 500, digits: int = BATCH_GROUP_DIGITS) -> DataFrame:
     """Deterministic request batches (S11): the same actions always get the same batches.
 
-    Actions are grouped by the first ``g`` hex digits of ``sha1(key)``, with ``g`` chosen from
-    the action count so a group holds about ``max_group_rows`` rows at most; inside a group,
-    rows are numbered by key and cut every ``batch_size``. Each window runs over one bounded
-    group, so there is no global sort and no single-task window.
+    Actions are grouped by the first ``digits`` hex digits of ``sha1(key)``; inside a group,
+    rows are numbered by key and cut every ``batch_size``. Groups are even (the digest
+    spreads the keys), so a window sees 1/16^digits of the rows; keys must be unique.
     """
-    import math
-
-    n = actions.count()
-    g = max(1, math.ceil(math.log(max(n / max_group_rows, 1.0), 16))) if n > max_group_rows else 1
-    grp = F.substring(F.sha1(F.col(key).cast("string")), 1, g)
     from pyspark.sql import Window
 
+    grp = F.substring(F.sha1(F.col(key).cast("string")), 1, digits)
     w = Window.partitionBy("_g").orderBy(key)
     return actions.withColumn("_g", grp).withColumn("_rn", F.row_number().over(w)).withColumn(
         "batch", F.concat_ws("-", F.col("_g"), F.floor((F.col("_rn") - 1) / F.lit(batch_size)).cast("string"))

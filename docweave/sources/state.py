@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.hashing import state_id
-from docweave.sources import versioned
+from docweave.sources import bucketed, versioned
 
 STATE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType(), False),
@@ -33,8 +33,8 @@ def state_scan(state: DataFrame) -> DataFrame:
 
 
 def load_state(spark: SparkSession, root: str) -> DataFrame:
-    if versioned.is_bucketed(spark, root):
-        return versioned.read_bucketed(spark, root, STATE_SCHEMA)
+    if bucketed.exists(spark, root):
+        return bucketed.read(spark, root, STATE_SCHEMA)
     return versioned.read_or_empty(spark, root, STATE_SCHEMA)
 
 

@@ -88,67 +88,14 @@ def _all_version_dirs(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(m.group(1)) for st in fs.listStatus(path) if (m := _V.match(st.getPath().getName())))
 
 
-# --- bucketed tables: replace only touched partitions --------------------------------------
-
-def is_bucketed(spark: SparkSession, root: str) -> bool:
-    fs, path, _ = _fs(spark, root)
-    if not fs.exists(path):
-        return False
-    return any(st.getPath().getName().startswith("bucket=") for st in fs.listStatus(path))
-
-
 def bucket_expr(key, n_buckets: int):
+    """The bucket number of a key."""
     from pyspark.sql import functions as F
 
     col = F.col(key) if isinstance(key, str) else key
     return F.pmod(F.xxhash64(col), F.lit(n_buckets)).cast("int")
 
 
-def bucket_replace(spark: SparkSession, root: str, schema: T.StructType, key: str, merge, touched_keys: DataFrame,
-                   n_buckets: int, stage: str) -> list[int]:
-    """Rewrite only the ``bucket=<b>`` partitions that ``touched_keys`` fall in.
-
-    ``merge(old_rows) -> new_rows`` maps the current rows of the touched buckets to their new
-    content. The touched bucket numbers (at most ``n_buckets`` integers) prune the read; the
-    result is staged under ``stage`` (so the job never reads files it is replacing), written
-    with a dynamic partition overwrite, and buckets left without rows are removed.
-    """
-    from pyspark.sql import functions as F
-
-    full = T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType(), True)])
-    old = spark.createDataFrame([], schema)
-    if is_bucketed(spark, root):
-        touched = sorted({r[0] for r in touched_keys.select(bucket_expr(key, n_buckets)).distinct().collect()})
-        if not touched:
-            return []
-        old = _bucket_dirs(spark, root, full).filter(F.col("bucket").isin(touched)).drop("bucket")
-    elif latest_version(spark, root) is not None:
-        # first bucketed write over a versioned table: every bucket is written once
-        old = read_latest(spark, root, schema)
-        touched = list(range(n_buckets))
-    else:
-        touched = sorted({r[0] for r in touched_keys.select(bucket_expr(key, n_buckets)).distinct().collect()})
-        if not touched:
-            return []
-    new = merge(old).select(*[f.name for f in schema.fields]).withColumn("bucket", bucket_expr(key, n_buckets))
-    new.repartition("bucket").sortWithinPartitions(key).write.partitionBy("bucket").parquet(stage)
-    staged = spark.read.schema(full).parquet(stage)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
-    written = {r[0] for r in staged.select("bucket").distinct().collect()}
-    fs, path, jvm = _fs(spark, root)
-    for b in touched:
-        if b not in written:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"bucket={b}"), True)
-    for v in _all_version_dirs(spark, root):  # superseded snapshots of a migrated table
-        fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"v={v}"), True)
-    return touched
-
-
-def _bucket_dirs(spark: SparkSession, root: str, full: T.StructType) -> DataFrame:
-    """Only the ``bucket=`` folders (partition discovery never sees other folders)."""
-    return spark.read.schema(full).option("basePath", root).parquet(f"{root.rstrip('/')}/bucket=*")
-
-
-def read_bucketed(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    full = T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType(), True)])
-    return _bucket_dirs(spark, root, full).drop("bucket")
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)

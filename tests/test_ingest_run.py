@@ -132,25 +132,77 @@ def test_config_fingerprint_reingests(spark, scratch):
 
 
 def test_bucket_layout_touches_only_changed_buckets(spark, scratch):
-    import glob
+    from docweave.sources import bucketed
 
     src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
     _write(src, DOCS)
     ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
-    before = {d: os.path.getmtime(d) for d in glob.glob(f"{idx}/bucket=*")}
-    assert len(before) == 3 and len(glob.glob(f"{st}/bucket=*")) == 3
+    before = bucketed.manifest(spark, idx).buckets
+    assert len(before) == 3 and len(bucketed.manifest(spark, st).buckets) == 3
     _write(src, {"scale-s3-battery.md": "# S3 Scale: Battery\n\nNow 300 hours.\n"})
-    res = ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
+    res = ingest_run(corpus_from_files(spark, src), idx, st)
     assert _stats(res)["ingested"] == 1
-    after = {d: os.path.getmtime(d) for d in glob.glob(f"{idx}/bucket=*")}
-    assert sum(1 for d in before if after.get(d) != before[d]) == 1
+    after = bucketed.manifest(spark, idx).buckets
+    assert before.keys() == after.keys() and sum(before[b] != after[b] for b in before) == 1
     assert _index_ids(spark, idx) == _state_ids(spark, st)
     os.remove(os.path.join(src, "scale-s3-battery.md"))
-    ingest_run(corpus_from_files(spark, src), idx, st, index_layout="buckets", n_buckets=64)
-    assert len(glob.glob(f"{idx}/bucket=*")) == 2  # the emptied bucket is removed
+    ingest_run(corpus_from_files(spark, src), idx, st)
+    assert len(bucketed.manifest(spark, idx).buckets) == 2  # the emptied bucket is gone
+    assert bucketed.prune(spark, idx, keep=1) and bucketed.prune(spark, idx, keep=1) == []
     assert _index_ids(spark, idx) == _state_ids(spark, st)
 
 
+@pytest.mark.parametrize("stop_at", ["index", "state"])
+def test_a_stopped_commit_loses_nothing(spark, scratch, stop_at):
+    from docweave.sources import bucketed
+
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    many = {f"d{i}.md": f"# Doc {i}\n\nbody {i}\n" for i in range(12)}
+    _write(src, many)
+    ingest_run(corpus_from_files(spark, src), idx, st, n_buckets=2)
+    before = sorted(map(tuple, index_store.load_index(spark, idx).select("id", "content").collect()))
+    _write(src, {"d3.md": "# Doc 3\n\nnew body\n"})
+    os.remove(os.path.join(src, "d4.md"))
+
+    def stop(table):
+        if table == stop_at:
+            raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        ingest_run(corpus_from_files(spark, src), idx, st, before_commit=stop)
+    now = sorted(map(tuple, index_store.load_index(spark, idx).select("id", "content").collect()))
+    assert now == before if stop_at == "index" else len(now) == 11
+    res = _stats(ingest_run(corpus_from_files(spark, src), idx, st))
+    assert (res["ingested"], res["skipped"], res["pruned_docs"]) == (1, 10, 1)
+    assert _index_ids(spark, idx) == _state_ids(spark, st) and len(_index_ids(spark, idx)) == 11
+    assert _stats(ingest_run(corpus_from_files(spark, src), idx, st))["ingested"] == 0
+    assert any("data/v=" in p for p in bucketed.prune(spark, idx, keep=1))
+
+
+def test_another_bucket_count_is_refused(spark, scratch):
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    ingest_run(corpus_from_files(spark, src), idx, st, n_buckets=16)
+    _write(src, {"pump-p7-filter.md": "# P7\n\nother\n"})
+    with pytest.raises(ValueError, match="16 buckets"):
+        ingest_run(corpus_from_files(spark, src), idx, st, n_buckets=8)
+    assert _stats(ingest_run(corpus_from_files(spark, src), idx, st))["ingested"] == 1
+    assert _index_ids(spark, idx) == _state_ids(spark, st) and len(_index_ids(spark, idx)) == 3
+
+
+def test_a_run_leaves_no_scratch_folder(spark, scratch):
+    import glob
+
+    from docweave.session import ensure_checkpoint_dir
+
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{folder}/ingest-*"))
+    res = ingest_run(corpus_from_files(spark, src), idx, st)
+    assert set(glob.glob(f"{folder}/ingest-*")) == before and _stats(res)["ingested"] == 3
+
+
 def test_listing_prefilter_reads_only_changed_files(spark, scratch):
     from docweave.plans.ingest import ingest_files
 

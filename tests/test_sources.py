@@ -73,11 +73,21 @@ def test_keyed_batch_plan_is_deterministic_and_bounded(spark):
     from docweave.sources.index_store import batch_plan_keyed
 
     a = spark.range(5000).select(F.col("id").cast("string").alias("id"))
-    one = {r.id: r.batch for r in batch_plan_keyed(a, "id", 300, max_group_rows=1000).collect()}
-    two = {r.id: r.batch for r in batch_plan_keyed(a.repartition(7), "id", 300, max_group_rows=1000).collect()}
+    one = {r.id: r.batch for r in batch_plan_keyed(a, "id", 300, digits=1).collect()}
+    two = {r.id: r.batch for r in batch_plan_keyed(a.repartition(7), "id", 300, digits=1).collect()}
     assert one == two
     sizes = {}
     for b in one.values():
         sizes[b] = sizes.get(b, 0) + 1
     assert max(sizes.values()) <= 300 and sum(sizes.values()) == 5000
-    assert all(len(b.split("-")[0]) == 1 for b in one.values())  # 5,000 rows / 1,000 per group: one hex digit
+    # a row's group never depends on the number of rows
+    few = {r.id: r.batch for r in batch_plan_keyed(a.limit(40), "id", 300).collect()}
+    many = {r.id: r.batch for r in batch_plan_keyed(a, "id", 300).collect()}
+    assert all(many[k].split("-")[0] == b.split("-")[0] and len(b.split("-")[0]) == 3 for k, b in few.items())
+
+
+def test_null_and_misfit_vectors_are_reported(spark):
+    from docweave.sources.index_store import index_ensure
+
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None), ("c", [1.0])], "id string, vector array<float>")
+    assert {r.id: r.width for r in index_ensure(df, 2).collect()} == {"b": None, "c": 1}
