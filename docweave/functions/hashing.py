@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def content_hash(content: Column | str) -> Column:
-    """SHA-256 hex of the document bytes: the idempotency key (unchanged bytes -> skip)."""
+    """SHA-256 of the bytes as lowercase hex; a document whose digest is the recorded one is not processed again."""
     return F.sha2(F.col(content) if isinstance(content, str) else content, 256)
 
 

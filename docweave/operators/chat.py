@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.functions.text import distinct_options
+
 
 HISTORY_DEPTH = 10  # fixed value: messages of history per turn
 STORED_ROLES = ("user", "assistant")
@@ -121,24 +123,16 @@ def session_default(session_id: Column | str, key: Column | None = None) -> Colu
     return F.coalesce(F.nullif(s, F.lit("")), fresh)
 
 
-def parse_options(csv: str) -> list[str]:
-    """U4 for a setting: trimmed, non-empty, first-seen-order distinct (``distinct_options`` is the
-    Column form for option lists stored in a table)."""
-    seen: dict[str, None] = {}
-    for part in (csv or "").split(","):
-        if part.strip():
-            seen.setdefault(part.strip(), None)
-    return list(seen)
-
-
 def model_allowlist(requests: DataFrame, options_csv: str, requested: str = "model") -> DataFrame:
-    """Keep the requested model if allowed, else the default = first option."""
-    opts = parse_options(options_csv)
-    if not opts:
-        raise ValueError("no chat model options configured")
-    allowed = F.array(*[F.lit(o) for o in opts])
-    return requests.withColumn("resolved_model", F.when(F.array_contains(allowed, F.col(requested)),
-                                                        F.col(requested)).otherwise(F.lit(opts[0])))
+    """Keep the requested model if allowed, else the default = first option.
+
+    The options are a constant column expression, folded once by the optimizer.
+    """
+    if not options_csv or not options_csv.replace(",", " ").strip():
+        raise ValueError("the list of chat models is empty")
+    options = distinct_options(F.lit(options_csv))
+    return requests.withColumn("resolved_model", F.when(F.array_contains(options, F.col(requested)), F.col(requested))
+                               .otherwise(F.element_at(options, 1)))
 
 
 # --- completions (R6) and answers (R7) -------------------------------------------------------

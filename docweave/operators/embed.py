@@ -72,7 +72,7 @@ def dimension_probe(embed_fn: EmbedFn | None = None, dim: int = DEFAULT_DIM) ->
     """Width of the embedder's vectors (E7), from one probe string."""
     if embed_fn is None:
         return dim
-    return len(embed_fn(["dimension probe"])[0])
+    return len(embed_fn(["how wide is a vector"])[0])
 
 
 def embed_questions(questions: DataFrame, text_col: str = "message", out_col: str = "qvec",

@@ -38,21 +38,30 @@ def text_blocks(text: Column | str) -> Column:
 _MD_HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t#]*$")
 
 # HTML elements whose text is not content, and elements that end a block.
-_SKIP_TAGS = {"script", "style", "head", "nav", "noscript", "template", "svg", "iframe"}
+_SKIP_TAGS = {"script", "style", "nav", "noscript", "template", "svg", "iframe"}
 _BLOCK_TAGS = {"p", "div", "li", "td", "th", "pre", "blockquote", "section", "article", "main",
                "header", "footer", "aside", "ul", "ol", "table", "tr", "dd", "dt", "figcaption",
                "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "body", "html"}
+# Tags that may stand in a head; any other start tag ends it (its end tag is optional).
+_HEAD_TAGS = {"head", "html", "title", "meta", "link", "base", "script", "style", "noscript", "template"}
 _HEADING_TAGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 
 
+def _enter(stack: list[tuple[int, str]], level: int, text: str) -> None:
+    """A heading ends every open heading of its own level or a deeper one."""
+    while stack and stack[-1][0] >= level:
+        stack.pop()
+    stack.append((level, text))
+
+
 def _markdown(text: str) -> list[dict]:
-    stack: list[str] = []
+    stack: list[tuple[int, str]] = []
     blocks = []
     para: list[str] = []
 
     def flush():
         if para:
-            blocks.append({"text": "\n".join(para), "headings": list(stack)})
+            blocks.append({"text": "\n".join(para), "headings": [t for _, t in stack]})
             para.clear()
 
     for line in text.split("\n"):
@@ -60,7 +69,7 @@ def _markdown(text: str) -> list[dict]:
         if m:
             flush()
             level = len(m.group(1))
-            stack[:] = stack[:level - 1] + [m.group(2).strip()]
+            _enter(stack, level, m.group(2).strip())
         elif line.strip():
             para.append(line)
         else:
@@ -73,8 +82,9 @@ class _HtmlBlocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[dict] = []
-        self.stack: list[str] = []
+        self.stack: list[tuple[int, str]] = []
         self.skip = 0
+        self.in_head = False
         self.buf: list[str] = []
         self.heading_level = 0
         self.title: list[str] = []
@@ -86,11 +96,15 @@ class _HtmlBlocks(HTMLParser):
         if not text:
             return
         if self.heading_level:
-            self.stack[:] = self.stack[:self.heading_level - 1] + [text]
+            _enter(self.stack, self.heading_level, text)
         else:
-            self.blocks.append({"text": text, "headings": list(self.stack)})
+            self.blocks.append({"text": text, "headings": [t for _, t in self.stack]})
 
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.in_head = True
+        elif tag not in _HEAD_TAGS:
+            self.in_head = False
         if tag == "title":
             self.in_title = True
         if tag in _SKIP_TAGS:
@@ -103,6 +117,8 @@ class _HtmlBlocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "title":
             self.in_title = False
+        if tag == "head":
+            self.in_head = False
         if tag in _SKIP_TAGS:
             self.skip = max(0, self.skip - 1)
             return
@@ -113,7 +129,7 @@ class _HtmlBlocks(HTMLParser):
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        if not self.skip:
+        if not self.skip and not self.in_head and not self.in_title:
             self.buf.append(data)
 
     def close(self):

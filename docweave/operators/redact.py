@@ -1,13 +1,15 @@
 """Redaction of personal data.
 
 * ``deidentify``: a chain of ``regexp_replace`` (JVM, codegen) with per-kind counts.
-* ``redact_text``: a text column cut into 5,000-character pieces, sent to a scrubber
-  callable 5 pieces per call inside ``mapInPandas``, joined back in order. Any piece
-  that fails (exception, missing result) withholds the **whole** field (fail closed);
-  an exception never fails the task, so a retry can never emit raw text.
+* ``redact_text``: the regex chain over the whole text, or a scrubber callable that
+  gets 5,000-character pieces, 5 per call, inside ``mapInPandas``; pieces are joined
+  back in order. Any piece that fails (exception, missing result) withholds the
+  **whole** field (fail closed); an exception never fails the task, so a retry can
+  never emit raw text.
 * ``scrub_events``: span events whose ``scrub_keys`` marker names top-level string
   keys of the JSON ``content`` attribute; those values are redacted, everything else
-  passes through, and the marker attribute is dropped.
+  passes through, and the marker attribute is dropped. One pass over the events, row
+  by row within Arrow batches: no shuffle, and no event can get lost between parts.
 """
 
 from __future__ import annotations
@@ -131,93 +133,104 @@ def redact_text(df: DataFrame, key: str, text_col: str, scrubber: Scrubber | Non
                 out_col: str = "redacted") -> DataFrame:
     """X3 + X4 for a text column; returns ``key, out_col``.
 
-    ``scrubber=None`` applies the regex chain to every piece as JVM expressions (no Python,
-    nothing can fail); a callable (e.g. an NER service client) runs per Arrow batch, 5 pieces
-    per call, and any failed piece withholds the whole text.
+    ``scrubber=None`` applies the regex chain to the whole text as JVM expressions (no
+    service limit, so nothing is cut and no entity can hide at a cut; null: empty); a
+    callable (e.g. an NER service client) runs per Arrow batch, 5 pieces per call, and any
+    failed piece withholds the whole text.
     """
-    pieces = text_pieces(df, key, text_col)
     if scrubber is None:
-        red, _ = deidentify("piece")
-        scrubbed = pieces.select(key, "piece_no", red.alias("redacted"))
-    else:
-        scrubbed = scrub_pieces(pieces, key, scrubber)
-    return join_pieces(scrubbed, key, out_col)
+        red, _ = deidentify(F.coalesce(F.col(text_col), F.lit("")))
+        return spread(df).select(key, red.alias(out_col))
+    return join_pieces(scrub_pieces(text_pieces(df, key, text_col), key, scrubber), key, out_col)
 
 
 # --- span events (X1, X2, X5, F10) ---------------------------------------------------------------
 
 def marked_events(events: DataFrame) -> Column:
-    """Events whose payload must be scrubbed."""
-    attrs = F.col("attributes")
-    keys = F.element_at(attrs, F.lit(SCRUB_KEYS_ATTR))
-    parsed = F.from_json(keys, "array<string>")
-    return (F.col("name").startswith(CONTENT_EVENT_PREFIX) & keys.isNotNull() & (keys != "")
-            & parsed.isNotNull() & F.map_contains_key(attrs, F.lit("content")))
-
-
-def _targets_of(content, keys) -> list[str] | None:
-    """Marked top-level keys holding strings; ``None`` when payload or marker is not usable."""
+    """Events whose payload must be scrubbed (X1): a content event with a marker and a payload. Never null."""
+    keys = F.element_at("attributes", F.lit(SCRUB_KEYS_ATTR))
+    return F.coalesce(F.col("name").startswith(CONTENT_EVENT_PREFIX) & keys.isNotNull() & (keys != "")
+                      & F.map_contains_key("attributes", F.lit("content")), F.lit(False))
+
+
+def _scrub_value(text: str, scrubber: Scrubber) -> str:
+    """One value through the scrubber, in pieces (X3); withheld as a whole if any piece fails."""
+    pieces = [text[i:i + PIECE_CHARS] for i in range(0, len(text), PIECE_CHARS)] or [""]
+    out: list[str] = []
+    for i in range(0, len(pieces), PIECES_PER_CALL):
+        part = pieces[i:i + PIECES_PER_CALL]
+        try:
+            got = scrubber(part)
+        except Exception:  # noqa: BLE001 - fail closed, never fail the task
+            return WITHHELD
+        if got is None or len(got) != len(part) or any(g is None for g in got):
+            return WITHHELD
+        out += got
+    return "".join(out)
+
+
+def _scrub_payload(content: str | None, keys: str, scrub: Callable[[str], str], strict: bool) -> str | None:
+    """A marked payload with the string values of the marked keys redacted.
+
+    A marker or payload that can't be read withholds the payload under ``strict``, else it
+    passes as it is. Values that are no strings, and keys that are absent, are left alone.
+    """
     try:
-        data = json.loads(content)
-        names = json.loads(keys)
+        data, names = json.loads(content), json.loads(keys)
     except (TypeError, ValueError):
-        return None
+        data = names = None
     if not isinstance(data, dict) or not isinstance(names, list):
-        return None
-    return [n for n in names if isinstance(n, str) and isinstance(data.get(n), str)]
-
+        return WITHHELD if strict else content
+    for n in names:
+        if isinstance(n, str) and isinstance(data.get(n), str):
+            data[n] = scrub(data[n])
+    return json.dumps(data)
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _split_targets(content: pd.Series, keys: pd.Series) -> pd.Series:
-    """Names of the values to redact; null for a payload that is not a JSON object."""
-    return pd.Series([_targets_of(c, k) for c, k in zip(content, keys)])
 
+def scrub_events(events: DataFrame, scrubber: Scrubber | None = None, strict: bool = True) -> DataFrame:
+    """Redact marked events (X1-X5). ``events`` carry at least ``name`` and ``attributes``; all columns pass through.
 
-@F.pandas_udf(T.StringType())
-def _merge_values(content: pd.Series, names: pd.Series, values: pd.Series) -> pd.Series:
-    """Payload with the redacted values put back; Python ``json.dumps`` formatting."""
-    out = []
-    for c, ns, vs in zip(content, names, values):
-        if c is None:  # rows the caller withholds or passes through (UDFs see every row)
-            out.append(None)
-            continue
-        data = json.loads(c)
-        for n, v in zip(ns if ns is not None else [], vs if vs is not None else []):
-            data[n] = v
-        out.append(json.dumps(data))
-    return pd.Series(out)
-
-
-def scrub_events(events: DataFrame, scrubber: Scrubber | None = None, strict: bool = True,
-                 key: str = "event_key") -> DataFrame:
-    """Redact marked events (X1-X5). ``events``: ``event_key, span_id, name, ts, attributes``.
-
-    ``strict=True`` withholds a marked payload that is not a JSON object; ``strict=False``
-    passes it through raw, as the reference does.
+    ``scrubber=None`` runs the regex chain over whole values, a callable gets pieces.
+    ``strict`` withholds a marked payload that is no JSON object, or whose marker is no JSON
+    list; ``strict=False`` passes such a payload through raw. The marker is dropped from
+    every event that was marked and readable or withheld; other events are left unchanged.
     """
-    attrs = F.col("attributes")
-    marked = events.filter(marked_events(events))
-    other = events.filter(~marked_events(events))
-    content = F.element_at(attrs, F.lit("content"))
-    tg = _split_targets(content, F.element_at(attrs, F.lit(SCRUB_KEYS_ATTR)))
-    sp = marked.withColumn("_s", F.struct(F.when(tg.isNotNull(), content).alias("json"),
-                                          F.coalesce(tg, F.array().cast("array<string>")).alias("targets")))
-    values = sp.select(key, F.posexplode("_s.targets").alias("_i", "_name"), F.col("_s.json").alias("json")) \
-        .select(key, "_i", "_name",
-                F.element_at(F.from_json("json", "map<string,string>"), F.col("_name")).alias("_v"))
-    values = values.withColumn("_vk", F.concat_ws("#", F.col(key).cast("string"), F.col("_i").cast("string")))
-    red = redact_text(values, "_vk", "_v", scrubber, "_r")
-    back = values.join(red, "_vk").groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_name", "_r"))).alias("_vals"))
-    done = sp.join(back, key, "left")
-    new_content = F.when(F.col("_s.json").isNull(),
-                         F.lit(WITHHELD) if strict else F.element_at(attrs, F.lit("content"))) \
-        .otherwise(_merge_values(F.col("_s.json"), F.transform("_vals", lambda x: x["_name"]),
-                                 F.transform("_vals", lambda x: x["_r"])))
-    cleaned = F.map_filter(attrs, lambda k, v: k != SCRUB_KEYS_ATTR)
-    done = done.withColumn("attributes", F.map_concat(
-        F.map_filter(cleaned, lambda k, v: k != "content"), F.create_map(F.lit("content"), new_content)))
-    return done.select(*events.columns).unionByName(other)
+    src = events.withColumn("_marked", marked_events(events))
+    names = events.columns
+    attrs_at = names.index("attributes")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def scrub(text):
+            return regex_scrubber([text])[0] if scrubber is None else _scrub_value(text, scrubber)
+
+        for batch in batches:
+            marked = batch.column(len(names)).to_pylist()
+            columns = list(batch.columns[:len(names)])
+            if any(marked):
+                rows = columns[attrs_at].to_pylist()
+                for i, m in enumerate(marked):
+                    if not m:
+                        continue
+                    bag = dict(rows[i])
+                    keys = bag[SCRUB_KEYS_ATTR]
+                    new = _scrub_payload(bag["content"], keys, scrub, strict)
+                    if strict or new != bag["content"] or _is_list(keys):
+                        del bag[SCRUB_KEYS_ATTR]
+                    bag["content"] = new
+                    rows[i] = list(bag.items())
+                columns[attrs_at] = pa.array(rows, columns[attrs_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return src.mapInArrow(run, events.schema)
+
+
+def _is_list(text: str) -> bool:
+    try:
+        return isinstance(json.loads(text), list)
+    except ValueError:
+        return False
 
 
 # --- erasure (P13) ----------------------------------------------------------------------------------

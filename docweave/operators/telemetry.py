@@ -6,11 +6,11 @@ Every log query of the reference is a DataFrame here. ``ago(x)`` becomes an
 ``TimeGenerated``/``Name``/``Success`` so Catalyst pushes them into the scan (and
 prunes date partitions when the tables are written partitioned by date).
 
-Percentiles: by default ``percentile_approx`` (a mergeable quantile sketch with
-bounded memory per group, so one hot group can't blow a task's heap). It returns
-an actual data value at rank ``ceil(p*n)``, which is exact while a group is
-smaller than ``accuracy``. ``exact=True`` uses linear interpolation
-(``percentile``) and buffers every distinct value of a group.
+Percentiles are exact, with linear interpolation, and computed from counts per distinct
+value (``group_percentiles``): no group is ever gathered, and the answers do not change in
+kind with the size of a group. ``sketch=True`` takes ``percentile_approx`` instead (a
+mergeable sketch that returns a value of the data near the rank), for dashboards that
+prefer one pass over exactness.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,8 @@ from docweave.functions.text import has_any, has_term, prop_int, prop_string, st
 
 SINCE_RE = re.compile(r"^(\d+)([mhd])$")
 TRACE_RE = re.compile(r"^[0-9a-f]{32}$")
-DEFAULT_ACCURACY = 100_000  # rank error 1e-5; exact for groups under 100,000 values
+SKETCH_ACCURACY = 100_000  # rank error 1e-5
+VALUE_BINS = 1024
 
 # Workbook panel choices and defaults.
 PANEL_RANGES = ("1h", "4h", "24h", "7d")
@@ -41,7 +42,7 @@ CHANGE_FEED_STATUSES = ("Success", "Succeeded", "Accepted", "Started")
 def parse_since(since: str) -> timedelta:
     m = SINCE_RE.match(since or "")
     if not m:
-        raise ValueError("since must look like 15m, 1h, 24h or 7d")
+        raise ValueError(f"not a time span (a number and m, h or d): {since!r}")
     n, unit = int(m.group(1)), m.group(2)
     return {"m": timedelta(minutes=n), "h": timedelta(hours=n), "d": timedelta(days=n)}[unit]
 
@@ -70,7 +71,7 @@ def _as_datetime(v: str | datetime) -> datetime:
 def check_trace_id(trace_id: str) -> str:
     tid = trace_id.strip().lower()
     if not TRACE_RE.match(tid):
-        raise ValueError("trace id must be a 32-character hex string")
+        raise ValueError(f"not a trace id (32 hex digits): {trace_id!r}")
     return tid
 
 
@@ -98,10 +99,48 @@ def failed(df: DataFrame) -> DataFrame:
 
 # --- aggregates helpers --------------------------------------------------------------
 
-def pct(col: str, p: float, exact: bool = False, accuracy: int = DEFAULT_ACCURACY) -> Column:
-    if exact:
-        return F.percentile(F.col(col).cast("double"), F.lit(p))
-    return F.percentile_approx(F.col(col).cast("double"), F.lit(p), F.lit(accuracy)).cast("double")
+def group_percentiles(df: DataFrame, keys: list[str], col: str, shares: dict[str, float], sketch: bool = False) -> DataFrame:
+    """``keys`` and one column per entry of ``shares``: the percentile of ``col``'s non-null values in each group.
+
+    Exact form: values are counted per group, cut into ``VALUE_BINS`` equal ranges between
+    the group's least and greatest value, and ranked by running sums, first over a group's
+    bins, then over the values of one bin. So a group with a third of all rows is ranked by
+    many tasks. The two values around rank p * (n - 1) are interpolated.
+    """
+    if sketch:
+        return df.groupBy(*keys).agg(*[
+            F.percentile_approx(F.col(col).cast("double"), F.lit(p), F.lit(SKETCH_ACCURACY)).cast("double").alias(name)
+            for name, p in shares.items()])
+    counts = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()) \
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * VALUE_BINS).cast("int")
+    ranked = _with(counts, stats, keys).withColumn(
+        "_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.coalesce(place, F.lit(VALUE_BINS - 1)), F.lit(VALUE_BINS - 1))).otherwise(F.lit(0)))
+    bins = ranked.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_t"))
+    over_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_t").over(over_bins), F.lit(0)).alias("_before"))
+    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = _with(ranked, bins, [*keys, "_bin"]).withColumn(
+        "_at", F.col("_before") + F.coalesce(F.sum("_c").over(in_bin), F.lit(0)))
+    out = []
+    for name, p in shares.items():
+        rank = F.lit(p) * (F.col("_n") - 1)
+        low, high = F.floor(rank), F.ceil(rank)
+        holds = lambda r: (F.col("_at") <= r) & (r < F.col("_at") + F.col("_c"))
+        out += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l{name}"), F.max(F.when(holds(high), F.col("_v"))).alias(f"_h{name}"),
+                F.max(rank - low).alias(f"_f{name}")]
+    found = ranked.groupBy(*keys).agg(*out)
+    return found.select(*keys, *[(F.col(f"_l{n}") + (F.col(f"_h{n}") - F.col(f"_l{n}")) * F.col(f"_f{n}")).alias(n) for n in shares])
+
+
+def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join by keys that may be null."""
+    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return left.join(renamed, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def failures() -> Column:
@@ -110,27 +149,26 @@ def failures() -> Column:
 
 # --- stats mode (A1-A5, K1) -----------------------------------------------------------
 
-def health_requests(requests: DataFrame, as_of, since: str = "1h", exact: bool = False) -> DataFrame:
+def health_requests(requests: DataFrame, as_of, since: str = "1h", sketch: bool = False) -> DataFrame:
     """Server spans per role and name: count, failures, p50/p95/avg ms, error rate (A1)."""
-    agg = time_range(requests, as_of, since).groupBy("AppRoleName", "Name").agg(
+    rows, keys = time_range(requests, as_of, since), ["AppRoleName", "Name"]
+    agg = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("Requests"),
         failures().alias("Failures"),
-        F.round(pct("DurationMs", 0.5, exact), 0).alias("P50"),
-        F.round(pct("DurationMs", 0.95, exact), 0).alias("P95"),
         F.round(F.avg("DurationMs"), 0).alias("AvgMs"),
     )
+    agg = _with(agg, group_percentiles(rows, keys, "DurationMs", {"P50": 0.5, "P95": 0.95}, sketch), keys).select(
+        *keys, "Requests", "Failures", F.round("P50", 0).alias("P50"), F.round("P95", 0).alias("P95"), "AvgMs")
     return agg.withColumn("ErrorRatePct", F.round(F.lit(100.0) * F.col("Failures") / F.col("Requests"), 1)) \
         .orderBy(F.desc("Requests"), "AppRoleName", "Name")
 
 
-def health_dependencies(deps: DataFrame, as_of, since: str = "1h", exact: bool = False) -> DataFrame:
+def health_dependencies(deps: DataFrame, as_of, since: str = "1h", sketch: bool = False) -> DataFrame:
     """Client spans per role and name: calls, failures, p50/p95 (A2)."""
-    return time_range(deps, as_of, since).groupBy("AppRoleName", "Name").agg(
-        F.count(F.lit(1)).alias("Calls"),
-        failures().alias("Failures"),
-        F.round(pct("DurationMs", 0.5, exact), 0).alias("P50"),
-        F.round(pct("DurationMs", 0.95, exact), 0).alias("P95"),
-    ).orderBy(F.desc("Calls"), "AppRoleName", "Name")
+    rows, keys = time_range(deps, as_of, since), ["AppRoleName", "Name"]
+    agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("Calls"), failures().alias("Failures"))
+    return _with(agg, group_percentiles(rows, keys, "DurationMs", {"P50": 0.5, "P95": 0.95}, sketch), keys).select(
+        *keys, "Calls", "Failures", F.round("P50", 0).alias("P50"), F.round("P95", 0).alias("P95")).orderBy(F.desc("Calls"), "AppRoleName", "Name")
 
 
 def with_token_columns(df: DataFrame) -> DataFrame:
@@ -196,21 +234,18 @@ def recent_requests(requests: DataFrame, as_of, since: str = "1h", limit: int =
                     "OperationId", "Id").orderBy(F.desc("TimeGenerated"), "Id").limit(limit).drop("Id")
 
 
-def latency_profile(requests: DataFrame, as_of, since: str = "1h", exact: bool = False) -> DataFrame:
+def latency_profile(requests: DataFrame, as_of, since: str = "1h", sketch: bool = False) -> DataFrame:
     """count, avg and p95 by Name, AppRoleName."""
-    return time_range(requests, as_of, since).groupBy("Name", "AppRoleName").agg(
-        F.count(F.lit(1)).alias("count_"),
-        F.avg("DurationMs").alias("avg_DurationMs"),
-        pct("DurationMs", 0.95, exact).alias("p95"),
-    )
+    rows, keys = time_range(requests, as_of, since), ["Name", "AppRoleName"]
+    agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count_"), F.avg("DurationMs").alias("avg_DurationMs"))
+    return _with(agg, group_percentiles(rows, keys, "DurationMs", {"p95": 0.95}, sketch), keys)
 
 
 # --- workbook panels (A7-A11, K2-K4) -------------------------------------------------------
 
-def stage_latency(deps: DataFrame, exact: bool = False) -> DataFrame:
+def stage_latency(deps: DataFrame, sketch: bool = False) -> DataFrame:
     """p50/p95 of the read-path stages."""
-    return name_in(deps, READ_PATH_STAGES).groupBy("Name").agg(
-        pct("DurationMs", 0.5, exact).alias("p50"), pct("DurationMs", 0.95, exact).alias("p95"))
+    return group_percentiles(name_in(deps, READ_PATH_STAGES), ["Name"], "DurationMs", {"p50": 0.5, "p95": 0.95}, sketch)
 
 
 def request_volume(requests: DataFrame, term: str = CHAT_TERM, width: str = "5 minutes") -> DataFrame:
@@ -269,6 +304,11 @@ def change_feed(activity: DataFrame, limit: int = 100, key: str = "event_id") ->
 
 # --- trace mode (U2, K5, R2, R3) -----------------------------------------------------------
 
+def _by_trace(df: DataFrame, *order: str) -> DataFrame:
+    """The rows of a trace together and in order; traces are in no order among themselves (no sort of the whole table)."""
+    return df.repartition("OperationId").sortWithinPartitions("OperationId", *order)
+
+
 def union_telemetry(requests: DataFrame, deps: DataFrame, traces: DataFrame) -> DataFrame:
     """Requests, dependencies and logs under one shape: ``Op = coalesce(Name, Message)``, ``Kind = Type``."""
     u = requests.unionByName(deps, allowMissingColumns=True).unionByName(traces, allowMissingColumns=True)
@@ -284,14 +324,14 @@ def trace_timeline(requests: DataFrame, deps: DataFrame, trace_ids: str | DataFr
         u = trace_filter(u, trace_ids)
     return u.select("OperationId", "TimeGenerated", F.col("Type").alias("Kind"), "AppRoleName",
                     F.col("Name").alias("Op"), "Success", "DurationMs", "ResultCode", "Id", "ParentId") \
-        .orderBy("OperationId", "TimeGenerated", "Id")
+        .transform(_by_trace, "TimeGenerated", "Id")
 
 
 def trace_logs(rows: DataFrame) -> DataFrame:
     """Rows without a span id (logs), listed apart in time order (R2)."""
     return rows.filter(F.col("Id").isNull() | (F.col("Id") == "")) \
         .select("OperationId", "TimeGenerated", "AppRoleName", "Op") \
-        .orderBy("OperationId", "TimeGenerated")
+        .transform(_by_trace, "TimeGenerated")
 
 
 def trace_content(traces: DataFrame, trace_ids: str | DataFrame | None = None) -> DataFrame:
@@ -300,7 +340,7 @@ def trace_content(traces: DataFrame, trace_ids: str | DataFrame | None = None) -
     t = t.filter(starts_with_ci("Message", "gen_ai.content"))
     return t.select("OperationId", "TimeGenerated", F.col("Message").alias("Kind"),
                     prop_string("Properties", "content").alias("content")) \
-        .orderBy("OperationId", "TimeGenerated")
+        .transform(_by_trace, "TimeGenerated")
 
 
 # --- whole stats result as one JSON document (S14) ---------------------------------------

@@ -1,19 +1,23 @@
 """Span trees and trace lookups.
 
 The tree is built for all traces at once: a parent pointer is kept only when the
-parent span exists in the same trace (else the span is a root), then a recursive
-query walks down from the roots one level per round. Rounds = tree depth, which
-is small; each round is an equi join on ``(OperationId, parent)`` so the work is
-partitioned by trace. Self-parented or cyclic spans are never reached from a root
-and are left out, as in the reference's printer; ``unreachable_spans`` counts them.
+parent span exists in the same trace (else the span is a root), then the walk goes
+down from the roots one level a round. A round is an equi join of the spans with the
+level before it on ``(OperationId, parent)``, written to the shared folder, and rounds
+go on until a level is empty: no bound on rows or depth. Self-parented or cyclic spans
+are never reached from a root and are left out; ``unreachable_spans`` counts them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docweave.functions.text import status_label
+from docweave.session import scratch_path, staged
 
 
 def span_rows(requests: DataFrame, deps: DataFrame) -> DataFrame:
@@ -32,31 +36,29 @@ def span_parent(spans: DataFrame) -> DataFrame:
     return j.select(spans["*"], F.col("_pid").alias("parent_key"))
 
 
-def span_tree(spans: DataFrame, max_depth: int = 100) -> DataFrame:
+def span_tree(spans: DataFrame) -> DataFrame:
     """Reachable spans with depth and a root-to-span id path."""
     spark = spans.sparkSession
-    edges = span_parent(spans).select(
+    edges = staged(span_parent(spans).select(
         "OperationId", "Id", "parent_key", "TimeGenerated", "AppRoleName", "Name", "Success",
-        "DurationMs", "ResultCode")
-    _raise_recursion_limit(spark, max_depth)
-    cols = "TimeGenerated, AppRoleName, Name, Success, DurationMs, ResultCode"
-    ecols = ", ".join(f"e.{c.strip()}" for c in cols.split(","))
-    # span fields ride along in the recursion, so no join back to all spans is needed
-    tree = spark.sql(
-        f"""
-        with recursive walk as (
-          select OperationId, Id, parent_key, 0 as depth, Id as path, {cols}
-          from {{edges}} where parent_key is null
-          union all
-          select e.OperationId, e.Id, e.parent_key, w.depth + 1, w.path || '/' || e.Id, {ecols}
-          from {{edges}} e join walk w on e.OperationId = w.OperationId and e.parent_key = w.Id
-        )
-        select * from walk
-        """,
-        edges=edges,
-    )
-    return tree.select(
-        "OperationId", "Id", "parent_key", F.col("depth").cast("int").alias("depth"), "path",
+        "DurationMs", "ResultCode"), "span-edges")
+    schema = T.StructType([*edges.schema.fields, T.StructField("path", T.StringType())])
+    folder, depth = scratch_path(spark, f"span-tree-{uuid.uuid4().hex}"), 0
+    level = edges.filter(F.col("parent_key").isNull()).withColumn("path", F.col("Id"))
+    below = edges.filter(F.col("parent_key").isNotNull())
+    while True:
+        level.write.parquet(f"{folder}/depth={depth}")
+        above = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
+        if above.isEmpty():
+            break
+        above = above.select(F.col("OperationId").alias("_op"), F.col("Id").alias("_id"), F.col("path").alias("_path"))
+        # a span's own fields come from its edge, so nothing is joined back afterwards
+        level = below.join(above, (F.col("OperationId") == F.col("_op")) & (F.col("parent_key") == F.col("_id"))).select(
+            *edges.columns, F.concat_ws("/", "_path", "Id").alias("path"))
+        depth += 1
+    with_depth = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])
+    return spark.read.schema(with_depth).parquet(folder).select(
+        "OperationId", "Id", "parent_key", "depth", "path",
         "TimeGenerated", F.col("Name").alias("Op"), "AppRoleName", "DurationMs",
         status_label("Success", "ResultCode").alias("status"))
 
@@ -74,13 +76,3 @@ def trace_to_history(messages: DataFrame, spans: DataFrame) -> DataFrame:
         F.col("Name").alias("root_op"))
     return messages.join(roots, "trace_id").select(
         "trace_id", "session_id", "id", "role", "content", "trace_time", "root_op")
-
-
-def _raise_recursion_limit(spark: SparkSession, depth: int) -> None:
-    key = "spark.sql.cteRecursionLevelLimit"
-    try:
-        cur = int(spark.conf.get(key, "100"))
-        if cur < depth:
-            spark.conf.set(key, str(depth))
-    except Exception:  # older versions without the setting
-        pass

@@ -38,12 +38,6 @@ def register(name: str, oracle: str | None = None):
     return deco
 
 
-def nearest_rank(col: str, p: float) -> str:
-    """DuckDB form of the value at rank ceil(p*n) among non-null values."""
-    return (f"list_sort(list({col}) filter (where {col} is not null))"
-            f"[greatest(1, cast(ceil({p} * count({col})) as bigint))]")
-
-
 # Import the modules that fill the catalog.
 from docweave.plans import (  # noqa: E402,F401
     q_chat,

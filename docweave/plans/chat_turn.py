@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docweave.operators import chat as C
 from docweave.operators import retrieve as R
 from docweave.operators.embed import EmbedFn, embed_questions
+from docweave.session import staged
 from docweave.sources import index_store
 
 DEFAULT_SYSTEM_PROMPT = "Answer from the context below and name the titles of the sources you used."
@@ -41,27 +42,26 @@ def answer_questions(spark: SparkSession, questions: DataFrame, index_root: str,
     if index is None:  # P5: no index yet, answer without retrieval
         hits = R.empty_hits(spark, questions.schema["question_id"].dataType)
     else:
-        qv = embed_questions(q.select("question_id", "message"), "message", "qvec", embed_fn)
+        qv = staged(embed_questions(q.select("question_id", "message"), "message", "qvec", embed_fn), "question-vectors")
         hits = R.hit_projection(R.vector_topk(index, qv, k), index)
     ctx = C.hit_summary(hits)
     src = hits.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "title"))).alias("_s")) \
         .select("question_id", F.transform("_s", lambda x: x["title"]).alias("sources"))
 
-    last = C.history_last_n(messages.filter(F.col("role").isin(*C.STORED_ROLES)))
+    asked = messages.join(q.select("session_id").distinct(), "session_id", "left_semi")  # only the sessions asked about
+    last = C.history_last_n(asked.filter(F.col("role").isin(*C.STORED_ROLES)))
     hist = last.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "content"))).alias("_h")) \
         .select("session_id", F.transform("_h", lambda x: F.struct(x["role"].alias("role"),
                                                                    x["content"].alias("content"))).alias("history"))
 
     p = q.join(ctx, "question_id", "left").join(src, "question_id", "left").join(hist, "session_id", "left")
     p = p.withColumn("messages", C.build_messages(system_prompt, F.col("history"), F.col("context"), F.col("message")))
-    done = C.complete_batch(p.drop("history"), chat_fn, "messages", "resolved_model")
+    done = staged(C.complete_batch(p.drop("history"), chat_fn, "messages", "resolved_model"), "completions")
     answers = done.select(
         "question_id", "session_id", "trace_id", "answer",
         F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
         F.coalesce("sources_text", F.lit("none")).alias("sources_text"),
         F.col("resolved_model").alias("model"), "input_tokens", "output_tokens")
-    turns = answers.select(F.col("question_id").alias("turn_key"), "session_id", "trace_id", "answer",
-                           F.lit(None).cast("string").alias("_m")).join(
-        questions.select(F.col("question_id").alias("turn_key"), "message"), "turn_key").drop("_m")
+    turns = done.select(F.col("question_id").alias("turn_key"), "session_id", "trace_id", "message", "answer")
     ts = F.lit(created_at).cast("timestamp") if created_at is not None else None
     return TurnResult(answers, C.history_rows(turns, ts))

@@ -171,3 +171,32 @@ def history_append(td):
                      C.session_default(F.col("u.session_id")).alias("session_id"), F.col("u.trace_id").alias("trace_id"),
                      F.col("u.content").alias("message"), F.col("a.content").alias("answer"))
     return C.history_rows(turns).drop("created_at")
+
+
+@register("chat_turns_no_index", W("messages") + """
+, turns as (
+  select 'q' || session_id as question_id, trace_id as ignored, content as message,
+         case when cast(session_id as bigint) % 3 = 0 then substr(sha256('q' || session_id), 1, 32) else session_id end as session_id
+  from messages where seq = 0 and content is not null)
+select substr(sha256(question_id || '/' || cast(k as varchar)), 1, 32) as id, session_id,
+       case when k = 0 then 'user' else 'assistant' end as role,
+       case when k = 0 then message else 'I could not find this in the documents.' end as content,
+       md5('turn:' || question_id) as trace_id, k as order_in_turn
+from turns, (select unnest([0, 1]) as k)""")
+def chat_turns_no_index(td):
+    """A batch of chat turns before any index exists; the history rows to store.
+
+    One question per conversation (its first message); a third of them without a session.
+    """
+    from docweave.plans.chat_turn import answer_questions
+    from docweave.session import scratch_path
+
+    m = td["messages"].filter((F.col("seq") == 0) & F.col("content").isNotNull())
+    number = F.col("session_id").cast("bigint")
+    questions = m.select(
+        F.concat(F.lit("q"), "session_id").alias("question_id"),
+        F.when(number % 3 != 0, F.col("session_id")).when(number % 2 == 0, F.lit("")).alias("session_id"),
+        F.col("content").alias("message"), F.lit(None).cast("string").alias("model"))
+    stored = td["messages"].withColumn("created_at", F.col("seq"))
+    out = answer_questions(td.spark, questions, scratch_path(td.spark, "no-such-index"), stored, MODEL_OPTIONS)
+    return out.history_rows.drop("created_at")

@@ -235,16 +235,13 @@ def _page_chunks(td):
 register("page_chunks")(_page_chunks)
 
 
-OLD_VECTOR = F.array_repeat(F.lit(0.0).cast("float"), 4)
-
-
 def old_index(td):
     """The index as the fixture state describes it: placeholder chunks of every document known before the run."""
     known = S.state_rows(state(td), "2024-01-30 00:00:00").select("doc_id", "source", F.explode("chunk_ids").alias("id"))
     return known.select(
         "id", F.col("doc_id").alias("parent_id"), F.lit("old").alias("title"), F.lit("old").alias("section"),
         F.concat(F.lit("old "), "id").alias("content"), F.col("doc_id").alias("url"), "source",
-        F.lit("2024-01-30 00:00:00").cast("timestamp").alias("updated_at"), OLD_VECTOR.alias("vector"))
+        F.lit("2024-01-30 00:00:00").cast("timestamp").alias("updated_at"), F.array_repeat(F.lit(0.0).cast("float"), 4).alias("vector"))
 
 
 def run_from_fixture(td):

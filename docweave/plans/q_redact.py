@@ -33,20 +33,29 @@ def deidentify_corpus(td):
     return d.select("doc_id", "text", *[f"n_{k}" for k, _, _ in X.PII_PATTERNS])
 
 
-_PIECE_RED, _ = _chain_sql("piece")
+@register("redact_text", f"select doc_id, {_chain_sql("coalesce(text, '')")[0]} as redacted from documents")
+def redact_text(td):
+    """Whole texts through the regex chain."""
+    return X.redact_text(td["documents"], "doc_id", "text")
+
 
-PIECES_SQL = f"""
-pieces as (
+@register("redact_text_service", f"""
+with pieces as (
   select doc_id, i, substring(coalesce(text, ''), i * {X.PIECE_CHARS} + 1, {X.PIECE_CHARS}) as piece
-  from documents, unnest(range(cast(greatest(1, ceil(length(coalesce(text, '')) / {X.PIECE_CHARS})) as bigint))) as r(i)),
-red as (select doc_id, string_agg({_PIECE_RED}, '' order by i) as redacted from pieces group by doc_id)
-"""
+  from documents, unnest(range(cast(greatest(1, ceil(length(coalesce(text, '')) / {X.PIECE_CHARS})) as bigint))) as r(i))
+select doc_id, case when bool_or(contains(piece, '@')) then '{X.WITHHELD}'
+                    else string_agg('<' || replace(piece, 'e', '*') || '>', '' order by i) end as redacted
+from pieces group by doc_id""")
+def redact_text_service(td):
+    """5,000-character pieces through a callable that marks its pieces and fails on any that holds an @."""
+    return X.redact_text(td["documents"], "doc_id", "text", failing_service)
 
 
-@register("redact_text", "with " + PIECES_SQL + "select doc_id, redacted from red")
-def redact_text(td):
-    """Whole texts cut in 5,000-character pieces, scrubbed 5 per call, joined back."""
-    return X.redact_text(td["documents"], "doc_id", "text")
+def failing_service(texts):
+    """A stand-in for a redaction service that is down for some of its input."""
+    if any("@" in t for t in texts):
+        raise RuntimeError("unavailable")
+    return ["<" + t.replace("e", "*") + ">" for t in texts]
 
 
 def _events(td):
@@ -60,10 +69,10 @@ def _events(td):
                     attrs.alias("attributes"))
 
 
-@register("scrub_events", "with " + PIECES_SQL + """
-select d.doc_id as event_key, case when d.lang <> 'es' then r.redacted else d.text end as text,
-       d.lang <> 'es' as was_marked, false as has_marker
-from documents d join red r on d.doc_id = r.doc_id""")
+@register("scrub_events", f"""
+select doc_id as event_key, case when lang <> 'es' then {_RED} else text end as text,
+       lang <> 'es' as was_marked, false as has_marker
+from documents""")
 def scrub_events(td):
     """Content events of every document; marked keys redacted, marker dropped."""
     out = X.scrub_events(_events(td))
@@ -73,6 +82,37 @@ def scrub_events(td):
                       F.map_contains_key("attributes", F.lit(X.SCRUB_KEYS_ATTR)).alias("has_marker"))
 
 
+@register("scrub_events_edge", f"""
+select doc_id as event_key, doc_id % 7 as kind,
+       case when doc_id % 7 in (1, 2) then null
+            when doc_id % 7 in (0, 3, 4) then text
+            when contains(text, '@') then '{X.WITHHELD}'
+            else (select string_agg('<' || replace(substring(text, i * {X.PIECE_CHARS} + 1, {X.PIECE_CHARS}), 'e', '*') || '>', '' order by i)
+                  from unnest(range(cast(greatest(1, ceil(length(text) / {X.PIECE_CHARS})) as bigint))) as r(i)) end as text,
+       case when doc_id % 7 in (1, 2) then '{X.WITHHELD}' end as withheld,
+       doc_id % 7 = 0 as has_marker
+from documents""")
+def scrub_events_edge(td):
+    """X1-X5 on awkward events, through a service that fails on some texts.
+
+    Kinds: 0 no event name (left alone), 1 payload no JSON, 2 marker no JSON (both withheld), 3 the marked value is a
+    number, 4 nothing marked (payload as it is), 5 and 6 a marked text, withheld where the service fails.
+    """
+    d, kind = td["documents"], F.col("doc_id") % 7
+    payload = F.when(kind == 1, F.col("text")).otherwise(F.to_json(F.struct("doc_id", "lang", "text")))
+    marker = F.when(kind == 2, F.lit("not a list")).when(kind == 3, F.lit('["doc_id", "absent"]')).when(kind == 4, F.lit("[]")) \
+        .otherwise(F.lit('["text"]'))
+    events = d.select(
+        F.col("doc_id").alias("event_key"), kind.alias("kind"),
+        F.when(kind != 0, F.lit("gen_ai.content.document")).alias("name"),
+        F.create_map(F.lit("content"), payload, F.lit(X.SCRUB_KEYS_ATTR), marker).alias("attributes"))
+    out = X.scrub_events(events, failing_service)
+    content = F.element_at("attributes", F.lit("content"))
+    return out.select("event_key", "kind", F.get_json_object(content, "$.text").alias("text"),
+                      F.when(content == X.WITHHELD, content).alias("withheld"),
+                      F.map_contains_key("attributes", F.lit(X.SCRUB_KEYS_ATTR)).alias("has_marker"))
+
+
 @register("erase_subjects", W("messages") + """
 select id, session_id, role from messages
 where session_id not in (select distinct cast(user_id as varchar) from events

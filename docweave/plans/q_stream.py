@@ -124,9 +124,9 @@ t as (
   from d group by turn_id)
 select turn_id, answer, cast(input_tokens as integer) as input_tokens, cast(output_tokens as integer) as output_tokens,
        timed_out
-from t, wm where not timed_out or last_ms + {IDLE_MIN} * 60000 < wm.w""")
+from t, wm where last_ms + case when timed_out then {IDLE_MIN} * 60000 else 0 end < wm.w""")
 def stream_deltas(td):
-    """Token deltas assembled per turn with state; emitted on the usage chunk or idle timeout."""
+    """Token deltas assembled per turn with state; emitted once, after the watermark has passed the turn."""
     ev = file_stream(td.spark, td.sf_dir, "events")
     sql = token_deltas_sql("spark").replace("as completion_tokens\nfrom", "as completion_tokens, ts\nfrom")
     d = td.spark.sql(sql, events=ev)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from docweave.operators import telemetry as T
 from docweave.operators import trace as TR
-from docweave.plans.catalog import SINCE, WINDOW_START, nearest_rank, register
+from docweave.plans.catalog import SINCE, WINDOW_START, register
 from docweave.sources.testdata import AS_OF, duckdb_with
 
 W = duckdb_with
@@ -13,8 +13,8 @@ W = duckdb_with
 
 @register("health_requests", W("app_requests") + f"""
 select AppRoleName, Name, count(*) as Requests, count(*) filter (where Success = false) as Failures,
-       round({nearest_rank('DurationMs', 0.5)}, 0) as P50,
-       round({nearest_rank('DurationMs', 0.95)}, 0) as P95,
+       round(quantile_cont(DurationMs, 0.5), 0) as P50,
+       round(quantile_cont(DurationMs, 0.95), 0) as P95,
        round(avg(DurationMs), 0) as AvgMs,
        round(100.0 * (count(*) filter (where Success = false)) / count(*), 1) as ErrorRatePct
 from app_requests where TimeGenerated > {WINDOW_START}
@@ -26,8 +26,8 @@ def health_requests(td):
 
 @register("health_dependencies", W("app_dependencies") + f"""
 select AppRoleName, Name, count(*) as Calls, count(*) filter (where Success = false) as Failures,
-       round({nearest_rank('DurationMs', 0.5)}, 0) as P50,
-       round({nearest_rank('DurationMs', 0.95)}, 0) as P95
+       round(quantile_cont(DurationMs, 0.5), 0) as P50,
+       round(quantile_cont(DurationMs, 0.95), 0) as P95
 from app_dependencies where TimeGenerated > {WINDOW_START}
 group by AppRoleName, Name""")
 def health_dependencies(td):
@@ -100,7 +100,7 @@ def recent_request_failures(td):
 
 @register("latency_profile", W("app_requests") + f"""
 select Name, AppRoleName, count(*) as count_, avg(DurationMs) as avg_DurationMs,
-       {nearest_rank('DurationMs', 0.95)} as p95
+       quantile_cont(DurationMs, 0.95) as p95
 from app_requests where TimeGenerated > {WINDOW_START}
 group by Name, AppRoleName""")
 def latency_profile(td):
@@ -109,7 +109,7 @@ def latency_profile(td):
 
 
 @register("stage_latency", W("app_dependencies") + f"""
-select Name, {nearest_rank('DurationMs', 0.5)} as p50, {nearest_rank('DurationMs', 0.95)} as p95
+select Name, quantile_cont(DurationMs, 0.5) as p50, quantile_cont(DurationMs, 0.95) as p95
 from app_dependencies where Name in ('retrieve', 'llm-call')
 group by Name""")
 def stage_latency(td):
@@ -222,11 +222,16 @@ def trace_logs(td):
 
 
 @register("trace_content", W("app_traces") + """
-select OperationId, TimeGenerated, Message as Kind, cast(null as varchar) as content
+select OperationId, TimeGenerated, Message as Kind, case when event_id % 3 <> 0 then 'payload ' || cast(event_id as varchar) end as content
 from app_traces where starts_with(lower(Message), 'gen_ai.content')""")
 def trace_content(td):
-    """Content events (the fixture bag has no content key, so content is null)."""
-    return T.trace_content(td["app_traces"])
+    """Content events with their payload (two of three fixture rows carry one)."""
+    from pyspark.sql import functions as F
+
+    payload = F.create_map(F.lit("content"), F.concat(F.lit("payload "), F.col("event_id").cast("string")))
+    traces = td["app_traces"].withColumn("Properties", F.when(F.col("event_id") % 3 != 0, F.map_concat("Properties", payload))
+                                         .otherwise(F.col("Properties")))
+    return T.trace_content(traces)
 
 
 @register("retention", W("spans") + """
@@ -272,12 +277,54 @@ def span_tree(td):
 
 
 @register("trace_to_history", W("messages", "app_requests") + """
-select m.trace_id, m.session_id, m.id, m.role, m.content, r.TimeGenerated as trace_time, r.Name as root_op
-from messages m join app_requests r on m.trace_id = r.OperationId
+select r.OperationId as trace_id, m.session_id, m.id, m.role, m.content, r.TimeGenerated as trace_time, r.Name as root_op
+from messages m join app_requests r on md5(m.session_id) = r.OperationId
 where r.ParentId is null""")
 def trace_to_history(td):
-    """Stored exchange per trace (the fixture keys do not overlap, so no rows)."""
-    return TR.trace_to_history(td["messages"], td["app_requests"])
+    """Stored exchange per trace (every message keyed by the trace numbered like its session, so that keys meet)."""
+    from pyspark.sql import functions as F
+
+    return TR.trace_to_history(td["messages"].withColumn("trace_id", F.md5("session_id")), td["app_requests"])
+
+
+MID_MONTH = "2024-01-15 12:00:00"
+
+
+@register("time_windows", W("app_requests") + " union all ".join([f"""
+select '{label}' as window, count(*) as requests, count(*) filter (where Success = false) as failures
+from app_requests where TimeGenerated > timestamp '{MID_MONTH}' - interval {span}""" for label, span in (
+    ("15m", "15 minutes"), ("1h", "1 hour"), ("4h", "4 hours"), ("24h", "24 hours"), ("7d", "7 days"))]))
+def time_windows(td):
+    """Requests and failures after the start of each panel window, counted from mid-month."""
+    from pyspark.sql import functions as F
+
+    out = None
+    for since in ("15m", "1h", "4h", "24h", "7d"):
+        part = T.time_range(td["app_requests"], MID_MONTH, since).agg(
+            F.count(F.lit(1)).alias("requests"), F.count_if(~F.col("Success")).alias("failures")).select(
+            F.lit(since).alias("window"), "requests", "failures")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+ONE_TRACE = "eccbc87e4b5ce2fe28308fd9f2a7baf3"  # md5 of "3": the fixture's trace number 3
+
+
+@register("trace_by_id", W("app_requests", "app_dependencies") + f"""
+, s as (select * from app_requests union all select * from app_dependencies)
+select 'one' as asked, OperationId, Id, Name as Op from s where OperationId = '{ONE_TRACE}'
+union all
+select 'many' as asked, OperationId, Id, Name as Op from s
+where OperationId in (select md5(cast(value as varchar)) from (select distinct cast(floor(value) as bigint) as value from events))""")
+def trace_by_id(td):
+    """The spans of one trace by id, and of a table of trace ids."""
+    from pyspark.sql import functions as F
+
+    req, deps = td["app_requests"], td["app_dependencies"]
+    ids = td["events"].select(F.md5(F.floor("value").cast("bigint").cast("string")).alias("trace"))
+    one, many = T.trace_timeline(req, deps, ONE_TRACE.upper()), T.trace_timeline(req, deps, ids)
+    cols = ["OperationId", "Id", "Op"]
+    return one.select(F.lit("one").alias("asked"), *cols).unionByName(many.select(F.lit("many").alias("asked"), *cols))
 
 
 def _health_report(td):

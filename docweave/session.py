@@ -63,6 +63,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def staged(df, name: str):
+    """Write ``df`` under the shared folder and read it back: later uses neither repeat the work nor depend on its lineage."""
+    import uuid
+
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df, min_partitions: int | None = None):
     """Give CPU-heavy row-local work enough tasks.
 

@@ -67,17 +67,22 @@ def coalesce_events(events: DataFrame, run: Callable[[DataFrame, int], None], ch
     """One ingest pass per micro-batch of trigger events.
 
     ``run(subjects, batch_id)`` gets the de-duplicated subjects of the batch; the number of
-    drained events per batch is appended to ``counts_path`` (A17).
+    drained events is written to a folder of the batch's own under ``counts_path`` (A17), so a
+    replayed batch overwrites its count instead of adding to it.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        drained = batch.count()
-        if not drained:  # e.g. the no-data batch that only advances the watermark
-            return
-        if counts_path:
-            batch.sparkSession.createDataFrame([(drained, batch_id)], "drained long, batch_id long") \
-                .write.mode("append").parquet(counts_path)
-        run(batch.select("subject").dropDuplicates(["subject"]), batch_id)
+        batch = batch.persist()  # counted and handed on: read the source once
+        try:
+            drained = batch.count()
+            if not drained:  # e.g. the no-data batch that only advances the watermark
+                return
+            if counts_path:
+                batch.sparkSession.createDataFrame([(drained,)], "drained long") \
+                    .write.mode("overwrite").parquet(f"{counts_path.rstrip('/')}/batch_id={batch_id}")
+            run(batch.select("subject").dropDuplicates(["subject"]), batch_id)
+        finally:
+            batch.unpersist()
 
     w = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=POLL_INTERVAL)

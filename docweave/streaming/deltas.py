@@ -1,9 +1,11 @@
 """Streamed answer deltas assembled per turn with state.
 
-Keyed by turn, the state holds the parts seen so far. A turn is emitted when its
-usage chunk (the final chunk) arrives, or, if the stream of that turn stops, when the
-watermark passes its last event time plus ``idle`` (event-time timeout). State per turn
-is bounded by the answer length and is removed on emission.
+Keyed by turn, the state holds the parts seen so far and the usage chunk. A turn is
+emitted once, when the watermark has passed its last event (with a usage chunk) or its
+last event plus ``idle`` (without one: the stream of that turn stopped). So parts that
+arrive late, in a later micro-batch than the usage chunk, still belong to the turn, and
+the result equals the batch form on every closed turn. State per turn is bounded by the
+answer's length and removed on emission.
 """
 
 from __future__ import annotations
@@ -21,17 +23,11 @@ OUT_SCHEMA = T.StructType([
 ])
 STATE_SCHEMA = T.StructType([
     T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("deltas", T.ArrayType(T.StringType())),
-    T.StructField("last_ms", T.LongType()),
+    T.StructField("last_ms", T.LongType()), T.StructField("usage_seq", T.LongType()),
+    T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()),
 ])
 
 
-def _emit(turn, seqs, deltas, pt, ct, timed_out):
-    order = sorted(range(len(seqs)), key=lambda i: seqs[i])
-    answer = "".join(deltas[i] for i in order if deltas[i])
-    return pd.DataFrame([{"turn_id": turn, "answer": answer, "input_tokens": int(pt or 0),
-                          "output_tokens": int(ct or 0), "timed_out": timed_out}])
-
-
 def stream_deltas(deltas: DataFrame, delay: str = "10 minutes", idle_ms: int = 30 * 60 * 1000,
                   ts: str = "ts") -> DataFrame:
     """``deltas``: streaming ``turn_id, seq, delta, prompt_tokens, completion_tokens, ts``."""
@@ -41,30 +37,29 @@ def stream_deltas(deltas: DataFrame, delay: str = "10 minutes", idle_ms: int = 3
     d = d.withWatermark(ts, delay)
 
     def step(key, batches, state):
-        turn = key[0]
+        seqs, parts, last, usage = [], [], 0, (None, None, None)
+        if state.exists:
+            seqs, parts, last, *usage = state.get
+            seqs, parts = list(seqs), list(parts)
         if state.hasTimedOut:
-            seqs, parts, _ = state.get
             state.remove()
-            yield _emit(turn, list(seqs), list(parts), 0, 0, True)
+            text = "".join(p for _, p in sorted(zip(seqs, parts), key=lambda x: x[0]) if p)
+            yield pd.DataFrame([{"turn_id": key[0], "answer": text, "input_tokens": int(usage[1] or 0),
+                                 "output_tokens": int(usage[2] or 0), "timed_out": usage[0] is None}])
             return
-        seqs, parts, last = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
-        usage = None
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                seqs.append(int(r.seq))
-                parts.append(None if pd.isna(r.delta) else r.delta)
-                last = max(last, int(pd.Timestamp(getattr(r, ts)).value // 1_000_000))
-                if not (pd.isna(r.prompt_tokens) and pd.isna(r.completion_tokens)):
-                    if usage is None or int(r.seq) >= usage[0]:
-                        usage = (int(r.seq), None if pd.isna(r.prompt_tokens) else r.prompt_tokens,
-                                 None if pd.isna(r.completion_tokens) else r.completion_tokens)
-        if usage is not None:
-            state.remove()
-            yield _emit(turn, seqs, parts, usage[1], usage[2], False)
-            return
-        state.update((seqs, parts, last))
-        wm = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(last + idle_ms, wm + 1))
+            seqs += pdf["seq"].astype("int64").tolist()
+            parts += pdf["delta"].astype(object).where(pdf["delta"].notna(), None).tolist()
+            last = max(last, int(pdf[ts].astype("datetime64[us]").astype("int64").max() // 1000))
+            told = pdf[pdf["prompt_tokens"].notna() | pdf["completion_tokens"].notna()]
+            if len(told):
+                newest = told.loc[told["seq"].idxmax()]
+                if usage[0] is None or newest["seq"] >= usage[0]:
+                    usage = (int(newest["seq"]), *(None if pd.isna(newest[c]) else int(newest[c])
+                                                   for c in ("prompt_tokens", "completion_tokens")))
+        state.update((seqs, parts, last, *usage))
+        wait = last + (idle_ms if usage[0] is None else 0)
+        state.setTimeoutTimestamp(max(wait, state.getCurrentWatermarkMs() + 1))
 
     return d.groupBy("turn_id").applyInPandasWithState(
         step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)

@@ -255,6 +255,39 @@ def test_chat_turns_end_to_end(spark, scratch):
     assert {r.sources_text for r in none} == {"none"} and len(none) == 2
 
 
+def test_models_are_called_once_per_question(spark, scratch):
+    """Both results of a batch of turns derive from one embedding and one chat call per question."""
+    from docweave.plans.chat_turn import answer_questions
+
+    src, idx, st = f"{scratch}/docs", f"{scratch}/index", f"{scratch}/state"
+    _write(src, DOCS)
+    ingest_run(corpus_from_files(spark, src), idx, st)
+    log = f"{scratch}/calls.txt"
+
+    def embed(texts):
+        with open(log, "a") as fh:
+            fh.writelines("embed\n" for _ in texts)
+        return [[1.0] + [0.0] * 255 for _ in texts]
+
+    def chat(prompts, models):
+        import uuid
+
+        with open(log, "a") as fh:
+            fh.writelines("chat\n" for _ in prompts)
+        return [(f"answer {uuid.uuid4()}", 1, 1) for _ in prompts]
+
+    messages = spark.createDataFrame([("m1", "s1", "user", "hello", 1), ("m2", "s2", "user", "other", 2)],
+                                     "id string, session_id string, role string, content string, created_at long")
+    questions = spark.createDataFrame([(f"q{i}", "s1", f"question {i}", None) for i in range(5)],
+                                      "question_id string, session_id string, message string, model string")
+    res = answer_questions(spark, questions, idx, messages, "model-a", embed, chat)
+    answers = {r.answer for r in res.answers.collect()}
+    assert {r.content for r in res.history_rows.collect() if r.role == "assistant"} == answers and len(answers) == 5
+    with open(log) as fh:
+        calls = fh.read().split()
+    assert calls.count("embed") == 5 and calls.count("chat") == 5
+
+
 EDIT = st_.lists(st_.tuples(st_.sampled_from(["add", "edit", "delete"]), st_.integers(0, 5),
                             st_.integers(1, 60)), min_size=1, max_size=3)
 

@@ -22,7 +22,7 @@ def test_deidentify_counts(spark):
 
 
 def test_pieces_sizes_and_join(spark):
-    unit = "x" * 4970 + EMAIL + "y" * 5  # exactly one 5,000-char piece
+    unit = "x" * 4968 + f" {EMAIL} " + "y" * 5  # exactly one 5,000-char piece
     texts = [(0, ""), (1, "a" * 5000), (2, "b" * 5001), (3, unit * 6 + "z"), (4, "x" * 4990 + EMAIL)]
     df = spark.createDataFrame(texts, "k long, t string")
     pieces = X.text_pieces(df, "k", "t").groupBy("k").count().orderBy("k").collect()
@@ -30,8 +30,10 @@ def test_pieces_sizes_and_join(spark):
     out = {r.k: r.redacted for r in X.redact_text(df, "k", "t").collect()}
     assert out[0] == "" and out[1] == "a" * 5000 and out[2] == "b" * 5001
     assert EMAIL not in out[3] and out[3].count("[EMAIL]") == 6
-    # an entity cut by a piece boundary is not recognised in either half (trap T7, as the reference)
-    assert EMAIL in out[4]
+    assert out[4] == "x" * 4990 + "[EMAIL]" or EMAIL not in out[4]  # the chain sees the whole text, so no cut hides an entity
+    # a service gets pieces: an entity cut by a boundary reaches it in two halves (trap T7)
+    halves = {r.k: r.redacted for r in X.redact_text(df, "k", "t", X.regex_scrubber).collect()}
+    assert EMAIL in halves[4] and halves[3].count("[EMAIL]") == 6
 
 
 def test_fail_closed_when_scrubber_raises(spark):
@@ -60,6 +62,7 @@ def test_scrub_events_cases(spark):
         (4, "s4", "gen_ai.content.x", None, {"content": json.dumps(["a", EMAIL]), "scrub_keys": '["query"]'}),
         (5, "s5", "gen_ai.content.x", None, {"content": ok, "scrub_keys": "not json"}),
         (6, "s6", "gen_ai.content.x", None, {"content": ok}),
+        (7, "s7", None, None, {"content": ok, "scrub_keys": '["query"]'}),
     ]
     out = {r.event_key: r.attributes for r in X.scrub_events(_events(spark, rows)).collect()}
     c1 = json.loads(out[1]["content"])
@@ -67,9 +70,11 @@ def test_scrub_events_cases(spark):
     assert "scrub_keys" not in out[1]
     assert out[2] == rows[1][4]  # other prefix: unchanged, marker kept
     assert out[3]["content"] == X.WITHHELD and out[4]["content"] == X.WITHHELD  # strict default
-    assert out[5] == rows[4][4] and out[6] == rows[5][4]  # invalid marker / no marker: unchanged
+    assert out[5] == {"content": X.WITHHELD}  # a marker that can't be read withholds
+    assert out[6] == rows[5][4]  # no marker: unchanged
+    assert len(out) == 7 and out[7] == rows[6][4]  # no name: kept, unchanged
     lax = {r.event_key: r.attributes for r in X.scrub_events(_events(spark, rows), strict=False).collect()}
-    assert lax[3]["content"] == "not json"
+    assert lax[3]["content"] == "not json" and lax[5]["content"] == ok
 
 
 def test_scrub_events_fail_closed(spark):

@@ -40,8 +40,27 @@ def test_hot_group_percentiles(spark):
     r = {x.Name: x for x in T.health_requests(df, "2024-01-31 00:00:00", "7d").collect()}
     hot = sorted(float(i % 1000) for i in range(0, n, 3))
     assert r["hot"].Requests == n // 3
-    assert r["hot"].P50 == round(hot[-(-len(hot) * 50 // 100) - 1])
-    assert r["hot"].P95 == round(hot[-(-len(hot) * 95 // 100) - 1])
+    import numpy as np
+
+    assert r["hot"].P50 == int(np.quantile(hot, 0.5) + 0.5)
+    assert r["hot"].P95 == int(np.quantile(hot, 0.95) + 0.5)
+    sketch = {x.Name: x for x in T.health_requests(df, "2024-01-31 00:00:00", "7d", sketch=True).collect()}
+    assert abs(sketch["hot"].P95 - r["hot"].P95) <= 1
+
+
+def test_exact_percentiles_of_awkward_groups(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"one": [5.0], "same": [2.5] * 40, "two": [1.0, 2.0], "wide": [1e-9, 1.0, 1e12, -1e12], "neg": list(rng.normal(-5, 3, 999)),
+              "skew": [0.0] * 500 + list(rng.exponential(1e6, 300)), None: [3.0, 4.0, 10.0]}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("one", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r.k: [r[n] for n in shares] for r in T.group_percentiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert np.allclose(got[k], np.quantile(vs, list(shares.values())), rtol=1e-12)
 
 
 def test_ivf_skewed_list_is_split(spark):

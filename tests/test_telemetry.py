@@ -17,7 +17,7 @@ def test_argument_checks():
     for bad in ("1w", "h", "", "10"):
         with pytest.raises(ValueError):
             T.parse_since(bad)
-    assert T.check_trace_id(" 171B4070EFA1AEAF4B52D8750FB6BDF6 ") == "171b4070efa1aeaf4b52d8750fb6bdf6"
+    assert T.check_trace_id(" 00AA11BB22CC33DD44EE55FF66007788 ") == "00aa11bb22cc33dd44ee55ff66007788"
     with pytest.raises(ValueError):
         T.check_trace_id("xyz")
 
@@ -73,3 +73,18 @@ def test_trace_to_history_join(spark):
         .withColumn("TimeGenerated", F.current_timestamp())
     got = TR.trace_to_history(msgs, spans).orderBy("id").collect()
     assert [(r.id, r.root_op) for r in got] == [("m1", "POST /chat"), ("m2", "POST /chat")]
+
+
+def test_span_tree_has_no_row_or_depth_limit(spark):
+    flat = spark.range(1_100_000).select(
+        F.concat(F.lit("t"), (F.col("id") % 5000).cast("string")).alias("OperationId"), F.col("id").cast("string").alias("Id"),
+        F.lit(None).cast("string").alias("ParentId"))
+    chain = spark.createDataFrame([("deep", f"c{i}", f"c{i - 1}" if i else None) for i in range(12)],
+                                  "OperationId string, Id string, ParentId string")
+    spans = flat.unionByName(chain).withColumn("TimeGenerated", F.lit("2024-01-01").cast("timestamp")) \
+        .withColumn("AppRoleName", F.lit("x")).withColumn("Name", F.col("Id")).withColumn("Success", F.lit(True)) \
+        .withColumn("DurationMs", F.lit(1.0)).withColumn("ResultCode", F.lit("200"))
+    before = spark.conf.get("spark.sql.cteRecursionLevelLimit", None)
+    tree = TR.span_tree(spans)
+    assert tree.count() == 1_100_012 and tree.agg(F.max("depth")).first()[0] == 11
+    assert spark.conf.get("spark.sql.cteRecursionLevelLimit", None) == before
