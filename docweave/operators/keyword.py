@@ -1,17 +1,13 @@
 """Keyword search: BM25 top-k over the searchable text fields (V3).
 
-Statistics come from one pass over the documents: document frequency of the
-query vocabulary only (explode distinct words, broadcast semi join with the
-size-checked vocabulary, partial-aggregated ``count`` by term), plus document
-count and total length through a sentinel term every document carries.
-
-Scoring never joins postings with queries (a common term would pair every
-document with every query). Instead the query-term weights, whose size is
-checked, are broadcast and each task scores its own documents against all
-queries with vectorised Arrow/numpy (``mapInArrow``: words are looked up in the
-broadcast vocabulary with ``index_in``, term counts by ``unique``), keeping a local
-top-k per query; a final
-``row_number() <= k`` merges the task results.
+Document frequencies of the query terms, the document count and the total length come
+from one pass over the documents and one grouped count, as tables. Scoring never joins
+postings with queries (a common term would pair every document with every query): the
+queries are cut into blocks of bounded size, a block's term weights are broadcast, and each
+task scores its own documents against the block with vectorised Arrow/numpy
+(``mapInArrow``: words are looked up in the block's vocabulary with ``index_in``, term
+counts by ``unique``) in sub-batches of bounded size, keeping a local top-k per query; a
+final ``row_number() <= k`` merges the task results.
 """
 
 from __future__ import annotations
@@ -21,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.operators.retrieve import MAX_BROADCAST_BYTES
-from docweave.session import spread
+from docweave.operators.retrieve import MAX_BROADCAST_BYTES, keep_topk
+from docweave.session import spread, staged
 
 # BM25 parameters and the word pattern.
 K1 = 1.2
@@ -33,18 +29,6 @@ SUB_BATCH_DOCS = 256
 SENTINEL = "\u0000docs"  # never produced by WORD_PATTERN
 
 
-def _keep_topk(q: np.ndarray, s: np.ndarray, d: np.ndarray, k: int):
-    """Rows of the ``k`` best (score desc, id asc) candidates of every query."""
-    if not len(q):
-        return q, s, d
-    order = np.lexsort((d, -s, q))
-    q, s, d = q[order], s[order], d[order]
-    first = np.r_[True, q[1:] != q[:-1]]
-    group_start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-    keep = (np.arange(len(q)) - group_start) < k
-    return q[keep], s[keep], d[keep]
-
-
 def words(text: Column | str) -> Column:
     """Lower-cased letter/digit runs."""
     t = F.col(text) if isinstance(text, str) else text
@@ -54,40 +38,38 @@ def words(text: Column | str) -> Column:
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str = "doc_id", text: str = "text",
               qid: str = "qid", qtext: str = "qtext", k1: float = K1, b: float = B,
               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``qid, doc_id, score, rank`` for the ``k`` best documents of each query."""
-    spark = docs.sparkSession
+    """``qid, doc_id, score, rank`` for the ``k`` best documents of each query.
+
+    ``max_broadcast_bytes`` bounds the term weights of a block of queries; the documents are
+    scanned once for statistics and once for each block.
+    """
     d = spread(docs.select(doc_id, text)).select(doc_id, words(text).alias("_w"))
-    qt = queries.select(qid, F.explode(F.array_distinct(words(qtext))).alias("term"))
-    bound_rows = max(1, max_broadcast_bytes // 64)
-    pq = qt.limit(bound_rows + 1).toPandas()  # query terms only, never more than the bound
-    if len(pq) > bound_rows:
-        # past the broadcast bound: score the queries in hash blocks, each block's
-        # weights within the bound; the blocks' top-k rows are disjoint, so union them
-        n_blocks = -(-qt.count() // bound_rows) + 1
-        parts = None
-        for blk in range(n_blocks):
-            qb = queries.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == blk)
-            top = bm25_topk(docs, qb, k, doc_id=doc_id, text=text, qid=qid, qtext=qtext, k1=k1, b=b,
-                            max_broadcast_bytes=max_broadcast_bytes * 2)
-            parts = top if parts is None else parts.unionByName(top)
-        return parts
-
-    # One pass over the documents gives the document frequency of every query term and,
-    # through a sentinel term that every document carries, the document count and the
-    # total length. The vocabulary side is broadcast: its size is bounded by the check above.
-    vocab = sorted(set(pq["term"])) if len(pq) else []
-    vdf = spark.createDataFrame([(t,) for t in vocab] + [(SENTINEL,)], "term string")
+    qt = staged(queries.select(qid, F.explode(F.array_distinct(words(qtext))).alias("term")), "query-terms")
+    # A sentinel term that every document carries gives the document count and the total length in the same pass.
+    asked = qt.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(SENTINEL,)], "term string"))
     per_doc = d.select(F.size("_w").alias("_len"),
                        F.explode(F.array_union(F.array_distinct("_w"), F.array(F.lit(SENTINEL)))).alias("term"))
-    st = per_doc.join(F.broadcast(vdf), "term", "left_semi").groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == SENTINEL, F.col("_len"))).alias("len")) \
-        .toPandas()
-    sent = st[st["term"] == SENTINEL]
-    n_docs = int(sent["df"].iloc[0]) if len(sent) else 0
-    avgdl = float(sent["len"].iloc[0]) / n_docs if n_docs else 0.0
-    dfs = st[st["term"] != SENTINEL][["term", "df"]]
-    pw = pq.merge(dfs, on="term")
-    pw["idf"] = np.log(1.0 + (n_docs - pw["df"] + 0.5) / (pw["df"] + 0.5))
+    st = staged(per_doc.join(asked, "term", "left_semi").groupBy("term").agg(
+        F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == SENTINEL, F.col("_len"))).alias("len")), "term-stats")
+    total = st.filter(F.col("term") == SENTINEL).first()
+    n_docs = int(total["df"]) if total else 0
+    avgdl = float(total["len"]) / n_docs if n_docs else 0.0
+    idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = staged(qt.join(st.select("term", "df"), "term").select(qid, "term", idf.alias("idf")), "query-weights")
+    size = weights.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // max_broadcast_bytes))
+    out = None
+    for block in range(n_blocks):
+        pw = weights.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == block).toPandas()
+        part = _score_block(d, docs, queries, pw, avgdl, k, doc_id, qid, k1, b)
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(doc_id))
+    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _score_block(d: DataFrame, docs: DataFrame, queries: DataFrame, pw, avgdl: float, k: int, doc_id: str, qid: str,
+                 k1: float, b: float) -> DataFrame:
+    """Task-local top-k of one block of queries, given its weights (qid, term, idf)."""
     # queries without any known term score nothing, so only queries present in the weights matter
     qids = sorted(set(pw[qid].tolist())) if len(pw) else []
     qpos = {q: i for i, q in enumerate(qids)}
@@ -159,7 +141,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
                 top_q = np.concatenate([top_q, cand_q])
                 top_s = np.concatenate([top_s, sc[cand_r, cand_q]])
                 top_d = np.concatenate([top_d, ids[lo + cand_r]])
-                top_q, top_s, top_d = _keep_topk(top_q, top_s, top_d, k)
+                top_q, top_s, top_d = keep_topk(top_q, top_s, top_d, k)
         qids = v["qids"]
         yield pa.RecordBatch.from_arrays(
             [pa.array([qids[j] for j in top_q], type=arrow_q), pa.array(list(top_d), type=arrow_d),
@@ -170,6 +152,4 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
 
     arrow_q = to_arrow_type(queries.schema[qid].dataType)
     arrow_d = to_arrow_type(docs.schema[doc_id].dataType)
-    local = d.mapInArrow(run, schema)
-    w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(doc_id))
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return d.mapInArrow(run, schema)

@@ -1,19 +1,14 @@
 """Retrieval: exact vector top-k, IVF approximate top-k, hits.
 
-Exact top-k never materialises question x chunk pairs as rows. Each task scores a
-block of questions against the index rows it holds with one matrix product and
-keeps only the local top-k per question; a final ``row_number() <= k`` (planned
-as a partial + final ``WindowGroupLimit``) picks the global top-k. Output volume
-is ``tasks x questions x k``, independent of the index size.
+Exact top-k never materialises question x chunk pairs as rows. The index stays where it
+is: a block of questions of proven size is broadcast, and each task scores it against the
+rows it holds, tile by tile (at most ``TILE_Q`` x ``TILE_I`` scores at a time), keeping
+only its top-k per question; a final ``row_number() <= k`` (planned as a partial + final
+``WindowGroupLimit``) picks the global top-k. Questions beyond one block take further
+passes over the index, one for each block; index rows are never shuffled.
 
-Two ways to bring questions to the index rows:
-
-* **broadcast** when the question matrix is proven small (``count * dim * 8``
-  bytes under ``max_broadcast_bytes``): the index is scanned once, no shuffle;
-* **blocked** otherwise: questions are cut into ``B`` blocks and index rows into
-  ``G`` groups; each question block is sent to every group and each index group
-  to every block (``cogroup`` on ``(block, group)``), so every task holds at most
-  one question block and one index group, whatever the table sizes.
+The approximate form stores the index cut by list (``ivf_write``) and reads only the lists
+that the questions of a block probe.
 
 Ties are broken by the smaller id, so results are deterministic.
 """
@@ -28,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.session import staged
+
 DEFAULT_K = 3  # fixed value: retrieval depth per question
 MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 
@@ -48,43 +45,50 @@ def _prepare(mat: np.ndarray, metric: str) -> np.ndarray:
     return mat
 
 
+TILE_Q, TILE_I = 1024, 4096  # scores of one tile: 32 MiB
+
+
+def keep_topk(q: np.ndarray, s: np.ndarray, d: np.ndarray, k: int):
+    """Rows of the ``k`` best (score desc, id asc) candidates of every question."""
+    if not len(q):
+        return q, s, d
+    order = np.lexsort((d, -s, q))
+    q, s, d = q[order], s[order], d[order]
+    first = np.r_[True, q[1:] != q[:-1]]
+    group_start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    keep = (np.arange(len(q)) - group_start) < k
+    return q[keep], s[keep], d[keep]
+
+
 class _TopK:
-    """Running top-k per question over a stream of index batches."""
+    """Running top-k per question over a stream of index batches, in tiles of bounded size."""
 
-    def __init__(self, qids, qmat: np.ndarray, k: int):
-        self.qids = list(qids)
-        self.q = qmat
+    def __init__(self, n_questions: int, k: int):
         self.k = k
-        self.scores = [np.empty(0) for _ in self.qids]
-        self.ids: list[np.ndarray] = [np.empty(0, dtype=object) for _ in self.qids]
-
-    def add(self, ids, mat: np.ndarray) -> None:
-        if len(ids) == 0 or len(self.qids) == 0:
-            return
-        ids = np.asarray(ids, dtype=object)
-        s = self.q @ mat.T
-        n = s.shape[1]
-        kk = min(self.k, n)
-        kth = np.partition(s, n - kk, axis=1)[:, n - kk]
-        for i in range(len(self.qids)):
-            cand = np.nonzero(s[i] >= kth[i])[0]
-            sc = np.concatenate([self.scores[i], s[i, cand]])
-            cid = np.concatenate([self.ids[i], ids[cand]])
-            order = np.lexsort((cid, -sc))[: self.k]
-            self.scores[i], self.ids[i] = sc[order], cid[order]
-
-    def rows(self):
-        for qid, sc, cid in zip(self.qids, self.scores, self.ids):
-            for s, c in zip(sc, cid):
-                yield qid, c, float(s)
-
-
-def _out_schema(questions: DataFrame, qid: str, index: DataFrame, id_col: str) -> T.StructType:
-    return T.StructType([
-        T.StructField(qid, questions.schema[qid].dataType),
-        T.StructField(id_col, index.schema[id_col].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
+        tiles = max(1, -(-n_questions // TILE_Q))
+        self.best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)) for _ in range(tiles)]
+
+    def add(self, ids: np.ndarray, mat: np.ndarray, qmat: np.ndarray, which: np.ndarray | None = None) -> None:
+        """Score index rows against the questions ``which`` (all, if left out)."""
+        which = np.arange(len(qmat)) if which is None else which
+        for t in range(len(self.best)):
+            mine = which[(which >= t * TILE_Q) & (which < (t + 1) * TILE_Q)]
+            if not len(mine):
+                continue
+            for lo in range(0, len(ids), TILE_I):
+                part = ids[lo:lo + TILE_I]
+                s = qmat[mine] @ mat[lo:lo + TILE_I].T
+                kk = min(self.k, len(part))
+                kth = np.partition(s, len(part) - kk, axis=1)[:, len(part) - kk]
+                cq, ci = np.nonzero(s >= kth[:, None])
+                old = self.best[t]
+                self.best[t] = keep_topk(np.concatenate([old[0], mine[cq]]), np.concatenate([old[1], s[cq, ci]]),
+                                         np.concatenate([old[2], part[ci]]), self.k)
+
+    def frames(self, qids: list, columns: list[str]):
+        for q, s, d in self.best:
+            if len(q):
+                yield pd.DataFrame({columns[0]: [qids[i] for i in q], columns[1]: list(d), columns[2]: s})
 
 
 def _final_topk(local: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
@@ -100,81 +104,94 @@ def vector_topk(index: DataFrame, questions: DataFrame, k: int = DEFAULT_K, *, i
                 max_broadcast_bytes: int = MAX_BROADCAST_BYTES, blocks: int | None = None) -> DataFrame:
     """The ``k`` index rows nearest to each question: ``qid, id, score, rank``.
 
-    ``where`` is an index filter applied before ranking (P6).
+    ``where`` is an index filter applied before ranking (P6). ``blocks`` fixes the number of
+    question blocks; by default it follows from the questions' size and ``max_broadcast_bytes``.
     """
     if metric not in ("cosine", "dot"):
         raise ValueError("metric must be 'cosine' or 'dot'")
-    idx = index if where is None else index.filter(where)
-    idx = idx.select(id_col, vec_col)
-    qs = questions.select(qid, qvec)
-    # one small job proves the size of the question side before anything is broadcast
-    st = qs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("w")).first()
-    n_q, dim = int(st["n"]), int(st["w"] or 0)
-    if n_q * max(dim, 1) * 8 <= max_broadcast_bytes and blocks is None:
-        local = _broadcast_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric)
-    else:
-        # each block is at most the broadcast bound (and holds at least one question)
-        n_blocks = blocks or min(max(n_q, 1), max(2, math.ceil(n_q * max(dim, 1) * 8 / max_broadcast_bytes)))
-        local = _blocked_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric, n_blocks)
+    idx = (index if where is None else index.filter(where)).select(id_col, vec_col)
+    local = None
+    for qids, qmat in _question_blocks(questions.select(qid, qvec), qid, qvec, metric, max_broadcast_bytes, blocks):
+        part = _scan(idx, qids, qmat, k, id_col, vec_col, qid, questions.schema[qid].dataType, metric)
+        local = part if local is None else local.unionByName(part)
     return _final_topk(local, qid, id_col, k)
 
 
-def _broadcast_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric) -> DataFrame:
-    spark = idx.sparkSession
-    pq = qs.toPandas()  # bounded by the size check of the caller
-    bc = spark.sparkContext.broadcast((pq[qid].tolist(), _prepare(_matrix(pq[qvec].tolist()), metric)))
-    schema = _out_schema(qs, qid, idx, id_col)
+WIDEST = 4096  # vectors wider than this are split into blocks by their measured size only
 
-    def run(batches):
-        qids, qmat = bc.value
-        top = _TopK(qids, qmat, k)
-        for pdf in batches:
-            if len(pdf):
-                top.add(pdf[id_col].tolist(), _prepare(_matrix(pdf[vec_col].tolist()), metric))
-        rows = list(top.rows())
-        yield pd.DataFrame(rows, columns=[qid, id_col, "score"]) if rows else \
-            pd.DataFrame({qid: [], id_col: [], "score": []})
 
-    return idx.mapInPandas(run, schema)
+def _question_blocks(qs: DataFrame, qid: str, qvec: str, metric: str, max_bytes: int, blocks: int | None):
+    """(ids, matrix) of the questions, in blocks of about ``max_bytes``; the questions are evaluated once."""
+    few = max(1, max_bytes // (8 * WIDEST))
+    if blocks is None:
+        head = qs.limit(few + 1).toPandas()
+        if len(head) <= few:
+            yield head[qid].tolist(), _prepare(_matrix(head[qvec].tolist()), metric)
+            return
+    qs = staged(qs, "questions")
+    n, width = qs.agg(F.count(F.lit(1)), F.max(F.size(qvec))).first()
+    n_blocks = blocks or max(1, math.ceil(n * max(width or 1, 1) * 8 / max_bytes))
+    for b in range(min(n_blocks, max(n, 1))):
+        part = qs.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == b).toPandas()
+        yield part[qid].tolist(), _prepare(_matrix(part[qvec].tolist()), metric)
 
 
-def _blocked_scores(idx, qs, k, id_col, vec_col, qid, qvec, metric, n_blocks: int) -> DataFrame:
-    spark = idx.sparkSession
-    n_groups = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    qb = qs.withColumn("_b", F.pmod(F.xxhash64(qid), F.lit(n_blocks)).cast("int")) \
-        .withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    ib = idx.withColumn("_g", F.pmod(F.xxhash64(id_col), F.lit(n_groups)).cast("int")) \
-        .withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    schema = _out_schema(qs, qid, idx, id_col)
+def _scan(idx, qids, qmat, k, id_col, vec_col, qid, qid_type, metric, probes=None) -> DataFrame:
+    """Task-local top-k of one question block. ``probes``: list id -> questions that probe it (rows carry list_id)."""
+    bc = idx.sparkSession.sparkContext.broadcast((qids, qmat, probes))
+    schema = T.StructType([T.StructField(qid, qid_type), T.StructField(id_col, idx.schema[id_col].dataType),
+                           T.StructField("score", T.DoubleType())])
 
-    def run(_key, qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        top = _TopK(qpdf[qid].tolist(), _prepare(_matrix(qpdf[qvec].tolist()), metric), k)
-        top.add(ipdf[id_col].tolist(), _prepare(_matrix(ipdf[vec_col].tolist()), metric))
-        rows = list(top.rows())
-        return pd.DataFrame(rows, columns=[qid, id_col, "score"]) if rows else \
-            pd.DataFrame({qid: [], id_col: [], "score": []})
+    def run(batches):
+        qids, qmat, probes = bc.value
+        top = _TopK(len(qids), k)
+        for pdf in batches:
+            if not len(pdf) or not len(qids):
+                continue
+            ids = np.asarray(pdf[id_col].tolist(), dtype=object)
+            mat = _prepare(_matrix(pdf[vec_col].tolist()), metric)
+            if probes is None:
+                top.add(ids, mat, qmat)
+                continue
+            lists = pdf["list_id"].to_numpy()
+            for one in np.unique(lists):
+                rows = np.flatnonzero(lists == one)
+                if one in probes:
+                    top.add(ids[rows], mat[rows], qmat, probes[one])
+        yield from top.frames(qids, [qid, id_col, "score"])
 
-    return qb.groupBy("_b", "_g").cogroup(ib.groupBy("_b", "_g")).applyInPandas(run, schema)
+    return idx.mapInPandas(run, schema)
 
 
 # --- approximate top-k: IVF on Spark (V2) --------------------------------------------------
 
-def ivf_train(index: DataFrame, n_lists: int = 16, vec_col: str = "vector", seed: int = 7,
-              max_iter: int = 10, metric: str = "cosine"):
-    """k-means centroids of the (normalised) index vectors: ``list_id, centroid``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+TRAIN_ROWS = 20_000  # index rows that the centroids are fitted on, at most
 
-    v = _unit(vec_col) if metric == "cosine" else F.col(vec_col).cast("array<double>")
-    data = index.select(array_to_vector(v).alias("features"))
-    model = KMeans(k=n_lists, seed=seed, maxIter=max_iter, featuresCol="features").fit(data)
-    return [np.asarray(c, dtype=np.float64) for c in model.clusterCenters()]
 
+def ivf_train(index: DataFrame, n_lists: int = 16, vec_col: str = "vector", seed: int = 7,
+              max_iter: int = 10, metric: str = "cosine", train_rows: int = TRAIN_ROWS) -> list[np.ndarray]:
+    """k-means centroids of the (normalised) index vectors, fitted on a bounded sample of ``train_rows`` rows.
 
-def _unit(col: str) -> Column:
-    v = F.col(col).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: x / F.when(norm > 0, norm).otherwise(F.lit(1.0)))
+    The sample is chosen by a hash of the vector; every row is assigned to a list afterwards.
+    """
+    n = index.count()
+    ways = max(1, -(-n // train_rows))
+    rows = index.select(vec_col).filter(F.pmod(F.xxhash64(vec_col), F.lit(ways)) == 0).toPandas()[vec_col].tolist()
+    data = _prepare(_matrix(sorted(map(tuple, rows))), metric)
+    if not len(data):
+        raise ValueError("no vectors to train on")
+    rng = np.random.default_rng(seed)
+    centers = data[rng.choice(len(data), 1)]
+    while len(centers) < min(n_lists, len(data)):  # far points first, so that no list starts inside another
+        far = np.min(((data ** 2).sum(1)[:, None] - 2 * data @ centers.T + (centers ** 2).sum(1)), axis=1).clip(0)
+        centers = np.vstack([centers, data[rng.choice(len(data), p=far / far.sum()) if far.sum() else rng.integers(len(data))]])
+    for _ in range(max_iter):
+        of = np.argmax(data @ centers.T - (centers ** 2).sum(1) / 2, axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, of, data)
+        count = np.bincount(of, minlength=len(centers))[:, None]
+        centers = np.where(count > 0, sums / np.maximum(count, 1), centers)
+    return list(centers)
 
 
 def ivf_assign(df: DataFrame, centroids: list[np.ndarray], vec_col: str, nprobe: int = 1,
@@ -198,37 +215,30 @@ def ivf_assign(df: DataFrame, centroids: list[np.ndarray], vec_col: str, nprobe:
     return df.withColumn(out_col, F.explode(nearest(F.col(vec_col))))
 
 
-def vector_topk_ann(index: DataFrame, questions: DataFrame, centroids: list[np.ndarray], k: int = DEFAULT_K,
-                    nprobe: int = 4, *, id_col: str = "id", vec_col: str = "vector",
-                    qid: str = "question_id", qvec: str = "qvec", metric: str = "cosine",
-                    rows_per_task: int = 50_000) -> DataFrame:
-    """IVF search: probe the ``nprobe`` nearest lists, re-rank exactly inside them.
+def ivf_write(index: DataFrame, centroids: list[np.ndarray], path: str, *, id_col: str = "id", vec_col: str = "vector",
+              metric: str = "cosine", keep: tuple[str, ...] = ()) -> None:
+    """Store the index cut by list: one folder ``list_id=<l>`` each, large lists in many files (rebalanced by size)."""
+    rows = ivf_assign(index.select(id_col, vec_col, *keep), centroids, vec_col, 1, "list_id", metric)
+    rows.hint("rebalance", F.col("list_id")).write.partitionBy("list_id").parquet(path)
+
+
+def ivf_search(spark, path: str, centroids: list[np.ndarray], questions: DataFrame, k: int = DEFAULT_K, nprobe: int = 4, *,
+               id_col: str = "id", vec_col: str = "vector", qid: str = "question_id", qvec: str = "qvec", metric: str = "cosine",
+               max_broadcast_bytes: int = MAX_BROADCAST_BYTES, blocks: int | None = None) -> DataFrame:
+    """Top-k from the stored lists: each block of questions reads the lists that it probes, re-ranking exactly inside them.
 
-    A list can be skewed (one centroid may own a third of the index), so each list is
-    split into ``ceil(rows / rows_per_task)`` sub-blocks; questions probing the list
-    are replicated to its sub-blocks and every ``(list, sub)`` pair is one cogroup.
-    At ``nprobe = n_lists`` the result equals the exact top-k.
+    A list that holds a third of the index is many file splits, so many tasks; index rows
+    are not shuffled. At ``nprobe = n_lists`` the result equals the exact top-k.
     """
-    idx = ivf_assign(index.select(id_col, vec_col), centroids, vec_col, 1, "list_id", metric)
-    # list sizes: one small row per list (n_lists rows, bounded by the parameter)
-    sizes = {r["list_id"]: int(r["n"]) for r in idx.groupBy("list_id").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_sub = {k: max(1, -(-n // rows_per_task)) for k, n in sizes.items()}
-    subs = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in n_sub.items() for x in kv]) if n_sub
-                                   else F.create_map().cast("map<int,int>"), F.col("list_id")), F.lit(1))
-    idx = idx.withColumn("_sub", F.pmod(F.xxhash64(id_col), subs).cast("int"))
-    qs = ivf_assign(questions.select(qid, qvec), centroids, qvec, nprobe, "list_id", metric)
-    qs = qs.filter(F.col("list_id").isin(list(n_sub)) if n_sub else F.lit(False)) \
-        .withColumn("_sub", F.explode(F.sequence(F.lit(0), subs - 1)))
-    schema = _out_schema(questions, qid, index, id_col)
-
-    def run(_key, qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        top = _TopK(qpdf[qid].tolist(), _prepare(_matrix(qpdf[qvec].tolist()), metric), k)
-        top.add(ipdf[id_col].tolist(), _prepare(_matrix(ipdf[vec_col].tolist()), metric))
-        rows = list(top.rows())
-        return pd.DataFrame(rows, columns=[qid, id_col, "score"]) if rows else \
-            pd.DataFrame({qid: [], id_col: [], "score": []})
-
-    local = qs.groupBy("list_id", "_sub").cogroup(idx.groupBy("list_id", "_sub")).applyInPandas(run, schema)
+    stored = spark.read.parquet(path)
+    stored = stored.select(id_col, vec_col, F.col("list_id").cast("int").alias("list_id"))
+    cmat, local = _prepare(np.stack(centroids), metric), None
+    for qids, qmat in _question_blocks(questions.select(qid, qvec), qid, qvec, metric, max_broadcast_bytes, blocks):
+        near = np.argsort(-(qmat @ cmat.T), axis=1, kind="stable")[:, :nprobe] if len(qids) else np.zeros((0, 1), int)
+        probes = {int(one): np.flatnonzero((near == one).any(axis=1)) for one in np.unique(near)}
+        part = _scan(stored.filter(F.col("list_id").isin(list(probes)) if probes else F.lit(False)),  # prunes the folders
+                     qids, qmat, k, id_col, vec_col, qid, questions.schema[qid].dataType, metric, probes)
+        local = part if local is None else local.unionByName(part)
     return _final_topk(local, qid, id_col, k)
 
 

@@ -25,7 +25,39 @@ def test_blocked_equals_broadcast(spark):
     a = _pairs(R.vector_topk(idx, qs, 5))
     b = _pairs(R.vector_topk(idx, qs, 5, blocks=3))
     c = _pairs(R.vector_topk(idx, qs, 5, max_broadcast_bytes=20_000))  # forced past the bound
-    assert a == b == c
+    assert a == b == c and len(a) == 5 * qs.count()
+
+
+def test_many_small_tiles_equal_one(monkeypatch):
+    rng = np.random.default_rng(4)
+    q, m = rng.normal(size=(37, 6)).round(1), rng.normal(size=(211, 6)).round(1)  # rounded: many ties
+    ids = np.array([f"r{i:03d}" for i in rng.permutation(211)], dtype=object)
+    s = q @ m.T
+    want = {(i, ids[j]) for i in range(37) for j in sorted(range(211), key=lambda j: (-s[i, j], ids[j]))[:4]}
+    for tq, ti in ((1024, 4096), (5, 7), (1, 1), (64, 50)):
+        monkeypatch.setattr(R, "TILE_Q", tq)
+        monkeypatch.setattr(R, "TILE_I", ti)
+        top = R._TopK(37, 4)
+        for lo in range(0, 211, 60):
+            top.add(ids[lo:lo + 60], m[lo:lo + 60], q)
+        got = {(int(i), d) for q_, _, d_ in top.best for i, d in zip(q_, d_)}
+        assert got == want
+
+
+def test_questions_are_evaluated_once(spark, scratch):
+    idx, qs = _data(spark)
+    log = f"{scratch}/seen.txt"
+
+    def note(batches):
+        for pdf in batches:
+            with open(log, "a") as fh:
+                fh.writelines(f"{q}\n" for q in pdf["question_id"])
+            yield pdf
+
+    seen = qs.mapInPandas(note, qs.schema)
+    R.vector_topk(idx, seen, 2).collect()
+    with open(log) as fh:
+        assert len(fh.read().split()) == qs.count()
 
 
 def test_exact_matches_numpy(spark):
@@ -50,17 +82,21 @@ def test_filter_before_ranking(spark):
     assert len(rows) == 3 * qs.count()  # every question still gets k hits
 
 
-def test_ivf_recall_monotone_and_exact(spark):
+def test_ivf_recall_monotone_and_exact(spark, scratch):
     idx, qs = _data(spark)
     exact = _pairs(R.vector_topk(idx, qs, 3))
     cents = R.ivf_train(idx, n_lists=8, seed=3)
     recalls = []
+    R.ivf_write(idx, cents, f"{scratch}/ivf")
     for nprobe in (1, 2, 4, 8):
-        got = _pairs(R.vector_topk_ann(idx, qs, cents, 3, nprobe=nprobe, rows_per_task=40))
+        got = _pairs(R.ivf_search(spark, f"{scratch}/ivf", cents, qs, 3, nprobe=nprobe, blocks=1 + nprobe % 3))
         recalls.append(len({(q, i) for q, i, _ in got} & {(q, i) for q, i, _ in exact}) / len(exact))
     assert recalls == sorted(recalls)
     assert recalls[-1] == 1.0
     assert recalls[0] > 0.3
+    one = qs.filter("question_id = 1")
+    plan = R.ivf_search(spark, f"{scratch}/ivf", cents, one, 3, nprobe=2)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "list_id" in plan.split("PartitionFilters: [")[1][:60]
 
 
 def test_bm25_ranks_exact_passage_first(spark):

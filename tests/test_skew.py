@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docweave.operators import chat as C
 from docweave.operators import telemetry as T
 from docweave.operators import trace as TR
-from docweave.operators.retrieve import vector_topk_ann, ivf_train, vector_topk
+from docweave.operators.retrieve import ivf_search, ivf_write, ivf_train, vector_topk
 
 
 def test_hot_session_history(spark):
@@ -63,7 +63,7 @@ def test_exact_percentiles_of_awkward_groups(spark):
         assert np.allclose(got[k], np.quantile(vs, list(shares.values())), rtol=1e-12)
 
 
-def test_ivf_skewed_list_is_split(spark):
+def test_ivf_skewed_list(spark, scratch):
     import numpy as np
 
     rng = np.random.default_rng(1)
@@ -73,6 +73,7 @@ def test_ivf_skewed_list_is_split(spark):
     idx = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vector array<float>")
     qs = idx.limit(50).select(F.col("id").alias("question_id"), F.col("vector").alias("qvec"))
     cents = ivf_train(idx, n_lists=4, seed=2)
+    ivf_write(idx, cents, f"{scratch}/ivf")
     exact = {(r.question_id, r.id) for r in vector_topk(idx, qs, 3).collect()}
-    full = {(r.question_id, r.id) for r in vector_topk_ann(idx, qs, cents, 3, nprobe=4, rows_per_task=100).collect()}
+    full = {(r.question_id, r.id) for r in ivf_search(spark, f"{scratch}/ivf", cents, qs, 3, nprobe=4).collect()}
     assert full == exact
