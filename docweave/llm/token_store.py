@@ -146,8 +146,15 @@ class Shard:
         return self.expand(symbols[lo:hi])[start - before:stop - before]
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids binary): little-endian unsigned 32-bit ids with the end id, per row."""
+def id_type(vocabulary: int) -> str:
+    """Ids on their way to the shards: two bytes where they suffice."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids binary): little-endian ids of ``id_type`` with the end id, per row."""
+    kind = np.dtype(id_type(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
@@ -155,10 +162,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
             for lo, hi in slices(texts):
                 ids, offsets = enc.encode(texts.slice(lo, hi - lo))
                 n = hi - lo
-                out = np.full(len(ids) + n, end_id, "<u4")
+                out = np.full(len(ids) + n, end_id, kind)
                 doc = np.repeat(np.arange(n), np.diff(offsets))
                 out[np.arange(len(ids)) + doc] = ids
-                bounds = (offsets + np.arange(n + 1)) * 4
+                bounds = (offsets + np.arange(n + 1)) * kind.itemsize
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), pa.BinaryArray.from_buffers(
                     pa.binary(), n, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)])], ["id", "ids"])
 
@@ -168,12 +175,14 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str =
 
 def write_shards(encoded: DataFrame, path: str, vocabulary: int, shard_tokens: int = 1 << 19, passes: int = 6, min_count: int = 16) -> None:
     """Write (doc_id, ids) as shards in ascending doc_id order (null first; equal ids by content) to a Parquet table."""
+    kind = np.dtype(id_type(vocabulary))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, parts, total, n = [], [], 0, 0
 
         def flush():
-            counts = np.array([len(p) // 4 for p in parts], np.int64)
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            counts = np.array([len(p) // kind.itemsize for p in parts], np.int64)
+            ids = np.frombuffer(b"".join(parts), kind)
             blob = pack_shard(names, counts, ids, vocabulary, passes, min_count)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part]), pa.array([n]), pa.array([total]), pa.array([blob], pa.binary())], ["part", "shard", "n_tokens", "content"])
@@ -184,12 +193,12 @@ def write_shards(encoded: DataFrame, path: str, vocabulary: int, shard_tokens: i
                 if part is None:
                     part = batch.column(2)[i].as_py()
                 ids = batch.column(1)[i].as_py()
-                if parts and total + len(ids) // 4 > shard_tokens:
+                if parts and total + len(ids) // kind.itemsize > shard_tokens:
                     yield flush()
                     names, parts, total, n = [], [], 0, n + 1
                 names.append(batch.column(0)[i].as_py())
                 parts.append(ids)
-                total += len(ids) // 4
+                total += len(ids) // kind.itemsize
         if parts:
             yield flush()
 
@@ -233,12 +242,13 @@ def read_shards(spark, path: str) -> DataFrame:
         "doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "part", "shard")
 
 
-def token_output(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocabulary: int = 49_408, **options) -> DataFrame:
+def token_output(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, vocabulary: int = 49_408,
+                 id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Encode, write and read back all documents.
 
     A null text is encoded as empty (its end id alone); a null id sorts first; repeated rows
     are documents of their own; an empty table writes no shard. ``path`` must be a new
     folder that all executors share.
     """
-    write_shards(encode_documents(docs, tokenizer, end_id), path, vocabulary, **options)
+    write_shards(encode_documents(docs, tokenizer, end_id, vocabulary, id_col, text_col), path, vocabulary, **options)
     return read_shards(docs.sparkSession, path)
