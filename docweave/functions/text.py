@@ -139,8 +139,3 @@ def status_label(success: Column | str, result_code: Column | str) -> Column:
     """``ok`` if Success is true, else the result code, else ``FAIL``."""
     return F.when(_c(success) == F.lit(True), F.lit("ok")) \
         .otherwise(F.coalesce(F.nullif(_c(result_code), F.lit("")), F.lit("FAIL")))
-
-
-def time_bin(ts: Column | str, width: str) -> Column:
-    """``bin(ts, width)``: start of the tumbling bin (epoch aligned)."""
-    return F.window(_c(ts), width).start

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.text import distinct_options
-
+from docweave.session import staged
 
 HISTORY_DEPTH = 10  # fixed value: messages of history per turn
 STORED_ROLES = ("user", "assistant")
@@ -37,28 +37,27 @@ def history_last_n(messages: DataFrame, n: int = HISTORY_DEPTH, order_col: str =
 
 
 def history_window(messages: DataFrame, n: int = HISTORY_DEPTH, order_col: str = "seq",
-                   id_col: str = "id", session_col: str = "session_id", bucket_size: int = 100_000) -> DataFrame:
+                   id_col: str = "id", session_col: str = "session_id") -> DataFrame:
     """Each stored message with the ``n`` stored messages before it: ``history`` oldest first.
 
-    Evaluated on a user row, this is the history the reference reads before saving that
-    turn. A session is not processed as one group: messages are cut into buckets of
-    ``bucket_size`` order values, each bucket receives the last ``n`` stored rows that
-    precede it (from at most ``n`` earlier non-empty buckets), and the bounded ROWS frame
-    runs per ``(session, bucket)``. So even a session holding a third of all rows is
-    spread over many tasks, and every list holds at most ``n`` entries.
+    Evaluated on a user row, this is the history as it was before that turn was saved.
+    Messages are range-partitioned by session, order and id, whatever the order's type and
+    spacing, so a session with a third of all rows lies in many tasks. Each part gets the
+    last ``n`` rows that precede it in its session (from at most ``n`` earlier parts), and
+    the bounded ROWS frame runs within the part. Lists hold ``n`` entries at most, and one
+    session's summary has a row for each part it lies in.
     """
     stored = messages.filter(F.col("role").isin(*STORED_ROLES))
-    order = F.col(order_col)
-    if isinstance(stored.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType)):
-        order = F.unix_micros(order.cast("timestamp"))
-    rows = stored.withColumn("_b", F.floor(order / F.lit(bucket_size))).withColumn("_carry", F.lit(False))
+    parts = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored.repartitionByRange(parts, session_col, order_col, id_col).withColumn("_b", F.spark_partition_id())
+    rows = staged(ranged, "history-rows").withColumn("_carry", F.lit(False))
     item = F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i"), "role", "content")
 
-    # last n rows of every (session, bucket): a row_number limit, planned with a partial limit
+    # last n rows of every (session, part): a row_number limit, planned with a partial limit
     w_last = Window.partitionBy(session_col, "_b").orderBy(F.desc(order_col), F.desc(id_col))
     last = rows.withColumn("_r", F.row_number().over(w_last)).filter(F.col("_r") <= n)
     summ = last.groupBy(session_col, "_b").agg(F.collect_list(item).alias("_items"))
-    # the rows that precede bucket b: the newest n among the n previous non-empty buckets
+    # the rows that precede part b: the newest n among the n previous parts of the session
     w_prev = Window.partitionBy(session_col).orderBy("_b").rowsBetween(-n, -1)
     summ = summ.withColumn("_prev", F.flatten(F.collect_list("_items").over(w_prev)))
     newest = F.slice(F.reverse(F.array_sort("_prev")), 1, n)
@@ -66,30 +65,14 @@ def history_window(messages: DataFrame, n: int = HISTORY_DEPTH, order_col: str =
         session_col, "_b", F.col("_c.o").alias(order_col), F.col("_c.i").alias(id_col),
         F.col("_c.role").alias("role"), F.col("_c.content").alias("content"), F.lit(True).alias("_carry"))
 
-    both = rows.select(session_col, "_b", order_col, id_col, "role", "content", "_carry").unionByName(carry)
+    both = rows.unionByName(carry, allowMissingColumns=True)
     w = Window.partitionBy(session_col, "_b").orderBy(order_col, id_col).rowsBetween(-n, -1)
-    hist = both.withColumn("history", F.collect_list(F.struct("role", "content")).over(w)) \
-        .filter(~F.col("_carry")).select(session_col, order_col, id_col, "history")
-    return stored.join(hist, [session_col, order_col, id_col])
+    return both.withColumn("history", F.collect_list(F.struct("role", "content")).over(w)) \
+        .filter(~F.col("_carry")).drop("_b", "_carry")
 
 
 # --- prompt pieces (F7, F8, A16) ---------------------------------------------------------------
 
-def context_block(hits: DataFrame, qid: str = "question_id") -> DataFrame:
-    """``[title]\\ncontent`` of every hit, rank order, joined by a blank line."""
-    item = F.struct("rank", F.concat(F.lit("["), F.col("title"), F.lit("]\n"), F.col("content")).alias("t"))
-    return hits.groupBy(qid).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)),
-                                                          lambda x: x["t"]), "\n\n").alias("context"))
-
-
-def sources_line(hits: DataFrame, qid: str = "question_id") -> DataFrame:
-    """Hit titles in rank order, duplicates kept (A16): ``sources`` array and its UI text."""
-    item = F.struct("rank", F.col("title").alias("t"))
-    g = hits.groupBy(qid).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]).alias("sources"))
-    return g.withColumn("sources_text", F.when(F.size("sources") > 0, F.array_join("sources", ", "))
-                        .otherwise(F.lit("none")))
-
-
 def hit_summary(hits: DataFrame, qid: str = "question_id") -> DataFrame:
     """Context block (F7) and sources line (A16) of every question in one aggregation."""
     item = F.struct("rank", "title", "content")

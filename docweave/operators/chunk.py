@@ -122,8 +122,3 @@ def chunk_blocks(docs: DataFrame, blocks_col: str = "blocks", limit: int = DEFAU
 def drop_blank_chunks(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     """Keep a chunk only if its text has a non-space character."""
     return chunks.filter(F.col(text_col).rlike(r"(?U)\S"))
-
-
-def chunk_counts(chunks: DataFrame, key: str = "id") -> DataFrame:
-    """Chunks per document; documents without chunks are absent (use a left join, P3)."""
-    return chunks.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))

@@ -37,11 +37,6 @@ def ingest_diff(scanned: DataFrame, state: DataFrame, scope_by_source: bool = Tr
                     "hash", "known_hash", "chunk_ids")
 
 
-def skip_unchanged(diff: DataFrame) -> DataFrame:
-    """Documents to (re)ingest: new and changed."""
-    return diff.filter(F.col("status").isin(NEW, CHANGED))
-
-
 def gone_docs(diff: DataFrame) -> DataFrame:
     """Known but no longer seen."""
     return diff.filter(F.col("status") == GONE).select("doc_id", "source", "chunk_ids")

@@ -148,18 +148,6 @@ _PARSERS = {"markdown": _markdown, "md": _markdown, "html": _html, "htm": _html,
             "text": lambda t: [{"text": line, "headings": []} for line in t.split("\n")]}
 
 
-@F.pandas_udf(BLOCKS_TYPE)
-def parse_blocks(text: pd.Series, fmt: pd.Series) -> pd.Series:
-    """Ordered blocks of each document; an unknown format is read as plain text."""
-    out = []
-    for t, f in zip(text, fmt):
-        if t is None:
-            out.append([])
-            continue
-        out.append(_PARSERS.get((f or "text").lower(), _PARSERS["text"])(t))
-    return pd.Series(out)
-
-
 def format_of(uri: Column | str) -> Column:
     """Format from the file extension: md/markdown, htm/html, else text."""
     u = F.col(uri) if isinstance(uri, str) else uri
@@ -192,8 +180,3 @@ def parse_documents(corpus: DataFrame, text_col: str = "text", fmt: Column | str
             yield out
 
     return src.mapInPandas(run, schema)
-
-
-def doc_title(uri: Column | str, first_chunk_headings: Column | str | None) -> Column:
-    """Title of a parsed document."""
-    return derive_title(uri, first_chunk_headings)

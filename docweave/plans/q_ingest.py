@@ -99,6 +99,27 @@ def corpus_scan(td):
                      F.length("content").cast("bigint").alias("n_bytes"))
 
 
+@register("corpus_sources", W("corpus") + """
+select id, uri, source, sha256(text) as content_hash, 'text/plain' as content_type from corpus
+union all
+select 'web:' || cast(page_id as varchar) as id, url as uri, 'web' as source, sha256(html) as content_hash,
+       case when url like '%.html' then 'text/html' else 'application/octet-stream' end as content_type from pages
+union all
+select 'made:' || cast(i as varchar) as id, 'made/' || cast(i as varchar) || '.md' as uri, 'made' as source,
+       sha256('# Item' || chr(10) || chr(10) || 'body of made/' || cast(i as varchar) || '.md') as content_hash, 'text/markdown' as content_type
+from (select unnest(range(count(*))) as i from nation)""")
+def corpus_sources(td):
+    """Documents, web pages and a connector's documents (one for each nation) as one corpus."""
+    from docweave.plans.stand_ins import TableSource
+    from docweave.sources.corpus import corpus_from_source, corpus_union
+
+    pages = td["pages"].select(
+        F.concat(F.lit("web:"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("uri"), F.lit("web").alias("source"),
+        F.encode("html", "UTF-8").alias("content"))
+    made = corpus_from_source(td.spark, TableSource(td["nation"].count()))
+    return with_fingerprint(corpus_union(corpus(td), pages, made)).select("id", "uri", "source", "content_hash", "content_type")
+
+
 @register("ingest_diff", W("corpus", "ingest_state") + DIFF_SQL + """
 select doc_id, source, status, hash, known_hash, known_chunks from diff""")
 def ingest_diff(td):
@@ -323,3 +344,23 @@ def index_batches(td):
 
     acts = build_records(chunks(td)).select("id")
     return batch_plan_keyed(acts, "id", 500).groupBy("batch").agg(F.count(F.lit(1)).alias("actions"))
+
+
+@register("index_by_updated", W("corpus", "ingest_state") + """
+select sha1(doc_id) || '-' || cast(i as varchar) as id, doc_id as parent_id,
+       timestamp '2024-01-01 00:00:00' + interval (n_chunks) hour as updated_at,
+       row_number() over (order by timestamp '2024-01-01 00:00:00' + interval (n_chunks) hour desc,
+                          sha1(doc_id) || '-' || cast(i as varchar)) as place
+from ingest_state, unnest(range(cast(n_chunks as bigint))) as r(i)
+qualify place <= 100""")
+def index_by_updated(td):
+    """V5: the newest 100 index rows (the feature is a top list), ties by id, with their place."""
+    from pyspark.sql import Window
+
+    from docweave.operators.retrieve import sort_by_updated
+
+    known = state(td).select("doc_id", F.size("chunk_ids").alias("n"), F.explode("chunk_ids").alias("id"))
+    when = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, n, 0, 0)")
+    rows = known.select("id", F.col("doc_id").alias("parent_id"), when.alias("updated_at"))
+    top = sort_by_updated(rows, 100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).cast("bigint"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docweave.operators import redact as X
 from docweave.plans.catalog import register
+from docweave.plans.stand_ins import failing_service
 from docweave.sources.testdata import duckdb_with
 
 W = duckdb_with
@@ -51,13 +52,6 @@ def redact_text_service(td):
     return X.redact_text(td["documents"], "doc_id", "text", failing_service)
 
 
-def failing_service(texts):
-    """A stand-in for a redaction service that is down for some of its input."""
-    if any("@" in t for t in texts):
-        raise RuntimeError("unavailable")
-    return ["<" + t.replace("e", "*") + ">" for t in texts]
-
-
 def _events(td):
     d = td["documents"]
     marker = F.when(F.col("lang") != "es", F.lit('["text"]'))

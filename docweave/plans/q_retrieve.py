@@ -148,6 +148,21 @@ def embed_chunks_q(td):
                     F.round(norm, 6).alias("norm"))
 
 
+@register("embed_callable", """
+select item_id, text, cast(length(text) as double) as w0, cast(length(text) - length(replace(text, 'a', '')) as double) as w1,
+       cast(length(text) - length(replace(text, 'e', '')) as double) as w2,
+       cast(length(text) - length(replace(text, chr(10), '')) as double) as w3, 4 as width
+from benchmark""")
+def embed_callable(td):
+    """A callable embedder gets texts in batches of seven; every vector belongs to its own text."""
+    from docweave.operators.embed import dimension_probe
+    from docweave.plans.stand_ins import letter_counts
+
+    q = embed_chunks(td["benchmark"], "text", "v", letter_counts, batch_size=7)
+    return q.select("item_id", "text", *[F.col("v")[i].cast("double").alias(f"w{i}") for i in range(4)],
+                    F.lit(dimension_probe(letter_counts)).alias("width"))
+
+
 BM25_CTE = """
 , docs as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as words from documents),
 stats as (select count(*) as n, avg(len(words)) as avgdl from docs),

@@ -350,3 +350,27 @@ def health_report_requests(td):
     doc = rep.select(F.from_json("report", schema).alias("d"))
     return doc.select(F.col("d.window").alias("window"), F.explode("d.requests").alias("r")).select(
         "window", "r.AppRoleName", "r.Name", "r.Requests", "r.Failures")
+
+
+@register("telemetry_days", W("spans") + """
+select 'kept' as part, Type, count(*) as n, min(TimeGenerated) as first from spans
+where TimeGenerated > timestamp '2024-01-28 00:00:00' group by Type
+union all
+select 'expired days' as part, strftime(TimeGenerated, '%Y-%m-%d') as Type, count(*) as n, min(TimeGenerated) as first from spans
+where TimeGenerated < timestamp '2024-01-08 00:00:00' group by 2""")
+def telemetry_days(td):
+    """Spans stored by day, a three-day window read back, and the day folders a 23-day retention drops."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from docweave.session import scratch_path
+    from docweave.sources import telemetry_store as TS
+
+    root = scratch_path(td.spark, f"telemetry-{uuid.uuid4().hex}")
+    TS.write_by_day(td["spans"], root)
+    stats = [F.count(F.lit(1)).alias("n"), F.min("TimeGenerated").alias("first")]
+    kept = TS.read_window(td.spark, root, AS_OF, "3d").groupBy("Type").agg(*stats)
+    days = [d.removeprefix("day=") for d in TS.retention_days(td.spark, root, AS_OF, 23)]
+    old = td.spark.read.parquet(root).filter(F.col("day").cast("string").isin(days)).groupBy(F.col("day").cast("string").alias("Type")).agg(*stats)
+    return kept.select(F.lit("kept").alias("part"), "*").unionByName(old.select(F.lit("expired days").alias("part"), "*"))

@@ -102,11 +102,6 @@ def with_fingerprint(corpus: DataFrame, config_fingerprint: str | None = None) -
     })
 
 
-def assert_unique_ids(corpus: DataFrame) -> DataFrame:
-    """Rows whose id occurs more than once (trap T10); empty when the corpus is valid."""
-    return corpus.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-
-
 def _regex_quote(s: str) -> str:
     return "".join("\\" + ch if ch in ".^$*+?()[]{}|\\" else ch for ch in s)
 

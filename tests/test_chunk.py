@@ -75,9 +75,10 @@ def test_history_window_buckets_are_exact(spark):
             for i in range(60)] + [("t", 0, "t-0", "user", "only")]
     m = spark.createDataFrame(rows, "session_id string, seq long, id string, role string, content string")
 
-    def hist(bs):
-        return {r.id: [h.content for h in r.history] for r in history_window(m, 4, bucket_size=bs).collect()}
+    def hist(df, order="seq"):
+        return {r.id: [h.content for h in r.history] for r in history_window(df, 4, order).collect()}
 
-    ref = hist(10_000)
-    assert ref == hist(5) == hist(1)
+    ref = hist(m)
+    times = m.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 3600))
+    assert ref == hist(m.repartition(5)) == hist(times, "at")  # any order type and spacing
     assert ref["s-40"] == ["c36", "c37", "c38", "c39"] and ref["t-0"] == [] and "s-7" not in ref

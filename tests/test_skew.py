@@ -12,7 +12,7 @@ def test_hot_session_history(spark):
     rows = [("hot", i, f"h-{i:05d}", "user" if i % 2 == 0 else "assistant", f"m{i}") for i in range(3000)]
     rows += [(f"s{j}", i, f"s{j}-{i}", "user" if i % 2 == 0 else "assistant", f"x{j}-{i}") for j in range(30) for i in range(4)]
     m = spark.createDataFrame(rows, "session_id string, seq long, id string, role string, content string")
-    got = {r.id: [h.content for h in r.history] for r in C.history_window(m, 10, bucket_size=256).collect()}
+    got = {r.id: [h.content for h in r.history] for r in C.history_window(m, 10).collect()}
     assert got["h-02999"] == [f"m{i}" for i in range(2989, 2999)]
     assert got["h-00256"] == [f"m{i}" for i in range(246, 256)]  # across a bucket edge
     assert got["s3-3"] == ["x3-0", "x3-1", "x3-2"]
