@@ -18,7 +18,7 @@ from docweave.sources.testdata import AS_OF, SPAN_TABLES, duckdb_with, spans_fro
 from docweave.streaming import arrivals as A
 from docweave.streaming import deltas as DL
 from docweave.streaming import panels as P
-from docweave.streaming.runner import file_stream, run_available_now
+from docweave.streaming.runner import run_available_now
 
 W = duckdb_with
 DELAY_MIN = 10
@@ -59,9 +59,24 @@ def _run(td, name: str, stream_df, mode: str = "append"):
     return spark.read.parquet(f"{base}/out")
 
 
+PART_ROWS = 250_000
+
+
+def _event_stream(td):
+    """The events as a stream of several micro-batches: the table in parts of at most ``PART_ROWS`` rows (four parts at
+    least), in order of the event id, which is that of time; one file and one trigger a part."""
+    ev = td["events"]
+    n, last = ev.agg(F.count(F.lit(1)), F.max("event_id")).first()
+    parts = max(4, -(-n // PART_ROWS))
+    step = -(-((last or 0) + 1) // parts // 10) * 10 + 10  # a turn's ten events stay in one part
+    folder = scratch_path(td.spark, f"event-parts-{uuid.uuid4().hex}")
+    for i in range(parts):
+        ev.filter((F.col("event_id") >= i * step) & (F.col("event_id") < (i + 1) * step)).coalesce(1).write.parquet(f"{folder}/part{i:06d}")
+    return td.spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
 def _span_stream(td, table: str):
-    ev = file_stream(td.spark, td.sf_dir, "events")
-    return spans_from(ev).filter(F.col("Type") == SPAN_TABLES[table])
+    return spans_from(_event_stream(td)).filter(F.col("Type") == SPAN_TABLES[table])
 
 
 CHAT_WHERE = "regexp_matches(Name, '(?i)/chat([^a-z0-9]|$)')"
@@ -127,7 +142,7 @@ select turn_id, answer, cast(input_tokens as integer) as input_tokens, cast(outp
 from t, wm where last_ms + case when timed_out then {IDLE_MIN} * 60000 else 0 end < wm.w""")
 def stream_deltas(td):
     """Token deltas assembled per turn with state; emitted once, after the watermark has passed the turn."""
-    ev = file_stream(td.spark, td.sf_dir, "events")
+    ev = _event_stream(td)
     sql = token_deltas_sql("spark").replace("as completion_tokens\nfrom", "as completion_tokens, ts\nfrom")
     d = td.spark.sql(sql, events=ev)
     s = DL.stream_deltas(d, delay=f"{DELAY_MIN} minutes", idle_ms=IDLE_MIN * 60 * 1000)
