@@ -8,6 +8,7 @@ the shuffle), so per-session lists never exceed ``n`` elements.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -126,15 +127,21 @@ COMPLETION_FIELDS = [T.StructField("answer", T.StringType()), T.StructField("inp
 ChatFn = Callable[[list[list[dict]], list[str]], list[tuple[str, int, int]]]
 
 
+_RUN = re.compile(r"[^ \t\n\r\f\x0b]+")
+
+
 def stub_chat(prompts: list[list[dict]], models: list[str]) -> list[tuple[str, int, int]]:
-    """Offline default model: cites the first context block, counts words as tokens."""
+    """Offline default model: cites the first context block, counts white-space-free runs as tokens."""
+    def n_tokens(text):
+        return len(_RUN.findall(text or ""))
+
     out = []
     for msgs in prompts:
-        user = msgs[-1]["content"] if msgs else ""
-        first = user.split("[", 1)[1].split("]", 1)[0] if "[" in user.split("\n\nQuestion: ")[0] else ""
-        answer = f"See {first}." if first else "I could not find this in the documents."
-        n_in = sum(len((m.get("content") or "").split()) for m in msgs)
-        out.append((answer, n_in, len(answer.split())))
+        context = (msgs[-1]["content"] if msgs else "").split("\n\nQuestion: ")[0]
+        lead = "Context:\n["
+        title = context[len(lead):].split("]", 1)[0] if context.startswith(lead) else ""
+        answer = f"See {title}." if title else "I could not find this in the documents."
+        out.append((answer, sum(n_tokens(m.get("content")) for m in msgs), n_tokens(answer)))
     return out
 
 

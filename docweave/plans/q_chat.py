@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import functions as F
 
 from docweave.functions.text import file_title
@@ -18,7 +16,6 @@ W = duckdb_with
 # Our own system prompt (the reference's prompt text is not reused).
 SYSTEM_PROMPT = "Answer from the context below and name the titles of the sources you used."
 MODEL_OPTIONS = "model-b, model-a ,model-b,,"
-TOKEN_RE = re.compile(r"[^ \t\n\r\f\x0b]+")
 
 
 def stored(td):
@@ -97,22 +94,6 @@ def prompt_messages(td):
                 F.col("m.content").alias("content"))
 
 
-def _count_tokens(text: str) -> int:
-    return len(TOKEN_RE.findall(text or ""))
-
-
-def token_stub_chat(prompt_list, models):
-    """Offline model: cites the first context title; tokens are whitespace-free runs."""
-    out = []
-    for msgs in prompt_list:
-        user = msgs[-1]["content"] if msgs else ""
-        ctx = user.split("\n\nQuestion: ")[0]
-        first = ctx[len("Context:\n["):].split("]", 1)[0] if ctx.startswith("Context:\n[") else ""
-        answer = f"See {first}." if first else "I could not find this in the documents."
-        out.append((answer, sum(_count_tokens(m["content"]) for m in msgs), _count_tokens(answer)))
-    return out
-
-
 @register("answer_table", W("messages", "corpus") + PROMPT_SQL + """
 , first_hit as (select qid, title from hits where rank = 1),
 src as (select qid, string_agg(title, ', ' order by rank) as sources_text from hits group by qid),
@@ -127,7 +108,7 @@ def answer_table(td):
     """R6 (offline model) / R7 / A16 / J7: answer, sources and tokens per turn."""
     p = prompts(td).withColumn("model", F.lit(None).cast("string"))
     p = C.model_allowlist(p, MODEL_OPTIONS, "model")
-    done = C.complete_batch(p, token_stub_chat, "messages", "resolved_model")
+    done = C.complete_batch(p, C.stub_chat, "messages", "resolved_model")
     return done.select(F.col("id").alias("turn_id"), "session_id", "trace_id", "answer",
                        F.col("resolved_model").alias("model"), "sources_text", "input_tokens", "output_tokens")
 

@@ -91,3 +91,19 @@ def test_null_and_misfit_vectors_are_reported(spark):
 
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", None), ("c", [1.0])], "id string, vector array<float>")
     assert {r.id: r.width for r in index_ensure(df, 2).collect()} == {"b": None, "c": 1}
+
+
+def test_batched_sink_posts_bounded_batches(spark, scratch):
+    from docweave.sources.index_store import batched_sink
+
+    log = f"{scratch}/posted.txt"
+
+    def send(rows):
+        with open(log, "a") as fh:
+            fh.write(f"{len(rows)} {sum(r['id'] for r in rows)}\n")
+
+    batched_sink(spark.range(1234).repartition(3), send, 100)
+    with open(log) as fh:
+        posted = [tuple(map(int, line.split())) for line in fh]
+    assert max(n for n, _ in posted) <= 100 and sum(n for n, _ in posted) == 1234
+    assert sum(total for _, total in posted) == sum(range(1234))
