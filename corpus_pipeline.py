@@ -3,10 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's ``docs``. All but the last return the columns of the
 documents table. Nulls, empty texts and repeated rows are kept as the operators define it.
+
+A stage leaves tables in the shared folder that its result still reads; the next stage
+deletes them, since by then the result has been written. Rows are told apart by
+``monotonically_increasing_id`` over ``docs``, which is the same each time the same files
+are scanned; so the texts are neither copied nor, while the table of row numbers to join is
+of a proven size, shuffled.
 """
 
 from __future__ import annotations
 
+import functools
+import threading
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,56 +24,75 @@ from docweave.llm.decontaminate import drop_contaminated
 from docweave.llm.mixing import mix
 from docweave.llm.queries import new_folder
 from docweave.llm.simhash import simhash_components
-from docweave.llm.storage import staged
+from docweave.llm.storage import small_side, staged, staged_folders
 from docweave.llm.token_store import token_output
 from docweave.llm.toxicity import held_out, reject_toxic, train
 from docweave.session import ensure_checkpoint_dir, ship_package
+from docweave.sources.versioned import delete_folder
 
 ORACLE_SQL = None  # learned scores, fingerprints and alignments: the stages are tested against brute force instead
 
 
-def _ready(spark: SparkSession) -> None:
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+_BEFORE = threading.local()  # folders that the stage before has left
+
+
+def _stage(work):
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
+        for path in getattr(_BEFORE, "folders", ()):
+            delete_folder(spark, path)
+        first = len(staged_folders())
+        out = work(spark, docs, sf_dir)
+        _BEFORE.folders = staged_folders()[first:]
+        del staged_folders()[first:]
+        return out
+
+    return run
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_row", F.monotonically_increasing_id())
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.3 (operator 9); learned from labels that are not held out."""
-    _ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     return reject_toxic(docs, train(docs, labels))
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (operator 6, 3-word shingles, 3 bits): that of the smallest doc_id."""
-    _ready(spark)
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-input")
+    rows = _numbered(docs)
     found = staged(simhash_components(rows, id_col="_row").select("_row", F.col("component_id").alias("_component")), "dedup-components")
     ranked = rows.select(F.col("_row").alias("_r"), "doc_id").join(found, F.col("_r") == F.col("_row"))
     stays = ranked.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias("_stays"))
     goes = staged(found.join(staged(stays, "dedup-stays").select("_stays"), F.col("_row") == F.col("_stays"), "left_anti")
                   .select(F.col("_row").alias("_goes")), "dedup-goes")
-    return rows.join(goes, F.col("_row") == F.col("_goes"), "left_anti").select(*docs.columns)
+    return rows.join(small_side(goes), F.col("_row") == F.col("_goes"), "left_anti").select(*docs.columns)
 
 
+@_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item, whole or edited (operator 10)."""
-    _ready(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the mix takes them (operator 5): weights 1, 2, 3 over the sources, at most 3 copies."""
-    _ready(spark)
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-input")
+    rows = _numbered(docs)
     taken = staged(mix(rows, keep=("_row",)).where(F.col("copies") > 0).select(F.col("_row").alias("_taken"), "copies"), "mix-copies")
-    return rows.join(taken, F.col("_row") == F.col("_taken")).withColumn(
+    return rows.join(small_side(taken), F.col("_row") == F.col("_taken")).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
 
 
+@_stage
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix (operator 2), read back: (doc_id, start, n_tokens, ids_crc32, part, shard)."""
-    _ready(spark)
     return token_output(docs, new_folder(spark, "pipeline-shards"), public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.storage import staged, tasks
+from docweave.llm.storage import discard, staged, staged_folders, tasks
 
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,7 +35,7 @@ def _towards(edges: DataFrame, u: str, v: str) -> DataFrame:
     return edges.join(least, F.col(u) == F.col("_u")).select(u, v, "_m")
 
 
-def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b long) other than the roots; root is the least node reachable.
 
     Large-star then small-star rounds; each written to the shared folder. Links meet in
@@ -46,7 +46,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = staged(links.where(F.col("a") != F.col("b")).select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
+        old = len(staged_folders()) - 1  # this round reads the last folder only
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         large = _towards(both, "u", "v").where(F.col("v") > F.col("u")).select(
             F.col("v").alias("u"), F.col("_m").alias("v")).where(F.col("u") != F.col("v")).distinct()
@@ -55,8 +56,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = star.select(F.col("v").alias("u"), F.col("_m").alias("v")).union(
             star.select(F.col("u"), F.col("_m"))).where(F.col("u") != F.col("v")).distinct()
         edges = staged(small, "small")
+        discard(links.sparkSession, old, -1)
         now = tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError("components did not settle")

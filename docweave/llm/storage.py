@@ -2,25 +2,52 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docweave.session import scratch_path
+from docweave.sources.versioned import delete_folder
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+_LOCAL = threading.local()
+
+
+def staged_folders() -> list[str]:
+    """Folders that ``staged`` has written in this thread and nobody has discarded, in order."""
+    return _LOCAL.__dict__.setdefault("folders", [])
+
+
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 
     Cuts lineage (a lost executor re-runs only its own tasks of the job at hand) and keeps
     work that several later steps read from being done more than once.
     """
     path = scratch_path(df.sparkSession, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
+    staged_folders().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, first: int, last: int | None = None) -> None:
+    """Delete the folders ``staged_folders()[first:last]``, which nothing may read any more."""
+    for path in staged_folders()[first:last]:
+        delete_folder(spark, path)
+    del staged_folders()[first:last]
+
+
+BROADCAST_KEYS = 4_000_000  # rows of one or two numbers: about 100 MB as a hash table
+
+
+def small_side(keys: DataFrame) -> DataFrame:
+    """A staged table of a few numbers a row, marked for broadcast while it has ``BROADCAST_KEYS`` rows at most, so that
+    the texts it is joined with stay where they are; a larger one is joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.llm.arrays import slices, text_column
-from docweave.llm.storage import staged, tasks
+from docweave.llm.storage import discard, staged, staged_folders, tasks
 from docweave.llm.tokens import encoder
 from docweave.session import spread
 
@@ -203,10 +203,11 @@ def write_shards(encoded: DataFrame, path: str, vocabulary: int, shard_tokens: i
             yield flush()
 
     order = ["doc_id", "tie", "row"]
-    rows = staged(encoded.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    rows = staged(encoded.withColumn("tie", F.xxhash64("ids")).withColumn("row", F.monotonically_increasing_id()), "token-ids", "zstd")
     ranged = rows.repartitionByRange(tasks(encoded.sparkSession), *order).sortWithinPartitions(*order)
     ranged.select("doc_id", "ids", F.spark_partition_id().cast("long").alias("part")).mapInArrow(
-        run, "part long, shard long, n_tokens long, content binary").write.parquet(path)
+        run, "part long, shard long, n_tokens long, content binary").write.option("compression", "zstd").parquet(path)
+    discard(encoded.sparkSession, len(staged_folders()) - 1)  # the ids are in the shards now
 
 
 def read_shards(spark, path: str) -> DataFrame:

@@ -17,7 +17,6 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 @pytest.fixture(scope="module")
 def outputs(spark):
-    pipeline._ready(spark)
     docs = [spark.read.parquet(f"{SF}/documents.parquet")]
     for name, stage in pipeline.STAGES:
         docs.append(staged(stage(spark, docs[-1], SF), f"test-{name}"))
