@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,18 +128,26 @@ def select_features(counts: np.ndarray, n_pos: int, n_neg: int, features: int, m
     return feature[top][order].astype(np.int64), r[order]
 
 
-def fit_weights(row: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray, n_slots: int, penalty: float, steps: int):
-    """Logistic regression by adaptive gradient steps; returns (weights, intercept)."""
+def fit_weights(bounds: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray, n_slots: int, penalty: float, steps: int,
+                block: int = 2000):
+    """Logistic regression by adaptive gradient steps over rows ``bounds[i]:bounds[i+1]`` of (slot, value), a block of
+    rows at a time, so that only the sparse rows themselves are held; returns (weights, intercept)."""
     w, b = np.zeros(n_slots), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     gw, gb = np.full(n_slots, 1e-8), 1e-8
     for _ in range(steps):
-        s = np.bincount(row, w[slot] * value, minlength=len(y)) + b
-        e = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y) / len(y)
-        g = np.bincount(slot, e[row] * value, minlength=n_slots) + penalty * w
+        g, total = penalty * w, 0.0
+        for lo in range(0, len(y), block):
+            hi = min(lo + block, len(y))
+            part = slice(bounds[lo], bounds[hi])
+            row = np.repeat(np.arange(hi - lo, dtype=np.int32), np.diff(bounds[lo:hi + 1]))
+            s = np.bincount(row, w[slot[part]] * value[part], minlength=hi - lo) + b
+            e = (1 / (1 + np.exp(-np.clip(s, -30, 30))) - y[lo:hi]) / len(y)
+            g += np.bincount(slot[part], e[row] * value[part], minlength=n_slots)
+            total += e.sum()
         gw += g * g
         w -= 0.1 * g / np.sqrt(gw)
-        gb += e.sum() ** 2
-        b -= 0.1 * e.sum() / np.sqrt(gb)
+        gb += total ** 2
+        b -= 0.1 * total / np.sqrt(gb)
     return w, b
 
 
@@ -162,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first())
     if not n_pos or not n_neg:
         return Model(np.zeros(0, np.int64), np.zeros(0), -3.0, per_words)
-    counts = presence_counts(rows).toPandas().to_numpy(np.int64)  # 2^BITS rows at most
+    counts = np.stack([c.to_numpy() for c in presence_counts(rows).toArrow().columns], axis=1)  # 2^BITS rows at most
     feature, r = select_features(counts, n_pos, n_neg, features, min_texts)
     slots = Model(feature, r, 0.0).slots()
     ways = max(1, -(-(n_pos + n_neg) // fit_rows))
@@ -178,15 +187,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], ["toxic", "tie", "slot", "value"])
 
     sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(ways)) == 0).select("text", "toxic", F.xxhash64("_id", "text").alias("tie"))
-    got = sample.mapInArrow(run, "toxic int, tie long, slot array<int>, value array<float>").toPandas()
-    got = got.sort_values("tie", kind="stable")  # the same sums whatever order the tasks end in
-    y = got["toxic"].to_numpy(float)
+    got = sample.mapInArrow(run, "toxic int, tie long, slot array<int>, value array<float>").toArrow()
+    got = got.sort_by("tie").combine_chunks()  # the same sums whatever order the tasks end in
+    y = got.column("toxic").to_numpy().astype(float)
     if not len(y):
         return Model(np.zeros(0, np.int64), np.zeros(0), -3.0, per_words)
-    row = np.repeat(np.arange(len(y)), [len(s) for s in got["slot"]])
-    slot = np.concatenate(list(got["slot"])).astype(np.int64)
-    value = np.concatenate(list(got["value"])).astype(float) * r[slot]
-    w, b = fit_weights(row, slot, value, y, len(feature), penalty, steps)
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(got.column("slot")).to_numpy())]).astype(np.int64)
+    slot = pc.list_flatten(got.column("slot")).to_numpy()
+    value = pc.list_flatten(got.column("value")).to_numpy() * r.astype(np.float32)[slot]
+    w, b = fit_weights(bounds, slot, value, y, len(feature), penalty, steps)
     return Model(feature, w * r, b, per_words)
 
 
