@@ -33,6 +33,13 @@ MAGIC = b"RPR1"
 _HEADER = struct.Struct("<4sIIQQQQ")
 
 
+_BUCKETS = 1 << 20
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
 def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, passes: int, min_count: int, max_rules: int):
     """(symbols, last-of-document flags, left, right) after up to ``passes`` rounds of replacing pairs seen ``min_count`` times.
 
@@ -46,23 +53,30 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, passes: int, min_
         key = sym[:-1] * (1 << 32) | sym[1:]
         key[last[:-1]] = -1
         # rough counts first: only pairs whose hash bucket is frequent are sorted and counted exactly
-        bucket = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        rough = np.bincount(bucket, minlength=1 << 20)
+        bucket = _bucket(key)
+        rough = np.bincount(bucket, minlength=_BUCKETS)
         often = np.flatnonzero((rough[bucket] >= min_count) & (key >= 0))
         if not len(often):
             break
-        pair, inverse, count = np.unique(key[often], return_inverse=True, return_counts=True)
+        ordered = np.sort(key[often])
+        begins = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        count = np.diff(np.append(begins, len(ordered)))
         top = np.flatnonzero(count >= min_count)
         if not len(top):
             break
         top = top[np.argsort(-count[top], kind="stable")][:max_rules - len(left)]
-        rule = np.full(len(pair), -1, np.int64)
-        rule[top] = first_rule + len(left) + np.arange(len(top))
-        found = rule[inverse]
-        at, found = often[found >= 0], found[found >= 0]
+        pair = ordered[begins[top]]
+        # one rule a bucket, the more frequent pair's; the other waits for the next round
+        rule = np.full(_BUCKETS, -1, np.int64)
+        rule[_bucket(pair)[::-1]] = np.arange(len(pair))[::-1]
+        pair = pair[rule[_bucket(pair)] == np.arange(len(pair))]
+        rule[_bucket(pair)] = np.arange(len(pair))
+        found = rule[bucket[often]]
+        hit = (found >= 0) & (pair[found] == key[often])
+        at, found = often[hit], found[hit] + first_rule + len(left)
         # of overlapping occurrences in a run every second one goes, from the left
-        begins = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        run_start = at[np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))]
+        starts = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        run_start = at[np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))]
         go = (at - run_start) % 2 == 0
         at, found = at[go], found[go]
         sym[at] = found
@@ -71,7 +85,7 @@ def repair(ids: np.ndarray, last: np.ndarray, first_rule: int, passes: int, min_
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         sym, last = sym[keep], last[keep]
-        left, right = np.concatenate([left, pair[top] >> 32]), np.concatenate([right, pair[top] & 0xFFFFFFFF])
+        left, right = np.concatenate([left, pair >> 32]), np.concatenate([right, pair & 0xFFFFFFFF])
     return sym, last, left, right
 
 
@@ -159,7 +173,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: i
         enc = encoder(tokenizer)
         for batch in batches:
             texts = text_column(batch, "text")
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 4 << 20):  # more text at once repeats fewer pieces
                 ids, offsets = enc.encode(texts.slice(lo, hi - lo))
                 n = hi - lo
                 out = np.full(len(ids) + n, end_id, kind)
