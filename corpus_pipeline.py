@@ -5,10 +5,10 @@ and read again as the next stage's ``docs``. All but the last return the columns
 documents table. Nulls, empty texts and repeated rows are kept as the operators define it.
 
 A stage leaves tables in the shared folder that its result still reads; the next stage
-deletes them, since by then the result has been written. Rows are told apart by
-``monotonically_increasing_id`` over ``docs``, which is the same each time the same files
-are scanned; so the texts are neither copied nor, while the table of row numbers to join is
-of a proven size, shuffled.
+deletes them, since by then the result has been written. Rows are told apart by a number
+that is written once, together with the rows: Spark may split the same files otherwise in
+the next job, when executors come or go. While the table of row numbers to join is of a
+proven size, the texts are not shuffled.
 """
 
 from __future__ import annotations
@@ -52,8 +52,9 @@ def _stage(work):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_row", F.monotonically_increasing_id())
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``_row``, stored: decisions keyed by it hold however a later job splits the files."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), name)
 
 
 @_stage
@@ -66,7 +67,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (operator 6, 3-word shingles, 3 bits): that of the smallest doc_id."""
-    rows = _numbered(docs)
+    rows = _numbered(docs, "dedup-input")
     found = staged(simhash_components(rows, id_col="_row").select("_row", F.col("component_id").alias("_component")), "dedup-components")
     ranked = rows.select(F.col("_row").alias("_r"), "doc_id").join(found, F.col("_r") == F.col("_row"))
     stays = ranked.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias("_stays"))
@@ -84,7 +85,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the mix takes them (operator 5): weights 1, 2, 3 over the sources, at most 3 copies."""
-    rows = _numbered(docs)
+    rows = _numbered(docs, "mix-input")
     taken = staged(mix(rows, keep=("_row",)).where(F.col("copies") > 0).select(F.col("_row").alias("_taken"), "copies"), "mix-copies")
     return rows.join(small_side(taken), F.col("_row") == F.col("_taken")).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)

@@ -67,6 +67,23 @@ def test_tokens_of_the_mix(spark, outputs):
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in whole.collect()) == [(r.doc_id, r.start, r.ids_crc32) for r in got]
 
 
+@pytest.mark.parametrize("stage", [pipeline.drop_near_duplicates, pipeline.mix_sources])
+def test_splits_may_change_between_jobs(spark, outputs, tmp_path, stage):
+    path = str(tmp_path / "docs")
+    outputs[1].repartition(8).write.parquet(path)
+    docs = spark.read.parquet(path)
+    want = sorted(r.doc_id for r in stage(spark, docs, SF).collect())
+    key = "spark.sql.files.minPartitionNum"  # what Spark takes from the registered cores while it is unset
+    try:
+        spark.conf.set(key, "64")
+        out = stage(spark, spark.read.parquet(path), SF)
+        spark.conf.set(key, "1")
+        got = sorted(r.doc_id for r in out.collect())
+    finally:
+        spark.conf.unset(key)
+    assert got == want and len(want) > 100
+
+
 def test_odd_and_empty_documents(spark, odd_docs, no_docs):
     base = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for docs, least in ((base, 3), (no_docs.select(*base.columns), 0)):
