@@ -8,7 +8,8 @@ tags inside links. Composite text density is
 (counts of 0 in a denominator are 1, NLC = C - LC, _b: of the body), so link-rich subtrees
 score low. Densities of a node's children add up to its density sum. The node with the
 largest density sum is found; the least density on its path to the body is the threshold;
-subtrees at or above it give their largest-density-sum part as main text.
+subtrees at or above it give as main text their largest-density-sum part and, beside it,
+what else in them is at or above the threshold.
 
 Parts that a page marks as not being text of the article (navigation, footers, asides,
 forms, scripts, adverts, cookie notices, comments and so on, by tag, role or class) are
@@ -233,15 +234,57 @@ def main_text(html: str) -> str:
         at = parent_of[id(at)]
     out: list[str] = []
     stack = [body]
-    while stack:  # top-down: the first nodes at or above the threshold, each reduced to its part of largest density sum
+    while stack:  # top-down: the first nodes at or above the threshold, each reduced to its dense parts
         node = stack.pop()
         if node is not body and node.density >= threshold:
-            out.extend(_text_blocks(_with_headings(_largest(node), node, parent_of)))
+            for part in _parts(node, threshold, parent_of):
+                out.extend(_text_blocks(part))
             continue
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.skip and c.chars)
     return "\n".join(out)
 
 
+def _parts(top: Node, threshold: float, parent_of: dict[int, Node | None]) -> list[Node]:
+    """In page order: the part of ``top`` with the largest density sum, and what is left beside the way to it: nodes at
+    or above the threshold, each reduced in the same way, and headings."""
+    out: list[Node] = []
+    stack: list[tuple[Node, bool]] = [(top, True)]
+    while stack:
+        node, reduce = stack.pop()
+        if not reduce:
+            out.append(node)
+            continue
+        if node is not top and node.density < threshold:
+            stack.extend((c, True) for c in reversed(node.children) if isinstance(c, Node) and not c.skip and c.chars)
+            continue
+        part = _with_headings(_largest(node), node, parent_of)
+        way, at = {id(part)}, part
+        while at is not node:
+            at = parent_of[id(at)]
+            way.add(id(at))
+            if (at.tag == "p" or at.tag not in BLOCK) and any(isinstance(c, str) and not c.isspace() for c in at.children):
+                part = at  # words around inline elements stay with them
+        pending, found, titles = [node], [], set()
+        while pending:  # along the way from node to part
+            n = pending.pop()
+            if n is part:
+                found.append((n, False))
+            elif id(n) in way:
+                below = [c for c in n.children if isinstance(c, Node) and not c.skip and c.chars]
+                pending.extend(reversed(below))
+                kept = False
+                for c in reversed(below):  # a heading stays with what it stands over
+                    if c.tag in HEADINGS:
+                        if kept:
+                            titles.add(id(c))
+                    else:
+                        kept = id(c) in way or c.density >= threshold
+            else:
+                found.append((n, id(n) not in titles))
+        stack.extend(reversed(found))
+    return out
+
+
 def _largest(node: Node) -> Node:
     """The part of a subtree with the largest density sum (a subtree without inner tags is its own part)."""
     best, stack = node, [node]

@@ -42,6 +42,18 @@ def test_marked_parts_are_left_out():
     assert main_text(page) == "Title\n" + WANT
 
 
+def test_unmarked_article_in_several_sections():
+    part = lambda name, n: f"<div class={name}>" + "".join(f"<p>{name}{i} {'x' * 400}</p>" for i in range(n)) + "</div>"
+    links = "<div class=x>" + "<a href=1>one link</a>" * 5 + "</div>"
+    text = lambda name, n: [f"{name}{i} {'x' * 400}" for i in range(n)]
+    for first, second in (("s1", "s2"), ("s2", "s1")):
+        sizes = {"s1": 10, "s2": 9}
+        page = f"<body><div id=content>{part(first, sizes[first])}{links}{part(second, sizes[second])}</div></body>"
+        assert main_text(page) == "\n".join(text(first, sizes[first]) + text(second, sizes[second]))
+        titled = page.replace("<div class=s", "<h2>Part</h2><div class=s")
+        assert main_text(titled) == "\n".join(["Part", *text(first, sizes[first]), "Part", *text(second, sizes[second])])
+
+
 def test_odd_markup():
     assert main_text("") == main_text("</p></div>") == main_text("<script>x") == ""
     assert main_text("plain &amp; text &#233;&nbsp;x") == "plain & text é x"
