@@ -13,7 +13,8 @@ what else in them is at or above the threshold.
 
 Parts that a page marks as not being text of the article (navigation, footers, asides,
 forms, scripts, adverts, cookie notices, comments and so on, by tag, role or class) are
-left out before densities are taken.
+left out before densities are taken. A class or id alone does not leave out a subtree that
+holds the article (``_unskip``), and words on layout (has-sidebar, comments-open) mark none.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ _BOILERPLATE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|site-header|page-header|widget|related|recommend\w*|share|sharing|"
     r"social|comments?|comment-list|disqus|replies|reply|login|signup|search)(?:$|[\s_-])", re.I)
+_REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|comment-list|disqus|replies|reply)(?:$|[\s_-])", re.I)
+# words on the state or layout of a page, not on what the element holds: has-sidebar, comments-open, search-page
+_LAYOUT_WORD = re.compile(
+    r"(?<!\S)(?:(?:has|no|with|without|js)[_-]\S*|\S*[_-](?:open|closed|enabled|disabled|ready|page|layout))(?!\S)", re.I)
 BLOCK = frozenset(
     "address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html li main "
     "ol p pre section summary table tbody td tfoot th thead tr ul".split()) | BOILERPLATE_TAGS
@@ -51,10 +56,10 @@ _SPACE = re.compile(r"[\s]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "children", "skip", "named", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, skip: bool) -> None:
-        self.tag, self.skip = tag, skip
+    def __init__(self, tag: str, skip: bool, named: str = "") -> None:
+        self.tag, self.skip, self.named = tag, skip or bool(named), named  # named: skipped by its class or id alone
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -70,13 +75,19 @@ def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_articl
             return True
         if name == "role" and (value or "").lower() in BOILERPLATE_ROLES:
             return True
-        if name in ("class", "id") and value and _BOILERPLATE_NAME.search(_CAMEL.sub("-", value)):
-            return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _boilerplate_name(tag: str, attrs: list[tuple[str, str | None]]) -> str:
+    """The class and id words that mark an element as boilerplate; empty if none does."""
+    if tag in ("html", "body", "article", "main"):
+        return ""
+    words = " ".join(_LAYOUT_WORD.sub(" ", _CAMEL.sub("-", value)) for name, value in attrs if name in ("class", "id") and value)
+    return words if _BOILERPLATE_NAME.search(words) else ""
+
+
 class _Tree(HTMLParser):
     """A forgiving tree builder: optional end tags, unclosed and stray tags; depth needs no recursion."""
 
@@ -87,6 +98,7 @@ class _Tree(HTMLParser):
         self.root = Node("html", False)
         self.stack = [self.root]
         self.articles = 0
+        self.named = False
 
     def _pop_to(self, depth: int) -> None:
         for node in self.stack[depth:]:
@@ -114,7 +126,9 @@ class _Tree(HTMLParser):
         elif tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template", "head"):
             if len(self.stack) > 1 and self.stack[1].tag == "head":  # </head> is optional
                 self._pop_to(1)
-        node = Node(tag, _is_boilerplate(tag, attrs, self.articles > 0))
+        hard = _is_boilerplate(tag, attrs, self.articles > 0)
+        node = Node(tag, hard, "" if hard else _boilerplate_name(tag, attrs))
+        self.named |= bool(node.named)
         self.stack[-1].children.append(node)
         if tag not in VOID:
             self.stack.append(node)
@@ -141,9 +155,41 @@ def parse(html: str) -> Node:
     # an unclosed script or style would swallow the rest; feed() keeps such a tail back, close() hands it over as data of it
     tree.feed(html)
     tree.close()
+    if tree.named:
+        _unskip(_body(tree.root))
     return tree.root
 
 
+def _unskip(body: Node) -> None:
+    """A class or id word does not skip a subtree that holds an article or main element at least half as long as the page's
+    longest, nor one with most of the page's non-link characters; for a word on readers' comments it takes both."""
+    order: list[tuple[Node, Node | None]] = []
+    plain: dict[int, int] = {}
+    stack: list[tuple[Node, Node | None, bool]] = [(body, None, False)]
+    while stack:
+        node, parent, in_link = stack.pop()
+        order.append((node, parent))
+        link = in_link or node.tag == "a"
+        plain[id(node)] = 0 if link else sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        stack.extend((c, node, link) for c in node.children if isinstance(c, Node) and (c.named or not c.skip))
+    for node, parent in reversed(order):
+        if parent is not None:
+            plain[id(parent)] += plain[id(node)]
+    marked = [plain[id(n)] for n, _ in order if n.tag in ("article", "main")]
+    least = max(1, max(marked, default=0) / 2)
+    holds: set[int] = set()
+    for node, parent in reversed(order):
+        if node.tag in ("article", "main") and plain[id(node)] >= least:
+            holds.add(id(node))
+        if parent is not None and id(node) in holds:
+            holds.add(id(parent))
+    for node, _ in order:
+        if node.named:
+            most = 2 * plain[id(node)] > plain[id(body)]
+            article = id(node) in holds
+            node.skip = not (article and most if _REPLIES.search(node.named) else article or most)
+
+
 def _body(root: Node) -> Node:
     return next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
 

@@ -1,6 +1,8 @@
 import html
 import re
 
+import pytest
+
 from docweave.llm.html_density import extract_pages, main_text
 from docweave.llm.queries import QUERIES
 
@@ -54,6 +56,15 @@ def test_unmarked_article_in_several_sections():
         assert main_text(titled) == "\n".join(["Part", *text(first, sizes[first]), "Part", *text(second, sizes[second])])
 
 
+@pytest.mark.parametrize("wrapper", ["class='layout has-sidebar'", "class=no-sidebar", "class='post comments-open'", "class=js-nav-ready",
+                                     "id=search-page", "class=widget", "class=bodyWithSidebar"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_names_of_wrappers_lose_no_article(wrapper, tag):
+    page = f"""<body><div class=menu><a href=1>aa</a> menu</div><div {wrapper}><{tag}>{BODY}</{tag}><div class="sidebar">side words</div>
+      <div id="comments"><article><p>A reader's comment of some length.</p></article></div></div><div class=cookies>We use some</div></body>"""
+    assert main_text(page) == WANT
+
+
 def test_odd_markup():
     assert main_text("") == main_text("</p></div>") == main_text("<script>x") == ""
     assert main_text("plain &amp; text &#233;&nbsp;x") == "plain & text é x"
