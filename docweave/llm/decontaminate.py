@@ -6,7 +6,8 @@ once per block for document frequencies and once for matches, without a shuffle
 1. Every word n-gram of the items is looked up in all documents: its document frequency.
 2. An item's seeds are the rarest share of its own n-grams. The share is relative to the
    item, so an item that half the corpus quotes keeps its seeds like any other.
-3. Where a seed of an item meets a document, hits on nearby diagonals form a window.
+3. Where a seed of an item meets a document, hits on nearby diagonals form a window. Windows
+   that do not reach the score alone are tried as one over the words inserted between them.
 4. Words of item and window are aligned locally (match +2, mismatch -1, gap -1). The score
    is the alignment's over the best possible (2 for each word of the item).
 """
@@ -171,8 +172,9 @@ def _align_windows(items: Items, codes: np.ndarray, item: np.ndarray, lo: np.nda
     return score, start, end
 
 
-def _windows(items: Items, tables, codes: np.ndarray, bounds: np.ndarray):
-    """(row, item, lo, hi) of windows around the hits of each (text, item), by nearby diagonals."""
+def _windows(items: Items, tables, codes: np.ndarray, bounds: np.ndarray, min_score: float):
+    """(row, item, lo, hi, run) of windows around the hits of each (text, item), by nearby diagonals. Windows of a run
+    lie so near that one alignment over words inserted between them can still reach ``min_score``."""
     rows, its, diagonals = [], [], []
     for _, _, at, number, row, (begin, item, position) in _hits(codes, bounds, tables):
         count = begin[number + 1] - begin[number]
@@ -183,7 +185,7 @@ def _windows(items: Items, tables, codes: np.ndarray, bounds: np.ndarray):
         diagonals.append(at[which] - position[pick])
     if not rows or not sum(map(len, rows)):
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     row, item, diagonal = (np.concatenate(x) for x in (rows, its, diagonals))
     order = np.lexsort((diagonal, item, row))
     row, item, diagonal = row[order], item[order], diagonal[order]
@@ -194,7 +196,22 @@ def _windows(items: Items, tables, codes: np.ndarray, bounds: np.ndarray):
     last = np.append(first[1:], len(row)) - 1
     lo = np.maximum(diagonal[first] - slack[first], bounds[row[first]])
     hi = np.minimum(diagonal[last] + m[first] + slack[first], bounds[row[first] + 1])
-    return row[first], item[first], lo, hi
+    reach = np.ceil(MATCH * m * (1 - min_score) / -GAP).astype(np.int64)
+    far = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > reach[1:])])
+    return row[first], item[first], lo, hi, np.cumsum(far)[first]
+
+
+def _joined(items: Items, codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, run: np.ndarray, score: np.ndarray,
+            min_score: float):
+    """(first window, lo, hi) of the runs of several windows none of which reaches ``min_score``, and which hold enough of
+    the item's words to reach it together."""
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    last = np.append(first[1:], len(run)) - 1
+    open_ = (last > first) & (np.maximum.reduceat(score, first) < min_score)
+    first, last = first[open_], last[open_]
+    enough = np.array([np.isin(items.codes[item[f]], codes[lo[f]:hi[g]]).sum() >= min_score * len(items.codes[item[f]])
+                       for f, g in zip(first, last)], bool)
+    return first[enough], lo[first[enough]], hi[last[enough]]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -282,9 +299,14 @@ def _scored(col: pa.Array, items: Items, tables, min_score: float) -> Iterator[t
     """Per slice: (first row, last row, row, item, score, start word, end word) of the windows at ``min_score`` or more."""
     for lo, hi in slices(col):
         codes, number, bounds = word_codes(col.slice(lo, hi - lo))
-        row, item, a, b = _windows(items, tables, codes, bounds)
+        row, item, a, b, run = _windows(items, tables, codes, bounds, min_score)
         if len(row):
             score, start, end = _align_windows(items, codes, item, a, b, min_score)
+            first, a, b = _joined(items, codes, item, a, b, run, score, min_score)
+            if len(first):
+                more = _align_windows(items, codes, item[first], a, b, min_score)
+                score, start, end = (np.concatenate(x) for x in zip((score, start, end), more))
+                row, item = np.concatenate([row, row[first]]), np.concatenate([item, item[first]])
             good = np.flatnonzero(score >= min_score)
             yield lo, hi, row[good], item[good], score[good], number[start[good]], number[end[good] - 1] + 1
 

@@ -80,6 +80,17 @@ def test_edited_copies_are_found_and_clean_texts_left(spark, block_bytes):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_copy_with_words_inserted_in_its_middle(spark):
+    item = [f"w{i}" for i in range(60)]
+    copy = [f"r{i}" if i % 10 == 5 else w for i, w in enumerate(item)]
+    text = ["a"] * 50 + copy[:30] + [f"x{i}" for i in range(40)] + copy[30:] + ["b"] * 50
+    d = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[:80]))], "doc_id long, text string")
+    b = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.score, r.start_word, r.end_word, r.n_windows) for r in find_contamination(d, b).collect()]
+    assert got == [(1, 7, smith_waterman(item, text) / 120, 50, 150, 1)] and got[0][2] > 0.5
+    assert [r.doc_id for r in drop_contaminated(d, b).collect()] == [2]
+
+
 def test_odd_documents_and_items(spark, odd_docs, no_docs):
     b = spark.createDataFrame([(1, "One, two three FOUR five six"), (2, None), (3, ""), (None, "alpha beta"), (4, "..."), (4, "x"), (4, "x")],
                               "item_id long, text string")
