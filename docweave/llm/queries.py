@@ -132,3 +132,45 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), min_sites=10)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("op13_fill_in_middle", oracle="""
+with d as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+g as (select doc_id, t, cast(length(t) as bigint) as n, cast('0x' || substr(h, 1, 8) as bigint) as h1, cast('0x' || substr(h, 9, 8) as bigint) as h2,
+             cast('0x' || substr(h, 17, 8) as bigint) as h3, cast('0x' || substr(h, 25, 8) as bigint) as h4 from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+             case when n = 0 or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+                  when h4 % 100 < 20 then 'spm' else 'psm' end as form from g),
+s as (select *, substr(t, 1, a) as p, substr(t, a + 1, b - a) as m, substr(t, b + 1) as e from c)
+select doc_id, n, form, case when form <> 'plain' then a end as prefix_chars, case when form <> 'plain' then b - a end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || e || '<M>' || m else '<S>' || e || '<P>' || p || '<M>' || m end) as output_sha256,
+       sha256(t) as restored_sha256
+from s
+""")
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in fill-in-middle form, and restored from it."""
+    from pyspark.sql import functions as F
+
+    from docweave.llm.fill_in_middle import fim_restore, fim_transform
+
+    out = fim_restore(fim_transform(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@register("op12_threshold_topk", oracle="""
+with r as (select row_number() over () as rid, vec_id, embedding from embeddings),
+v as (select rid, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e from r
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.rid as qr, q.vec_id as query_id, c.vec_id, c.rid, cast(list_dot_product(q.e, c.e) as bigint) as score
+      from v q join v c on q.rid <> c.rid where q.vec_id % 50 = 0),
+t as (select *, row_number() over (partition by qr order by score desc, vec_id, rid) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from t where rank <= 5
+""")
+def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 rows of greatest integer inner product for every vector whose id is divisible by 50, among all rows."""
+    from pyspark.sql import functions as F
+
+    from docweave.llm.threshold_topk import threshold_topk
+
+    return threshold_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
