@@ -174,3 +174,13 @@ def op12_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docweave.llm.threshold_topk import threshold_topk
 
     return threshold_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+@register("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule, repaired at least cost: fault counts, audit and digest of the repaired turns."""
+    from docweave.llm.storage import staged
+    from docweave.llm.turn_repair import damaged, repair_audits
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_audits(staged(damaged(turns), "damaged"), turns)
