@@ -6,9 +6,8 @@ Every log query of the reference is a DataFrame here. ``ago(x)`` becomes an
 ``TimeGenerated``/``Name``/``Success`` so Catalyst pushes them into the scan (and
 prunes date partitions when the tables are written partitioned by date).
 
-Percentiles are exact, with linear interpolation, and computed from counts per distinct
-value (``group_percentiles``): no group is ever gathered, and the answers do not change in
-kind with the size of a group. ``sketch=True`` takes ``percentile_approx`` instead (a
+Percentiles are exact, with linear interpolation, and found by histogram refinement
+(``operators.percentiles``): no group is ever gathered or sorted. ``sketch=True`` takes ``percentile_approx`` instead (a
 mergeable sketch that returns a value of the data near the rank), for dashboards that
 prefer one pass over exactness.
 """
@@ -18,16 +17,15 @@ from __future__ import annotations
 import re
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.text import has_any, has_term, prop_int, prop_string, starts_with_ci
+from docweave.operators.percentiles import group_percentiles
 
 SINCE_RE = re.compile(r"^(\d+)([mhd])$")
 TRACE_RE = re.compile(r"^[0-9a-f]{32}$")
-SKETCH_ACCURACY = 100_000  # rank error 1e-5
-VALUE_BINS = 1024
 
 # Workbook panel choices and defaults.
 PANEL_RANGES = ("1h", "4h", "24h", "7d")
@@ -99,76 +97,39 @@ def failed(df: DataFrame) -> DataFrame:
 
 # --- aggregates helpers --------------------------------------------------------------
 
-def group_percentiles(df: DataFrame, keys: list[str], col: str, shares: dict[str, float], sketch: bool = False) -> DataFrame:
-    """``keys`` and one column per entry of ``shares``: the percentile of ``col``'s non-null values in each group.
-
-    Exact form: values are counted per group, cut into ``VALUE_BINS`` equal ranges between
-    the group's least and greatest value, and ranked by running sums, first over a group's
-    bins, then over the values of one bin. So a group with a third of all rows is ranked by
-    many tasks. The two values around rank p * (n - 1) are interpolated.
-    """
-    if sketch:
-        return df.groupBy(*keys).agg(*[
-            F.percentile_approx(F.col(col).cast("double"), F.lit(p), F.lit(SKETCH_ACCURACY)).cast("double").alias(name)
-            for name, p in shares.items()])
-    counts = df.select(*keys, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull()) \
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    stats = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * VALUE_BINS).cast("int")
-    ranked = _with(counts, stats, keys).withColumn(
-        "_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(F.coalesce(place, F.lit(VALUE_BINS - 1)), F.lit(VALUE_BINS - 1))).otherwise(F.lit(0)))
-    bins = ranked.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_t"))
-    over_bins = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(*keys, "_bin", F.coalesce(F.sum("_t").over(over_bins), F.lit(0)).alias("_before"))
-    in_bin = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = _with(ranked, bins, [*keys, "_bin"]).withColumn(
-        "_at", F.col("_before") + F.coalesce(F.sum("_c").over(in_bin), F.lit(0)))
-    out = []
-    for name, p in shares.items():
-        rank = F.lit(p) * (F.col("_n") - 1)
-        low, high = F.floor(rank), F.ceil(rank)
-        holds = lambda r: (F.col("_at") <= r) & (r < F.col("_at") + F.col("_c"))
-        out += [F.max(F.when(holds(low), F.col("_v"))).alias(f"_l{name}"), F.max(F.when(holds(high), F.col("_v"))).alias(f"_h{name}"),
-                F.max(rank - low).alias(f"_f{name}")]
-    found = ranked.groupBy(*keys).agg(*out)
-    return found.select(*keys, *[(F.col(f"_l{n}") + (F.col(f"_h{n}") - F.col(f"_l{n}")) * F.col(f"_f{n}")).alias(n) for n in shares])
-
-
-def _with(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join by keys that may be null."""
-    renamed = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return left.join(renamed, on, "left").drop(*[f"_k{i}" for i in range(len(keys))])
-
-
 def failures() -> Column:
     return F.count_if(F.col("Success") == F.lit(False))
 
 
 # --- stats mode (A1-A5, K1) -----------------------------------------------------------
 
+def _ones() -> dict[str, Column]:
+    return {"Requests": F.lit(1), "Failures": F.when(F.col("Success") == F.lit(False), 1).otherwise(0)}
+
+
 def health_requests(requests: DataFrame, as_of, since: str = "1h", sketch: bool = False) -> DataFrame:
     """Server spans per role and name: count, failures, p50/p95/avg ms, error rate (A1)."""
-    rows, keys = time_range(requests, as_of, since), ["AppRoleName", "Name"]
-    agg = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("Requests"),
-        failures().alias("Failures"),
-        F.round(F.avg("DurationMs"), 0).alias("AvgMs"),
-    )
-    agg = _with(agg, group_percentiles(rows, keys, "DurationMs", {"P50": 0.5, "P95": 0.95}, sketch), keys).select(
-        *keys, "Requests", "Failures", F.round("P50", 0).alias("P50"), F.round("P95", 0).alias("P95"), "AvgMs")
-    return agg.withColumn("ErrorRatePct", F.round(F.lit(100.0) * F.col("Failures") / F.col("Requests"), 1)) \
+    keys, ms = ["AppRoleName", "Name"], F.col("DurationMs").cast("double")
+    sums = _ones() | {"_ms": ms, "_timed": ms.isNotNull().cast("long")}
+    agg = group_percentiles(time_range(requests, as_of, since), keys, "DurationMs", {"P50": 0.5, "P95": 0.95}, sketch, sums)
+    return agg.select(*keys, "Requests", "Failures", F.round("P50", 0).alias("P50"), F.round("P95", 0).alias("P95"),
+                      F.round(F.col("_ms") / F.nullif("_timed", F.lit(0)), 0).alias("AvgMs"),
+                      F.round(F.lit(100.0) * F.col("Failures") / F.col("Requests"), 1).alias("ErrorRatePct")) \
         .orderBy(F.desc("Requests"), "AppRoleName", "Name")
 
 
+def request_counts(requests: DataFrame, as_of, since: str = "1h") -> DataFrame:
+    """Requests and failures per role and name: the counts of A1 without its percentiles."""
+    return time_range(requests, as_of, since).groupBy("AppRoleName", "Name").agg(
+        F.count(F.lit(1)).alias("Requests"), failures().alias("Failures"))
+
+
 def health_dependencies(deps: DataFrame, as_of, since: str = "1h", sketch: bool = False) -> DataFrame:
     """Client spans per role and name: calls, failures, p50/p95 (A2)."""
-    rows, keys = time_range(deps, as_of, since), ["AppRoleName", "Name"]
-    agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("Calls"), failures().alias("Failures"))
-    return _with(agg, group_percentiles(rows, keys, "DurationMs", {"P50": 0.5, "P95": 0.95}, sketch), keys).select(
-        *keys, "Calls", "Failures", F.round("P50", 0).alias("P50"), F.round("P95", 0).alias("P95")).orderBy(F.desc("Calls"), "AppRoleName", "Name")
+    keys = ["AppRoleName", "Name"]
+    agg = group_percentiles(time_range(deps, as_of, since), keys, "DurationMs", {"P50": 0.5, "P95": 0.95}, sketch, _ones())
+    return agg.select(*keys, F.col("Requests").alias("Calls"), "Failures", F.round("P50", 0).alias("P50"), F.round("P95", 0).alias("P95")) \
+        .orderBy(F.desc("Calls"), "AppRoleName", "Name")
 
 
 def with_token_columns(df: DataFrame) -> DataFrame:
@@ -198,7 +159,7 @@ def exceptions_top(exceptions: DataFrame, as_of, since: str = "1h", top: int = 1
 
 
 def health_totals(requests_summary: DataFrame) -> DataFrame:
-    """Grand total requests, failures and rate over the A1 rows; ``n/a`` when no requests (A5)."""
+    """Grand total requests, failures and rate over the rows of A1 or ``request_counts``; ``n/a`` when no requests (A5)."""
     tot = requests_summary.agg(
         F.coalesce(F.sum(F.coalesce("Requests", F.lit(0))), F.lit(0)).cast("bigint").alias("total"),
         F.coalesce(F.sum(F.coalesce("Failures", F.lit(0))), F.lit(0)).cast("bigint").alias("failed"),
@@ -236,9 +197,10 @@ def recent_requests(requests: DataFrame, as_of, since: str = "1h", limit: int =
 
 def latency_profile(requests: DataFrame, as_of, since: str = "1h", sketch: bool = False) -> DataFrame:
     """count, avg and p95 by Name, AppRoleName."""
-    rows, keys = time_range(requests, as_of, since), ["Name", "AppRoleName"]
-    agg = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count_"), F.avg("DurationMs").alias("avg_DurationMs"))
-    return _with(agg, group_percentiles(rows, keys, "DurationMs", {"p95": 0.95}, sketch), keys)
+    keys, ms = ["Name", "AppRoleName"], F.col("DurationMs").cast("double")
+    sums = {"count_": F.lit(1), "_ms": ms, "_timed": ms.isNotNull().cast("long")}
+    return group_percentiles(time_range(requests, as_of, since), keys, "DurationMs", {"p95": 0.95}, sketch, sums).select(
+        *keys, "count_", (F.col("_ms") / F.nullif("_timed", F.lit(0))).alias("avg_DurationMs"), "p95")
 
 
 # --- workbook panels (A7-A11, K2-K4) -------------------------------------------------------

@@ -64,7 +64,7 @@ select cast(count(*) as bigint) as total, count(*) filter (where Success = false
 from app_requests where TimeGenerated > {WINDOW_START}""")
 def health_totals(td):
     """A5: grand totals over the A1 rows."""
-    return T.health_totals(T.health_requests(td["app_requests"], AS_OF, SINCE))
+    return T.health_totals(T.request_counts(td["app_requests"], AS_OF, SINCE))
 
 
 @register("recent_failures", W("app_requests", "app_dependencies") + f"""
