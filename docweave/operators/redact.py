@@ -8,16 +8,24 @@
   never emit raw text.
 * ``scrub_events``: span events whose ``scrub_keys`` marker names top-level string
   keys of the JSON ``content`` attribute; those values are redacted, everything else
-  passes through, and the marker attribute is dropped. One pass over the events, row
-  by row within Arrow batches: no shuffle, and no event can get lost between parts.
+  passes through, and the marker attribute is dropped. A projection: payloads are opened
+  as maps of variants, values replaced by column expressions, and only a scrubber callable
+  needs Python, one Arrow stage over the marked values alone. No shuffle, and no event can
+  get lost between parts.
+
+Every pattern is linear in the text: an address has a local part of at most 64 characters
+and 127 labels at most (the standards' own limits), so of a longer run of letters before an
+``@`` the last 64 are replaced.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +42,7 @@ PIECES_PER_CALL = 5
 # Our regex scrubber: kind, pattern, replacement; applied in this order. Patterns use
 # only constructs shared by Java regex and RE2 (no look-around, no word boundaries).
 PII_PATTERNS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]"),
+    ("email", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+){1,126}", "[EMAIL]"),
     ("secret", r"(?i)(api[_-]?key|secret|token|password) *[=:] *\"[^\"]*\"", "[SECRET]"),
     ("phone", r"\+[0-9]{1,3} ?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}", "[PHONE]"),
     ("card", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "[CARD]"),
@@ -89,6 +97,15 @@ def text_pieces(df: DataFrame, key: str, text_col: str, size: int = PIECE_CHARS)
                                                            i * size + 1, size))).alias("piece_no", "piece"))
 
 
+def _answers(scrubber: Scrubber, texts: list[str]) -> list[str | None]:
+    """One call; any failure yields null for all its texts and never fails the task."""
+    try:
+        got = scrubber(texts)
+    except Exception:  # noqa: BLE001 - fail closed
+        got = None
+    return got if got is not None and len(got) == len(texts) else [None] * len(texts)
+
+
 def scrub_pieces(pieces: DataFrame, key: str, scrubber: Scrubber, per_call: int = PIECES_PER_CALL) -> DataFrame:
     """Run the scrubber over consecutive pieces of the same text, ``per_call`` at a time.
 
@@ -99,27 +116,47 @@ def scrub_pieces(pieces: DataFrame, key: str, scrubber: Scrubber, per_call: int
 
     def run(batches):
         for pdf in batches:
-            out = []
-            keys, nos, texts = pdf[key].tolist(), pdf["piece_no"].tolist(), pdf["piece"].tolist()
-            i = 0
-            while i < len(pdf):
-                j = i
-                while j < len(pdf) and j - i < per_call and keys[j] == keys[i] and nos[j] // per_call == nos[i] // per_call:
-                    j += 1
-                try:
-                    got = scrubber(texts[i:j])
-                    if got is None or len(got) != j - i:
-                        got = [None] * (j - i)
-                except Exception:  # noqa: BLE001 - fail closed, never fail the task
-                    got = [None] * (j - i)
-                out.extend(zip(keys[i:j], nos[i:j], got))
-                i = j
-            yield pd.DataFrame(out, columns=[key, "piece_no", "redacted"])
-
-    # pieces of one text stay adjacent in a partition: explode keeps them together
+            # pieces of one text stay adjacent in a partition: explode keeps them together
+            call = pd.DataFrame({"k": pdf[key].ne(pdf[key].shift()), "c": (pdf["piece_no"] % per_call).eq(0)}).any(axis=1).cumsum()
+            got = [a for _, texts in pdf["piece"].groupby(call, sort=False) for a in _answers(scrubber, texts.tolist())]
+            yield pd.DataFrame({key: pdf[key], "piece_no": pdf["piece_no"], "redacted": pd.Series(got, index=pdf.index, dtype=object)})
+
     return pieces.mapInPandas(run, schema)
 
 
+def scrub_lists(df: DataFrame, col: str, scrubber: Scrubber, size: int = PIECE_CHARS, per_call: int = PIECES_PER_CALL) -> DataFrame:
+    """``df`` with the texts of its list column ``col`` scrubbed in pieces (X3); a text with a failed piece is withheld.
+    Null texts stay null.
+
+    One Arrow stage, no shuffle: the texts of a batch are cut as a column, a call takes
+    consecutive pieces of one text.
+    """
+    names = df.columns
+    at = names.index(col)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(at)
+            texts = lists.flatten()
+            valid = texts.is_valid().to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+            pieces = [pc.utf8_slice_codeunits(texts, n * size, (n + 1) * size) for n in range(-(-max([1, *lengths]) // size))]
+            done = []
+            for i, length in enumerate(lengths):
+                if not valid[i]:
+                    done.append(None)
+                    continue
+                mine = [p[i].as_py() for p in pieces[:max(1, -(-int(length) // size))]]
+                answers = [a for n in range(0, len(mine), per_call) for a in _answers(scrubber, mine[n:n + per_call])]
+                done.append(WITHHELD if None in answers else "".join(answers))
+            offsets = pa.array(np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))), pa.int32())
+            columns = list(batch.columns)
+            columns[at] = pa.ListArray.from_arrays(offsets, pa.array(done, pa.string())).cast(lists.type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def join_pieces(scrubbed: DataFrame, key: str, out_col: str = "redacted") -> DataFrame:
     """Ordered join of the pieces; any missing piece withholds the whole field."""
     g = scrubbed.groupBy(key).agg(
@@ -153,84 +190,48 @@ def marked_events(events: DataFrame) -> Column:
                       & F.map_contains_key("attributes", F.lit("content")), F.lit(False))
 
 
-def _scrub_value(text: str, scrubber: Scrubber) -> str:
-    """One value through the scrubber, in pieces (X3); withheld as a whole if any piece fails."""
-    pieces = [text[i:i + PIECE_CHARS] for i in range(0, len(text), PIECE_CHARS)] or [""]
-    out: list[str] = []
-    for i in range(0, len(pieces), PIECES_PER_CALL):
-        part = pieces[i:i + PIECES_PER_CALL]
-        try:
-            got = scrubber(part)
-        except Exception:  # noqa: BLE001 - fail closed, never fail the task
-            return WITHHELD
-        if got is None or len(got) != len(part) or any(g is None for g in got):
-            return WITHHELD
-        out += got
-    return "".join(out)
+def _opened(src: DataFrame) -> DataFrame:
+    """``_data``: the payload as a map of variants, ``_keys``: the marked names, both null where they can't be read."""
+    marker, content = (F.when(F.col("_marked"), F.element_at("attributes", F.lit(k))) for k in (SCRUB_KEYS_ATTR, "content"))
+    names = F.from_json(marker, "array<variant>")
+    src = src.withColumns({"_data": F.from_json(content, "map<string,variant>"), "_keys": F.transform(
+        F.filter(names, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))})
+    once = F.size(F.array_distinct(F.map_keys("_data"))) == F.size(F.map_keys("_data"))
+    return src.withColumn("_data", F.when(once, F.col("_data")))
 
 
-def _scrub_payload(content: str | None, keys: str, scrub: Callable[[str], str], strict: bool) -> str | None:
-    """A marked payload with the string values of the marked keys redacted.
-
-    A marker or payload that can't be read withholds the payload under ``strict``, else it
-    passes as it is. Values that are no strings, and keys that are absent, are left alone.
-    """
-    try:
-        data, names = json.loads(content), json.loads(keys)
-    except (TypeError, ValueError):
-        data = names = None
-    if not isinstance(data, dict) or not isinstance(names, list):
-        return WITHHELD if strict else content
-    for n in names:
-        if isinstance(n, str) and isinstance(data.get(n), str):
-            data[n] = scrub(data[n])
-    return json.dumps(data)
+def _marked_text(key: Column, value: Column) -> Column:
+    return F.array_contains("_keys", key) & (F.schema_of_variant(value) == "STRING")
 
 
 def scrub_events(events: DataFrame, scrubber: Scrubber | None = None, strict: bool = True) -> DataFrame:
     """Redact marked events (X1-X5). ``events`` carry at least ``name`` and ``attributes``; all columns pass through.
 
-    ``scrubber=None`` runs the regex chain over whole values, a callable gets pieces.
-    ``strict`` withholds a marked payload that is no JSON object, or whose marker is no JSON
-    list; ``strict=False`` passes such a payload through raw. The marker is dropped from
-    every event that was marked and readable or withheld; other events are left unchanged.
+    ``scrubber=None`` runs the regex chain over whole values (JVM expressions), a callable
+    gets pieces. Values that are no strings, and keys that are absent, are left alone.
+    ``strict`` withholds a marked payload that is no JSON object or holds a key twice, or
+    whose marker is no JSON list; ``strict=False`` passes such a payload through raw. What
+    follows a payload's object is cut off. The marker is dropped from every event that was
+    marked and readable or withheld; other events are left unchanged.
     """
     src = events.withColumn("_marked", marked_events(events))
-    names = events.columns
-    attrs_at = names.index("attributes")
-
-    def run(batches):
-        import pyarrow as pa
-
-        def scrub(text):
-            return regex_scrubber([text])[0] if scrubber is None else _scrub_value(text, scrubber)
-
-        for batch in batches:
-            marked = batch.column(len(names)).to_pylist()
-            columns = list(batch.columns[:len(names)])
-            if any(marked):
-                rows = columns[attrs_at].to_pylist()
-                for i, m in enumerate(marked):
-                    if not m:
-                        continue
-                    bag = dict(rows[i])
-                    keys = bag[SCRUB_KEYS_ATTR]
-                    new = _scrub_payload(bag["content"], keys, scrub, strict)
-                    if strict or new != bag["content"] or _is_list(keys):
-                        del bag[SCRUB_KEYS_ATTR]
-                    bag["content"] = new
-                    rows[i] = list(bag.items())
-                columns[attrs_at] = pa.array(rows, columns[attrs_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return src.mapInArrow(run, events.schema)
-
-
-def _is_list(text: str) -> bool:
-    try:
-        return isinstance(json.loads(text), list)
-    except ValueError:
-        return False
+    if scrubber is None:
+        src = _opened(src)
+        values = F.transform_values("_data", lambda k, v: F.when(
+            _marked_text(k, v), deidentify(v.cast("string"))[0].cast("variant")).otherwise(v))
+    else:  # a list with a place for every entry of the payload goes through the scrubber; variants do not travel through Arrow
+        texts = F.transform(F.map_entries("_data"), lambda e: F.when(_marked_text(e["key"], e["value"]), e["value"].cast("string")))
+        asked = _opened(src).withColumn("_texts", texts).select(*events.columns, "_marked", "_texts")
+        src = _opened(scrub_lists(asked, "_texts", scrubber))
+        values = F.map_from_arrays(F.map_keys("_data"), F.transform(
+            F.map_values("_data"), lambda v, i: F.coalesce(F.get("_texts", i).cast("variant"), v)))
+    readable, withheld = F.col("_data").isNotNull() & F.col("_keys").isNotNull(), F.lit(WITHHELD)
+    raw = withheld if strict else F.element_at("attributes", F.lit("content"))
+    src = src.withColumn("_new", F.when(readable, F.to_json(values)).otherwise(raw))
+    drop = F.lit(True) if strict else F.col("_keys").isNotNull()
+    bag = F.map_filter(F.transform_values("attributes", lambda k, v: F.when(k == "content", F.col("_new")).otherwise(v)),
+                       lambda k, v: ~(drop & (k == SCRUB_KEYS_ATTR)))
+    return src.withColumn("attributes", F.when(F.col("_marked"), bag).otherwise(F.col("attributes"))).select(*events.columns)
 
 
 # --- erasure (P13) ----------------------------------------------------------------------------------

@@ -77,6 +77,35 @@ def test_scrub_events_cases(spark):
     assert lax[3]["content"] == "not json" and lax[5]["content"] == ok
 
 
+def test_scrubber_sees_each_text_in_its_own_calls(spark):
+    """Six pieces of one text make two calls; a short text and a null beside it are no part of them."""
+    def tagged(texts):
+        return [f"<{len(texts)}:{len(t)}>" for t in texts]
+
+    df = spark.createDataFrame([(1, ["a" * 25_001, None, "", "é" * 5_000]), (2, []), (3, None)], "k long, t array<string>").coalesce(1)
+    out = {r.k: r.t for r in X.scrub_lists(df, "t", tagged).collect()}
+    assert out[1] == ["<5:5000>" * 5 + "<1:1>", None, "<1:0>", "<1:5000>"]
+    assert out[2] == [] and not out[3]
+
+
+def test_payload_with_a_key_twice_is_withheld(spark):
+    rows = [(1, "s", "gen_ai.content.x", None, {"content": '{"q": "%s", "q": "%s"}' % (EMAIL, EMAIL), "scrub_keys": '["q"]'})]
+    for scrubber in (None, X.regex_scrubber):
+        assert X.scrub_events(_events(spark, rows), scrubber).first().attributes == {"content": X.WITHHELD}
+
+
+def test_long_runs_of_letters_take_linear_time(spark):
+    """A blob without an address, an address after a long run, and a domain of many labels."""
+    import time
+
+    blob = "A" * 1_000_000
+    df = spark.createDataFrame([(1, blob), (2, blob + "@mail.example.com"), (3, "x@" + "a." * 50_000), (4, "a@" * 200_000)], "doc_id long, text string")
+    began = time.time()
+    out = {r.doc_id: r.text for r in X.deidentify_corpus(df).collect()}
+    assert time.time() - began < 30
+    assert out[1] == blob and out[2] == "A" * (1_000_000 - 64) + "[EMAIL]" and out[3].startswith("[EMAIL]") and out[4] == "a@" * 200_000
+
+
 def test_scrub_events_fail_closed(spark):
     def broken(texts):
         raise RuntimeError("no endpoint")
