@@ -1,11 +1,12 @@
 """Span trees and trace lookups.
 
-The tree is built for all traces at once: a parent pointer is kept only when the
-parent span exists in the same trace (else the span is a root), then the walk goes
-down from the roots one level a round. A round is an equi join of the spans with the
-level before it on ``(OperationId, parent)``, written to the shared folder, and rounds
-go on until a level is empty: no bound on rows or depth. Self-parented or cyclic spans
-are never reached from a root and are left out; ``unreachable_spans`` counts them.
+The tree is built for all traces at once by pointer doubling: a parent pointer is kept only
+when the parent span exists in the same trace (else the span is a root). In a round every
+span that has no root yet takes over the pointer, depth and path of the span it points to, one
+equi join on ``(OperationId, pointer)``, so the distance doubles and depth d takes log2(d)
+rounds. A round that finds no root proves that there is no deeper span: what is left are
+self-parented or cyclic spans and what hangs below them, which no root reaches. They are left
+out; ``unreachable_spans`` counts them. No bound on rows or depth.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.functions.text import status_label
-from docweave.session import scratch_path, staged
+from docweave.session import scratch_path
 
 
 def span_rows(requests: DataFrame, deps: DataFrame) -> DataFrame:
@@ -39,25 +40,27 @@ def span_parent(spans: DataFrame) -> DataFrame:
 def span_tree(spans: DataFrame) -> DataFrame:
     """Reachable spans with depth and a root-to-span id path."""
     spark = spans.sparkSession
-    edges = staged(span_parent(spans).select(
-        "OperationId", "Id", "parent_key", "TimeGenerated", "AppRoleName", "Name", "Success",
-        "DurationMs", "ResultCode"), "span-edges")
-    schema = T.StructType([*edges.schema.fields, T.StructField("path", T.StringType())])
-    folder, depth = scratch_path(spark, f"span-tree-{uuid.uuid4().hex}"), 0
-    level = edges.filter(F.col("parent_key").isNull()).withColumn("path", F.col("Id"))
-    below = edges.filter(F.col("parent_key").isNotNull())
+    start = span_parent(spans).select(
+        "OperationId", "Id", "parent_key", "TimeGenerated", "AppRoleName", "Name", "Success", "DurationMs", "ResultCode",
+        F.col("parent_key").alias("pointer"), F.lit(0).alias("depth"), F.col("Id").alias("path"))
+    fields = start.columns[:9]
+    schema = T.StructType([*start.schema.fields, T.StructField("round", T.IntegerType()), T.StructField("open", T.BooleanType())])
+    folder, n = scratch_path(spark, f"span-tree-{uuid.uuid4().hex}"), 0
+    state = start
     while True:
-        level.write.parquet(f"{folder}/depth={depth}")
-        above = spark.read.schema(schema).parquet(f"{folder}/depth={depth}")
-        if above.isEmpty():
+        state.withColumn("open", F.col("pointer").isNotNull()).write.partitionBy("open").parquet(f"{folder}/round={n}")
+        rows = spark.read.schema(schema).parquet(folder)
+        left = rows.filter((F.col("round") == n) & F.col("open"))
+        if rows.filter((F.col("round") == n) & ~F.col("open")).isEmpty() or left.isEmpty():
             break
-        above = above.select(F.col("OperationId").alias("_op"), F.col("Id").alias("_id"), F.col("path").alias("_path"))
-        # a span's own fields come from its edge, so nothing is joined back afterwards
-        level = below.join(above, (F.col("OperationId") == F.col("_op")) & (F.col("parent_key") == F.col("_id"))).select(
-            *edges.columns, F.concat_ws("/", "_path", "Id").alias("path"))
-        depth += 1
-    with_depth = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])
-    return spark.read.schema(with_depth).parquet(folder).select(
+        above = rows.filter((F.col("round") == n) | ~F.col("open")).select(
+            F.col("OperationId").alias("_op"), F.col("Id").alias("_id"), F.col("pointer").alias("_to"), F.col("depth").alias("_depth"),
+            F.col("path").alias("_path"))
+        # a span's own fields travel with it, so nothing is joined back afterwards
+        state = left.join(above, (F.col("OperationId") == F.col("_op")) & (F.col("pointer") == F.col("_id"))).select(
+            *fields, F.col("_to").alias("pointer"), (F.col("depth") + F.col("_depth") + 1).alias("depth"), F.concat_ws("/", "_path", "path").alias("path"))
+        n += 1
+    return rows.filter(~F.col("open")).select(
         "OperationId", "Id", "parent_key", "depth", "path",
         "TimeGenerated", F.col("Name").alias("Op"), "AppRoleName", "DurationMs",
         status_label("Success", "ResultCode").alias("status"))

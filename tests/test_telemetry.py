@@ -88,3 +88,36 @@ def test_span_tree_has_no_row_or_depth_limit(spark):
     tree = TR.span_tree(spans)
     assert tree.count() == 1_100_012 and tree.agg(F.max("depth")).first()[0] == 11
     assert spark.conf.get("spark.sql.cteRecursionLevelLimit", None) == before
+
+
+def _bare_spans(spark, edges):
+    return edges.withColumn("TimeGenerated", F.lit("2024-01-01").cast("timestamp")).withColumn("AppRoleName", F.lit("x")) \
+        .withColumn("Name", F.col("Id")).withColumn("Success", F.lit(True)).withColumn("DurationMs", F.lit(1.0)).withColumn("ResultCode", F.lit("200"))
+
+
+def test_deep_chain_takes_few_rounds(spark, scratch):
+    """A chain of 10,000 spans beside a cycle with a tail: at most 15 rounds, the cycle left out."""
+    import glob
+
+    chain = spark.range(10_000).select(F.lit("deep").alias("OperationId"), F.conv("id", 10, 36).alias("Id"),
+                                       F.when(F.col("id") > 0, F.conv(F.col("id") - 1, 10, 36)).alias("ParentId"))
+    ring = spark.range(300).select(F.lit("ring").alias("OperationId"), F.col("id").cast("string").alias("Id"),
+                                   F.when(F.col("id") < 100, (F.col("id") + 1) % 100).otherwise(F.col("id") - 1).cast("string").alias("ParentId"))
+    spans = _bare_spans(spark, chain.unionByName(ring))
+    from docweave.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    known = set(glob.glob(f"{base}/span-tree-*"))
+    tree = TR.span_tree(spans)
+    rounds = {p for f in set(glob.glob(f"{base}/span-tree-*")) - known for p in glob.glob(f"{f}/round=*")}
+    assert 14 <= len(rounds) <= 16  # the rounds, the roots before them included
+    last = tree.orderBy(F.desc("depth")).first()
+    assert tree.count() == 10_000 and last.depth == 9_999 and last.path.count("/") == 9_999 and last.path.endswith("/" + last.Id)
+    assert TR.unreachable_spans(spans, tree).first().unreachable == 300
+
+
+def test_repeated_span_rows_multiply_as_in_a_join(spark):
+    edges = spark.createDataFrame([("t", "a", None), ("t", "a", None), ("t", "b", "a"), ("t", "c", "b"), ("t", "d", "c")],
+                                  "OperationId string, Id string, ParentId string")
+    got = sorted((r.Id, r.depth, r.path) for r in TR.span_tree(_bare_spans(spark, edges)).collect())
+    assert got == sorted([("a", 0, "a"), ("b", 1, "a/b"), ("c", 2, "a/b/c"), ("d", 3, "a/b/c/d")] * 2)
