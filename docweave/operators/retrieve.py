@@ -68,6 +68,9 @@ class _TopK:
         tiles = max(1, -(-n_questions // TILE_Q))
         self.best = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, dtype=object)) for _ in range(tiles)]
 
+    def scores(self, questions: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return questions @ rows.T
+
     def add(self, ids: np.ndarray, mat: np.ndarray, qmat: np.ndarray, which: np.ndarray | None = None) -> None:
         """Score index rows against the questions ``which`` (all, if left out)."""
         which = np.arange(len(qmat)) if which is None else which
@@ -77,7 +80,7 @@ class _TopK:
                 continue
             for lo in range(0, len(ids), TILE_I):
                 part = ids[lo:lo + TILE_I]
-                s = qmat[mine] @ mat[lo:lo + TILE_I].T
+                s = self.scores(qmat[mine], mat[lo:lo + TILE_I])
                 kk = min(self.k, len(part))
                 kth = np.partition(s, len(part) - kk, axis=1)[:, len(part) - kk]
                 cq, ci = np.nonzero(s >= kth[:, None])
@@ -91,6 +94,17 @@ class _TopK:
                 yield pd.DataFrame({columns[0]: [qids[i] for i in q], columns[1]: list(d), columns[2]: s})
 
 
+def exact_score(a: str, b: str, metric: str) -> Column:
+    """Inner product, or cosine (0 for a zero vector), of two vector columns in doubles."""
+    def dot(x: str, y: str) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+
+    if metric == "dot":
+        return dot(a, b)
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms == 0, 0.0).otherwise(F.try_divide(dot(a, b), norms))
+
+
 def _final_topk(local: DataFrame, qid: str, id_col: str, k: int) -> DataFrame:
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(id_col))
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -120,9 +120,21 @@ def _ann_topk(td, n_lists: int, nprobe: int):
     return top.select("question_id", F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
+ANN = {"n_lists": 16, "nprobe": 12, "rerank": 30}
+
+
 def _ann(td):
-    """V2: IVF top-3 with 16 stored lists, 4 probed (checked for recall by tests)."""
-    return _ann_topk(td, n_lists=16, nprobe=4)
+    """V2: top-3 from 16 stored lists of product-quantised rows, 12 probed, 30 rows a question ranked exactly (recall of at least 0.9 in tests)."""
+    import uuid
+
+    from docweave.operators import quantise as Q
+    from docweave.session import scratch_path
+
+    path = scratch_path(td.spark, f"pq-{uuid.uuid4().hex}")
+    cents, books = R.ivf_train(vectors(td), n_lists=ANN["n_lists"]), Q.pq_train(vectors(td))
+    Q.pq_write(vectors(td), cents, books, path)
+    top = Q.pq_search(td.spark, path, cents, books, questions(td), K, nprobe=ANN["nprobe"], rerank=ANN["rerank"])
+    return top.select("question_id", F.col("id").alias("vec_id"), "rank", F.round("score", 4).alias("score"))
 
 
 register("vector_topk_ann")(_ann)

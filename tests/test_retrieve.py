@@ -1,6 +1,7 @@
 """Vector retrieval: blocked = broadcast, IVF recall, filters, BM25 basics."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import retrieve as R
@@ -123,3 +124,43 @@ def test_bm25_blocks_past_broadcast_bound(spark):
     one = {(r.qid, r.rank, r.doc_id) for r in bm25_topk(docs, q, 3).collect()}
     split = {(r.qid, r.rank, r.doc_id) for r in bm25_topk(docs, q, 3, max_broadcast_bytes=20_000).collect()}
     assert one == split and len(one) == 3 * q.count()
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_registered_ann_settings_reach_recall(spark, sf):
+    from __spark_entry__ import queries
+
+    exact = {(r.question_id, r.vec_id): r.score for r in queries()["vector_topk"](spark, sf).collect()}
+    got = queries()["vector_topk_ann"](spark, sf).collect()
+    assert sum((r.question_id, r.vec_id) in exact for r in got) >= 0.9 * len(exact)
+    assert all(abs(exact[r.question_id, r.vec_id] - r.score) < 2e-4 for r in got if (r.question_id, r.vec_id) in exact)
+
+
+def test_pq_codes_every_row_and_is_exact_when_all_survive(spark, scratch):
+    from docweave.operators import quantise as Q
+
+    idx, qs = _data(spark)
+    odd = spark.createDataFrame([(100_000, None)], "id long, vector array<float>")
+    cents, books = R.ivf_train(idx, n_lists=5, seed=3), Q.pq_train(idx, m=7)
+    Q.pq_write(idx.select("id", "vector").unionByName(odd), cents, books, f"{scratch}/pq")
+    stored = spark.read.parquet(f"{scratch}/pq")
+    assert stored.count() == idx.count() and stored.where(F.octet_length("code") != 7).count() == 0
+    exact = _pairs(R.vector_topk(idx, qs, 3))
+    for blocks in (1, 3):
+        got = Q.pq_search(spark, f"{scratch}/pq", cents, books, qs, 3, nprobe=5, rerank=10_000, blocks=blocks)
+        assert {(q, i) for q, i, _ in _pairs(got)} == {(q, i) for q, i, _ in exact}
+    few = Q.pq_search(spark, f"{scratch}/pq", cents, books, qs, 3, nprobe=5, rerank=20)
+    assert len({(q, i) for q, i, _ in _pairs(few)} & {(q, i) for q, i, _ in exact}) >= 0.9 * len(exact)
+
+
+def test_tables_equal_decoded_products():
+    from docweave.operators import quantise as Q
+
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(5, 10)), rng.normal(size=(40, 10))
+    books = [rng.normal(size=(6, len(c))) for c in Q._parts(10, 4)]
+    codes = Q.encode(x, books)
+    decoded = np.concatenate([b[codes[:, j]] for j, b in enumerate(books)], axis=1)
+    assert np.allclose(Q._CodeTopK(5, 3).scores(Q.tables(q, books), codes), q @ decoded.T, atol=1e-5)
+    brute = np.stack([[np.argmin(((b - r[c]) ** 2).sum(1)) for b, c in zip(books, Q._parts(10, 4))] for r in x])
+    assert (codes == brute).all()
