@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.storage import staged
+from docweave.llm.storage import staged, unused
 from docweave.session import spread
 
 _BLANK = "' \\t\\r\\u000b\\u000c'"
@@ -48,18 +48,22 @@ def remove_boilerplate(docs: DataFrame, text_col: str = "text", site_col: str =
     standard errors of a sketch with 2^``lg_k`` registers. A null site is no site; a null
     text becomes empty (one blank line); repeated rows are cleaned alike; no rows give none.
     Texts are joined with their hits by a hash of the text, so copies share one row there.
+    Other columns pass through whatever their names; n_lines and n_removed replace such of ``docs``.
     """
     lines = staged(_line_rows(spread(docs), text_col, site_col), "lines")
     bad = boilerplate_lines(lines, min_sites, margin, lg_k)
     hits = lines.join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi").select("t1", "t2", "pos").distinct()
     # one row for each text that has hits; its positions number its lines at most
-    hits = staged(hits.groupBy("t1", "t2").agg(F.collect_list("pos").alias("_hits")).select(
-        F.col("t1").alias("_h1"), F.col("t2").alias("_h2"), "_hits"), "line-hits")
+    t1, t2, h1, h2, found = unused(docs, "_t1", "_t2", "_h1", "_h2", "_hits")
+    hits = staged(hits.groupBy("t1", "t2").agg(F.collect_list("pos").alias(found)).select(
+        F.col("t1").alias(h1), F.col("t2").alias(h2), found), "line-hits")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_t1", F.xxhash64(text)).withColumn("_t2", F.xxhash64(F.lit(1), text))
-    joined = keyed.join(hits, (F.col("_t1") == F.col("_h1")) & (F.col("_t2") == F.col("_h2")), "left")
+    keyed = docs.withColumn(t1, F.xxhash64(text)).withColumn(t2, F.xxhash64(F.lit(1), text))
+    joined = keyed.join(hits, (F.col(t1) == F.col(h1)) & (F.col(t2) == F.col(h2)), "left")
     split = F.split(text, "\n", -1)
-    kept = F.filter(split, lambda line, i: ~F.array_contains(F.col("_hits"), i))
+    # positions as a set difference, and the lines bound once: linear in the text's lines
+    left = F.transform(F.array(split), lambda lines: F.array_join(F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(found)), lambda i: F.get(lines, i)), "\n"))[0]
     return joined.withColumn("n_lines", F.size(split).cast("long")).withColumn(
-        "n_removed", F.coalesce(F.size("_hits"), F.lit(0)).cast("long")).withColumn(
-        text_col, F.when(F.col("_hits").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("_t1", "_t2", "_h1", "_h2", "_hits")
+        "n_removed", F.coalesce(F.size(found), F.lit(0)).cast("long")).withColumn(
+        text_col, F.when(F.col(found).isNull(), text).otherwise(left)).drop(t1, t2, h1, h2, found)

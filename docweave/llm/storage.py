@@ -39,6 +39,16 @@ def discard(spark: SparkSession, first: int, last: int | None = None) -> None:
     del staged_folders()[first:last]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 BROADCAST_KEYS = 4_000_000  # rows of one or two numbers: about 100 MB as a hash table
 
 

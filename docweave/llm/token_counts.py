@@ -9,6 +9,7 @@ leaves change. Counts equal those of encoding the edited text as a whole.
 
 from __future__ import annotations
 
+import re
 import os
 from collections.abc import Callable, Iterator
 
@@ -168,10 +169,22 @@ def counter(path: str, pattern: str) -> PreTokenCounter:
     return _COUNTERS[path, pattern]
 
 
-_EMAIL = regex.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
 _PHONE = regex.compile(r"\+?\d[\d ()-]{7,}\d")
 
 
+def addresses(line: str) -> Iterator[tuple[int, int]]:
+    """E-mail addresses, found from the ``@`` to both sides, so that a run of letters without one costs nothing."""
+    free = 0
+    for m in _DOMAIN.finditer(line):
+        before = line[free:m.start()]
+        local = len(before) - len(before.rstrip(_LOCAL))
+        if local:
+            yield m.start() - local, m.end()
+        free = m.end() if local else m.start() + 1
+
+
 def clean_up_edits(text: str) -> list[tuple[int, int, str]]:
     """Edits (start, stop, replacement) of a usual clean-up, in ascending order without overlap: e-mail addresses and
     telephone numbers masked, lines that repeat an earlier line of the text deleted with their line break."""
@@ -181,7 +194,7 @@ def clean_up_edits(text: str) -> list[tuple[int, int, str]]:
             edits.append((at - 1, at + len(line), ""))
         else:
             seen.add(line)
-            spans = [(m.start(), m.end(), "[EMAIL]") for m in _EMAIL.finditer(line)] if "@" in line else []
+            spans = [(a, b, "[EMAIL]") for a, b in addresses(line)]
             spans += [(m.start(), m.end(), "[PHONE]") for m in _PHONE.finditer(line)]
             free = 0
             for a, b, new in sorted(spans):

@@ -46,3 +46,22 @@ def test_odd_documents(spark, odd_docs, no_docs):
         (str(r.doc_id), t) for r, t in zip(rows, plain([(r.text, r.source) for r in rows], 1)))
     assert set(odd_docs.columns) < set(remove_boilerplate(odd_docs).columns)
     assert remove_boilerplate(no_docs).count() == 0
+
+
+def test_helper_names_in_the_table_survive(spark):
+    rows = [(i, "common\nown line %d\ncommon" % i, f"s{i}", "one", "two", "three", i) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _t1 string, _H2 string, _hits string, _t1_ long")
+    got = {r.doc_id: r for r in remove_boilerplate(docs, min_sites=3).collect()}
+    assert got.keys() == set(range(5))
+    assert all((r._t1, r._H2, r._hits, r._t1_, r.text, r.n_removed) == ("one", "two", "three", i, f"own line {i}", 2) for i, r in got.items())
+
+
+def test_many_hits_in_a_text_take_linear_time(spark):
+    import time
+
+    text = "\n".join(f"line {i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, text + f"\nown {i}", f"s{i}") for i in range(12)], "doc_id long, text string, source string")
+    began = time.time()
+    got = remove_boilerplate(docs, min_sites=10).collect()
+    assert sorted(r.text for r in got) == sorted(f"own {i}" for i in range(12)) and all(r.n_removed == 20_000 for r in got)
+    assert time.time() - began < 30

@@ -59,3 +59,28 @@ def test_odd_documents(spark, odd_docs, no_docs):
     want = sorted((str(r.doc_id), whole(r.text or "")) for r in odd_docs.collect())
     assert sorted((str(r.doc_id), r.n_tokens) for r in got) == want
     assert edited_token_counts(no_docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
+
+
+ADDRESS = st.lists(st.sampled_from(["@", "a", ".", "b.co", "-", " ", "é", "com", "@x.org"]), max_size=14).map("".join)
+
+
+@settings(max_examples=500, deadline=None)
+@given(ADDRESS)
+def test_addresses_equal_the_plain_pattern(line):
+    import re
+
+    from docweave.llm.token_counts import addresses
+
+    assert list(addresses(line)) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", line)]
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    from docweave.llm.token_counts import clean_up_edits
+
+    began = time.time()
+    for text in ("a" * 1_000_000 + "@", "a@" * 300_000, "a." * 300_000 + "@" + "b." * 300_000 + "c", "1" + " " * 1_000_000 + "x"):
+        clean_up_edits(text)
+    assert clean_up_edits("x" * 500_000 + "@mail.org") == [(0, 500_009, "[EMAIL]")]
+    assert time.time() - began < 10
