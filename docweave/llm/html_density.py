@@ -33,12 +33,15 @@ from docweave.session import spread
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video select textarea title".split())
 BOILERPLATE_TAGS = frozenset("nav footer aside form button dialog menu head".split()) | RAW
+SOFT_TAGS = frozenset("nav aside form dialog".split())  # boilerplate unless they wrap the page's article
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar".split())
 _BOILERPLATE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
     r"nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|masthead|site-header|page-header|widget|related|recommend\w*|share|sharing|"
     r"social|comments?|comment-list|disqus|replies|reply|login|signup|search)(?:$|[\s_-])", re.I)
 _REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|comment-list|disqus|replies|reply)(?:$|[\s_-])", re.I)
+_COMMENTS = re.compile(r"(?:^|[\s#_-])(?:comments|comment-list|disqus|replies)(?:$|[\s_-])", re.I)
+RUNNING_TEXT = 80  # characters outside links of a section of running text, at least
 # words on the state or layout of a page, not on what the element holds: has-sidebar, comments-open, search-page
 _LAYOUT_WORD = re.compile(
     r"(?<!\S)(?:(?:has|no|with|without|js)[_-]\S*|\S*[_-](?:open|closed|enabled|disabled|ready|page|layout))(?!\S)", re.I)
@@ -52,6 +55,9 @@ _CLOSES_P = BLOCK - {"body", "html", "head"} - RAW - {"button"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "body": {"head"}}
 _SCOPE = frozenset("table ul ol dl div article section main body html td th blockquote aside nav footer header form".split())
+_NO_SCOPE = {tag: _SCOPE - tags if tag != "body" else frozenset() for tag, tags in _CLOSES.items()}
+_BLOCKS = BLOCK - {"p"}
+_HARD_TAGS = BOILERPLATE_TAGS - SOFT_TAGS
 _SPACE = re.compile(r"[\s]+")
 
 
@@ -66,30 +72,36 @@ class Node:
 
 
 def _is_boilerplate(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    if tag in BOILERPLATE_TAGS or (tag == "header" and not inside_article):
+    if tag in _HARD_TAGS or (tag == "header" and not inside_article):
         return True
     if tag in ("html", "body", "article", "main"):
         return False
     for name, value in attrs:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name == "role" and (value or "").lower() in BOILERPLATE_ROLES:
+        if name == "role" and (value or "").lower() in BOILERPLATE_ROLES and tag not in SOFT_TAGS:
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
-def _boilerplate_name(tag: str, attrs: list[tuple[str, str | None]]) -> str:
-    """The class and id words that mark an element as boilerplate; empty if none does."""
+def _boilerplate_name(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> str:
+    """What marks an element as boilerplate unless its content speaks for it: its soft tag, or its class and id words (behind
+    a ``#`` where that is only the id of a section inside an article, which may be an anchor); empty if nothing does."""
+    if tag in SOFT_TAGS:
+        return f"<{tag}>"
     if tag in ("html", "body", "article", "main"):
         return ""
-    words = " ".join(_LAYOUT_WORD.sub(" ", _CAMEL.sub("-", value)) for name, value in attrs if name in ("class", "id") and value)
-    return words if _BOILERPLATE_NAME.search(words) else ""
+    found = {name: _LAYOUT_WORD.sub(" ", _CAMEL.sub("-", value)) for name, value in attrs if name in ("class", "id") and value}
+    marked = [name for name, words in found.items() if _BOILERPLATE_NAME.search(words)]
+    anchor = "#" if inside_article and tag == "section" and marked == ["id"] else ""
+    return anchor + " ".join(found.values()) if marked else ""
 
 
 class _Tree(HTMLParser):
-    """A forgiving tree builder: optional end tags, unclosed and stray tags; depth needs no recursion."""
+    """A forgiving tree builder: optional end tags, unclosed and stray tags; depth needs no recursion. The places of open
+    elements are kept by tag, so that no tag has to look through the open elements."""
 
     CDATA_CONTENT_ELEMENTS = ("script", "style")
 
@@ -97,53 +109,81 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", False)
         self.stack = [self.root]
-        self.articles = 0
-        self.named = False
+        self.places: dict[str, list[int]] = {}  # of the open elements of a tag
+        self.scopes: list[int] = []  # of the open elements that bound the closing of others
+        self.blocks: list[int] = []
+        self.articles = self.soft = 0
+        self.named = self.softs = self.marked = False
+
+    def _push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        if node.tag in _SCOPE:
+            self.scopes.append(at)
+        if node.tag in _BLOCKS:
+            self.blocks.append(at)
+        self.articles += node.tag in ("article", "main")
+        self.soft += node.tag in SOFT_TAGS
 
     def _pop_to(self, depth: int) -> None:
         for node in self.stack[depth:]:
+            self.places[node.tag].pop()
             self.articles -= node.tag in ("article", "main")
+            self.soft -= node.tag in SOFT_TAGS
         del self.stack[depth:]
+        for places in (self.scopes, self.blocks):
+            while places and places[-1] >= depth:
+                places.pop()
+
+    def _place(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else 0
 
     def _close(self, tags, scope) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i].tag
-            if tag in tags:
-                self._pop_to(i)
-                return
-            if tag in scope:
+        at = max(map(self._place, tags))
+        if not at:
+            return
+        for bound in reversed(self.scopes):
+            if bound < at:
+                break
+            if self.stack[bound].tag in scope:
                 return
+        self._pop_to(at)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag == "html":
             return
         if tag in _CLOSES_P:
-            self._close({"p"}, _SCOPE - {"p"})
+            self._close(("p",), _SCOPE)
         if tag in HEADINGS:
             self._close(HEADINGS, _SCOPE)
         if tag in _CLOSES:
-            self._close(_CLOSES[tag], _SCOPE - _CLOSES[tag] if tag != "body" else frozenset())
+            self._close(_CLOSES[tag], _NO_SCOPE[tag])
         elif tag not in ("meta", "link", "base", "title", "style", "script", "noscript", "template", "head"):
             if len(self.stack) > 1 and self.stack[1].tag == "head":  # </head> is optional
                 self._pop_to(1)
         hard = _is_boilerplate(tag, attrs, self.articles > 0)
-        node = Node(tag, hard, "" if hard else _boilerplate_name(tag, attrs))
-        self.named |= bool(node.named)
+        node = Node(tag, hard, "" if hard else _boilerplate_name(tag, attrs, self.articles > 0))
+        if tag in ("article", "main"):
+            self.marked = True
+            self.named |= self.soft > 0
+        elif node.named.startswith("<"):
+            self.softs = True
+        elif node.named:
+            self.named = True
         self.stack[-1].children.append(node)
         if tag not in VOID:
-            self.stack.append(node)
-            self.articles += tag in ("article", "main")
+            self._push(node)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                self._pop_to(i)
-                return
-            if tag not in BLOCK and self.stack[i].tag in BLOCK - {"p"}:
-                return  # a stray inline end tag does not close blocks
+        at = self._place(tag)
+        # a stray inline end tag does not close blocks
+        if at and (tag in BLOCK or not self.blocks or self.blocks[-1] < at):
+            self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if data:
@@ -155,26 +195,31 @@ def parse(html: str) -> Node:
     # an unclosed script or style would swallow the rest; feed() keeps such a tail back, close() hands it over as data of it
     tree.feed(html)
     tree.close()
-    if tree.named:
+    if tree.named or (tree.softs and not tree.marked):
         _unskip(_body(tree.root))
     return tree.root
 
 
 def _unskip(body: Node) -> None:
-    """A class or id word does not skip a subtree that holds an article or main element at least half as long as the page's
-    longest, nor one with most of the page's non-link characters; for a word on readers' comments it takes both."""
+    """What speaks against a mark. A class or id word does not skip a subtree that holds an article or main element at least
+    half as long as the page's longest, nor one with most of the page's non-link characters; for a word on readers' comments
+    it takes both. A soft tag does not skip such an article either, nor most of a page that marks none; a section's id inside
+    an article does not skip running text."""
     order: list[tuple[Node, Node | None]] = []
     plain: dict[int, int] = {}
+    linked: dict[int, int] = {}
     stack: list[tuple[Node, Node | None, bool]] = [(body, None, False)]
     while stack:
         node, parent, in_link = stack.pop()
         order.append((node, parent))
         link = in_link or node.tag == "a"
-        plain[id(node)] = 0 if link else sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        own = sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        plain[id(node)], linked[id(node)] = (0, own) if link else (own, 0)
         stack.extend((c, node, link) for c in node.children if isinstance(c, Node) and (c.named or not c.skip))
     for node, parent in reversed(order):
         if parent is not None:
             plain[id(parent)] += plain[id(node)]
+            linked[id(parent)] += linked[id(node)]
     marked = [plain[id(n)] for n, _ in order if n.tag in ("article", "main")]
     least = max(1, max(marked, default=0) / 2)
     holds: set[int] = set()
@@ -187,7 +232,12 @@ def _unskip(body: Node) -> None:
         if node.named:
             most = 2 * plain[id(node)] > plain[id(body)]
             article = id(node) in holds
-            node.skip = not (article and most if _REPLIES.search(node.named) else article or most)
+            if node.named.startswith("<"):
+                node.skip = not (article or most and not marked)
+            elif node.named.startswith("#") and not _COMMENTS.search(node.named):
+                node.skip = not (plain[id(node)] >= RUNNING_TEXT and plain[id(node)] > 4 * linked[id(node)])
+            else:
+                node.skip = not (article and most if _REPLIES.search(node.named.lstrip("#")) else article or most)
 
 
 def _body(root: Node) -> Node:

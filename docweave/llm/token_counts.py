@@ -9,8 +9,8 @@ leaves change. Counts equal those of encoding the edited text as a whole.
 
 from __future__ import annotations
 
-import re
 import os
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np

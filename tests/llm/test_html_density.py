@@ -1,7 +1,10 @@
 import html
+import math
 import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from docweave.llm.html_density import extract_pages, main_text
 from docweave.llm.queries import QUERIES
@@ -65,6 +68,83 @@ def test_names_of_wrappers_lose_no_article(wrapper, tag):
     assert main_text(page) == WANT
 
 
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm><input name=v>{BODY}</form></body>", f"<body><form id=aspnetForm><article>{BODY}</article></form></body>",
+    f"<body><aside class=wrap><main>{BODY}</main></aside><footer>me</footer></body>", f"<body><nav><a href=1>one</a><a href=2>two</a><article>{BODY}</article>",
+    f"<body><nav><a href=1>one</a></nav><div><dialog open><div>{BODY}</div></dialog></div>"])
+def test_wrappers_by_tag_lose_no_article(page):
+    assert main_text(page) == WANT
+
+
+def test_sections_of_an_article_with_words_as_anchors():
+    text = "This part says quite a lot about its matter. It is as long as any other part of the article, and it has no links in it at all. "
+    page = "<body><article><h1>Guide</h1>" + "".join(
+        f"<section id={i}><h2>{i}</h2><p>{text}{i}</p></section>" for i in ("start", "search", "reply", "share")) + """
+      <section id="related"><h2>Related</h2><a href=1>some other page of ours with a long title</a><a href=2>and one more of them, as long as it</a></section>
+      <section id="newsletter"><p>Sign up now!</p></section>
+      <section id="comments"><h2>Comments</h2><p>I have read all of it with great interest and would like to add a few words of my own to it here,
+      since nobody else did so far, and I hope you like them.</p></section></article></body>"""
+    assert main_text(page) == "\n".join(["Guide"] + [x for i in ("start", "search", "reply", "share") for x in (i, text + i)])
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<b>" * 5000 + "</i>" * 50_000, "<i><div>" + "<b>" * 5000 + "</i>" * 50_000, "<b>" * 5000 + "<hr>" * 50_000, "<table><b>" * 3000 + "<td>" * 30_000,
+                 "<p>" + "<b>" * 5000 + "</div>" * 50_000, "<li>" + "<b>" * 20_000 + "<h1>" * 20_000):
+        assert main_text(page + "end").endswith("end")
+    assert time.time() - began < 12
+
+
+def _plain_density(node):
+    """Counts and densities of a tree by recursion straight from the formulas."""
+    from docweave.llm.html_density import Node
+
+    def counts(n, in_link):
+        link = in_link or n.tag == "a"
+        c = t = lc = lt = 0
+        for child in n.children:
+            if isinstance(child, str):
+                k = len(re.sub(r"\s", "", child))
+                c, lc = c + k, lc + k * link
+            elif not child.skip:
+                a = counts(child, link)
+                c, t, lc, lt = c + a[0], t + a[1] + 1, lc + a[2], lt + a[3] + (child.tag == "a")
+        out[id(n)] = (c, t, lc, lt)
+        return out[id(n)]
+
+    out = {}
+    counts(node, False)
+    ratio = out[id(node)][2] / max(out[id(node)][0], 1)
+    density = {}
+    for key, (c, t, lc, lt) in out.items():
+        if c:
+            base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+            first = c / max(t, 1)
+            density[key] = first * math.log(max(first * (c / max(lc, 1)) * (max(t, 1) / max(lt, 1)), 1.0)) / max(math.log(base), 1.0) if base > 1 else first
+    return out, density, Node
+
+
+PIECES = st.recursive(st.text("ab c\n", max_size=30), lambda inner: st.builds(
+    lambda tag, parts: f"<{tag}>{''.join(parts)}</{tag}>", st.sampled_from(["div", "p", "a", "b", "ul", "nav", "span", "h2"]), st.lists(inner, max_size=4)), max_leaves=25)
+
+
+@settings(max_examples=150, deadline=None)
+@given(PIECES)
+def test_densities_and_sums_by_brute_force(page):
+    from docweave.llm.html_density import _body, _densities, _measure, parse
+
+    body = _body(parse("<body>" + page))
+    order = _measure(body)
+    _densities(order)
+    counts, density, Node = _plain_density(body)
+    for node, _ in order:
+        assert (node.chars, node.tags, node.link_chars, node.link_tags) == counts[id(node)]
+        assert node.density == pytest.approx(density.get(id(node), 0.0))
+        assert node.total == pytest.approx(sum(density.get(id(c), 0.0) for c in node.children if isinstance(c, Node) and not c.skip))
+
+
 def test_odd_markup():
     assert main_text("") == main_text("</p></div>") == main_text("<script>x") == ""
     assert main_text("plain &amp; text &#233;&nbsp;x") == "plain & text é x"
