@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +50,28 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(docs: DataFrame, name: str, label: str) -> DataFrame:
+    """``docs`` with ``name``: a number of its own for every row, the same in every job that reads it.
+
+    Rows of Parquet files are told apart by their file and their place in it, which do not
+    depend on how a job splits the files; any other frame is written once with its numbers.
+    Files are numbered by path (Spark's file index holds the paths anyway).
+    """
+    spark, path = docs.sparkSession, unused(docs, "_file_path")[0]
+    try:
+        hidden = docs.metadataColumn("_metadata")
+        rows = docs.select("*", hidden["file_path"].alias(path), hidden["row_index"].alias(name))
+        files = sorted(r[0] for r in rows.select(path).distinct().collect())
+    except AnalysisException:  # no plain scan of files
+        return staged(docs.withColumn(name, F.monotonically_increasing_id()), label)
+    if len(files) >= 1 << 22:
+        return staged(docs.withColumn(name, F.monotonically_increasing_id()), label)
+    at, key = unused(rows, "_file_number", "_file_key")
+    table = spark.createDataFrame(list(enumerate(files)), f"{at} long, {key} string")
+    return rows.join(F.broadcast(table), F.col(path) == F.col(key)).withColumn(
+        name, F.shiftleft(at, 40) + F.col(name)).select(*docs.columns, name)
+
+
 BROADCAST_KEYS = 4_000_000  # rows of one or two numbers: about 100 MB as a hash table
 
 

@@ -90,3 +90,37 @@ def test_odd_and_empty_documents(spark, odd_docs, no_docs):
         for _, stage in pipeline.STAGES:
             docs = staged(stage(spark, docs, SF), "odd")
         assert docs.count() >= least
+
+
+def test_results_outlive_later_calls(spark, outputs):
+    """A stage called again, and the stages after it, leave earlier results readable."""
+    first = pipeline.drop_near_duplicates(spark, outputs[1], SF)
+    mixed = pipeline.mix_sources(spark, outputs[3], SF)
+    second = pipeline.drop_near_duplicates(spark, outputs[1], SF)
+    pipeline.mix_sources(spark, second, SF).count()
+    assert sorted(r.doc_id for r in first.collect()) == sorted(r.doc_id for r in second.collect()) == sorted(r.doc_id for r in outputs[2].collect())
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.doc_id for r in outputs[4].collect())
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_columns_with_clashing_names_survive(spark, odd_docs, stored):
+    names = ["_row", "_copy", "_copies", "_Taken", "_goes", "_component", "_metadata", "_file_path", "_row_", "copies"]
+    docs = odd_docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", *[f"'{n}!' as {n}" for n in names])
+    docs = staged(docs, "clash") if stored else docs
+    for stage in (pipeline.drop_near_duplicates, pipeline.mix_sources):
+        out = stage(spark, docs, SF)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(r[n] == f"{n}!" for r in rows for n in names)
+
+
+def test_run_removes_what_it_has_read(spark):
+    from docweave.llm.storage import staged_folders
+    from docweave.session import ensure_checkpoint_dir
+    import glob
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before, known = set(glob.glob(f"{base}/*")), len(staged_folders())
+    assert pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
+    left = {p.rsplit("/", 1)[1] for p in set(glob.glob(f"{base}/*")) - before}
+    assert not any(x.startswith(("llm-pipeline-toxicity", "llm-pipeline-simhash", "llm-pipeline-decontamination", "llm-dedup", "llm-mix-copies")) for x in left)
+    assert len(staged_folders()) >= known
