@@ -4,17 +4,16 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next stage's ``docs``. All but the last return the columns of the
 documents table. Nulls, empty texts and repeated rows are kept as the operators define it.
 
-A stage leaves tables in the shared folder that its result still reads; the next stage
-deletes them, since by then the result has been written. Rows are told apart by a number
-that is written once, together with the rows: Spark may split the same files otherwise in
-the next job, when executors come or go. While the table of row numbers to join is of a
-proven size, the texts are not shuffled.
+A stage is a function of its arguments: its result reads tables of its own in the shared
+folder, which nothing that is called later removes; ``run`` removes them once a result is
+written. Rows are told apart by their file and their place in it, so that decisions keyed by
+it hold however a later job splits the files, and no second copy of the texts is written.
+While the table of row numbers to join is of a proven size, the texts are not shuffled.
 """
 
 from __future__ import annotations
 
 import functools
-import threading
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from docweave.llm.decontaminate import drop_contaminated
 from docweave.llm.mixing import mix
 from docweave.llm.queries import new_folder
 from docweave.llm.simhash import simhash_components
-from docweave.llm.storage import small_side, staged, staged_folders
+from docweave.llm.storage import numbered, small_side, staged, staged_folders, unused
 from docweave.llm.token_store import token_output
 from docweave.llm.toxicity import held_out, reject_toxic, train
 from docweave.session import ensure_checkpoint_dir, ship_package
@@ -33,30 +32,16 @@ from docweave.sources.versioned import delete_folder
 ORACLE_SQL = None  # learned scores, fingerprints and alignments: the stages are tested against brute force instead
 
 
-_BEFORE = threading.local()  # folders that the stage before has left
-
-
 def _stage(work):
     @functools.wraps(work)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
         ship_package(spark)
-        for path in getattr(_BEFORE, "folders", ()):
-            delete_folder(spark, path)
-        first = len(staged_folders())
-        out = work(spark, docs, sf_dir)
-        _BEFORE.folders = staged_folders()[first:]
-        del staged_folders()[first:]
-        return out
+        return work(spark, docs, sf_dir)
 
     return run
 
 
-def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """``docs`` with ``_row``, stored: decisions keyed by it hold however a later job splits the files."""
-    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), name)
-
-
 @_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.3 (operator 9); learned from labels that are not held out."""
@@ -67,13 +52,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component (operator 6, 3-word shingles, 3 bits): that of the smallest doc_id."""
-    rows = _numbered(docs, "dedup-input")
-    found = staged(simhash_components(rows, id_col="_row").select("_row", F.col("component_id").alias("_component")), "dedup-components")
-    ranked = rows.select(F.col("_row").alias("_r"), "doc_id").join(found, F.col("_r") == F.col("_row"))
-    stays = ranked.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias("_stays"))
-    goes = staged(found.join(staged(stays, "dedup-stays").select("_stays"), F.col("_row") == F.col("_stays"), "left_anti")
-                  .select(F.col("_row").alias("_goes")), "dedup-goes")
-    return rows.join(small_side(goes), F.col("_row") == F.col("_goes"), "left_anti").select(*docs.columns)
+    row, stays_at, goes_at = unused(docs, "_row", "_stays", "_goes")
+    rows = numbered(docs, row, "dedup-input")
+    found = staged(simhash_components(rows.select(row, "text"), id_col=row).select(F.col(row).alias("_row"), F.col("component_id").alias("_component")),
+                   "dedup-components")
+    ranked = rows.select(F.col(row).alias("_r"), "doc_id").join(found, F.col("_r") == F.col("_row"))
+    stays = ranked.groupBy("_component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias(stays_at))
+    goes = staged(found.join(staged(stays, "dedup-stays").select(stays_at), F.col("_row") == F.col(stays_at), "left_anti")
+                  .select(F.col("_row").alias(goes_at)), "dedup-goes")
+    return rows.join(small_side(goes), F.col(row) == F.col(goes_at), "left_anti").select(*docs.columns)
 
 
 @_stage
@@ -85,10 +72,12 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated as the mix takes them (operator 5): weights 1, 2, 3 over the sources, at most 3 copies."""
-    rows = _numbered(docs, "mix-input")
-    taken = staged(mix(rows, keep=("_row",)).where(F.col("copies") > 0).select(F.col("_row").alias("_taken"), "copies"), "mix-copies")
-    return rows.join(small_side(taken), F.col("_row") == F.col("_taken")).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    row, taken_at, copies, copy = unused(docs, "_row", "_taken", "_copies", "_copy")
+    rows = numbered(docs, row, "mix-input")
+    taken = staged(mix(rows.select(row, "doc_id", "text", "source"), keep=(row,)).where(F.col("copies") > 0).select(
+        F.col(row).alias(taken_at), F.col("copies").alias(copies)), "mix-copies")
+    return rows.join(small_side(taken), F.col(row) == F.col(taken_at)).withColumn(
+        copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 @_stage
@@ -107,8 +96,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table. What a stage leaves in the shared folder goes when its result is written, a
+    stage's result when the next one's is; the last stage's tables stay, since the rows returned are read from them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
+        first = len(staged_folders())
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        for path in before + staged_folders()[first:-1]:
+            delete_folder(spark, path)
+        before = staged_folders()[-1:]
+        del staged_folders()[first:]
     return STAGES[-1][1](spark, docs, sf_dir)
