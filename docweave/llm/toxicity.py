@@ -1,13 +1,15 @@
 """Toxicity scores from a character n-gram linear classifier scaled by naive Bayes log-count ratios (operator 9).
 
-Features are hashed byte n-grams of the lower-cased text (white space as one byte). Over all
-labelled training rows, Spark counts in how many texts of either class each feature occurs;
-r = log(p / q) of the smoothed class shares is its naive Bayes log-count ratio. The most
-telling features (by a two-proportion z) form the model; a text's value for a feature is
+Features are n-grams of code points of the lower-cased text (by Unicode's rule), any white space
+being one blank. Over all labelled training rows, Spark counts in how many texts of either class
+an n-gram occurs; r = log(p / q) of the smoothed class shares is its naive Bayes log-count
+ratio. Counting takes two passes of bounded size: first by slots of a hash, which tells the slots
+in which classes differ most; then the n-grams of these slots one by one (by 64-bit hash). The
+most telling n-grams (by a two-proportion z) form the model; a text's value for an n-gram is
 r * log(1 + occurrences per ``per_words`` words), and a logistic regression with an L2
 penalty gives the weights. Only that last fit sees a bounded sample of the labelled rows
-(``fit_rows``, chosen by a hash of the id); scoring reads every text whole, in one pass
-without a shuffle.
+(``fit_rows``, chosen by a hash of the id); scoring reads every text whole, a piece at a time,
+in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,30 +23,34 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.arrays import SEPARATOR, slices, text_column, utf8, word_spans
+from docweave.llm.arrays import text_column
 from docweave.session import spread
 
 BITS = 19
-ORDERS = (4, 5, 6, 7)
+ORDERS = (2, 3, 4, 5, 6)
+PIECE = 1 << 18  # code points of a long text that are hashed at once
+SCREENED = 1 << 14  # slots whose n-grams are counted one by one
 BROADCAST_ROWS = 4_000_000  # labels beyond this many rows are joined by a shuffle
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
-_FOLD[SEPARATOR] = 32
-
-
-def _folded(data: np.ndarray) -> np.ndarray:
-    """Lower-cased (ASCII and Latin-1 letters), white space as one byte."""
-    out = _FOLD[data]
-    lead = np.flatnonzero(data[:-1] == 0xC3)
-    tail = data[lead + 1]
-    lead = lead[(tail >= 0x80) & (tail <= 0x9E) & (tail != 0x97)]
-    out[lead + 1] += 32
-    return out
+_BLANK = np.zeros(0x110000, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+
+
+def folded(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Code points of each lower-cased text, white space as blanks."""
+    for text in pc.utf8_lower(texts):
+        points = np.frombuffer(text.as_py().encode("utf-32-le"), np.uint32)
+        yield np.where(_BLANK[points], np.uint32(32), points)
 
 
-def _hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(n, feature number of the n-gram that starts at each byte) for every order; n-grams may cross rows."""
-    b = _folded(data).astype(np.uint64)
+def pieces(points: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(code points, number of n-gram starts) of a text in parts that overlap by the longest n-gram less one."""
+    for lo in range(0, len(points), PIECE):
+        yield points[lo:lo + PIECE + max(ORDERS) - 1], min(PIECE, len(points) - lo)
+
+
+def ngram_hashes(points: np.ndarray, starts: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of the n-grams of every order that begin at the first ``starts`` code points."""
+    b = points.astype(np.uint64)
     h = np.full(len(b), 0xCBF29CE484222325, np.uint64)
     for n in range(1, max(ORDERS) + 1):
         h = h[:len(b) - n + 1]
@@ -52,22 +58,25 @@ def _hashes(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             return
         h = (h ^ b[n - 1:]) * np.uint64(0x100000001B3)
         if n in ORDERS:
-            g = h ^ (h >> np.uint64(32))
-            yield n, ((g * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
+            g = (h[:starts] ^ (h[:starts] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield (g ^ (g >> np.uint64(32))) + np.uint64(n)
+
 
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
-def presence_counts(docs: DataFrame) -> DataFrame:
-    """(feature, pos, neg): in how many texts of either class a feature occurs, from (text, toxic)."""
+
+def slot_counts(docs: DataFrame) -> DataFrame:
+    """(feature, pos, neg): in how many texts of either class a slot occurs, from (text, toxic)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int64)
         mark = np.zeros(1 << BITS, bool)
         for batch in batches:
-            texts, toxic = text_column(batch, "text"), batch.column(1).to_numpy(zero_copy_only=False)
-            data, offsets = utf8(texts)
-            for i in range(batch.num_rows):
-                for lo in range(int(offsets[i]), int(offsets[i + 1]), 1 << 20):  # a very long text in overlapping pieces
-                    for _, h in _hashes(data[lo:min(lo + (1 << 20) + max(ORDERS) - 1, offsets[i + 1])]):
-                        mark[h] = True
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, points in enumerate(folded(text_column(batch, "text"))):
+                for part, starts in pieces(points):
+                    for h in ngram_hashes(part, starts):
+                        mark[slot_of(h)] = True
                 found = np.flatnonzero(mark)
                 mark[found] = False
                 counts[toxic[i], found] += 1
@@ -80,38 +89,62 @@ def presence_counts(docs: DataFrame) -> DataFrame:
     return partial.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
+def ngram_counts(docs: DataFrame, screened: np.ndarray, flush: int = 1 << 20) -> DataFrame:
+    """(feature, pos, neg): in how many texts of either class an n-gram of the slots ``screened`` (bool by slot) occurs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = ([], []), 0
+
+        def summed():
+            keys, inverse = np.unique(np.concatenate([*held[0], *held[1]]), return_inverse=True)
+            pos = np.bincount(inverse[sum(map(len, held[0])):], minlength=len(keys))
+            neg = np.bincount(inverse[:sum(map(len, held[0]))], minlength=len(keys))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), pa.array(neg)], ["feature", "pos", "neg"])
+
+        for batch in batches:
+            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, points in enumerate(folded(text_column(batch, "text"))):
+                seen = [np.unique(np.concatenate([h[screened[slot_of(h)]] for h in ngram_hashes(part, starts)] or [np.zeros(0, np.uint64)]))
+                        for part, starts in pieces(points)]
+                if seen:
+                    held[toxic[i]].append(np.unique(np.concatenate(seen)))
+                    size += len(held[toxic[i]][-1])
+                if size > flush:
+                    yield summed()
+                    held, size = ([], []), 0
+        if size:
+            yield summed()
+
+    partial = docs.select("text", "toxic").mapInArrow(run, "feature long, pos long, neg long")
+    return partial.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
 @dataclass
 class Model:
-    """``feature`` numbers (ascending), their coefficient r * weight, and the intercept."""
+    """``feature``: hashes of the n-grams (ascending as unsigned numbers), their coefficient r * weight, and the intercept."""
     feature: np.ndarray
     coefficient: np.ndarray
     intercept: float
     per_words: float = 200.0
 
-    def slots(self) -> np.ndarray:
-        out = np.full(1 << BITS, -1, np.int32)
-        out[self.feature] = np.arange(len(self.feature))
-        return out
-
-
-def _values(texts: pa.Array, slots: np.ndarray, per_words: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, log(1 + rate)) of the model's features in each text."""
-    data, offsets = utf8(texts)
-    n_slots = int(slots.max()) + 1 if len(slots) else 0
-    if not len(data) or not n_slots:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0)
-    words = np.maximum(np.diff(word_spans(data, offsets)[2]), 1)
-    found = []
-    for n, h in _hashes(data):
-        slot = slots[h]
-        at = np.flatnonzero(slot >= 0)
-        row = np.searchsorted(offsets, at, "right") - 1
-        inside = at + n <= offsets[row + 1]
-        found.append(row[inside] * n_slots + slot[at[inside]])
-    key, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0))
-    row = key // n_slots
-    return row, key % n_slots, np.log1p(count * (per_words / words[row]))
+
+def _values(points: np.ndarray, feature: np.ndarray, screened: np.ndarray, per_words: float) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``feature``, log(1 + rate)) of the model's n-grams in a text."""
+    counts = np.zeros(len(feature), np.int64)
+    for part, starts in pieces(points) if len(feature) else ():
+        for h in ngram_hashes(part, starts):
+            h = h[screened[slot_of(h)]]
+            at = np.minimum(np.searchsorted(feature, h), len(feature) - 1)
+            counts += np.bincount(at[feature[at] == h], minlength=len(feature))
+    blank = points == 32
+    words = max(1, int(np.count_nonzero(~blank[1:] & blank[:-1])) + int(len(blank) > 0 and not blank[0]))
+    at = np.flatnonzero(counts)
+    return at, np.log1p(counts[at] * (per_words / words))
+
+
+def _slots(feature: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << BITS, bool)
+    out[slot_of(feature)] = True
+    return out
 
 
 def select_features(counts: np.ndarray, n_pos: int, n_neg: int, features: int, min_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +158,7 @@ def select_features(counts: np.ndarray, n_pos: int, n_neg: int, features: int, m
     top = top[z[top] != 0]
     r = np.log((pos[top] + 0.5) / (n_pos + 1)) - np.log((neg[top] + 0.5) / (n_neg + 1))
     order = np.argsort(feature[top])
-    return feature[top][order].astype(np.int64), r[order]
+    return feature[top][order], r[order]
 
 
 def fit_weights(bounds: np.ndarray, slot: np.ndarray, value: np.ndarray, y: np.ndarray, n_slots: int, penalty: float, steps: int,
@@ -158,8 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows without a label, and labels without a row, are not used; several labels of an id
     count as toxic if one says so. Without both classes the model has no features: its
-    intercept is that of a small share of toxic texts. At most 2^19 counts and ``fit_rows``
-    sparse rows reach the driver, whatever the input's size.
+    intercept is that of a small share of toxic texts. At most 2^19 counts, four times
+    ``features`` n-grams and ``fit_rows`` sparse rows reach the driver, whatever the input's size.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(
         F.max(F.col(label_col).cast("int")).alias("toxic"))
@@ -170,28 +203,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_neg, n_pos = (rows.select("toxic", "_id").groupBy().agg(
         F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first())
     if not n_pos or not n_neg:
-        return Model(np.zeros(0, np.int64), np.zeros(0), -3.0, per_words)
-    counts = np.stack([c.to_numpy() for c in presence_counts(rows).toArrow().columns], axis=1)  # 2^BITS rows at most
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -3.0, per_words)
+
+    def table(counts: DataFrame) -> np.ndarray:
+        return np.stack([c.to_numpy() for c in counts.toArrow().columns], axis=1)
+
+    slots = table(slot_counts(rows))  # 2^BITS rows at most
+    screened = np.zeros(1 << BITS, bool)
+    screened[select_features(slots, n_pos, n_neg, SCREENED, min_texts)[0]] = True
+    # only n-grams that could be chosen leave Spark: the rarest are too few, the least telling come last
+    counts = ngram_counts(rows, screened).where(F.col("pos") + F.col("neg") >= min_texts)
+    pool = (F.col("pos") + F.col("neg")) / (n_pos + n_neg)
+    z = F.abs(F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(F.greatest(pool * (1 - pool), F.lit(1e-9)))
+    counts = table(counts.orderBy(F.desc(F.round(z, 9)), "feature").limit(4 * features))
     feature, r = select_features(counts, n_pos, n_neg, features, min_texts)
-    slots = Model(feature, r, 0.0).slots()
+    feature = feature.astype(np.int64).view(np.uint64)
+    order = np.argsort(feature)
+    feature, r = feature[order], r[order]
+    slots = _slots(feature)
     ways = max(1, -(-(n_pos + n_neg) // fit_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = text_column(batch, "text")
-            for lo, hi in slices(texts):
-                row, slot, value = _values(texts.slice(lo, hi - lo), slots, per_words)
-                at = pa.array(np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.ListArray.from_arrays(at, pa.array(slot.astype(np.int32))),
-                    pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], ["toxic", "tie", "slot", "value"])
+            found = [_values(p, feature, slots, per_words) for p in folded(text_column(batch, "text"))]
+            at = pa.array(np.cumsum([0, *[len(f[0]) for f in found]]).astype(np.int32))
+            slot, value = (np.concatenate([f[j] for f in found]) if found else np.zeros(0) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(1), batch.column(2), pa.ListArray.from_arrays(at, pa.array(slot.astype(np.int32))),
+                pa.ListArray.from_arrays(at, pa.array(value.astype(np.float32)))], ["toxic", "tie", "slot", "value"])
 
     sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(ways)) == 0).select("text", "toxic", F.xxhash64("_id", "text").alias("tie"))
     got = sample.mapInArrow(run, "toxic int, tie long, slot array<int>, value array<float>").toArrow()
     got = got.sort_by("tie").combine_chunks()  # the same sums whatever order the tasks end in
     y = got.column("toxic").to_numpy().astype(float)
     if not len(y):
-        return Model(np.zeros(0, np.int64), np.zeros(0), -3.0, per_words)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -3.0, per_words)
     bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(got.column("slot")).to_numpy())]).astype(np.int64)
     slot = pc.list_flatten(got.column("slot")).to_numpy()
     value = pc.list_flatten(got.column("value")).to_numpy() * r.astype(np.float32)[slot]
@@ -200,18 +246,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _scores(texts: pa.Array, shared) -> np.ndarray:
-    slots, coefficient, intercept, per_words = shared
-    out = [np.zeros(0)]
-    for lo, hi in slices(texts):
-        row, slot, value = _values(texts.slice(lo, hi - lo), slots, per_words)
-        s = np.bincount(row, value * coefficient[slot], minlength=hi - lo) + intercept
-        out.append(1 / (1 + np.exp(-np.clip(s, -500, 500))))
-    return np.concatenate(out)
+    feature, slots, coefficient, intercept, per_words = shared
+    out = []
+    for points in folded(texts):
+        at, value = _values(points, feature, slots, per_words)
+        out.append(intercept + float(value @ coefficient[at]))
+    return 1 / (1 + np.exp(-np.clip(np.array(out, float), -500, 500)))
+
+
+def _shared(spark, model: Model):
+    return spark.sparkContext.broadcast((model.feature, _slots(model.feature), model.coefficient, model.intercept, model.per_words))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted) per row; a null text counts as empty and gets the intercept's score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.slots(), model.coefficient, model.intercept, model.per_words))
+    shared = _shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +274,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """``docs`` with all its columns, without the rows that score ``threshold`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.slots(), model.coefficient, model.intercept, model.per_words))
+    shared = _shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
