@@ -15,6 +15,7 @@ is lost; a join on the first segment alone would meet 65,536 times as many pairs
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ SEGMENTS, WIDTH, MAX_BITS = 4, 16, 3
 HOT_KEY = 4096  # index rows of one key above which its probes are split over tasks
 PAIR_BLOCK = 1 << 20  # pairs compared at once
 
+WORD_BLOCK = 1 << 21  # bytes of a text whose shingles are hashed at once
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint8)
 # Bits of a byte spread over eight byte lanes of a 64-bit number, so that up to 255 bytes add up without overflow.
@@ -48,21 +51,33 @@ def _bit_counts(digests: np.ndarray) -> np.ndarray:
     return out.reshape(64)
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint of a UTF-8 text; no words: 0, fewer words than a shingle: the whole sequence."""
-    words = text.translate(_LOWER).split()  # splits at the six ASCII white-space bytes
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], seed)
-                       for a, b in zip(starts[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())])
-    n = len(words) - shingle + 1
-    counts = _bit_counts(np.frombuffer(hashes, np.uint8).reshape(n, 8))
+def _word_blocks(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """Lower-cased words of a text, about ``size`` bytes at a time."""
+    lo = 0
+    while lo < len(text):
+        end = _WHITE.search(text, lo + size) if lo + size < len(text) else None
+        hi = end.start() if end else len(text)
+        yield text[lo:hi].translate(_LOWER).split()  # splits at the six ASCII white-space bytes
+        lo = hi
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42, block: int = WORD_BLOCK) -> int:
+    """Unsigned 64-bit fingerprint of a UTF-8 text; no words: 0, fewer words than a shingle: the whole sequence. A text is
+    read ``block`` bytes at a time, so its shingles are never held all at once."""
+    counts, n, words, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_digest
+    for more in _word_blocks(text, block):
+        words = words + more if words else more
+        if len(words) < shingle:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        last = len(words) - shingle + 1
+        hashes = b"".join([digest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[shingle - 1:].tolist())])
+        counts += _bit_counts(np.frombuffer(hashes, np.uint8).reshape(last, 8))
+        n, words = n + last, words[last:]
+    if not n:
+        return xxhash.xxh64_intdigest(b" ".join(words), seed) if words else 0
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 

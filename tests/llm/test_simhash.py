@@ -100,3 +100,25 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
     assert {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert simhash_components(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 1000])
+def test_texts_read_in_blocks_give_the_same_fingerprint(block):
+    from docweave.llm.simhash import fingerprint
+
+    for text in ("", " ", "a", "a b", " a b c ", "a b c d", "One two\tthree\n\nfour  five \x0b six é ", "word " * 300, "x" * 500 + " y z w"):
+        for shingle in (1, 2, 3, 5):
+            assert fingerprint(text.encode(), shingle, block=block) == fingerprint(text.encode(), shingle)
+
+
+def test_long_text_in_bounded_memory():
+    import tracemalloc
+
+    from docweave.llm.simhash import fingerprint
+
+    text = b" ".join(b"w%d" % (i * i % 99_991) for i in range(3_000_000))
+    tracemalloc.start()
+    fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20
