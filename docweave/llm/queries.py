@@ -37,7 +37,7 @@ def op5_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to source weights 1, 2, 3 repeating, at most 3 times a source's size."""
     from docweave.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
 
 
 @register("op7_repetition")
