@@ -42,6 +42,7 @@ def register(name: str, oracle: str | None = None):
 from docweave.plans import (  # noqa: E402,F401
     q_chat,
     q_ingest,
+    q_paths,
     q_redact,
     q_retrieve,
     q_stream,

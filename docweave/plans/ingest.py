@@ -28,7 +28,7 @@ from docweave.operators.diff import (CHANGED, GONE, NEW, UNCHANGED, gone_chunks,
 from docweave.operators.embed import EmbedFn, dimension_probe, embed_chunks
 from docweave.operators.parse import parse_documents
 from docweave.operators.records import build_records
-from docweave.session import scratch_path, spread
+from docweave.session import scratch_path, spread, staged
 from docweave.sources import bucketed, index_store, state as state_store, versioned
 from docweave.sources.corpus import with_fingerprint
 
@@ -52,12 +52,13 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
                fmt: str | None = None, limit: int = DEFAULT_LIMIT, as_of=None,
                empty_policy: str = "clear", scope_by_source: bool = True,
                config_fingerprint: str | None = None, index_layout: str = "buckets",
-               n_buckets: int | None = None, reread=None, before_commit=None) -> IngestResult:
+               n_buckets: int | None = None, reread=None, before_commit=None, prune: bool = True) -> IngestResult:
     """One incremental pass over ``corpus`` (``id, uri, source, content``).
 
     ``empty_policy``: ``"keep"`` leaves a known document that now parses to nothing as it
     was (the reference), ``"clear"`` removes its chunks and records the new hash (T1).
-    ``scope_by_source`` prunes only documents of the scanned sources (T3).
+    ``scope_by_source`` prunes only documents of the scanned sources (T3); ``prune=False``
+    prunes none, for a corpus that holds only what has arrived.
     ``config_fingerprint`` folds processing settings into the hash (T2).
     ``index_layout="buckets"`` rewrites only the index and state buckets this run touches,
     each table switched by one manifest (``before_commit(table)`` runs just before);
@@ -88,6 +89,8 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     scanned.select(*keep).write.parquet(f"{run_dir}/scanned")
     scanned = spark.read.parquet(f"{run_dir}/scanned")
     diff = ingest_diff(scanned, state_store.state_scan(state), scope_by_source)
+    if not prune:
+        diff = diff.filter(F.col("status") != GONE)
     if facts:  # listing facts ride along so state can record them
         diff = diff.join(scanned.select(F.col("id").alias("doc_id"), "length",
                                         F.col("modificationTime").alias("modified")), "doc_id", "left")
@@ -229,3 +232,33 @@ def ingest_on_events(events: DataFrame, corpus_fn, index_root: str, state_root:
     if available_now:
         q.awaitTermination()
     return q, results
+
+
+def ingest_arrivals(changes: DataFrame, index_root: str, state_root: str, checkpoint: str, counts_path: str | None = None, **run_kw) -> list[tuple]:
+    """Streamed corpus rows with change numbers (``connector_stream``) into index and state, until no more are listed.
+
+    Each trigger is one ``ingest_run`` over its own documents, a document's newest change
+    only; nothing is pruned. A trigger's rows are written once and fetched once. The
+    checkpoint commits after the pass, so an interrupted one is replayed and, with
+    deterministic ids and the diff against state, adds nothing twice; its count is
+    written to a folder of its own. Returns (trigger, counters) of the passes.
+    """
+    results, n_cols = [], ["id", "uri", "source", "content"]
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        held = staged(batch, "arrivals")
+        drained = held.count()
+        if drained:
+            newest = held.groupBy("id").agg(F.max("seq").alias("seq"))
+            corpus = held.join(newest, ["id", "seq"], "left_semi").select(*n_cols)
+            results.append((batch_id, ingest_run(corpus, index_root, state_root, prune=False, **run_kw).stats.first()))
+            if counts_path:
+                spark.createDataFrame([(drained,)], "drained long").write.mode("overwrite").parquet(f"{counts_path.rstrip('/')}/batch_id={batch_id}")
+
+    q = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime="0 seconds").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return results

@@ -105,18 +105,17 @@ union all
 select 'web:' || cast(page_id as varchar) as id, url as uri, 'web' as source, sha256(html) as content_hash,
        case when url like '%.html' then 'text/html' else 'application/octet-stream' end as content_type from pages
 union all
-select 'made:' || cast(i as varchar) as id, 'made/' || cast(i as varchar) || '.md' as uri, 'made' as source,
-       sha256('# Item' || chr(10) || chr(10) || 'body of made/' || cast(i as varchar) || '.md') as content_hash, 'text/markdown' as content_type
-from (select unnest(range(count(*))) as i from nation)""")
+select 'made:' || cast(page_id as varchar) as id, url as uri, 'made' as source, sha256(html) as content_hash,
+       case when url like '%.html' then 'text/html' else 'application/octet-stream' end as content_type from pages""")
 def corpus_sources(td):
-    """Documents, web pages and a connector's documents (one for each nation) as one corpus."""
-    from docweave.plans.stand_ins import TableSource
+    """Documents, web pages and the same pages through a connector, as one corpus."""
+    from docweave.plans.stand_ins import PagesSource
     from docweave.sources.corpus import corpus_from_source, corpus_union
 
     pages = td["pages"].select(
         F.concat(F.lit("web:"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("uri"), F.lit("web").alias("source"),
         F.encode("html", "UTF-8").alias("content"))
-    made = corpus_from_source(td.spark, TableSource(td["nation"].count()))
+    made = corpus_from_source(td.spark, PagesSource(f"{td.sf_dir}/pages.parquet"))
     return with_fingerprint(corpus_union(corpus(td), pages, made)).select("id", "uri", "source", "content_hash", "content_type")
 
 
@@ -265,7 +264,7 @@ def old_index(td):
         F.lit("2024-01-30 00:00:00").cast("timestamp").alias("updated_at"), F.array_repeat(F.lit(0.0).cast("float"), 4).alias("vector"))
 
 
-def run_from_fixture(td):
+def run_from_fixture(td, **settings):
     """The real incremental run over the whole corpus, from the fixture's index and state; returns (base folder, result)."""
     import uuid
 
@@ -277,7 +276,7 @@ def run_from_fixture(td):
     known, rows = old_index(td), S.state_rows(state(td), "2024-01-30 00:00:00")
     bucketed.replace(td.spark, f"{base}/index", index_store.INDEX_SCHEMA, "parent_id", lambda _: known, known.select("parent_id"), 64)
     bucketed.replace(td.spark, f"{base}/state", S.STATE_SCHEMA, "doc_id", lambda _: rows, rows.select("doc_id"), 64)
-    return base, ingest_run(corpus(td), f"{base}/index", f"{base}/state", fmt="text", as_of="2024-01-31 00:00:00")
+    return base, ingest_run(corpus(td), f"{base}/index", f"{base}/state", fmt="text", as_of="2024-01-31 00:00:00", **settings)
 
 
 @register("ingest_run_stats", _with_recursive("corpus", "ingest_state") + chunks_cte() + DIFF_SQL + """

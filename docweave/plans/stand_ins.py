@@ -3,22 +3,48 @@
 from __future__ import annotations
 
 
-class TableSource:
-    """A connector (S3) over rows derived in the task: documents 0 .. n-1, listed and fetched shard by shard."""
+class PagesSource:
+    """A connector (S3) over a table of pages: rows by number, read in the task that lists them.
+
+    ``arrivals`` makes the change listing grow to its full length in so many looks at it.
+    """
 
     name = "made"
 
-    def __init__(self, n: int, n_shards: int = 4):
-        self.n, self.n_shards = n, n_shards
+    def __init__(self, path: str, arrivals: int = 1, n_shards: int = 4):
+        import pyarrow.parquet as pq
+
+        self.path, self.n_shards, self.arrivals, self.looks = path, n_shards, arrivals, 0
+        self.n = pq.read_metadata(path).num_rows
 
     def shards(self):
-        return [str(i) for i in range(self.n_shards)]
+        return [f"{self.n * i // self.n_shards}-{self.n * (i + 1) // self.n_shards}" for i in range(self.n_shards)]
+
+    def _rows(self, start, end):
+        import pyarrow.parquet as pq
+
+        at = 0
+        for batch in pq.ParquetFile(self.path).iter_batches(256, columns=["page_id", "url", "html"]):
+            if at < end and at + batch.num_rows > start:
+                part = batch.slice(max(0, start - at), min(end, at + batch.num_rows) - max(at, start))
+                yield from zip(range(max(at, start), end), *(c.to_pylist() for c in part.columns))
+            at += batch.num_rows
 
     def list(self, shard):
-        return ((str(i), f"made/{i}.md") for i in range(int(shard), self.n, self.n_shards))
+        self.held = {}
+        for _, key, url, html in self._rows(*map(int, shard.split("-"))):
+            self.held = {url: html}  # fetched right after it is listed
+            yield str(key), url
 
     def fetch(self, uri):
-        return f"# Item\n\nbody of {uri}".encode()
+        return (self.held[uri] or "").encode()
+
+    def last(self):
+        self.looks += 1
+        return min(self.n, -(-self.n * self.looks // self.arrivals))
+
+    def changes(self, start, end):
+        return ((number, str(key), url, (html or "").encode()) for number, key, url, html in self._rows(start, end))
 
 
 def failing_service(texts):

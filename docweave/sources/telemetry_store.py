@@ -15,9 +15,10 @@ from docweave.operators.telemetry import _as_datetime, parse_since
 
 
 def write_by_day(df: DataFrame, root: str, ts: str = "TimeGenerated", mode: str = "append") -> None:
-    """Append telemetry rows under ``root/day=YYYY-MM-DD``, clustered by operation."""
+    """Append telemetry rows under ``root/day=YYYY-MM-DD``, clustered by operation. A day is cut into files by size, so a
+    busy one is many tasks."""
     out = df.withColumn("day", F.to_date(F.col(ts)))
-    out.repartition("day").sortWithinPartitions("OperationId" if "OperationId" in df.columns else ts) \
+    out.hint("rebalance", F.col("day")).sortWithinPartitions("day", "OperationId" if "OperationId" in df.columns else ts) \
         .write.mode(mode).partitionBy("day").parquet(root)
 
 
