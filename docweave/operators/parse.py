@@ -39,6 +39,7 @@ _MD_HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t#]*$")
 
 # HTML elements whose text is not content, and elements that end a block.
 _SKIP_TAGS = {"script", "style", "nav", "noscript", "template", "svg", "iframe"}
+_RAW_TAGS = {"script", "style"}  # no page text, closed or not
 _BLOCK_TAGS = {"p", "div", "li", "td", "th", "pre", "blockquote", "section", "article", "main",
                "header", "footer", "aside", "ul", "ol", "table", "tr", "dd", "dt", "figcaption",
                "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr", "body", "html"}
@@ -79,11 +80,12 @@ def _markdown(text: str) -> list[dict]:
 
 
 class _HtmlBlocks(HTMLParser):
-    def __init__(self):
+    def __init__(self, skip_tags=frozenset(_SKIP_TAGS)):
         super().__init__(convert_charrefs=True)
+        self.skip_tags = skip_tags
+        self.open_skips: list[str] = []  # elements whose content is left out, as they opened
         self.blocks: list[dict] = []
         self.stack: list[tuple[int, str]] = []
-        self.skip = 0
         self.in_head = False
         self.buf: list[str] = []
         self.heading_level = 0
@@ -107,10 +109,10 @@ class _HtmlBlocks(HTMLParser):
             self.in_head = False
         if tag == "title":
             self.in_title = True
-        if tag in _SKIP_TAGS:
-            self.skip += 1
+        if tag in self.skip_tags:
+            self.open_skips.append(tag)
             return
-        if tag in _BLOCK_TAGS and not self.skip:
+        if tag in _BLOCK_TAGS and not self.open_skips:
             self._flush()
             self.heading_level = _HEADING_TAGS.get(tag, 0)
 
@@ -119,17 +121,18 @@ class _HtmlBlocks(HTMLParser):
             self.in_title = False
         if tag == "head":
             self.in_head = False
-        if tag in _SKIP_TAGS:
-            self.skip = max(0, self.skip - 1)
+        if tag in self.skip_tags:
+            if tag in self.open_skips:  # what has not been closed inside it ends with it
+                del self.open_skips[len(self.open_skips) - 1 - self.open_skips[::-1].index(tag):]
             return
-        if tag in _BLOCK_TAGS and not self.skip:
+        if tag in _BLOCK_TAGS and not self.open_skips:
             self._flush()
             self.heading_level = 0
 
     def handle_data(self, data):
         if self.in_title:
             self.title.append(data)
-        if not self.skip and not self.in_head and not self.in_title:
+        if not self.open_skips and not self.in_head and not self.in_title:
             self.buf.append(data)
 
     def close(self):
@@ -138,10 +141,17 @@ class _HtmlBlocks(HTMLParser):
 
 
 def _html(text: str) -> list[dict]:
-    p = _HtmlBlocks()
-    p.feed(text)
-    p.close()
-    return p.blocks
+    """Blocks of a page. An element to leave out that is never closed does not take the rest of the page with it: the page
+    is read again without leaving out that kind (at most once a kind)."""
+    skipped = frozenset(_SKIP_TAGS)
+    while True:
+        p = _HtmlBlocks(skipped)
+        p.feed(text)
+        p.close()
+        unclosed = set(p.open_skips) - _RAW_TAGS
+        if not unclosed:
+            return p.blocks
+        skipped -= unclosed
 
 
 _PARSERS = {"markdown": _markdown, "md": _markdown, "html": _html, "htm": _html,

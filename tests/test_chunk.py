@@ -82,3 +82,15 @@ def test_history_window_buckets_are_exact(spark):
     times = m.withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") * 3600))
     assert ref == hist(m.repartition(5)) == hist(times, "at")  # any order type and spacing
     assert ref["s-40"] == ["c36", "c37", "c38", "c39"] and ref["t-0"] == [] and "s-7" not in ref
+
+
+def test_unclosed_skip_tags_keep_the_rest_of_the_page():
+    from docweave.operators.parse import _html
+
+    texts = lambda page: [b["text"] for b in _html(page)]
+    assert texts("<body><nav><ul><li>menu</ul></nav><p>one</p><p>two") == ["one", "two"]
+    assert texts("<body><nav><a>menu</a><h1>Head</h1><p>one</p><p>two</p>") == ["menu", "one", "two"]
+    assert texts("<p>a</p><svg><text>x</text><p>b</p><noscript>c</noscript>") == ["a", "x", "b"]
+    assert texts("<nav><template>t</nav><p>kept</p>") == ["kept"]  # closed with what is around it
+    assert texts("<p>a</p></nav></svg><p>b</p><script>var x = '<p>no</p>'") == ["a", "b"]
+    assert _html("<nav>x<h2>T</h2><p>y")[-1] == {"text": "y", "headings": ["T"]}
