@@ -239,3 +239,13 @@ def scrub_events(events: DataFrame, scrubber: Scrubber | None = None, strict: bo
 def erase_subjects(table: DataFrame, identities: DataFrame, key: str = "session_id") -> DataFrame:
     """Rows left after deleting every row of the given identities."""
     return table.join(identities.select(key).distinct(), key, "left_anti")
+
+
+def erase_traces(telemetry: DataFrame, messages: DataFrame, identities: DataFrame, key: str = "session_id") -> DataFrame:
+    """Telemetry rows left after deleting every trace that a message of the given identities belongs to.
+
+    ``messages`` (``key``, ``trace_id``) tells whose traces they are, so it is read before its
+    own rows are erased. Rows without a trace stay.
+    """
+    doomed = messages.join(identities.select(key).distinct(), key, "left_semi").select(F.col("trace_id").alias("OperationId")).distinct()
+    return telemetry.join(doomed, "OperationId", "left_anti")

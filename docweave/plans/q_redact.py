@@ -116,3 +116,16 @@ def erase_subjects(td):
     who = td["events"].filter((F.col("event_type") == "signup") & (F.col("value") > 300)) \
         .select(F.col("user_id").cast("string").alias("session_id"))
     return X.erase_subjects(td["messages"], who).select("id", "session_id", "role")
+
+
+@register("erase_traces", W("messages", "app_requests", "app_dependencies") + """
+, who as (select distinct cast(user_id as varchar) as session_id from events where event_type = 'signup' and value > 300),
+doomed as (select distinct md5(m.session_id) as trace_id from messages m join who w on m.session_id = w.session_id),
+s as (select OperationId, Id, Type from app_requests union all select OperationId, Id, Type from app_dependencies)
+select OperationId, Id, Type from s where not exists (select 1 from doomed d where d.trace_id = s.OperationId)""")
+def erase_traces(td):
+    """The same requests delete every span of the subjects' traces (messages keyed by the trace numbered like their session)."""
+    who = td["events"].filter((F.col("event_type") == "signup") & (F.col("value") > 300)).select(F.col("user_id").cast("string").alias("session_id"))
+    messages = td["messages"].withColumn("trace_id", F.md5("session_id"))
+    spans = td["app_requests"].unionByName(td["app_dependencies"], allowMissingColumns=True)
+    return X.erase_traces(spans, messages, who).select("OperationId", "Id", "Type")

@@ -121,3 +121,10 @@ def test_erase_subjects(spark):
     m = spark.createDataFrame([("1", "a"), ("2", "b"), ("1", "c")], "session_id string, content string")
     who = spark.createDataFrame([("1",), ("9",)], "session_id string")
     assert [r.content for r in X.erase_subjects(m, who).collect()] == ["b"]
+
+
+def test_erase_traces_of_subjects_only(spark):
+    m = spark.createDataFrame([("1", "t1"), ("1", None), ("2", "t2"), ("3", "t3")], "session_id string, trace_id string")
+    t = spark.createDataFrame([("t1", "a"), ("t1", "b"), ("t2", "c"), (None, "d"), ("t9", "e")], "OperationId string, Id string")
+    who = spark.createDataFrame([("1",), ("1",), (None,), ("8",)], "session_id string")
+    assert sorted(r.Id for r in X.erase_traces(t, m, who).collect()) == ["c", "d", "e"]
