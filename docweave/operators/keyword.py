@@ -51,13 +51,7 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
                        F.explode(F.array_union(F.array_distinct("_w"), F.array(F.lit(SENTINEL)))).alias("term"))
     st = staged(per_doc.join(asked, "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == SENTINEL, F.col("_len"))).alias("len")), "term-stats")
-    total = st.filter(F.col("term") == SENTINEL).first()
-    n_docs = int(total["df"]) if total else 0
-    avgdl = float(total["len"]) / n_docs if n_docs else 0.0
-    idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = staged(qt.join(st.select("term", "df"), "term").select(qid, "term", idf.alias("idf")), "query-weights")
-    size = weights.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // max_broadcast_bytes))
+    weights, avgdl, n_blocks = query_weights(qt, st, qid, SENTINEL, max_broadcast_bytes)
     out = None
     for block in range(n_blocks):
         pw = weights.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == block).toPandas()
@@ -67,6 +61,20 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def query_weights(qt: DataFrame, stats: DataFrame, qid: str, every: str, max_bytes: int) -> tuple[DataFrame, float, int]:
+    """Staged (qid, term, idf) of the known terms, the average length, and in how many blocks the weights are to be broadcast.
+
+    ``stats`` holds (term, df, len); the term ``every`` stands for all documents and their total length.
+    """
+    total = stats.filter(F.col("term") == every).first()
+    n_docs = int(total["df"]) if total else 0
+    avgdl = float(total["len"]) / n_docs if n_docs else 0.0
+    idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = staged(qt.join(stats.select("term", "df"), "term").select(qid, "term", idf.alias("idf")), "query-weights")
+    size = weights.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+    return weights, avgdl, max(1, -(-size // max_bytes))
+
+
 def _score_block(d: DataFrame, docs: DataFrame, queries: DataFrame, pw, avgdl: float, k: int, doc_id: str, qid: str,
                  k1: float, b: float) -> DataFrame:
     """Task-local top-k of one block of queries, given its weights (qid, term, idf)."""

@@ -27,6 +27,7 @@ from docweave.operators.diff import (CHANGED, GONE, NEW, UNCHANGED, gone_chunks,
                                      ingest_stats, stale_chunks)
 from docweave.operators.embed import EmbedFn, dimension_probe, embed_chunks
 from docweave.operators.parse import parse_documents
+from docweave.operators.postings import postings_update
 from docweave.operators.records import build_records
 from docweave.session import scratch_path, spread, staged
 from docweave.sources import bucketed, index_store, state as state_store, versioned
@@ -52,7 +53,8 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
                fmt: str | None = None, limit: int = DEFAULT_LIMIT, as_of=None,
                empty_policy: str = "clear", scope_by_source: bool = True,
                config_fingerprint: str | None = None, index_layout: str = "buckets",
-               n_buckets: int | None = None, reread=None, before_commit=None, prune: bool = True) -> IngestResult:
+               n_buckets: int | None = None, reread=None, before_commit=None, prune: bool = True,
+               keyword_root: str | None = None) -> IngestResult:
     """One incremental pass over ``corpus`` (``id, uri, source, content``).
 
     ``empty_policy``: ``"keep"`` leaves a known document that now parses to nothing as it
@@ -67,6 +69,7 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
     modification time equal those recorded in state is trusted to be unchanged and its
     bytes are not read; only the other files are read and hashed. The hash stays the rule
     for every file that is read.
+    ``keyword_root`` names a stored keyword index over the chunks' searchable fields, which the run keeps in step.
     """
     if index_layout not in ("versioned", "buckets"):
         raise ValueError("index_layout must be 'versioned' or 'buckets'")
@@ -149,6 +152,10 @@ def ingest_run(corpus: DataFrame, index_root: str, state_root: str, embed_fn: Em
         new_index = index_store.index_upsert(index_store.index_delete(old_index, doomed), rec)
         index_version = index_store.write_index(new_index, index_root)
 
+    if keyword_root is not None:  # before state, so that a run stopped here repeats its documents
+        postings_update(spark, keyword_root, rec.select("id", F.concat_ws("\n", *index_store.SEARCHABLE).alias("text")), doomed,
+                        doc_id="id", before_commit=before_commit and (lambda: before_commit("keywords")))
+
     # state: record re-ingested docs, forget gone ones
     fact_cols = ["length", "modified"] if "length" in diff.columns else []
     fresh = reingested.drop("chunk_ids").join(changed_ids, "doc_id").select(

@@ -193,11 +193,35 @@ bm_ranked as (
 """
 
 
-@register("keyword_topk", "with queries as (select item_id as qid, text as qtext from benchmark)" + BM25_CTE + """
+KEYWORD_SQL = "with queries as (select item_id as qid, text as qtext from benchmark)" + BM25_CTE + """
 select qid as item_id, doc_id, cast(rank as integer) as rank, round(score, 4) as score
-from bm_ranked where rank <= 3""")
+from bm_ranked where rank <= 3"""
+
+
+@register("keyword_topk", KEYWORD_SQL)
 def keyword_topk(td):
     """V3: BM25 top-3 documents for every benchmark passage."""
     q = td["benchmark"].select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
     top = bm25_topk(td["documents"], q, 3)
     return top.select(F.col("qid").alias("item_id"), "doc_id", "rank", F.round("score", 4).alias("score"))
+
+
+@register("keyword_topk_stored", KEYWORD_SQL)
+def keyword_topk_stored(td):
+    """V3 from a stored index: written over an older state of the documents (every third with another text, copies that are
+    gone by now), brought up to date, then asked."""
+    import uuid
+
+    from docweave.operators.postings import postings_topk, postings_update
+    from docweave.session import scratch_path
+
+    root = scratch_path(td.spark, f"postings-{uuid.uuid4().hex}")
+    docs = td["documents"].select("doc_id", "text")
+    third, seventh = F.col("doc_id") % 3 == 0, F.col("doc_id") % 7 == 0
+    copies = docs.filter(seventh).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    older = docs.select("doc_id", F.when(third, F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    postings_update(td.spark, root, older.unionByName(copies))
+    postings_update(td.spark, root, docs.filter(third), copies.select("doc_id"))
+    q = td["benchmark"].select(F.col("item_id").alias("qid"), F.col("text").alias("qtext"))
+    top = postings_topk(td.spark, root, q, 3)
+    return top.select(F.col("qid").alias("item_id"), "doc_id", "rank", F.round("score", 4).alias("score"))
