@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment (operator 10).
 
 The benchmark is a stated query set held in blocks of bounded size; the corpus is scanned
-once per block for document frequencies and once for matches, without a shuffle of texts.
+once per eight blocks for document frequencies and once for matches, without a shuffle of texts.
 
 1. Every word n-gram of the items is looked up in all documents: its document frequency.
-2. An item's seeds are the rarest share of its own n-grams. The share is relative to the
-   item, so an item that half the corpus quotes keeps its seeds like any other.
+2. An item's seeds are the rarest share of its own n-grams, by documents times items that hold
+   them. The share is relative to the item, so an item that half the corpus quotes keeps its
+   seeds like any other; a template that thousands of items share comes last in all of them.
 3. Where a seed of an item meets a document, hits on nearby diagonals form a window. Windows
    that do not reach the score alone are tried as one over the words inserted between them.
 4. Words of item and window are aligned locally (match +2, mismatch -1, gap -1). The score
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from docweave.llm.arrays import dictionary, packed, slices, text_column, utf8, word_spans
 from docweave.session import spread
 
-BLOCK_BYTES = 4 << 20  # benchmark text held at once
+BLOCK_BYTES = 4 << 20  # benchmark text of a block
+BLOCKS_A_SCAN = 8  # blocks looked for in one scan of the corpus
+HITS = 1_000_000  # (hit, item) pairs held at once
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])) + "«»“”„‘’…–—¡¿"
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BASE = np.uint64(0x9E3779B97F4A7C55)
@@ -73,43 +76,54 @@ class Grams:
 
 
 class Items:
-    """Benchmark items of one block and the grams that stand for them."""
+    """Benchmark items of one block, those of equal words as one class, and the grams that stand for them."""
 
     def __init__(self, texts: list[str], n: int) -> None:
         codes, _, bounds = word_codes(pa.array(texts, pa.large_string()))
-        self.codes = [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-        rows = []  # (gram length, hash, item, position); an item shorter than n words is one gram
-        for i, c in enumerate(self.codes):
-            if len(c):
-                k = min(n, len(c))
-                h = grams(c, k)
-                rows += [(k, x, i, p) for p, x in enumerate(h.tolist())]
-        self.length = np.array([r[0] for r in rows], np.int64)
-        self.hash = np.array([r[1] for r in rows], np.uint64)
-        self.item = np.array([r[2] for r in rows], np.int64)
-        self.position = np.array([r[3] for r in rows], np.int64)
-
-    def lookup(self, keep: np.ndarray) -> list[tuple[int, Grams, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per gram length: its table, and the items and positions of each gram number (CSR)."""
+        classes: dict[bytes, int] = {}
+        of = np.array([classes.setdefault(codes[a:b].tobytes(), len(classes)) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
+        self.codes = [np.frombuffer(key, np.uint64) for key in classes]
+        self.member = np.argsort(of, kind="stable")  # rows of the block by class
+        self.first = np.searchsorted(of[self.member], np.arange(len(classes) + 1))
+        self.size = np.array([len(c) for c in self.codes], np.int64)
+        flat, start = np.concatenate([*self.codes, np.zeros(0, np.uint64)]), np.cumsum(self.size) - self.size
+        length, hashes, item, position = [], [], [], []
+        for k in range(1, n + 1):  # an item shorter than n words is one gram
+            mine = np.flatnonzero(self.size >= n if k == n else self.size == k)
+            which, at = _ranges(start[mine], self.size[mine] - k + 1)
+            length.append(np.full(len(at), k))
+            hashes.append(grams(flat, k)[at] if len(at) else np.zeros(0, np.uint64))
+            item.append(mine[which])
+            position.append(at - start[mine[which]])
+        self.length, self.hash, self.item, self.position = (np.concatenate(x) for x in (length, hashes, item, position))
+
+    def lookup(self, keep: np.ndarray) -> list[tuple[int, Grams, np.ndarray, np.ndarray]]:
+        """Per gram length: its table, and (gram number * items + item, position) of the grams kept, sorted."""
         out = []
         for k in np.unique(self.length[keep]).tolist():
             mine = np.flatnonzero(keep & (self.length == k))
             table = Grams(self.hash[mine])
-            number = np.searchsorted(table.sorted, self.hash[mine])
-            order = np.argsort(number, kind="stable")
-            begin = np.searchsorted(number[order], np.arange(len(table.sorted) + 1))
-            out.append((k, table, begin, self.item[mine][order], self.position[mine][order]))
+            key = np.searchsorted(table.sorted, self.hash[mine]) * len(self.codes) + self.item[mine]
+            order = np.argsort(key, kind="stable")
+            out.append((k, table, key[order], self.position[mine][order]))
         return out
 
 
-def _hits(codes: np.ndarray, bounds: np.ndarray, tables) -> Iterator[tuple[int, Grams, np.ndarray, np.ndarray, np.ndarray, tuple]]:
+def _ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, position) of every position of the ranges ``begin .. begin + count``."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+
+
+def _hits(codes: np.ndarray, bounds: np.ndarray, tables) -> Iterator[tuple]:
+    """(gram length, table, keys, positions, word, gram number, text) of the grams of ``codes`` that ``tables`` hold."""
     row_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    for k, table, *csr in tables:
+    for k, table, key, position in tables:
         if len(codes) < k:
             continue
         at, number = table.find(grams(codes, k))
         inside = row_of[at] == row_of[at + k - 1]
-        yield k, table, at[inside], number[inside], row_of[at[inside]], csr
+        yield k, table, key, position, at[inside], number[inside], row_of[at[inside]]
 
 
 def align(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +154,7 @@ def align(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _align_windows(items: Items, codes: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: float):
     """(score, start, end) of each window codes[lo:hi] against its item; score 0 where it can't reach ``least``."""
     score, start, end = np.zeros(len(item)), lo.copy(), lo.copy()
-    m = np.array([len(items.codes[i]) for i in item], np.int64)
+    m = items.size[item]
     order = np.lexsort((hi - lo, m))
     at = 0
     while at < len(order):  # blocks of windows of similar shape, padded to the largest
@@ -172,16 +186,32 @@ def _align_windows(items: Items, codes: np.ndarray, item: np.ndarray, lo: np.nda
     return score, start, end
 
 
-def _windows(items: Items, tables, codes: np.ndarray, bounds: np.ndarray, min_score: float):
+def _pieces(items: Items, hits: list[tuple], bounds: np.ndarray, min_score: float, found: np.ndarray) -> Iterator[tuple]:
+    """Windows of all items, a range of items at a time, so that about ``HITS`` (hit, item) pairs are held at once.
+    Texts marked in ``found`` by then are passed over."""
+    todo = [(0, len(items.codes))]
+    while todo:
+        lo, hi = todo.pop()
+        spans = []
+        for _, _, key, position, at, number, row in hits:
+            live = ~found[row]
+            at, number, row = at[live], number[live], row[live]
+            begin = np.searchsorted(key, number * len(items.codes) + lo)
+            spans.append((key, position, at, row, begin, np.searchsorted(key, number * len(items.codes) + hi) - begin))
+        if sum(int(count.sum()) for *_, count in spans) > HITS and hi - lo > 1:
+            todo += [((lo + hi) // 2, hi), (lo, (lo + hi) // 2)]
+        else:
+            yield _windows(items, spans, bounds, min_score)
+
+
+def _windows(items: Items, spans: list[tuple], bounds: np.ndarray, min_score: float):
     """(row, item, lo, hi, run) of windows around the hits of each (text, item), by nearby diagonals. Windows of a run
     lie so near that one alignment over words inserted between them can still reach ``min_score``."""
     rows, its, diagonals = [], [], []
-    for _, _, at, number, row, (begin, item, position) in _hits(codes, bounds, tables):
-        count = begin[number + 1] - begin[number]
-        which = np.repeat(np.arange(len(at)), count)
-        pick = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[number], count)
+    for key, position, at, row, begin, count in spans:
+        which, pick = _ranges(begin, count)
         rows.append(row[which])
-        its.append(item[pick])
+        its.append(key[pick] % len(items.codes))
         diagonals.append(at[which] - position[pick])
     if not rows or not sum(map(len, rows)):
         z = np.zeros(0, np.int64)
@@ -189,7 +219,7 @@ def _windows(items: Items, tables, codes: np.ndarray, bounds: np.ndarray, min_sc
     row, item, diagonal = (np.concatenate(x) for x in (rows, its, diagonals))
     order = np.lexsort((diagonal, item, row))
     row, item, diagonal = row[order], item[order], diagonal[order]
-    m = np.array([len(c) for c in items.codes], np.int64)[item]
+    m = items.size[item]
     slack = m // 2 + 4
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])])
     first = np.flatnonzero(new)
@@ -229,8 +259,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     schema = (f"doc_id {slim.schema['id'].dataType.simpleString()}, item_id {bench.schema['item'].dataType.simpleString()}, "
               "score double, start_word long, end_word long, n_windows long")
     out = None
-    for part in _blocks(bench, block_bytes):
-        found = slim.mapInArrow(_report(_seeds(slim, part, n, seed_share), min_score), schema)
+    for parts in _scans(bench, block_bytes):
+        found = slim.mapInArrow(_report(_seeds(slim, parts, n, seed_share), min_score), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"doc_id": id_col, "item_id": item_col})
 
@@ -241,100 +271,129 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     docs = spread(docs)
     slim = docs.select(F.col(text_col).alias("text"))
     bench = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    for part in _blocks(bench, block_bytes):
-        docs = docs.mapInArrow(_clean(_seeds(slim, part, n, seed_share), min_score, text_col), docs.schema)
+    for parts in _scans(bench, block_bytes):
+        docs = docs.mapInArrow(_clean(_seeds(slim, parts, n, seed_share), min_score, text_col), docs.schema)
     return docs
 
 
-def _blocks(bench: DataFrame, block_bytes: int) -> Iterator[pa.Table]:
-    """The benchmark (item, text) in blocks of about ``block_bytes`` of text; their number grows with the benchmark alone."""
+def _scans(bench: DataFrame, block_bytes: int) -> Iterator[list[pa.Table]]:
+    """The benchmark (item, text) in blocks of about ``block_bytes`` of text, ``BLOCKS_A_SCAN`` at a time; their number grows
+    with the benchmark alone."""
     bench = bench.withColumn("text", F.coalesce("text", F.lit("")))
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    for b in range(blocks):
-        yield bench.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).orderBy("item", "text").toArrow()
+    for first in range(0, blocks, BLOCKS_A_SCAN):
+        yield [bench.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == b).orderBy("item", "text").toArrow()
+               for b in range(first, min(first + BLOCKS_A_SCAN, blocks))]
 
 
-def _seeds(slim: DataFrame, part: pa.Table, n: int, seed_share: float):
-    """Broadcast (items, lookup of their rare grams, item ids) of one block, after counting document frequencies in ``slim``."""
+def _seeds(slim: DataFrame, parts: list[pa.Table], n: int, seed_share: float):
+    """Broadcast [(items, lookup of their rare grams, item ids)] of blocks, after one count of document frequencies in ``slim``."""
     spark = slim.sparkSession
-    items = Items(part.column("text").to_pylist(), n)
-    names = part.column("item").combine_chunks()
-    everything = items.lookup(np.ones(len(items.hash), bool))
-    if not everything:
-        return spark.sparkContext.broadcast((items, everything, names))
+    blocks = [Items(part.column("text").to_pylist(), n) for part in parts]
+    names = [part.column("item").combine_chunks() for part in parts]
+    length, hashes = (np.concatenate([getattr(items, x) for items in blocks]) for x in ("length", "hash"))
+    everything = [(k, Grams(hashes[length == k])) for k in np.unique(length).tolist()]
     held = spark.sparkContext.broadcast(everything)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held.value
+        tables = [(k, table, None, None) for k, table in held.value]
         counts = {k: np.zeros(len(table.sorted), np.int64) for k, table, *_ in tables}
         for batch in batches:
             col = text_column(batch, "text")
             for lo, hi in slices(col):
                 codes, _, bounds = word_codes(col.slice(lo, hi - lo))
-                for k, table, _, number, row, _ in _hits(codes, bounds, tables):
+                for k, table, _, _, _, number, row in _hits(codes, bounds, tables):
                     once = np.unique(row * len(table.sorted) + number) % len(table.sorted)
                     counts[k] += np.bincount(once, minlength=len(table.sorted))
         for k, c in counts.items():
             seen = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k)), pa.array(seen), pa.array(c[seen])], ["k", "gram", "df"])
 
-    got = slim.select("text").mapInArrow(frequencies, "k long, gram long, df long").groupBy("k", "gram").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(len(items.hash), np.int64)
-    for k, table, *_ in everything:
-        count = np.zeros(len(table.sorted), np.int64)
-        mine = got[got["k"] == k]
-        count[mine["gram"].to_numpy()] = mine["df"].to_numpy()
+    weight = {}
+    if everything:
+        got = slim.select("text").mapInArrow(frequencies, "k long, gram long, df long").groupBy("k", "gram").agg(F.sum("df").alias("df")).toPandas()
+        for k, table in everything:
+            df, holders = np.zeros(len(table.sorted), np.int64), np.zeros(len(table.sorted), np.int64)
+            mine = got[got["k"] == k]
+            df[mine["gram"].to_numpy()] = mine["df"].to_numpy()
+            for items in blocks:
+                of = items.length == k
+                pair = np.unique(np.searchsorted(table.sorted, items.hash[of]) * max(1, len(items.codes)) + items.item[of])
+                holders += np.bincount(pair // max(1, len(items.codes)), minlength=len(table.sorted))
+            weight[k] = table.sorted, df * holders
+    return spark.sparkContext.broadcast([(items, items.lookup(_rare(items, weight, seed_share)), name) for items, name in zip(blocks, names)])
+
+
+def _rare(items: Items, weight: dict[int, tuple[np.ndarray, np.ndarray]], seed_share: float) -> np.ndarray:
+    """Which grams are seeds: of each item, the share with the least weight, ties at the border included. A gram's weight is the
+    number of documents times the number of items that hold it: the (text, item) pairs that it would bring together."""
+    cost = np.zeros(len(items.hash), np.int64)
+    for k, (hashes, value) in weight.items():
         of = items.length == k
-        df[of] = count[np.searchsorted(table.sorted, items.hash[of])]
-    keep = np.zeros(len(df), bool)
-    for i in np.unique(items.item):  # an item's rarest grams, ties at the border included
-        mine = np.flatnonzero(items.item == i)
-        border = np.sort(df[mine])[max(0, int(np.ceil(seed_share * len(mine))) - 1)]
-        keep[mine] = df[mine] <= border
-    return spark.sparkContext.broadcast((items, items.lookup(keep), names))
-
-
-def _scored(col: pa.Array, items: Items, tables, min_score: float) -> Iterator[tuple]:
-    """Per slice: (first row, last row, row, item, score, start word, end word) of the windows at ``min_score`` or more."""
+        cost[of] = value[np.searchsorted(hashes, items.hash[of])]
+    order = np.lexsort((cost, items.item))
+    item, number = np.unique(items.item, return_counts=True)
+    begin = np.cumsum(number) - number
+    border = np.zeros(len(items.codes), np.int64)
+    border[item] = cost[order][begin + np.maximum(0, np.ceil(seed_share * number).astype(np.int64) - 1)]
+    return cost <= border[items.item]
+
+
+def _scored(col: pa.Array, blocks: list[tuple], min_score: float, once: bool = False) -> Iterator[tuple]:
+    """Per piece: (first row, last row, block, row, item, score, start word, end word) of the windows at ``min_score`` or more.
+    With ``once`` a text that has been named need not be named again."""
     for lo, hi in slices(col):
         codes, number, bounds = word_codes(col.slice(lo, hi - lo))
-        row, item, a, b, run = _windows(items, tables, codes, bounds, min_score)
-        if len(row):
-            score, start, end = _align_windows(items, codes, item, a, b, min_score)
-            first, a, b = _joined(items, codes, item, a, b, run, score, min_score)
-            if len(first):
-                more = _align_windows(items, codes, item[first], a, b, min_score)
-                score, start, end = (np.concatenate(x) for x in zip((score, start, end), more))
-                row, item = np.concatenate([row, row[first]]), np.concatenate([item, item[first]])
-            good = np.flatnonzero(score >= min_score)
-            yield lo, hi, row[good], item[good], score[good], number[start[good]], number[end[good] - 1] + 1
+        found = np.zeros(hi - lo, bool)
+        for block, (items, tables, _) in enumerate(blocks):
+            hits = list(_hits(codes, bounds, tables))
+            for row, item, a, b, run in _pieces(items, hits, bounds, min_score, found):
+                if not len(row):
+                    continue
+                score, start, end = _align_windows(items, codes, item, a, b, min_score)
+                first, a, b = _joined(items, codes, item, a, b, run, score, min_score)
+                if len(first):
+                    more = _align_windows(items, codes, item[first], a, b, min_score)
+                    score, start, end = (np.concatenate(x) for x in zip((score, start, end), more))
+                    row, item = np.concatenate([row, row[first]]), np.concatenate([item, item[first]])
+                good = np.flatnonzero(score >= min_score)
+                if once:
+                    found[row[good]] = True
+                yield lo, hi, block, row[good], item[good], score[good], number[start[good]], number[end[good] - 1] + 1
 
 
 def _report(seeds, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, tables, names = seeds.value
+        blocks = seeds.value
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, row, item, score, start, end in _scored(text_column(batch, "text"), items, tables, min_score):
+            for lo, hi, block, row, item, score, start, end in _scored(text_column(batch, "text"), blocks, min_score):
+                items, _, names = blocks[block]
                 order = np.lexsort((start, -score, item, row))
                 key = row[order] * len(items.codes) + item[order]
                 first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-                top = order[first]
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(lo, hi - lo).take(pa.array(row[top])), names.take(pa.array(item[top])), pa.array(score[top]),
-                    pa.array(start[top]), pa.array(end[top]), pa.array(np.diff(np.append(first, len(order))))],
-                    ["doc_id", "item_id", "score", "start_word", "end_word", "n_windows"])
+                top, windows = order[first], np.diff(np.append(first, len(order)))
+                step = 1 << 16  # a class is written out as its items, a bounded number at once
+                for c in range(0, len(top), step):
+                    part = top[c:c + step]
+                    which, at = _ranges(items.first[item[part]], items.first[item[part] + 1] - items.first[item[part]])
+                    for d in range(0, len(which), step):
+                        w, t = which[d:d + step], part[which[d:d + step]]
+                        yield pa.RecordBatch.from_arrays([
+                            ids.slice(lo, hi - lo).take(pa.array(row[t])), names.take(pa.array(items.member[at[d:d + step]])), pa.array(score[t]),
+                            pa.array(start[t]), pa.array(end[t]), pa.array(windows[c + w])],
+                            ["doc_id", "item_id", "score", "start_word", "end_word", "n_windows"])
 
     return run
 
 
 def _clean(seeds, min_score: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, tables, _ = seeds.value
+        blocks = seeds.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            for lo, _, row, *_ in _scored(text_column(batch, text_col), items, tables, min_score):
+            for lo, _, _, row, *_ in _scored(text_column(batch, text_col), blocks, min_score, once=True):
                 keep[lo + row] = False
             yield batch.filter(pa.array(keep))
 

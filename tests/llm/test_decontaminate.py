@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from docweave.llm import decontaminate as D
 from docweave.llm.decontaminate import GAP, MATCH, MISMATCH, align, drop_contaminated, find_contamination
 from docweave.llm.queries import QUERIES
 
@@ -99,3 +101,63 @@ def test_odd_documents_and_items(spark, odd_docs, no_docs):
     kept = drop_contaminated(odd_docs, b)
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 7}
     assert find_contamination(no_docs, b).count() == 0 and find_contamination(odd_docs, b.limit(0)).count() == 0
+
+
+def _templated(rng, items, stem):
+    """Items that share their first words, clean texts that repeat these, and texts that hold an item with one word in ten replaced."""
+    head = [f"s{i}" for i in range(stem)]
+    tails = [[f"t{rng.randrange(20000)}" for _ in range(30)] for _ in range(items)]
+    filler = lambda n: [f"f{rng.randrange(5000)}" for _ in range(n)]
+    docs = [(i, " ".join((filler(20) + head) * 5 + filler(20))) for i in range(60)]
+    want = {}
+    for i in range(60, 160):
+        k = rng.randrange(items)
+        copy = [w if rng.random() > 0.1 else f"f{rng.randrange(5000)}" for w in head + tails[k]]
+        docs.append((i, " ".join(filler(40) + copy + filler(40))))
+        want[i] = k
+    return docs, [(k, " ".join(head + t)) for k, t in enumerate(tails)], want
+
+
+def test_items_of_one_template(spark):
+    docs, items, want = _templated(random.Random(8), 3000, 10)
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_contamination(d, b).collect()}
+    hit = {p for p in want.items() if p in got}
+    assert got <= set(want.items()) and len(hit) >= 0.98 * len(want)  # the stated recall at one word in ten is 0.9
+    assert {r.doc_id for r in drop_contaminated(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in got}
+
+
+def test_a_shared_template_gives_no_seeds_while_an_item_has_others():
+    docs, texts, _ = _templated(random.Random(8), 200, 10)
+    items = D.Items([t for _, t in texts], 3)
+    hashes, number = np.unique(items.hash, return_inverse=True)
+    holders = np.bincount(np.unique(number * len(items.codes) + items.item) // len(items.codes), minlength=len(hashes))
+    keep = D._rare(items, {3: (hashes, holders * np.where(holders > 100, 60, 1))}, 0.75)
+    assert holders.max() == 200 and not keep[items.position < 8].any()
+    assert (np.bincount(items.item[keep]) >= 0.75 * np.bincount(items.item)).all()  # 8 of 38 grams are the template's
+
+
+def test_pieces_hold_few_pairs_and_give_the_same_windows(monkeypatch):
+    docs, texts, _ = _templated(random.Random(8), 300, 30)  # more than half an item is the template: it has to be a seed
+    items = D.Items([t for _, t in texts], 3)
+    tables = items.lookup(np.ones(len(items.hash), bool))
+    codes, _, bounds = D.word_codes(pa.array([t for _, t in docs], pa.large_string()))
+    hits = list(D._hits(codes, bounds, tables))
+    found = np.zeros(len(docs), bool)
+    whole, = D._pieces(items, hits, bounds, 0.5, found)
+    monkeypatch.setattr(D, "HITS", 20_000)
+    parts = list(D._pieces(items, hits, bounds, 0.5, found))
+    assert len(parts) > 20 and max(len(p[0]) for p in parts) < len(whole[0]) / 10
+    rows = lambda ps: sorted(x for p in ps for x in zip(*(c.tolist() for c in p[:4])))
+    assert rows(parts) == rows([whole])
+    found[:] = True
+    assert not sum(len(p[0]) for p in D._pieces(items, hits, bounds, 0.5, found))
+
+
+def test_equal_items_are_one_class_and_all_reported(spark):
+    b = spark.createDataFrame([(i, "One two, three four five six") for i in range(50)] + [(99, "one TWO three four five six!")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x one two three four five six y"), (2, "one two nothing")], "doc_id long, text string")
+    assert len(D.Items(["a b c", "A, b c", "a b d"], 3).codes) == 2
+    got = [(r.doc_id, r.item_id, r.score, r.start_word, r.end_word, r.n_windows) for r in find_contamination(d, b, block_bytes=300).collect()]
+    assert sorted(got) == [(1, i, 1.0, 1, 7, 1) for i in [*range(50), 99]]
