@@ -145,6 +145,7 @@ def test_pieces_hold_few_pairs_and_give_the_same_windows(monkeypatch):
     codes, _, bounds = D.word_codes(pa.array([t for _, t in docs], pa.large_string()))
     hits = list(D._hits(codes, bounds, tables))
     found = np.zeros(len(docs), bool)
+    monkeypatch.setattr(D, "HITS", 1 << 40)
     whole, = D._pieces(items, hits, bounds, 0.5, found)
     monkeypatch.setattr(D, "HITS", 20_000)
     parts = list(D._pieces(items, hits, bounds, 0.5, found))
