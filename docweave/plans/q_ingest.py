@@ -115,7 +115,7 @@ def corpus_sources(td):
     pages = td["pages"].select(
         F.concat(F.lit("web:"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("uri"), F.lit("web").alias("source"),
         F.encode("html", "UTF-8").alias("content"))
-    made = corpus_from_source(td.spark, PagesSource(f"{td.sf_dir}/pages.parquet"))
+    made = corpus_from_source(td.spark, PagesSource.over(td["pages"]))
     return with_fingerprint(corpus_union(corpus(td), pages, made)).select("id", "uri", "source", "content_hash", "content_type")
 
 

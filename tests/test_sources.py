@@ -107,3 +107,20 @@ def test_batched_sink_posts_bounded_batches(spark, scratch):
         posted = [tuple(map(int, line.split())) for line in fh]
     assert max(n for n, _ in posted) <= 100 and sum(n for n, _ in posted) == 1234
     assert sum(total for _, total in posted) == sum(range(1234))
+
+
+def test_pages_connector_over_a_table_of_several_files(spark, scratch, monkeypatch):
+    from docweave.plans import stand_ins
+    from docweave.plans.catalog import QUERIES
+
+    monkeypatch.setattr(stand_ins, "PART_ROWS", 7)
+    rows = [(i, f"https://a.example/{i}.html", None if i % 11 == 0 else f"<p>page {i}</p>") for i in range(60)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartitionByRange(5, "page_id").write.parquet(f"{scratch}/pages.parquet")
+    source = stand_ins.PagesSource.over(spark.read.parquet(f"{scratch}/pages.parquet"), arrivals=3)
+    assert source.n == 60 and len(source.parts) > 5 and len(source.shards()) == len(source.parts)
+    for start, end in ((0, 60), (0, 1), (5, 23), (59, 60), (60, 60)):
+        assert list(source.changes(start, end)) == [(i, str(i), url, (html or "").encode()) for i, url, html in rows[start:end]]
+    assert [source.last() for _ in range(4)] == [20, 40, 60, 60]
+    spark.createDataFrame([(1, "a text", "src")], "doc_id long, text string, source string").write.parquet(f"{scratch}/documents.parquet")
+    got = QUERIES["corpus_sources"](spark, f"file://{scratch}").groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in got} == {"src": 1, "web": 60, "made": 60}
