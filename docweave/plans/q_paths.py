@@ -171,8 +171,8 @@ def arrival_ingest(td):
     from docweave.sources.connector_stream import connector_stream
 
     base = scratch_path(td.spark, f"arrivals-{uuid.uuid4().hex}")
-    pages = f"{td.sf_dir}/pages.parquet"
-    for source in (PagesSource(pages, arrivals=3), PagesSource(pages)):
+    growing = PagesSource.over(td["pages"], arrivals=3)
+    for source in (growing, PagesSource(growing.path)):
         ingest_arrivals(connector_stream(td.spark, source), f"{base}/index", f"{base}/state", f"{base}/ck", as_of=AS_OF)
     docs = S.load_state(td.spark, f"{base}/state").select(F.col("doc_id").alias("id"), "content_hash")
     urls = td["pages"].select(F.concat(F.lit("made:"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("uri"))
