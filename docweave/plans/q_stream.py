@@ -18,7 +18,7 @@ from docweave.sources.testdata import AS_OF, SPAN_TABLES, duckdb_with, spans_fro
 from docweave.streaming import arrivals as A
 from docweave.streaming import deltas as DL
 from docweave.streaming import panels as P
-from docweave.streaming.runner import run_available_now
+from docweave.streaming.runner import in_order, run_available_now
 
 W = duckdb_with
 DELAY_MIN = 10
@@ -60,19 +60,21 @@ def _run(td, name: str, stream_df, mode: str = "append"):
 
 
 PART_ROWS = 250_000
+TRIGGERS = 4
 
 
 def _event_stream(td):
-    """The events as a stream of several micro-batches: the table in parts of at most ``PART_ROWS`` rows (four parts at
-    least), in order of the event id, which is that of time; one file and one trigger a part."""
+    """The events as a stream of ``TRIGGERS`` micro-batches, whatever the table's size: written once, in files of about
+    ``PART_ROWS`` rows in order of the event id, which is that of time; a trigger takes the next quarter of the files."""
     ev = td["events"]
     n, last = ev.agg(F.count(F.lit(1)), F.max("event_id")).first()
-    parts = max(4, -(-n // PART_ROWS))
-    step = -(-((last or 0) + 1) // parts // 10) * 10 + 10  # a turn's ten events stay in one part
+    files = TRIGGERS * max(1, -(-n // (TRIGGERS * PART_ROWS)))
+    step = -(-((last or 0) + 1) // files // 10) * 10 + 10  # a turn's ten events stay in one file
     folder = scratch_path(td.spark, f"event-parts-{uuid.uuid4().hex}")
-    for i in range(parts):
-        ev.filter((F.col("event_id") >= i * step) & (F.col("event_id") < (i + 1) * step)).coalesce(1).write.parquet(f"{folder}/part{i:06d}")
-    return td.spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    numbered = ev.filter(F.col("event_id") >= 0).withColumn("part", F.floor(F.col("event_id") / step).cast("int"))
+    numbered.repartition(files, "part").write.option("maxRecordsPerFile", 0).partitionBy("part").parquet(folder)
+    in_order(td.spark, folder, "part")
+    return td.spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", files // TRIGGERS).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def _span_stream(td, table: str):
