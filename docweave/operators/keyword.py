@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.operators.retrieve import MAX_BROADCAST_BYTES, keep_topk
+from docweave.operators.retrieve import keep_topk
 from docweave.session import spread, staged
 
 # BM25 parameters and the word pattern.
 K1 = 1.2
 B = 0.75
 WORD_PATTERN = r"[\p{L}\p{N}]+"
+WEIGHT_BYTES = 16 * 1024 * 1024  # term weights of a block of queries, as the driver holds them before they are broadcast
 DENSE_BUDGET = 4_000_000  # cells of one (document x query) score block inside a task
 SUB_BATCH_DOCS = 256
 SENTINEL = "\u0000docs"  # never produced by WORD_PATTERN
@@ -37,11 +38,12 @@ def words(text: Column | str) -> Column:
 
 def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str = "doc_id", text: str = "text",
               qid: str = "qid", qtext: str = "qtext", k1: float = K1, b: float = B,
-              max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+              max_broadcast_bytes: int = WEIGHT_BYTES) -> DataFrame:
     """``qid, doc_id, score, rank`` for the ``k`` best documents of each query.
 
-    ``max_broadcast_bytes`` bounds the term weights of a block of queries; the documents are
-    scanned once for statistics and once for each block.
+    ``max_broadcast_bytes`` bounds the term weights of a block of queries, of which the driver
+    holds one at a time; the documents are scanned once for statistics and once for each block,
+    their words cut once where there are several blocks.
     """
     d = spread(docs.select(doc_id, text)).select(doc_id, words(text).alias("_w"))
     qt = staged(queries.select(qid, F.explode(F.array_distinct(words(qtext))).alias("term")), "query-terms")
@@ -52,9 +54,11 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 3, *, doc_id: str =
     st = staged(per_doc.join(asked, "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == SENTINEL, F.col("_len"))).alias("len")), "term-stats")
     weights, avgdl, n_blocks = query_weights(qt, st, qid, SENTINEL, max_broadcast_bytes)
+    if n_blocks > 1:
+        d = staged(d, "document-words")
     out = None
     for block in range(n_blocks):
-        pw = weights.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == block).toPandas()
+        pw = weight_block(weights, qid, n_blocks, block)
         part = _score_block(d, docs, queries, pw, avgdl, k, doc_id, qid, k1, b)
         out = part if out is None else out.unionByName(part)
     w = Window.partitionBy(qid).orderBy(F.desc("score"), F.asc(doc_id))
@@ -75,6 +79,11 @@ def query_weights(qt: DataFrame, stats: DataFrame, qid: str, every: str, max_byt
     return weights, avgdl, max(1, -(-size // max_bytes))
 
 
+def weight_block(weights: DataFrame, qid: str, n_blocks: int, block: int):
+    """One block of the weights on the driver; equal strings are held once."""
+    return weights.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == block).toArrow().to_pandas()
+
+
 def _score_block(d: DataFrame, docs: DataFrame, queries: DataFrame, pw, avgdl: float, k: int, doc_id: str, qid: str,
                  k1: float, b: float) -> DataFrame:
     """Task-local top-k of one block of queries, given its weights (qid, term, idf)."""

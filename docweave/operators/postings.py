@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from docweave.operators.keyword import K1, B, query_weights, words
-from docweave.operators.retrieve import MAX_BROADCAST_BYTES, keep_topk
+from docweave.operators.keyword import K1, WEIGHT_BYTES, B, query_weights, weight_block, words
+from docweave.operators.retrieve import keep_topk
 from docweave.session import spread, staged
 from docweave.sources import bucketed
 
@@ -239,7 +239,7 @@ def _scores(held, k: int, keys=None, floors=None):
 
 
 def postings_topk(spark: SparkSession, root: str, queries: DataFrame, k: int = 3, *, doc_id: str = "doc_id", qid: str = "qid",
-                  qtext: str = "qtext", k1: float = K1, b: float = B, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+                  qtext: str = "qtext", k1: float = K1, b: float = B, max_broadcast_bytes: int = WEIGHT_BYTES) -> DataFrame:
     """``qid, doc_id, score, rank`` as ``bm25_topk`` over the indexed documents, from the stored index alone.
 
     Exact: a block is passed over only where its bound is below a score that ``k`` documents have. Questions
@@ -259,7 +259,7 @@ def postings_topk(spark: SparkSession, root: str, queries: DataFrame, k: int = 3
     weights, average, n_blocks = query_weights(asked, stats, qid, EVERY, max_broadcast_bytes)
     result = None
     for i in range(n_blocks):
-        rows = weights.filter(F.pmod(F.xxhash64(qid), F.lit(n_blocks)) == i).toPandas()
+        rows = weight_block(weights, qid, n_blocks, i)
         if not len(rows):
             continue
         v = _Questions(rows, qid, average, k1, b)

@@ -164,3 +164,18 @@ def test_tables_equal_decoded_products():
     assert np.allclose(Q._CodeTopK(5, 3).scores(Q.tables(q, books), codes), q @ decoded.T, atol=1e-5)
     brute = np.stack([[np.argmin(((b - r[c]) ** 2).sum(1)) for b, c in zip(books, Q._parts(10, 4))] for r in x])
     assert (codes == brute).all()
+
+
+def test_term_weights_reach_the_driver_in_small_blocks(spark, monkeypatch):
+    """Every row a query: the driver holds one block of the weights at a time, and the blocks give the rows of one."""
+    from docweave.operators import keyword
+
+    rows = [(i, " ".join(f"w{(i * j) % 37}" for j in range(1, 9))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = docs.select(F.concat(F.lit("q"), "doc_id").alias("qid"), F.col("text").alias("qtext"))
+    whole = {tuple(r) for r in keyword.bm25_topk(docs, queries, 3, max_broadcast_bytes=1 << 30).collect()}
+    sizes, one = [], keyword.weight_block
+    monkeypatch.setattr(keyword, "weight_block", lambda *a: sizes.append(len(got := one(*a))) or got)
+    blocks = {tuple(r) for r in keyword.bm25_topk(docs, queries, 3, max_broadcast_bytes=4000).collect()}
+    assert blocks == whole and len(sizes) > 3 and max(sizes) < sum(sizes) / 2
+    assert keyword.bm25_topk.__kwdefaults__["max_broadcast_bytes"] <= 1 << 24
