@@ -8,9 +8,12 @@ is tokenised when it is written and never by a question. ``max_tf`` and ``min_le
 bound what a document of the block can score for the term whatever the corpus-wide averages
 are, so blocks written long ago need no upkeep when those move.
 
+A write shuffles texts as they are, uncut, and the postings of the touched buckets packed, many terms a row; the
+task that gets a bucket cuts the words and writes its rows.
+
 A search goes through the bounds (narrow columns) twice and through the postings only
 where they can matter: the best two blocks of each question are scored first, their k-th best
-score is a floor, and only the postings of blocks whose bound reaches the floor are read,
+score is a floor, and only the asked terms' postings of blocks where a bound reaches the floor are
 shuffled and scored. Questions go in blocks of bounded size.
 """
 
@@ -24,18 +27,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from docweave.operators.keyword import K1, WEIGHT_BYTES, B, query_weights, weight_block, words
 from docweave.operators.retrieve import keep_topk
 from docweave.session import spread, staged
-from docweave.sources import bucketed
+from docweave.sources import bucketed, versioned
 
 DOCS_A_BLOCK = 128  # at creation; blocks grow with the corpus, their number stays
-BLOCKS_A_BUCKET = 64
+BLOCKS_A_BUCKET = 8
 EVERY = ""  # a term of every document, which the word pattern never gives: count and length of a block
 PAIRS = 2_000_000  # (posting, question) pairs that a task holds at once
 FIRST_BLOCKS = 2
+OLD, GONE, TEXT = range(3)  # what a row brings to the rewriting of its block
+BREAK = "\n"  # between packed terms; the word pattern never gives it
 BOUNDS = ["block", "term", "n", "max_tf", "min_len", "words"]
 
 
@@ -54,12 +59,107 @@ def _settings(spark: SparkSession, root: str) -> tuple[int, T.DataType] | None:
     return kept.first()["n_blocks"], kept.schema["id"].dataType
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Index rows of (block, id, len, term, tf); a list holds at most the documents of one block."""
-    one = F.array_sort(F.collect_list(F.struct("id", "tf", "len")))
-    return rows.groupBy("block", "term").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sum("len").cast("long").alias("words"),
-        one.alias("p")).select(*BOUNDS, F.col("p.id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
+def _packed(id_type: T.DataType) -> T.StructType:
+    """Postings of one block on their way to the task that rewrites it: one row for many terms, which are joined by ``BREAK``."""
+    ints = T.ArrayType(T.IntegerType())
+    return T.StructType([T.StructField("block", T.LongType()), T.StructField("terms", T.StringType()), T.StructField("counts", ints),
+                         T.StructField("docs", T.ArrayType(id_type)), T.StructField("tfs", T.ArrayType(T.LongType())), T.StructField("lens", ints)])
+
+
+def _pack(schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column("block").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else []
+            rows = []
+            for lo, hi in zip(cuts, cuts[1:]):
+                part = batch.slice(lo, hi - lo).take(pc.sort_indices(batch.column("term").slice(lo, hi - lo)))  # like terms beside each other
+                every = part.filter(pc.equal(part.column("term"), EVERY))  # the only row that has to bring lengths
+                rows.append((int(block[lo]), BREAK.join(part.column("term").to_pylist()), pc.list_value_length(part.column("docs")).to_pylist(),
+                             *(pc.list_flatten(x.column(c)).to_pylist() for x, c in ((part, "docs"), (part, "tfs"), (every, "lens")))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else
+                                             [pa.array([], f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """(block, its rows) from batches in order of their block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else []
+        for lo, hi in zip(cuts, cuts[1:]):
+            if held and held[0].column("block")[0].as_py() != block[lo]:
+                yield held[0].column("block")[0].as_py(), pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held[0].column("block")[0].as_py(), pa.Table.from_batches(held)
+
+
+def _rebuilt(schema: pa.Schema):
+    """Index rows of whole blocks, from their packed rows, the ids to take out and the words of documents (in order of kind, id, text)."""
+    ids_type = schema.field("docs").type.value_type
+
+    def one(rows: pa.Table, name: str, kind: int) -> pa.Array:
+        return rows.filter(pc.equal(rows.column("kind"), kind)).column(name).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _by_block(batches):
+            # documents given anew: of rows with one id the last, which has the greatest text
+            new, w = one(rows, "id", TEXT), one(rows, "w", TEXT)
+            last = np.ones(len(new), bool)
+            if len(new) > 1:
+                last[:-1] = pc.not_equal(new[1:], new[:-1]).to_numpy(zero_copy_only=False)
+            new, w = new.filter(pa.array(last)), w.filter(pa.array(last))
+            size = pc.list_value_length(w).to_numpy(zero_copy_only=False).astype(np.int64)
+            cut = pc.list_flatten(w).dictionary_encode()
+            key, tf = np.unique(np.repeat(np.arange(len(new)), size) * max(1, len(cut.dictionary))
+                                + cut.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+            row, word = np.divmod(key, max(1, len(cut.dictionary)))
+
+            # postings that the index has, without those of documents given anew or gone
+            docs, tfs = (pc.list_flatten(one(rows, c, OLD)) for c in ("docs", "tfs"))
+            terms = pa.array([t for text in one(rows, "terms", OLD).to_pylist() for t in text.split(BREAK)], pa.string())
+            of = np.repeat(np.arange(len(terms)), pc.list_flatten(one(rows, "counts", OLD)).to_numpy(zero_copy_only=False))
+            lens = pc.list_flatten(one(rows, "lens", OLD)).to_numpy(zero_copy_only=False)
+            known = docs.filter(pa.array(np.asarray(pc.equal(terms, EVERY))[of])) if len(docs) else docs
+            out = pa.concat_arrays([new, one(rows, "id", GONE)])
+            stay = np.flatnonzero(~pc.is_in(docs, value_set=out).to_numpy(zero_copy_only=False))
+            at = pc.index_in(docs, value_set=known).to_numpy(zero_copy_only=False).astype(np.int64)[stay]
+
+            # all postings: (term, id, tf, len), the new documents' after the others
+            names = pa.concat_arrays([terms, cut.dictionary.cast(pa.string()), pa.array([EVERY], pa.string())]).dictionary_encode()
+            number = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            t = np.concatenate([number[of[stay]], number[len(terms) + word], np.full(len(new), number[-1])])
+            if not len(t):
+                continue
+            d = pa.concat_arrays([docs.take(pa.array(stay)), new.take(pa.array(row)), new])
+            n_tf = np.concatenate([tfs.to_numpy(zero_copy_only=False)[stay], tf, np.ones(len(new), np.int64)]).astype(np.int64)
+            n_len = np.concatenate([lens[at], size[row], size]).astype(np.int32)
+            coded = d.dictionary_encode()
+            rank = _ranks(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+            by = _ranks(names.dictionary)[t]
+            order = np.lexsort((rank, by))
+            begin = np.flatnonzero(np.r_[True, np.diff(by[order]) != 0])
+            offsets = pa.array(np.append(begin, len(order)).astype(np.int32))
+            n_tf, n_len, term = n_tf[order], n_len[order], names.dictionary.take(pa.array(t[order][begin]))
+            total = np.add.reduceat(n_len.astype(np.int64), begin)
+            words_in = np.where(pc.equal(term, EVERY).to_numpy(zero_copy_only=False), total, 0)  # asked of all documents only
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(begin), block)), term, pa.array(np.diff(np.append(begin, len(order)))),
+                 pa.array(np.maximum.reduceat(n_tf, begin)), pa.array(np.minimum.reduceat(n_len, begin)), pa.array(words_in),
+                 pa.ListArray.from_arrays(offsets, d.take(pa.array(order)).cast(ids_type)), pa.ListArray.from_arrays(offsets, pa.array(n_tf)),
+                 pa.ListArray.from_arrays(offsets, pa.array(n_len))], names=schema.names)
+
+    return run
+
+
+def _ranks(values: pa.Array) -> np.ndarray:
+    out = np.empty(len(values), np.int64)
+    out[pc.sort_indices(values).to_numpy(zero_copy_only=False)] = np.arange(len(values))
+    return out
 
 
 def postings_update(spark: SparkSession, root: str, docs: DataFrame, gone: DataFrame | None = None, *, doc_id: str = "doc_id",
@@ -78,30 +178,25 @@ def postings_update(spark: SparkSession, root: str, docs: DataFrame, gone: DataF
     if kept is None:
         spark.createDataFrame([(n_blocks, None)], T.StructType([T.StructField("n_blocks", T.LongType()), T.StructField("id", id_type)])) \
             .coalesce(1).write.mode("overwrite").parquet(f"{root}/settings")
+    n_buckets = bucketed.manifest(spark, root).n_buckets if kept else min(bucketed.DEFAULT_BUCKETS, -(-n_blocks // BLOCKS_A_BUCKET))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block")
-    # texts are shuffled by block once; counting and grouping then need no other shuffle
-    texts = spread(slim).select(block, "id", "text").repartition("block").groupBy("block", "id").agg(F.max("text").alias("text"))
-    counted = texts.select("block", "id", words("text").alias("w")).select(
-        "block", "id", F.size("w").alias("len"), F.explode(F.concat("w", F.array(F.lit(EVERY)))).alias("term")).groupBy(
-        "block", "id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    out = slim.select("id") if gone is None else slim.select("id").unionByName(gone.select(F.col(gone.columns[0]).cast(id_type).alias("id")))
-    out = out.filter(F.col("id").isNotNull()).select(block, "id").distinct()
-    if kept is not None:
-        out = staged(out, "postings-ids")
+    packed = _packed(id_type)
+    leave = slim.limit(0).select("id") if gone is None else gone.select(F.col(gone.columns[0]).cast(id_type).alias("id")).filter(F.col("id").isNotNull())
 
     def merge(old: DataFrame) -> DataFrame:
-        if kept is None:
-            return _grouped(counted)
-        blocks = out.select("block").distinct()
-        one = F.arrays_zip("docs", "tfs", "lens")
-        rows = old.join(blocks, "block", "left_semi").select("block", "term", F.explode(one).alias("p")).select(
-            "block", F.col("p.docs").alias("id"), F.col("p.lens").alias("len"), "term", F.col("p.tfs").alias("tf"))
-        rows = rows.join(out, ["block", "id"], "left_anti").unionByName(counted)
-        return old.join(blocks, "block", "left_anti").unionByName(_grouped(rows))
+        # a task has one bucket, in order of its blocks: texts as they are, postings packed. So what it sorts does not grow with the index
+        rows = spread(slim).select(block, F.lit(TEXT).alias("kind"), "id", "text")
+        if kept is not None:
+            rows = rows.unionByName(leave.select(block, F.lit(GONE).alias("kind"), "id"), True).unionByName(
+                old.mapInArrow(_pack(to_arrow_schema(packed)), packed).withColumn("kind", F.lit(OLD)), True)
+        else:
+            rows = rows.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in packed.fields[1:]])
+        bucket = versioned.bucket_expr("block", n_buckets)
+        rows = rows.withColumn("bucket", bucket).repartitionById(n_buckets, F.col("bucket")).sortWithinPartitions("bucket", "block", "kind", "id", "text")
+        return rows.withColumn("w", words("text")).drop("bucket", "text").mapInArrow(_rebuilt(to_arrow_schema(_schema(id_type))), _schema(id_type))
 
-    touched = out.select("block").distinct() if kept else spark.range(n_blocks).select(F.col("id").alias("block"))
-    return bucketed.replace(spark, root, _schema(id_type), "block", merge, touched,
-                            None if kept else min(bucketed.DEFAULT_BUCKETS, -(-n_blocks // BLOCKS_A_BUCKET)), before_commit)
+    touched = slim.select("id").unionByName(leave).select(block).distinct() if kept else spark.range(n_blocks).select(F.col("id").alias("block"))
+    return bucketed.replace(spark, root, _schema(id_type), "block", merge, touched, n_buckets, before_commit, dealt=True)
 
 
 class _Questions:
@@ -253,7 +348,9 @@ def postings_topk(spark: SparkSession, root: str, queries: DataFrame, k: int = 3
     schema = _schema(kept[1])
     table = bucketed.read(spark, root, schema)
     asked = staged(queries.filter(F.col(qid).isNotNull()).select(qid, F.explode(F.array_distinct(words(qtext))).alias("term")), "query-terms")
-    terms = asked.select("term").distinct().unionByName(spark.createDataFrame([(EVERY,)], "term string"))
+    terms = staged(asked.select("term").distinct().unionByName(spark.createDataFrame([(EVERY,)], "term string")), "asked-terms")
+    if terms.agg(F.sum(F.octet_length("term") + 40)).first()[0] <= max_broadcast_bytes:
+        terms = F.broadcast(terms)  # the index is not shuffled to find their rows
     narrow = staged(table.select(*BOUNDS).join(terms, "term", "left_semi"), "postings-bounds")
     stats = staged(narrow.groupBy("term").agg(F.sum("n").alias("df"), F.sum("words").alias("len")), "term-stats")
     weights, average, n_blocks = query_weights(asked, stats, qid, EVERY, max_broadcast_bytes)
@@ -263,7 +360,7 @@ def postings_topk(spark: SparkSession, root: str, queries: DataFrame, k: int = 3
         if not len(rows):
             continue
         v = _Questions(rows, qid, average, k1, b)
-        part = _search(spark, root, schema, table, narrow, v, k)
+        part = _search(spark, root, schema, table, narrow, v, k, kept[0])
         names = spark.createDataFrame(pa.table({"q": pa.array(range(len(v.ids)), pa.int64()),
                                                 qid: pa.array(v.ids, to_arrow_type(queries.schema[qid].dataType))}))
         part = part.join(F.broadcast(names), "q").select(F.col(qid), F.col("id").alias(doc_id), "score")  # the block's questions
@@ -274,10 +371,18 @@ def postings_topk(spark: SparkSession, root: str, queries: DataFrame, k: int = 3
     return result.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _search(spark, root: str, schema: T.StructType, table: DataFrame, narrow: DataFrame, v: _Questions, k: int) -> DataFrame:
+def _search(spark, root: str, schema: T.StructType, table: DataFrame, narrow: DataFrame, v: _Questions, k: int, all_blocks: int) -> DataFrame:
     """(q, id, score): task-local top-k of a block of questions."""
     held = spark.sparkContext.broadcast(v)
-    by_block = narrow.repartition("block").sortWithinPartitions("block")
+    mine = F.broadcast(spark.createDataFrame(pa.table({"term": pa.array(v.terms, pa.string())})))  # no larger than the weights
+    n_buckets = bucketed.manifest(spark, root).n_buckets
+
+    def arranged(rows: DataFrame) -> DataFrame:
+        """Whole blocks in order; as many partitions as buckets, lest a task's rows grow with the index."""
+        enough = n_buckets <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return (rows.repartition("block") if enough else rows.repartition(n_buckets, "block")).sortWithinPartitions("block")
+
+    by_block = arranged(narrow)
     scored = T.StructType([T.StructField("q", T.LongType()), T.StructField("id", schema["docs"].dataType.elementType), T.StructField("score", T.DoubleType())])
 
     # the most promising blocks of each question: at most FIRST_BLOCKS rows a question
@@ -286,7 +391,7 @@ def _search(spark, root: str, schema: T.StructType, table: DataFrame, narrow: Da
     first = promising.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= FIRST_BLOCKS).select("q", "block").toPandas()
     keys = spark.sparkContext.broadcast(first["block"].to_numpy(np.int64) * len(v.ids) + first["q"].to_numpy(np.int64))
     few = spark.createDataFrame(pa.table({"block": pa.array(first["block"].unique(), pa.int64())}))
-    start = table.join(F.broadcast(few), "block", "left_semi").repartition("block").sortWithinPartitions("block") \
+    start = arranged(table.join(mine, "term", "left_semi").join(F.broadcast(few), "block", "left_semi").select(schema.fieldNames())) \
         .mapInArrow(_scores(held, k, keys=keys), scored)
     order = Window.partitionBy("q").orderBy(F.desc("score"))
     known = start.withColumn("r", F.row_number().over(order)).filter(F.col("r") == k).select("q", "score").toPandas()
@@ -294,9 +399,9 @@ def _search(spark, root: str, schema: T.StructType, table: DataFrame, narrow: Da
     floor[known["q"].to_numpy(np.int64)] = known["score"].to_numpy(float)
     floors = spark.sparkContext.broadcast(floor)
 
-    # postings that can matter: (block, term) of the blocks that reach a floor, and the files of their buckets only
-    needed = staged(by_block.mapInArrow(_needed(held, floors), "block long, term string"), "postings-needed")
-    n_buckets = bucketed.manifest(spark, root).n_buckets
+    # postings that can matter: the asked terms' in the blocks that reach a floor, from the files of their buckets only
+    needed = staged(by_block.mapInArrow(_needed(held, floors), "block long, term string").select("block").distinct(), "blocks-needed")
     only = [r[0] for r in needed.select(F.pmod(F.xxhash64("block"), F.lit(n_buckets)).cast("int")).distinct().collect()]
-    return bucketed.read(spark, root, schema, only).join(needed, ["block", "term"], "left_semi").repartition("block") \
-        .sortWithinPartitions("block").mapInArrow(_scores(held, k, floors=floors), scored)
+    needed = F.broadcast(needed) if all_blocks * 8 <= WEIGHT_BYTES else needed
+    rows = bucketed.read(spark, root, schema, only).join(mine, "term", "left_semi").join(needed, "block", "left_semi")
+    return arranged(rows.select(schema.fieldNames())).mapInArrow(_scores(held, k, floors=floors), scored)

@@ -101,12 +101,14 @@ def read(spark: SparkSession, root: str, schema: T.StructType, only: list[int] |
 
 
 def replace(spark: SparkSession, root: str, schema: T.StructType, key: str, merge: Callable[[DataFrame], DataFrame],
-            touched_keys: DataFrame, n_buckets: int | None = None, before_commit: Callable[[], None] | None = None) -> list[int]:
+            touched_keys: DataFrame, n_buckets: int | None = None, before_commit: Callable[[], None] | None = None,
+            dealt: bool = False) -> list[int]:
     """Rewrite the buckets that ``touched_keys`` fall in as ``merge(their rows)``; returns the bucket numbers.
 
     ``n_buckets`` is used when the table is created (default 1,024); a later call may leave
     it out, and one that names another count is refused. ``before_commit`` runs between the
-    data and the switch (tests stop a commit there).
+    data and the switch (tests stop a commit there). ``dealt`` says that ``merge`` returns each
+    bucket's rows in one partition, so that they are written without another shuffle.
     """
     root = root.rstrip("/")
     m = manifest(spark, root)
@@ -126,7 +128,8 @@ def replace(spark: SparkSession, root: str, schema: T.StructType, key: str, merg
     folder = f"{root}/data/v={number}"
     new = merge(old).select(*schema.fieldNames()).withColumn("bucket", bucket)
     # rebalance: partitions follow the bucket, large ones are split and small ones packed by measured size
-    new.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(folder)
+    new = new if dealt else new.hint("rebalance", F.col("bucket"))
+    new.sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(folder)
     written = {int(x[1]) for x in (re.fullmatch(r"bucket=(\d+)", d) for d in _names(spark, folder)) if x}
     if before_commit is not None:
         before_commit()

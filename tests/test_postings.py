@@ -135,3 +135,66 @@ def test_ingest_run_keeps_the_keyword_index_in_step(spark, scratch):
         chunks = index_store.load_index(spark, f"{scratch}/i").select(F.col("id").alias("doc_id"), F.concat_ws("\n", "title", "content").alias("text"))
         got = _rows(P.postings_topk(spark, f"{scratch}/k", q, 4))
         assert got == _rows(bm25_topk(chunks, q, 4)) and got
+
+
+def test_a_rewrite_shuffles_uncut_texts_and_packed_postings_once(spark, scratch, monkeypatch):
+    docs, q = _tables(spark)
+    plans, replace = [], bucketed.replace
+
+    def seen(spark, root, schema, key, merge, *rest, **named):
+        def noted(old):
+            new = merge(old)
+            plans.append(new._jdf.queryExecution().executedPlan().toString())
+            return new
+
+        return replace(spark, root, schema, key, noted, *rest, **named)
+
+    monkeypatch.setattr(bucketed, "replace", seen)
+    P.postings_update(spark, f"{scratch}/ix", docs, docs_a_block=5)
+    P.postings_update(spark, f"{scratch}/ix", docs.filter("doc_id % 3 = 0"), docs.filter("doc_id % 7 = 1").select("doc_id"))
+    assert len(plans) == 2
+    for plan in plans:
+        moved = [line for line in plan.splitlines() if "Exchange " in line and "RoundRobin" not in line]
+        assert len(moved) == 1 and "term," not in moved[0] and "Generate explode" not in plan
+    want = _rows(bm25_topk(docs.filter("doc_id % 7 <> 1 or doc_id % 3 = 0"), q, 3))
+    assert _rows(P.postings_topk(spark, f"{scratch}/ix", q, 3)) == want
+
+
+def test_updated_rows_equal_counted_words(spark, scratch):
+    def frame(rows):
+        return spark.createDataFrame(rows, "doc_id string, text string")
+
+    root = f"{scratch}/ix"
+    first = [(f"d{i:02}", " ".join(f"w{(i * j) % 9}" for j in range(i % 6)) or None) for i in range(40)]
+    P.postings_update(spark, root, frame(first), docs_a_block=7)
+    change = [("d03", "new new w1"), ("d05", None), ("d05", "b a"), ("d05", "a b"), (None, "w1"), ("e", "Straße ÉTÉ été")]
+    P.postings_update(spark, root, frame(change), spark.createDataFrame([("d04",), ("d05",), ("none",), (None,)], "gone string"))
+    now = dict(first) | {"d03": "new new w1", "d05": "b a", "e": "straße été été"}
+    del now["d04"]
+    want = {(t, d, (text or "").split().count(t), len((text or "").split())) for d, text in now.items() for t in (text or "").split()}
+    want |= {(P.EVERY, d, 1, len((text or "").split())) for d, text in now.items()}
+    rows = bucketed.read(spark, root, P._schema(first and frame(first).schema["doc_id"].dataType)).collect()
+    assert sorted((r.term, *p) for r in rows for p in zip(r.docs, r.tfs, r.lens)) == sorted(want)
+    assert all((r.n, r.max_tf, r.min_len) == (len(r.docs), max(r.tfs), min(r.lens)) and r.docs == sorted(r.docs) for r in rows)
+    assert all(r.words == sum(r.lens) for r in rows if r.term == P.EVERY) and len({(r.block, r.term) for r in rows}) == len(rows)
+
+
+def test_packed_rows_of_a_split_block_meet_again():
+    rows, batch = _small_index(np.random.default_rng(2), 3)
+    every = {"term": P.EVERY, "max_tf": 1, "words": 0}
+    for b in range(3):
+        length = dict(p for r in rows if r[0] == b for p in zip(r[6], r[8]))
+        ids = sorted(length)
+        rows.append((b, every["term"], len(ids), 1, min(length.values()), sum(length.values()), ids, [1] * len(ids), [length[i] for i in ids]))
+    rows = sorted(rows, key=lambda r: r[0])
+    batch = pa.RecordBatch.from_pylist([dict(zip(batch.schema.names, r)) for r in rows], schema=batch.schema)
+    ints = pa.list_(pa.int32())
+    packed = pa.schema([("block", pa.int64()), ("terms", pa.string()), ("counts", ints), ("docs", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int64())), ("lens", ints)])
+    parts = [b for lo in range(0, batch.num_rows, 4) for b in P._pack(packed)([batch.slice(lo, 4)])]
+    whole = pa.Table.from_batches(parts).sort_by("block")
+    n = whole.num_rows
+    for name, column in (("kind", pa.array([P.OLD] * n, pa.int32())), ("id", pa.nulls(n, pa.int64())), ("w", pa.nulls(n, pa.list_(pa.string())))):
+        whole = whole.append_column(name, column)
+    out = pa.Table.from_batches(P._rebuilt(batch.schema)(iter(whole.combine_chunks().to_batches(max_chunksize=2)))).to_pylist()
+    got = sorted((r["block"], r["term"], r["n"], r["max_tf"], r["min_len"], r["docs"], r["tfs"], r["lens"]) for r in out)
+    assert got == sorted((b, t, n, m, low, d, f, s) for b, t, n, m, low, _, d, f, s in rows)
