@@ -203,3 +203,81 @@ def test_pq_search_neither_sorts_nor_shuffles_vectors(spark, scratch, monkeypatc
     assert rows[0] == rows[1] and {q for q, *_ in rows[0]} == {r[0] for r in qs.filter("question_id is not null").select("question_id").collect()}
     assert not any("SortMergeJoin" in p or "ShuffledHashJoin" in p for p in plans)
     assert not any("hashpartitioning" in line and "ector" in line for p in plans for line in p.splitlines())
+
+
+def _bm25(docs, queries, k):
+    """``bm25_topk`` by brute force: every pair is scored."""
+    import re
+    from collections import Counter
+    from math import log
+
+    cut = {d: re.findall(r"[^\W_]+", (text or "").lower()) for d, text in docs}
+    average = sum(map(len, cut.values())) / len(cut)
+    df = Counter(t for w in cut.values() for t in set(w))
+    out = set()
+    for q, text in queries:
+        scores = []
+        for d, w in cut.items():
+            tf = Counter(w)
+            s = sum(log(1 + (len(cut) - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(w) / average))
+                    for t in set(re.findall(r"[^\W_]+", text.lower())) if tf[t])
+            scores.append((-round(s, 9), d))
+        out |= {(q, d, rank + 1) for rank, (s, d) in enumerate(sorted(scores)[:k]) if s < 0}
+    return out
+
+
+@pytest.mark.parametrize("floor_docs, pieces", [(8192, 1), (40, 1), (40, 6)])
+def test_bm25_with_floors_equals_brute_force(spark, monkeypatch, floor_docs, pieces):
+    """Floors from some documents, terms numbered in pieces and ties change nothing, and no word of a document is shuffled."""
+    from docweave.operators import keyword
+
+    rng = np.random.default_rng(5)
+    odds = 1 / np.arange(1, 301)
+    text = [" ".join(f"w{t}" for t in rng.choice(300, rng.integers(1, 60), p=odds / odds.sum())) for _ in range(400)]
+    docs = [(i, text[i % 390]) for i in range(400)] + [(400, None), (401, "")]
+    queries = [(f"q{i}", " ".join(f"W{t}" for t in rng.choice(330, rng.integers(1, 12)))) for i in range(90)] + [("none", "?")]
+    monkeypatch.setattr(keyword, "FLOOR_DOCS", floor_docs)
+    monkeypatch.setattr(keyword, "VOCABULARY_BYTES", 1 << 25 if pieces == 1 else 700)
+    plans, one = {}, keyword.staged
+    monkeypatch.setattr(keyword, "staged", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or one(df, name))
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "qid string, qtext string")
+    got = {(r.qid, r.doc_id, r["rank"]) for r in keyword.bm25_topk(d.repartition(3), q, 3, max_broadcast_bytes=20_000 if pieces > 1 else 1 << 24).collect()}
+    assert got == _bm25(docs, queries, 3)
+    assert ("floor-documents" in plans) == (floor_docs == 40)
+    assert (len(plans["document-terms"]) > 2) == (pieces > 1) and not any("Generate" in p or "hashpartitioning" in p for p in plans["document-terms"])
+    assert not any("explode" in p or "_w" in p for p in plans["term-stats"])
+
+
+def test_bm25_scores_few_pairs_exactly():
+    """Given floors, a tile scores only the pairs exactly that can be among the best, and finds all of these."""
+    import pandas as pd
+    import pyarrow as pa
+
+    from docweave.operators import keyword
+
+    rng = np.random.default_rng(6)
+    odds = 1 / np.arange(1, 2001)
+    n, nq = 600, 150
+    cut = [np.unique(rng.choice(2000, 80, p=odds / odds.sum()), return_counts=True) for _ in range(n)]
+    row, term, tf = np.repeat(np.arange(n), [len(t) for t, _ in cut]), *(np.concatenate(x) for x in zip(*cut))
+    df = np.bincount(term, minlength=2000)
+    asked = pd.DataFrame([(i, t) for i in range(nq) for t in rng.choice(np.flatnonzero(df), 12, replace=False)], columns=["qid", "term"])
+    asked["idf"] = np.log(1 + (n - df[asked["term"]] + 0.5) / (df[asked["term"]] + 0.5))
+    v = keyword._Questions(asked, "qid", pa.int64(), 2000, 80.0, 1.2, 0.75)
+    v.prepare()
+    tile = keyword._Tile(v, row, term, tf, np.full(n, 80))
+    whole = np.zeros((n, 2000))
+    whole[row, term] = tf * 2.2 / (tf + 1.2)
+    asks = np.zeros((2000, nq))
+    asks[asked["term"], asked["qid"]] = asked["idf"]
+    s = np.round(whole @ asks, 9).T
+    floor = np.sort(s, axis=1)[:, -3]
+    pairs, one = [], tile.exact
+    tile.exact = lambda q, doc, part: pairs.append(len(q)) or one(q, doc, part)
+    found = [np.concatenate(x) for x in zip(*keyword._candidates(tile, floor, 3))]
+    want = {(q, d) for q, d in zip(*np.nonzero((s >= floor[:, None]) & (s > 0)))}
+    assert set(zip(found[0], found[1])) == want and np.allclose(found[2], s[found[0], found[1]])
+    assert sum(pairs) < n * nq / 10
+    pairs.clear()
+    again = [np.concatenate(x) for x in zip(*keyword._candidates(tile, np.zeros(nq), 3))]
+    assert want <= set(zip(again[0], again[1])) and sum(pairs) < n * nq / 5
