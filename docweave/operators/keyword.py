@@ -95,7 +95,8 @@ def query_weights(qt: DataFrame, stats: DataFrame, qid: str, every, max_bytes: i
     avgdl = float(total["len"]) / n_docs if n_docs else 0.0
     idf = F.log(F.lit(1.0) + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = staged(qt.join(stats.select("term", "df"), "term").select(qid, "term", idf.alias("idf")), "query-weights")
-    size = weights.agg(F.coalesce(F.sum(F.octet_length(F.col("term").cast("string")) + 40), F.lit(0))).first()[0]
+    each = F.octet_length("term") + 40 if isinstance(stats.schema["term"].dataType, T.StringType) else F.lit(32)
+    size = weights.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0]
     return weights, avgdl, max(1, -(-size // max_bytes))
 
 
@@ -288,7 +289,7 @@ def _candidates(tile: _Tile, floor: np.ndarray, k: int):
                 blank = np.flatnonzero(floor[lo + many] <= 0)
                 kth = np.partition(about[blank], tile.n - k, axis=1)[:, tile.n - k] if len(blank) else limit[:0]
                 limit[many[blank]] = np.maximum(limit[many[blank]], kth * (1 - SLACK))
-            row, col = np.nonzero(about >= limit[many].astype(np.float32)[:, None])
+            row, col = np.divmod(np.flatnonzero(about >= limit[many].astype(np.float32)[:, None]), tile.n)
             yield from _exact(tile, lo, many[row], col, part, floor)
             lift[many] = np.inf
         yield from _exact(tile, lo, *np.divmod(np.flatnonzero(part >= lift[:, None]), tile.n), part, floor)

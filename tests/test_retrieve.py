@@ -281,3 +281,56 @@ def test_bm25_scores_few_pairs_exactly():
     pairs.clear()
     again = [np.concatenate(x) for x in zip(*keyword._candidates(tile, np.zeros(nq), 3))]
     assert want <= set(zip(again[0], again[1])) and sum(pairs) < n * nq / 5
+
+
+def test_code_scan_looks_up_few_tables_and_equals_all_of_them(monkeypatch):
+    """Tables are looked up for few pairs once a question has its rows, and the best are those of all look-ups, ties by the smaller number."""
+    from docweave.operators import quantise as Q
+
+    rng = np.random.default_rng(9)
+    books = [rng.normal(size=(6, len(c))) for c in Q._parts(12, 3)]
+    codes = rng.integers(0, 6, (4000, 3)).astype(np.uint8)  # 216 different rows, so most scores are shared
+    q = rng.normal(size=(50, 12))
+    lookup, single = Q.tables(q, books), q.astype(np.float32)
+    top, whole = Q._CodeTopK(50, 30), []
+    s = top.scores(lookup, codes)
+    monkeypatch.setattr(top, "scores", lambda a, b, one=top.scores: whole.append(len(a) * len(b)) or one(a, b))
+    monkeypatch.setattr(Q, "WAITING", 500)
+    for at in range(0, 4000, 250):
+        which = np.arange(50) if at % 500 else np.arange(0, 50, 2)  # odd questions don't probe every list
+        top.add(which, np.arange(at, at + 250), codes[at:at + 250], lookup, single, books)
+    top.merge()
+    got = {}
+    for i, number in zip(top.best[0].tolist(), top.best[2].tolist()):
+        got.setdefault(i, []).append(number)
+    for i in range(50):
+        rows = [r for r in range(4000) if i % 2 == 0 or (r // 250) % 2]
+        assert got[i] == sorted(rows, key=lambda r: (-s[i, r], r))[:30]
+    assert sum(whole) <= 50 * 250
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot"])
+def test_exact_scores_equal_the_column_expression(spark, metric):
+    from docweave.operators import quantise as Q
+
+    rng = np.random.default_rng(10)
+    a, b = rng.normal(size=(40, 7)).astype(np.float32), rng.normal(size=(40, 7)).astype(np.float32)
+    a[3], b[5] = 0, 0
+    rows = spark.createDataFrame([(i, a[i].tolist(), b[i].tolist()) for i in range(40)], "i int, a array<float>, b array<float>")
+    want = [r.s for r in rows.select("i", R.exact_score("a", "b", metric).alias("s")).orderBy("i").collect()]
+    assert Q.exact_scores(a, b, metric).tolist() == want
+
+
+def test_pq_search_keeps_questions_in_place(spark, scratch, monkeypatch):
+    """No block of questions goes through the driver, and an index in several blocks gives the rows of one, repeated ids included."""
+    from docweave.operators import quantise as Q
+
+    idx, qs = _data(spark)
+    idx, qs = idx.select("id", "vector"), qs.select("question_id", "qvec")
+    idx = idx.unionByName(idx.filter("id % 5 = 0")).unionByName(idx.limit(3).withColumn("id", F.lit(None).cast("long")))
+    cents, books = R.ivf_train(idx, n_lists=5, seed=3), Q.pq_train(idx, m=7)
+    Q.pq_write(idx, cents, books, f"{scratch}/pq")
+    monkeypatch.setattr(R, "_question_blocks", None)
+    one, few, many = (Q.pq_search(spark, f"{scratch}/pq", cents, books, qs, 3, nprobe=4, **kw).collect() for kw in ({"blocks": 1}, {"blocks": 4}, {"max_broadcast_bytes": 60_000}))
+    assert len(one) == 3 * qs.count() and all(r.id is not None for r in one)
+    assert sorted(map(tuple, one)) == sorted(map(tuple, few)) == sorted(map(tuple, many))
